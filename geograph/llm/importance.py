@@ -25,6 +25,8 @@ BUCKETS = 1 << 14
 EVIDENCE = 1024
 #: Documents' worth of evidence for "as likely in either" that each bucket starts with.
 PRIOR = 0.25
+#: The share of good rows lost weighs so many times the share of bad rows kept.
+GOOD_LOSS = 4
 #: Most labelled rows that the target model and the threshold are fitted on.
 MAX_LABELLED = 100_000
 
@@ -86,26 +88,28 @@ def fit_log_ratio(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     return np.log(target + PRIOR) - np.log(raw * (target.sum() / raw.sum()) + PRIOR)
 
 
-def log_weights(docs: DataFrame, log_ratio: np.ndarray, id_col: str, text_col: str, keep: list[str] = ()) -> DataFrame:
-    """id, the columns of keep, n_features and log_weight (mean log ratio times at most EVIDENCE features)."""
+def log_weights(docs: DataFrame, log_ratio: np.ndarray, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """docs with n_features, log_weight (mean log ratio times at most EVIDENCE
+    features) and sample_key (log_weight plus Gumbel noise, to six digits)."""
     table = docs.sparkSession.sparkContext.broadcast(log_ratio.astype(np.float64))
-    schema = T.StructType([docs.schema[id_col], *(docs.schema[c] for c in keep), T.StructField("n_features", T.LongType()), T.StructField("log_weight", T.DoubleType())])
+    schema = T.StructType([*docs.schema, T.StructField("n_features", T.LongType()), T.StructField("log_weight", T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, w = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
-            for i, text in enumerate(b.column(b.num_columns - 1)):
+            for i, text in enumerate(b.column(text_col)):
                 f = features(text.as_py())
                 if len(f):
                     n[i], w[i] = len(f), round(float(table.value[f].mean()) * min(len(f), EVIDENCE), 9)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n), pa.array(w)], schema=pa.schema([*list(b.schema)[:-1], pa.field("n_features", pa.int64()), pa.field("log_weight", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n), pa.array(w)], names=schema.names)
 
-    return docs.select(id_col, *keep, F.col(text_col).alias("_text")).mapInArrow(score, schema)
+    noise = -F.log(-F.log(unit_noise(F.col(id_col), F.xxhash64(text_col), F.lit(seed))))
+    return docs.mapInArrow(score, schema).withColumn("sample_key", F.round(F.col("log_weight") + noise, 6))
 
 
 def threshold(scored: DataFrame) -> float:
     """The log weight that parts good from bad labelled rows with the least error
-    (mean of both classes' error rates), found on a histogram of 4000 steps of
+    (good rows lost, weighted by GOOD_LOSS, and bad rows kept), found on a histogram of 4000 steps of
     the score, which is all that reaches the driver; 0 if a class has no row."""
     step = 0.05
     at = F.greatest(F.lit(-2000), F.least(F.lit(1999), F.floor(F.col("log_weight") / step)))
@@ -115,7 +119,7 @@ def threshold(scored: DataFrame) -> float:
         return 0.0
     best, edge, previous, below_good, below_bad = None, 0.0, None, 0, 0
     for r in rows:
-        error = below_good / good + (bad - below_bad) / bad
+        error = GOOD_LOSS * below_good / good + (bad - below_bad) / bad
         if best is None or error < best - 1e-12:
             best, edge = error, r["at"] if previous is None else (previous + 1 + r["at"]) / 2
         previous, below_good, below_bad = r["at"], below_good + r.good, below_bad + r.n - r.good
@@ -145,34 +149,50 @@ def largest(df: DataFrame, key: str, k: int) -> float | None:
     return low / 1e6
 
 
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, share: float | None = None, keep: list[str] = ()) -> DataFrame:
-    """id, the columns of keep, n_features, log_weight, sample_key and kept of each document.
-
-    labels: (id, good boolean), of which at most MAX_LABELLED rows, those with the
-    smallest hash of the id, are used; rows with a null good are left out. One half
-    of them fits the target model, the other the threshold. k is
-    `share` of all documents, or, where share is None, the number of documents
-    whose log weight reaches the threshold that parts the labelled rows best.
-    Documents with k largest sample_key = log_weight + Gumbel noise (a hash of id
-    and text, so reruns agree; keys count to six digits) are kept; ties at the
-    k-th key are all kept. A null or empty text has weight 0 and no feature; it is
-    never kept. Repeated rows are scored alike. Of a document labelled twice,
-    good holds if any row says so. Without good or bad labels the threshold is 0.
-    """
-    fit = labels.where(F.col("good").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("good").alias("good")).orderBy(F.xxhash64(id_col), id_col).limit(MAX_LABELLED)
-    fit = stage_table(fit, "labels")
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, share: float | None = None) -> tuple[np.ndarray, DataFrame, float | None]:
+    """(log_ratio, scored, edge): the models' ratio, the scores of all docs, staged, and
+    the k-th largest sample key (None where k is 0)."""
+    chosen = labels.where(F.col("good").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("good").alias("good")).orderBy(F.xxhash64(id_col), id_col).limit(MAX_LABELLED)
+    chosen = stage_table(chosen, "labels")
     half = F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(2))
-    log_ratio = fit_log_ratio(docs, fit.where(half == 0), id_col, text_col)
-    noise = -F.log(-F.log(unit_noise(F.col(id_col), F.col("_h"), F.lit(seed))))
-    hashed = docs.withColumn("_h", F.xxhash64(text_col))
-    scored = log_weights(hashed, log_ratio, id_col, text_col, [*keep, "_h"]).withColumn("sample_key", F.round(F.col("log_weight") + noise, 6)).drop("_h")
-    scored = stage_table(scored, "weights")
+    texts = docs.select(id_col, text_col)
+    log_ratio = fit_log_ratio(texts, chosen.where(half == 0), id_col, text_col)
+    scored = stage_table(log_weights(texts, log_ratio, seed, id_col, text_col).drop(text_col), "weights")
     usable = scored.where("n_features > 0")
     if share is None:
-        marked = usable.select(id_col, "log_weight").join(F.broadcast(fit.where(half == 1)), id_col, "left")
+        marked = usable.select(id_col, "log_weight").join(F.broadcast(chosen.where(half == 1)), id_col, "left")  # at most MAX_LABELLED rows
         k = usable.where(F.col("log_weight") >= threshold(marked)).count()
     else:
         k = round(share * scored.count())
-    edge = largest(usable, "sample_key", k)
-    kept = F.lit(False) if edge is None else (F.col("n_features") > 0) & (F.col("sample_key") >= edge)
-    return scored.withColumn("kept", kept)
+    return log_ratio, scored, largest(usable, "sample_key", k)
+
+
+def _kept(edge: float | None):
+    return F.lit(False) if edge is None else (F.col("n_features") > 0) & (F.col("sample_key") >= edge)
+
+
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, share: float | None = None) -> DataFrame:
+    """id, n_features, log_weight, sample_key and kept of each document.
+
+    labels: (id, good boolean), of which at most MAX_LABELLED rows, those with the
+    smallest hash of the id, are used; rows with a null good are left out. One half
+    of them fits the target model, the other the threshold. k is `share` of all
+    documents, or, where share is None, the number of documents whose log weight
+    reaches the threshold that parts the labelled rows best. Documents with the k
+    largest sample_key = log_weight + Gumbel noise (a hash of id and text, so reruns
+    agree) are kept; ties at the k-th key are all kept. A null or empty text has
+    weight 0 and no feature; it is never kept. Repeated rows are scored alike. Of a
+    document labelled twice, good holds if any row says so. Without good or bad
+    labels the threshold is 0. Other columns are not read.
+    """
+    _, scored, edge = fit(docs, labels, id_col, text_col, seed, share)
+    return scored.withColumn("kept", _kept(edge))
+
+
+def keep_best(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, share: float | None = None) -> DataFrame:
+    """The documents that resample() keeps, with their columns. They are scored once
+    more on the way, which moves no text."""
+    log_ratio, _, edge = fit(docs, labels, id_col, text_col, seed, share)
+    plain = docs.select(*[F.col(c).alias(f"d_{c}") for c in docs.columns])
+    scored = log_weights(plain, log_ratio, seed, f"d_{id_col}", f"d_{text_col}")
+    return scored.where(_kept(edge)).select(*[F.col(f"d_{c}").alias(c) for c in docs.columns])

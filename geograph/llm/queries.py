@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import adaptive_rules, chat_tree, importance, mixing, nra, packing, token_counts, url_trie
+from . import adaptive_rules, chat_tree, importance, jaccard_join, mixing, nra, packing, suffix_dedup, token_counts, url_trie
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
