@@ -151,16 +151,12 @@ class Sets:
             for x in members[links]:
                 forest.join(int(p), int(x))
         nearest = distance.min(0)
-        slack = 1e-9
-        for k in range(len(pivots)):
-            own = distance[k] == nearest
-            # a document of another region is within e of one of this only if it is at most 2 e farther from this pivot than from its own
-            region = members[own | (distance[k] <= nearest + 2 * self.e + slack)]
-            if not own.any():
-                continue
-            if 10 * len(region) > 9 * len(members):
-                link_all(members, forest, self.near)
-                return
+        # a document of another region is within e of one of this only if it is at most 2 e farther from this pivot than from its own
+        regions = [members[row <= nearest + 2 * self.e + 1e-9] for row in distance if (row == nearest).any()]
+        if 2 * sum(len(r) ** 2 for r in regions) > len(members) ** 2:  # windows as wide as the region: compare as it is
+            link_all(members, forest, self.near)
+            return
+        for region in regions:
             self.join(region, forest)
 
 

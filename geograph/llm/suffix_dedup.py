@@ -340,7 +340,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, id_col: str =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, texts = [], []
-            for i, (text, spans, copied) in enumerate(zip(b.column(text_col), b.column("spans"), b.column("copied"), strict=True)):
+            for i, (text, spans, copied) in enumerate(zip(b.column(f"d_{text_col}"), b.column("spans"), b.column("copied"), strict=True)):
                 whole = text.as_py()
                 data = text_bytes(whole).tobytes()
                 gone = _removed(spans.as_py(), copied.as_py(), len(data), length)
@@ -353,6 +353,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, id_col: str =
                 texts.append(whole)
             kept_rows = b.take(pa.array(at, pa.int64()))
             made = {text_col: pa.array(texts, pa.string()), "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64())}
-            yield pa.RecordBatch.from_arrays([made[c].cast(kept_rows.column(c).type) if c in made else kept_rows.column(c) for c in columns], names=columns)
+            yield pa.RecordBatch.from_arrays([made[c].cast(kept_rows.column(f"d_{c}").type) if c in made else kept_rows.column(f"d_{c}") for c in columns], names=columns)
 
-    return with_spans(docs, id_col, text_col, length, q).select(*columns, "spans", "copied").mapInArrow(cut, schema)
+    plain = docs.select(*[F.col(c).alias(f"d_{c}") for c in columns])
+    return with_spans(plain, f"d_{id_col}", f"d_{text_col}", length, q).mapInArrow(cut, schema)
