@@ -23,6 +23,8 @@ from .texthash import SPACE, U, mix, span_hashes, text_bytes
 BUCKETS = 1 << 14
 #: A document's evidence counts as that of so many n-grams at most, so that noise still matters for long texts.
 EVIDENCE = 1024
+#: Documents counted at a time.
+ROWS_AT_ONCE = 256
 #: Documents' worth of evidence for "as likely in either" that each bucket starts with.
 PRIOR = 0.25
 #: The share of good rows lost weighs so many times the share of bad rows kept.
@@ -70,12 +72,14 @@ def fit_log_ratio(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
         for b in batches:
-            found = [features(text.as_py()) for text in b.column(0)]
-            n = np.array([len(f) for f in found])
-            weight = np.repeat(1 / np.maximum(n, 1), n)
-            at = np.concatenate([np.zeros(0, np.int64), *found])
-            raw += np.bincount(at, weight, BUCKETS)
-            target += np.bincount(at, weight * np.repeat([g is True for g in b.column(1).to_pylist()], n), BUCKETS)
+            for low in range(0, b.num_rows, ROWS_AT_ONCE):
+                part = b.slice(low, ROWS_AT_ONCE)
+                found = [features(text.as_py()) for text in part.column(0)]
+                n = np.array([len(f) for f in found])
+                weight = np.repeat(1 / np.maximum(n, 1), n)
+                at = np.concatenate([np.zeros(0, np.int64), *found])
+                raw += np.bincount(at, weight, BUCKETS)
+                target += np.bincount(at, weight * np.repeat([g is True for g in part.column(1).to_pylist()], n), BUCKETS)
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.round(raw[at] * 1e6).astype(np.int64)), pa.array(np.round(target[at] * 1e6).astype(np.int64))], names=["bucket", "raw", "target"])
 

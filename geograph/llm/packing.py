@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,9 @@ from .texthash import U, mix
 
 SEQUENCE, END_ID = 2048, 1
 DIMS, BITS = 4, 15
-#: Words whose ids a worker remembers, and bytes of text encoded at a time.
-CACHE_WORDS, CHUNK = 700_000, 1 << 20
+#: Words and stems whose ids a worker remembers, about 250 bytes each, and bytes of text encoded at a time.
+CACHE_WORDS, CACHE_STEMS, CHUNK = 600_000, 400_000, 1 << 20
+WORDS_A_CALL = 256
 #: Marks that end a word; after a letter or digit they are encoded apart from it.
 MARKS = b".,;:!?*$%&#"
 
@@ -39,34 +41,60 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends_word[i] = token.endswith("</w>")
         self.words: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {b"": b""}
 
-    def _learn(self, missing: list[bytes]) -> None:
+    def _learn(self, missing: set[bytes]) -> None:
         if len(self.words) + len(missing) > CACHE_WORDS:
             self.words.clear()
-        if len(self.stems) > CACHE_WORDS:
-            self.stems.clear()
-        parts = {}
-        for w in missing:
-            stem = w.rstrip(MARKS)
-            parts[w] = (stem.lower(), w[len(stem) :]) if stem and stem[-1:].isalnum() else (w, b"")
-        new = [*{p for pair in parts.values() for p in pair if p} - self.stems.keys()]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-            self.stems[w] = np.array(e.ids, self.kind).tobytes()
-        for w, (stem, end) in parts.items():
-            self.words[w] = self.stems[stem] + (self.stems[end] if end else b"")
+        if len(self.stems) > CACHE_STEMS:
+            self.stems = {b"": b""}
+        stems, missing = self.stems, [*missing]
+        # marks in angle brackets may be special tokens, which have their case
+        low = [w if b"<" in w else w.lower() for w in missing]
+        bare = [w.rstrip(MARKS) for w in low]
+        heads = [stem if len(stem) < len(w) and stem[-1:].isalnum() else w for stem, w in zip(bare, low, strict=True)]
+        tails = [w[len(head) :] for head, w in zip(heads, low, strict=True)]
+        self._encode_words([*{*heads, *tails} - stems.keys()])
+        self.words.update(zip(missing, [stems[head] + stems[tail] for head, tail in zip(heads, tails, strict=True)], strict=True))
+
+    def _encode_words(self, words: list[bytes]) -> None:
+        """Ids of new words. Words of letters alone go many to a call; their ids are told
+        apart by the tokens that end a word."""
+        letters, single = [], []
+        for w in words:
+            text = w.decode("utf-8", "replace")
+            (letters if text.isalpha() else single).append((w, text))
+        groups = [letters[low : low + WORDS_A_CALL] for low in range(0, len(letters), WORDS_A_CALL)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(t for _, t in g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.kind)
+            ends = ((np.flatnonzero(self.ends_word[ids]) + 1) * ids.itemsize).tolist()
+            if len(ends) != len(group):  # a word that is more than letters once it is normal
+                single += group
+                continue
+            raw, at = ids.tobytes(), 0
+            for (w, _), end in zip(group, ends, strict=True):
+                self.stems[w] = raw[at:end]
+                at = end
+        for (w, _), e in zip(single, self.tokenizer.encode_batch_fast([t for _, t in single], add_special_tokens=False), strict=True):
+            self.stems[w] = array(self.code, e.ids).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        get = self.words.get
         split = [t.split() for t in texts]
-        met = {w for words in split for w in words}
-        if missing := [w for w in met if w not in self.words]:
-            self._learn(missing)
-            if not met <= self.words.keys():  # the memory was cleared
-                self._learn([w for w in met if w not in self.words])
-        known = self.words
-        return [np.frombuffer(b"".join([known[w] for w in words]), self.kind) for words in split]
+        found = [[*map(get, words)] for words in split]
+        gaps = [(words, parts, [j for j, part in enumerate(parts) if part is None]) for words, parts in zip(split, found, strict=True) if None in parts]
+        if gaps:
+            self._learn({words[j] for words, _, at in gaps for j in at})
+            for words, parts, at in gaps:
+                for j in at:
+                    parts[j] = get(words[j])
+        return [np.frombuffer(b"".join(parts), self.kind) for parts in found]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -172,4 +200,4 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_id:
             arrays = [b.column(0).take(pa.array(at, pa.int64())), *(pa.array([r[j] for r in rows], pa.int64()) for j in range(6))]
             yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(all_ids, pa.list_(pa.int32()))] * with_ids], names=out.names)
 
-    return encoded.join(placed, "row").select(id_col, "tokens", "ids", "start").mapInArrow(cut, out)
+    return encoded.join(placed.hint("merge"), "row").select(id_col, "tokens", "ids", "start").mapInArrow(cut, out)
