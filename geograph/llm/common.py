@@ -91,7 +91,7 @@ def running_total(
     totals = staged.groupBy("_pid", "_g").agg(F.sum(value).alias("_total"))
     w = Window.partitionBy("_g").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("_pid", "_g", F.coalesce(F.sum("_total").over(w), F.lit(0)).alias("_base"))
-    joined = staged.join(bases, ["_pid", "_g"])
+    joined = staged.join(bases.hint("merge"), ["_pid", "_g"])  # a staged table looks smaller than it is, so neither side is broadcast
     return joined.withColumn("start", F.col("_run") + F.col("_base")).drop("_pid", "_g", "_run", "_base")
 
 
