@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import links, nodes, vectors
 from ..sources.schemas import CLUSTERS, EDGES, NODE_CLUSTERS, NODES
@@ -36,7 +37,7 @@ class GraphTables:
 
     def write(self, name: str, df: DataFrame) -> None:
         have = set(df.columns)
-        full = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in self.SCHEMAS[name]])
+        full = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(self.SCHEMAS[name])])
         full.write.mode("overwrite").parquet(f"{self.base}/{name}/v={(self._versions(name) or 0) + 1}")
 
 
