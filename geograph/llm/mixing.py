@@ -127,8 +127,9 @@ def plan(docs: DataFrame, source_col: str = "source", block_words: int = BLOCK_W
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard)), pa.array(slot.astype(np.int64)), pa.array(nth.astype(np.int32)), pa.array(times.astype(np.int32)), pa.array(block)], names=["shard", "slot", "nth", "times", "block"])
 
     slots = spark.range(shards, numPartitions=min(shards, shuffle_partitions(spark))).mapInArrow(draw, "shard long, slot long, nth int, times int, block long")
+    # one row a source, which the driver holds anyway; left to itself, the join would broadcast the documents' side
     named = docs.withColumnRenamed(source_col, "_source")
-    numbered = named.join(sources.select("source", "nth"), F.col("_source").eqNullSafe(F.col("source"))).select("row", "order", "nth", "size")
+    numbered = named.join(F.broadcast(sources.select("source", "nth")), F.col("_source").eqNullSafe(F.col("source"))).select("row", "order", "nth", "size")
     placed = running_total(numbered.where("size > 0"), "size", ["order", "row"], ["nth"], "placed")
     first, last = F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}")
     cut = placed.withColumn("block", F.explode(F.sequence(first, last)))
@@ -155,7 +156,7 @@ def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sources, slots, pieces = plan(rows, "_source", block_words, seed)
     drawn = slots.groupBy("nth", "block").agg(F.count("*").alias("n"))
     taken = pieces.join(drawn, ["nth", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("n")).alias("taken"))
-    own = rows.join(sources, F.col("_source").eqNullSafe(F.col("source"))).join(taken.hint("merge"), "row", "left")
+    own = rows.join(F.broadcast(sources), F.col("_source").eqNullSafe(F.col("source"))).join(taken.hint("merge"), "row", "left")
     return own.select(F.col("order").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
