@@ -390,8 +390,12 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that link, directly or through others, to one of a
-    smaller id. Rows that repeat an id stay or go together."""
-    found = components(docs.select(id_col, text_col), width, percent, id_col, text_col)
-    gone = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    """docs with one row of each component: that of the least id, and of equal ids the
+    first. A null id comes after all others. Every row is judged by its own text,
+    whatever other rows have its id; rows without a shingle stay."""
+    columns = docs.columns
+    rows = stage_table(docs.select(F.monotonically_increasing_id().alias("row"), *[F.col(c).alias(f"d_{c}") for c in columns]), "rows")
+    found = components(rows.select("row", f"d_{text_col}"), width, percent, "row", f"d_{text_col}")
+    ranked = found.select("row", "component_id").join(rows.select("row", F.col(f"d_{id_col}").alias("id")), "row")
+    kept = ranked.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("least")).select(F.col("least.row").alias("row"))
+    return rows.join(kept, "row", "left_semi").select(*[F.col(f"d_{c}").alias(c) for c in columns])

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from geograph.llm import jaccard_join as jj
 
 from .brute import jaccard_components
@@ -45,6 +46,18 @@ def test_keep_one(spark):
     assert sorted(r.doc_id for r in jj.keep_one(df).collect()) == [1, 2, 4, 5]
 
 
+def test_keep_one_judges_rows_and_not_ids(spark):
+    """Repeated rows, ids with several texts and null ids, through near_duplicates and repeats."""
+    text = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    near = text("near") + " more"
+    rows = [(1, text("twice")), (1, text("twice")), (2, text("near")), (3, near), (3, text("own")), (None, near), (None, text("null")), (None, text("other")), (None, text("other")), (4, None), (4, "")]
+    one = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    kept = [(1, text("twice")), (2, text("near")), (3, text("own")), (None, text("null")), (None, text("other")), (4, None), (4, "")]
+    found = lambda df: sorted([(r.doc_id, r.text) for r in df.collect()], key=str)
+    assert found(one) == sorted(kept, key=str)
+    assert found(corpus_pipeline.repeats(spark, one, "")) == sorted(kept, key=str)
+
+
 def test_empty_table(spark):
     assert jj.components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
