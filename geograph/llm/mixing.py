@@ -155,7 +155,7 @@ def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = sized(docs, id_col, text_col, source_col, [])
     sources, slots, pieces = plan(rows, "_source", block_words, seed)
     drawn = slots.groupBy("nth", "block").agg(F.count("*").alias("n"))
-    taken = pieces.join(drawn, ["nth", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("n")).alias("taken"))
+    taken = pieces.join(drawn.hint("merge"), ["nth", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("n")).alias("taken"))
     own = rows.join(F.broadcast(sources), F.col("_source").eqNullSafe(F.col("source"))).join(taken.hint("merge"), "row", "left")
     return own.select(F.col("order").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
@@ -167,7 +167,7 @@ def mix_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     columns = docs.columns
     rows = sized(docs, id_col, text_col, source_col, columns)
     _, slots, pieces = plan(rows, "_source", block_words, seed)
-    runs = slots.join(pieces, ["nth", "block"]).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("times", "word", "words"))).alias("runs"))
+    runs = slots.hint("merge").join(pieces, ["nth", "block"]).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("times", "word", "words"))).alias("runs"))
     joined = rows.select("row", "size", *[f"d_{c}" for c in columns]).join(runs.hint("merge"), "row").drop("row")
     schema = T.StructType(list(docs.schema))
 

@@ -212,6 +212,16 @@ def test_mix(spark):
     assert mixing.mix_counts(df.limit(0)).collect() == [] and mixing.mix_texts(df.limit(0)).collect() == []
 
 
+def test_blocks_are_not_broadcast(spark):
+    """Drawn blocks grow with the words; only the table of sources, a row each, is broadcast."""
+    df = frame(spark, [(i, "a b c " * 40, f"s{i % 3}") for i in range(20)], "doc_id long, text string, source string")
+    for out in (mixing.mix_counts(df, block_words=16), mixing.mix_texts(df, block_words=16)):
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join [" in line and "nth#" in line and "block#" in line]
+        assert joins and all("SortMergeJoin" in line for line in joins), plan
+
+
 # packing
 
 
