@@ -1,11 +1,12 @@
 import math
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from geograph.operators import geofence, links, nodes, quality, review, vectors
-from geograph.plans import build
+from geograph.plans import build, queries
 from geograph.sources import readers, sinks
 from geograph.streaming.geofence import geofence_stream, next_state
 
@@ -178,6 +179,29 @@ def test_promotion(spark):
     assert out["nodes"].count() == 1 and {r.cluster_id for r in out["clusters"].collect()} >= {"root-rajasthan", "heritage-intangible", "subtype-music", "era-undated"}
 
 
+def test_promotion_query_judges_candidates(spark):
+    def good(a, b):
+        c = zlib.crc32(f"{a}|{b}".encode())
+        return c % 2 == 0, c % 2 == 0 and c % 3 != 0 and c % 5 != 0
+
+    texts = [" ".join(f"{w}{i % 3}" for w in ("stone", "hill", "lake", "water", "stairs")) + f" place{i}" for i in range(5)]
+    there = vectors.embed(spark.createDataFrame([(f"n{i}", f"Site {i}", t) for i, t in enumerate(texts)], "node_id string, title string, content string"), "content")
+    subs = spark.createDataFrame([(f"s{i}", f"Found {i}", texts[i % 5], None, 1.0, 2.0, None) for i in range(16)], "submission_id string, title string, description string, category string, latitude double, longitude double, contributor_note string")
+    new = vectors.embed(review.derive_nodes(subs), "content")
+    cos = lambda x, y: sum(p * q for p, q in zip(x, y, strict=True)) / math.sqrt(sum(p * p for p in x) * sum(q * q for q in y))
+    known, expected = there.collect(), {}
+    for r in new.collect():
+        near = {n.node_id: cos(r.embedding, n.embedding) for n in known}
+        same = min((n for n, s in near.items() if s >= review.DUPLICATE_FROM and good(r.node_id, n)[0]), default=None)
+        edges = 0 if same else sum(s >= review.LEAST_COSINE and good(r.node_id, n)[1] for n, s in near.items())
+        expected[r.submission_id] = ("merged" if same else "added", same, edges)
+    got = review.promote(new, there, *queries.promotion_verdicts(new, there))["outcome"]
+    assert {r.submission_id: (r.status, r.merged_into, r.edges_formed) for r in got.collect()} == expected
+    assert {x[0] for x in expected.values()} == {"merged", "added"} and any(x[2] for x in expected.values())
+    formed = [r.edges_formed for r in queries.promotion(spark, "/root/testdata/sf0.001").collect()]
+    assert len(formed) > 400 and 0 < max(formed) <= review.NEIGHBOURS
+
+
 def test_judge_never_makes_up_a_reply(spark):
     def ask(prompt):
         if "bad" in prompt:
