@@ -253,6 +253,56 @@ def test_pack(spark):
     assert packing.pack(df.limit(0), path).collect() == []
 
 
+def test_documents_follow_the_curve(spark):
+    """Order of the streams: curve key of the plain ids, then id, then place in the table."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("word_bpe_49k.json")
+    rng = np.random.default_rng(9)
+    words = ["river", "stone", "light", "wind", "tree,", "Sea", "$$$", "12"]
+    rows = [(int(i), " ".join(rng.choice(words, rng.integers(0, 12)))) for i in rng.permutation(80)] + [(None, "no id"), (3, None), (900, "wind " * 5000)]
+    direct = Tokenizer.from_file(path)
+    table = packing.directions(direct.get_vocab_size())
+    keyed = []
+    for place, (i, t) in enumerate(rows):
+        ids = direct.encode(t or "", add_special_tokens=False).ids
+        mean = np.array([table[x].astype(int) for x in ids]).mean(0) if ids else np.zeros(packing.DIMS)
+        point = np.minimum((mean + 1) / 2 * (1 << packing.BITS), (1 << packing.BITS) - 1).astype(np.uint64)
+        keyed.append((int(packing.hilbert_key(point[None])[0]), i if i is not None else -1, place, len(ids) + 1))
+    got = packing.pack(frame(spark, rows, "doc_id long, text string").coalesce(1), path, sequence=64).collect()
+    order = [(r.doc_id if r.doc_id is not None else -1, r.doc_tokens) for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)) if r.start == 0]
+    assert order == [(i, n) for _, i, _, n in sorted(keyed)]
+
+
+def test_other_tokenizers_encode_whole_texts():
+    """A tokenizer that keeps case and white space is told by its probe."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    enc, direct = packing.WordEncoder(path), Tokenizer.from_file(path)
+    texts = ["A text,  with\nCase and spaces ", "", "x"]
+    ids, counts = enc.encode([t.encode() for t in texts])
+    assert not enc.by_words
+    assert ids.tolist() == [i for t in texts for i in direct.encode(t, add_special_tokens=False).ids] and counts.sum() == len(ids)
+
+
+def test_words_of_odd_texts(monkeypatch):
+    """Small chunks and a small memory of words give the ids of whole texts."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CHUNK", 64)
+    monkeypatch.setattr(packing, "CACHE_WORDS", 40)
+    path = tokenizer_file("word_bpe_49k.json")
+    enc, direct = packing.WordEncoder(path), Tokenizer.from_file(path)
+    rng = np.random.default_rng(8)
+    signs = [*"aAzZ019.,;:!?*$%&#<|>'()- \n\t\x0b\x1c\u00e9\u00c9\u00df\u03a3\u03c2\u0130\u0301\u00a0\u2028\u00aa\u4e2d\U0001f600", "<|endoftext|>", "'s", " "]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 90))) for _ in range(400)] + ["a" * 500, "$" * 300, " " * 200, "ab, " * 100]
+    ids, counts = enc.encode([t.encode() for t in texts])
+    assert enc.by_words
+    for t, part in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+        assert part.tolist() == direct.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_hilbert_curve_visits_neighbours():
     side = np.arange(8)
     points = np.array(np.meshgrid(side, side, side)).reshape(3, -1).T
