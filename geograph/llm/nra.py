@@ -1,16 +1,21 @@
 """Exact top-k search by no-random-access aggregation.
 
-Vectors are packed into blocks; in a block each dimension is a list sorted by
-value. For a query, lists are read in parallel from their better end, a slice at a
-time. What has been read gives each row a lower and an upper bound of its score.
-Reading stops for a query once few rows can still qualify; their final scores are
-then resolved. Each block's best k meet in a window at the end.
+Vectors are packed into blocks, those of large norm first. A block holds a posting
+list (value, row) for each dimension, sorted by value. A query reads the lists of a
+block in order, each from its better end, a slice of all lists at a time. What has
+been read gives every row a lower and an upper bound of its score: unread entries
+lie between the list's reading point and its far end. Reading stops once no other
+row can reach the k-th best score known, which is carried from block to block; the
+scores of the rows that are left are resolved by reading on for them alone. Each
+task's best k meet in a window at the end.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,43 +23,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stage_table
+from .common import shuffle_partitions, stage_table
 
-#: Rows in a block of candidates and of queries.
-CANDIDATES, QUERIES = 4096, 256
+#: Rows in a block of candidates and of queries, and blocks of candidates that a task reads in turn.
+CANDIDATES, QUERIES, RUN = 4096, 128, 8
 #: Shares of the lists read before bounds are compared again.
-DEPTHS = (0.35, 0.7)
-#: Scaled components beyond this make a vector take no part.
-LARGEST = 1 << 40
+DEPTHS = (0.5, 0.7, 0.85, 0.95)
+LONG = (1 << 63) - 1
 
 
-def scaled(embeddings: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """id, v: floor(scale * x) of the vectors without null, non-finite or huge components."""
-    big = F.lit(LARGEST / scale)
-    fine = F.col(vec_col).isNotNull() & F.col(id_col).isNotNull() & F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < big))
-    return embeddings.where(F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
+def fine_vectors(embeddings: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """id, v (double components) of the vectors without null or non-finite components."""
+    double = F.transform(F.col(vec_col), lambda x: x.cast("double"))
+    sound = F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
+    return embeddings.where(F.coalesce(sound, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), double.alias("v"))
 
 
 def pack(rows: DataFrame, size: int) -> DataFrame:
-    """Blocks of at most `size` rows, packed as they come in each task: block id, dim, ids, m (row-major int64)."""
+    """Blocks of at most `size` rows, as they come in each task: block, dim, ids, m (row-major doubles)."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         at = TaskContext.get().partitionId() << 32
-        ids, vectors = [], []
+        ids: list[int] = []
+        vectors: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
             nonlocal at
             dim = max(map(len, vectors))
-            m = np.zeros((len(vectors), dim), np.int64)
+            m = np.zeros((len(vectors), dim))
             for i, v in enumerate(vectors):
                 m[i, : len(v)] = v
             at += 1
             return pa.RecordBatch.from_arrays([pa.array([at]), pa.array([dim], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], names=["block", "dim", "ids", "m"])
 
         for b in batches:
-            for i, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for i, v in zip(b.column("id").to_pylist(), b.column("v"), strict=True):
                 ids.append(i)
                 vectors.append(v.values.to_numpy(zero_copy_only=False))
                 if len(ids) == size:
@@ -63,99 +68,152 @@ def pack(rows: DataFrame, size: int) -> DataFrame:
         if ids:
             yield flush()
 
-    return rows.mapInArrow(blocks, "block long, dim int, ids binary, m binary")
+    return rows.select("id", "v").mapInArrow(blocks, "block long, dim int, ids binary, m binary")
 
 
-def _kind(x: np.ndarray, q: np.ndarray) -> type:
-    bound = max(1, int(np.abs(x).max(initial=0))) * max(1, int(np.abs(q).max(initial=0))) * x.shape[1]
-    return np.float32 if bound < 1 << 24 else np.float64 if bound < 1 << 53 else np.int64
+def scaled(m: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x): doubles where they are exact, else Python's integers."""
+    with np.errstate(over="ignore"):
+        v = np.floor(m * float(scale))
+    if np.abs(v).max(initial=0) < 1 << 53:
+        return v
+    return np.array([int(y) if math.isfinite(y) else int(x) * scale for x, y in zip(m.ravel().tolist(), v.ravel().tolist(), strict=True)], object).reshape(m.shape)
 
 
-def search_block(x: np.ndarray, q: np.ndarray, k: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query, row and score of all rows of x that may be among a query's k best.
+@dataclass
+class Lists:
+    """Posting lists of a block: for each dimension, rows and values by falling value."""
 
-    own: True where a row must not answer a query. Scores are integers and exact.
+    ids: np.ndarray
+    rows: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, ids: np.ndarray, m: np.ndarray) -> Lists:
+        rows = np.argsort(-m.T, axis=1, kind="stable")
+        return cls(ids, rows, np.take_along_axis(m.T, rows, axis=1))
+
+
+def _add(total: np.ndarray, rows: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """total with each part added at its row."""
+    if total.dtype == object:
+        np.add.at(total, rows.ravel(), parts.ravel())
+        return total
+    return total + np.bincount(rows.ravel(), parts.ravel(), len(total))
+
+
+def read_lists(block: Lists, q: np.ndarray, k: int, least, barred: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """(rows, scores, entries read): the rows of a block that may be among a query's k best.
+
+    least: a score that an answer must reach, or None. barred: rows that are no
+    answer. Scores are exact integers; rows that tie with the k-th are all there.
     """
-    kind = _kind(x, q)
-    n = len(x)
-    if n <= 2 * k:
-        score = q @ x.T
-        at = np.ones(score.shape, bool) if own is None else ~own
-        qi, xi = np.nonzero(at)
-        return qi, xi, score[qi, xi]
-    xf, up, down = x.astype(kind), np.maximum(q, 0).astype(kind), np.minimum(q, 0).astype(kind)
-    order = np.sort(x, axis=0).astype(kind)  # each column: one list, read from its top for positive weights, else from its bottom
-    alive = np.arange(len(q))
-    out: list[tuple[np.ndarray, np.ndarray]] = []
+    n = len(block.ids)
+    exact = q.dtype == object or block.values.dtype == object or float(np.abs(q).max(initial=0)) * float(np.abs(block.values).max(initial=0)) * len(q) >= 1 << 52
+    kind = object if exact else np.float64
+    integers = lambda a: a if a.dtype == object else np.array([int(x) for x in a.ravel().tolist()], object).reshape(a.shape)
+    q, values = (integers(q), integers(block.values)) if exact else (q, block.values)
+    used = np.flatnonzero(q != 0)
+    rows, parts = block.rows[used], values[used] * q[used][:, None]
+    turn = np.array(q[used] < 0, bool)
+    rows[turn], parts[turn] = rows[turn, ::-1], parts[turn, ::-1]  # each list from its better end
+    far = parts[:, -1] if n else parts[:, :0].sum(1)
+    score = np.zeros(n, kind)
+    low = np.full(n, far.sum() if len(used) else 0, kind)
+    open_rows = np.ones(n, bool) if barred is None else ~barred
+    if least is not None and len(used) and parts[:, 0].sum() < least:  # not even the heads of the lists reach it
+        return np.zeros(0, np.int64), np.zeros(0, kind), len(used)
+    at = 0
     for depth in DEPTHS:
-        cut = min(n - 1, int(depth * n))
-        top, bottom = order[n - 1 - cut], order[cut]
-        u, d = up[alive], down[alive]
-        upper = u @ np.minimum(np.maximum(xf, top), order[-1]).T + d @ np.minimum(xf, bottom).T
-        lower = u @ np.where(xf >= top, xf, order[0]).T + d @ np.where(xf <= bottom, xf, order[-1]).T
-        if own is not None:
-            blocked = own[alive]
-            lower[blocked], upper[blocked] = -np.inf if kind != np.int64 else np.iinfo(np.int64).min, -np.inf if kind != np.int64 else np.iinfo(np.int64).min
-        kth = np.partition(lower, n - k, axis=1)[:, n - k]
-        can = upper >= kth[:, None]
-        if own is not None:
-            can &= ~blocked
-        done = can.sum(1) <= 4 * k
-        qi, xi = np.nonzero(can[done])
-        out.append((alive[done][qi], xi))
-        alive = alive[~done]
-        if not len(alive):
+        to = max(at, int(depth * n))
+        score = _add(score, rows[:, at:to], parts[:, at:to])
+        low = _add(low, rows[:, at:to], parts[:, at:to] - far[:, None])
+        at = to
+        front = parts[:, at] if at < n and len(used) else far
+        left = np.full(n, front.sum() if len(used) else 0, kind)
+        high = score + _add(left, rows[:, :at], np.broadcast_to(-front[:, None], (len(used), at)))
+        known = low[open_rows]
+        if len(known) > k:
+            kth = np.sort(known)[-k] if exact else np.partition(known, len(known) - k)[len(known) - k]
+            least = kth if least is None else max(least, kth)
+        if least is not None:
+            open_rows &= np.asarray(high >= least, bool)
+        if open_rows.sum() <= k:
             break
-    if len(alive):  # lists read to their ends: both bounds are the score
-        qi, xi = np.nonzero(np.ones((len(alive), n), bool) if own is None else ~own[alive])
-        score = up[alive] @ xf.T + down[alive] @ xf.T
-        if own is not None:
-            score[own[alive]] = -np.inf if kind != np.int64 else np.iinfo(np.int64).min
-        kth = np.partition(score, n - k, axis=1)[:, n - k]
-        can = score >= kth[:, None]
-        if own is not None:
-            can &= ~own[alive]
-        qi, xi = np.nonzero(can)
-        out.append((alive[qi], xi))
-    qi, xi = np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
-    return qi, xi, np.einsum("ij,ij->i", q[qi], x[xi])
+    # read on for the rows that are left
+    rest = open_rows[rows[:, at:]]
+    score = _add(score, rows[:, at:][rest], parts[:, at:][rest])
+    found = np.flatnonzero(open_rows)
+    if least is not None:
+        found = found[np.asarray(score[found] >= least, bool)]
+    return found, score[found], len(used) * at + int(rest.sum())
+
+
+def order_key(x: int) -> bytes:
+    """Bytes that sort as the integers do."""
+    size = (abs(x).bit_length() + 7) // 8
+    if x >= 0:
+        return b"\1" + size.to_bytes(2, "big") + x.to_bytes(size, "big")
+    return b"\0" + (65535 - size).to_bytes(2, "big") + ((1 << 8 * size) - 1 + x).to_bytes(size, "big")
 
 
 def top_k(embeddings: DataFrame, k: int = 20, scale: int = 64, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's k largest inner products, ties to the smaller id.
 
     Queries are the rows whose id is divisible by `every`; a row never answers a
-    query of its own id. Vectors that are null or hold null, non-finite or huge
-    (2**40 and more after scaling) components, and rows without id, take no part;
-    shorter vectors count as filled up with zeros. A repeated row answers once for
-    each time it stands in the table; a repeated query is answered once. Fewer
-    rows than k give all.
+    query of its own id. Vectors that are null or hold null or non-finite
+    components, and rows without id, take no part; shorter vectors count as filled
+    up with zeros. Scores of any size are compared exactly; the column holds the
+    nearest long. A repeated row answers once for each time it stands in the table;
+    a repeated query is answered once. Fewer rows than k give all. An empty table
+    gives none; other columns are not read.
     """
     spark = embeddings.sparkSession
-    rows = scaled(embeddings, id_col, vec_col, scale)
-    candidates = stage_table(pack(rows, CANDIDATES), "candidates")
-    shards = max(1, min(1024, candidates.count()))
-    queries = pack(rows.where(F.col("id") % every == 0).dropDuplicates().coalesce(4), QUERIES).select(F.col("dim").alias("qdim"), F.col("ids").alias("qids"), F.col("m").alias("qm"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    pairs = candidates.withColumn("shard", F.pmod(F.xxhash64("block"), F.lit(shards)).cast("int")).repartition(shards, "shard").join(queries, "shard")
+    rows = fine_vectors(embeddings, id_col, vec_col)
+    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    ranged = rows.withColumn("norm", norm).repartitionByRange(shuffle_partitions(spark), F.desc("norm")).sortWithinPartitions(F.desc("norm"), "id")
+    candidates = stage_table(pack(ranged, CANDIDATES), "candidates")
+    runs = max(1, -(-candidates.count() // RUN))
+    asked = rows.where(F.col("id") % every == 0).dropDuplicates()
+    asked = stage_table(pack(asked, QUERIES), "queries").select(F.col("block").alias("asked"), F.col("dim").alias("qdim"), F.col("ids").alias("qids"), F.col("m").alias("qm"), F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
+    pairs = candidates.withColumn("run", F.pmod(F.xxhash64("block"), F.lit(runs)).cast("int")).join(asked.hint("shuffle_hash"), "run")
+    dealt = pairs.repartition(shuffle_partitions(spark), "asked", "run").sortWithinPartitions("asked", "run", "block").select("asked", "run", "dim", "ids", "m", "qdim", "qids", "qm")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, qids, qm, best = None, None, None, []
+
+        def answers() -> pa.RecordBatch:
+            out = []
+            for i, (own, found) in enumerate(zip(qids.tolist(), best, strict=True)):
+                name = int.from_bytes(hashlib.blake2b(qm[i].tobytes(), digest_size=8).digest(), "little", signed=True)
+                for x, v in found:
+                    held = max(-LONG - 1, min(LONG, x))
+                    out.append((own, name, v, held, order_key(x) if abs(x) >= LONG else None))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds)], names=["query_id", "query", "vec_id", "score", "beyond"])
+
         for b in batches:
-            for dim, ids, m, qdim, qids, qm in zip(*(b.column(c).to_pylist() for c in ("dim", "ids", "m", "qdim", "qids", "qm")), strict=True):
-                ids, qids = np.frombuffer(ids, np.int64), np.frombuffer(qids, np.int64)
-                x, q = np.frombuffer(m, np.int64).reshape(-1, dim), np.frombuffer(qm, np.int64).reshape(-1, qdim)
+            for of, run, dim, ids, m, qdim, q_ids, q_m in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (of, run) != group:
+                    if group is not None:
+                        yield answers()
+                    group, qids, qm = (of, run), np.frombuffer(q_ids, np.int64), np.frombuffer(q_m).reshape(-1, qdim)
+                    best = [[] for _ in qids]
+                    asking = scaled(qm, scale)
                 width = max(dim, qdim)
-                x, q = np.pad(x, ((0, 0), (0, width - dim))), np.pad(q, ((0, 0), (0, width - qdim)))
-                own = qids[:, None] == ids[None, :]
-                qi, xi, score = search_block(x, q, k, own if own.any() else None)
-                order = np.lexsort((ids[xi], -score, qi))
-                qi, xi, score = qi[order], xi[order], score[order]
-                first = np.flatnonzero(np.r_[True, qi[1:] != qi[:-1]]) if len(qi) else np.zeros(0, int)
-                rank = np.arange(len(qi)) - np.repeat(first, np.diff(np.r_[first, len(qi)]))
-                best = rank < k
-                own_key = np.array([int.from_bytes(hashlib.blake2b(v.tobytes(), digest_size=8).digest(), "little", signed=True) for v in q])
-                yield pa.RecordBatch.from_arrays([pa.array(qids[qi[best]]), pa.array(own_key[qi[best]]), pa.array(ids[xi[best]]), pa.array(score[best])], names=["query_id", "query", "vec_id", "score"])
-
-    pairs = pairs.select("dim", "ids", "m", "qdim", "qids", "qm")
-    found = pairs.mapInArrow(search, "query_id long, query long, vec_id long, score long")
-    w = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
+                ids, x = np.frombuffer(ids, np.int64), scaled(np.frombuffer(m).reshape(-1, dim), scale)
+                lists = Lists.of(ids, np.pad(x, ((0, 0), (0, width - dim))))
+                for i, q in enumerate(np.pad(asking, ((0, 0), (0, width - qdim)))):
+                    barred = ids == qids[i]
+                    least = best[i][-1][0] if len(best[i]) == k else None
+                    found, score, _ = read_lists(lists, q, k, least, barred if barred.any() else None)
+                    if len(found):
+                        merged = best[i] + [(int(s), int(v)) for s, v in zip(score.tolist(), ids[found].tolist(), strict=True)]
+                        best[i] = sorted(merged, key=lambda r: (-r[0], r[1]))[:k]
+        if group is not None:
+            yield answers()
+
+    found = dealt.mapInArrow(search, "query_id long, query long, vec_id long, score long, beyond binary")
+    up, down = F.when(F.col("score") > 0, F.col("beyond")), F.when(F.col("score") < 0, F.col("beyond"))
+    w = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), F.desc_nulls_last(up), F.desc_nulls_last(down), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

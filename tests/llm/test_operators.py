@@ -62,9 +62,10 @@ def plain_top_k(rows, k, scale, every):
     return sorted(out)
 
 
-@pytest.mark.parametrize("big", [1, 1 << 20, 1 << 34])
+@pytest.mark.parametrize("big", [1, 1 << 20, 1 << 27])
 def test_top_k_is_exact(spark, monkeypatch, big):
     monkeypatch.setattr(nra, "CANDIDATES", 64)
+    monkeypatch.setattr(nra, "RUN", 2)
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.integers(-6, 7, 8) / 4 * big]) for i in range(300)]
     rows += [(300, None), (301, [1.0, None] + [0.0] * 6), (302, [float("nan")] * 8), (303, [float("inf")] * 8), (None, [1.0] * 8), rows[40], rows[7], (304, [2.0 * big])]
@@ -79,14 +80,49 @@ def test_top_k_of_few_or_no_rows(spark):
     assert nra.top_k(df.limit(0)).collect() == []
 
 
-def test_search_block_against_all_scores():
+def test_huge_components_take_part(spark):
+    rows = [(0, [3e10, 1.0]), (1, [3e10, 0.0]), (2, [1e300, 0.0]), (3, [-1e300, 2.0]), (4, [1.7e308, 0.0]), (5, [0.5, 0.5]), (6, None)]
+    out = nra.top_k(frame(spark, rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [(r.query_id, r.vec_id) for r in out] == [(0, 4), (0, 2), (0, 1), (0, 5), (0, 3)]
+    assert [r.score for r in out] == [nra.LONG, nra.LONG, nra.LONG, 64 * int(3e10) * 32 + 64 * 32, -nra.LONG - 1]
+    some = [-(10**40), -(1 << 64), -1, 0, 5, 1 << 63, 10**40]
+    assert sorted(some) == sorted(some, key=nra.order_key)
+
+
+def plain_scores(m, q):
+    return sorted((-int(s), i) for i, s in enumerate((m @ q).tolist()))
+
+
+@pytest.mark.parametrize("kind", [np.float64, object])
+def test_lists_against_all_scores(kind):
     rng = np.random.default_rng(3)
-    x, q = rng.integers(-20, 20, (900, 16)), rng.integers(-20, 20, (30, 16))
-    q[3] = 0
-    qi, xi, score = nra.search_block(x, q, 5)
-    for i in range(30):
-        mine = sorted(score[qi == i])[::-1][:5]
-        assert mine == sorted(q[i] @ x.T)[::-1][:5]
+    m, qs = rng.integers(-20, 20, (300, 16)).astype(float), rng.integers(-20, 20, (12, 16)).astype(float)
+    qs[3] = 0
+    lists = nra.Lists.of(np.arange(300), m.astype(int).astype(object) if kind is object else m)
+    for q in qs:
+        want = plain_scores(m, q)
+        for least in (None, -want[4][0], -want[40][0]):
+            found, score, _ = nra.read_lists(lists, q, 5, least)
+            got = sorted(zip((-score).tolist(), found.tolist(), strict=True))
+            assert got[:5] == want[:5]
+
+
+def test_reading_stops_early_on_skewed_data():
+    """Rows of falling norm: later blocks are left at their heads, and others before their ends."""
+    rng = np.random.default_rng(4)
+    m = np.floor(64 * rng.normal(size=(2000, 8)) * (1 / np.arange(1, 2001))[:, None] * 100)
+    blocks = [nra.Lists.of(np.arange(low, low + 200), m[low : low + 200]) for low in range(0, 2000, 200)]
+    every, read, unread = 2000 * 8, [], 0
+    for q in np.floor(64 * rng.normal(size=(10, 8))):
+        best, entries = [], 0
+        for b in blocks:
+            found, score, n = nra.read_lists(b, q, 5, -best[-1][0] if len(best) == 5 else None)
+            best = sorted(best + list(zip((-score).tolist(), b.ids[found].tolist(), strict=True)))[:5]
+            entries += n
+            unread += n <= 8
+        read.append(entries)
+        assert best == plain_scores(m, q)[:5]
+    assert max(read) < every / 2 and unread >= 50
 
 
 # chat tree
