@@ -28,7 +28,7 @@ from .common import shuffle_partitions, stage_table
 #: Rows in a block of candidates and of queries, and blocks of candidates that a task reads in turn.
 CANDIDATES, QUERIES, RUN = 4096, 128, 8
 #: Shares of the lists read before bounds are compared again.
-DEPTHS = (0.5, 0.7, 0.85, 0.95)
+DEPTHS = (0.5, 0.75)
 LONG = (1 << 63) - 1
 
 
@@ -118,21 +118,19 @@ def read_lists(block: Lists, q: np.ndarray, k: int, least, barred: np.ndarray |
     turn = np.array(q[used] < 0, bool)
     rows[turn], parts[turn] = rows[turn, ::-1], parts[turn, ::-1]  # each list from its better end
     far = parts[:, -1] if n else parts[:, :0].sum(1)
-    score = np.zeros(n, kind)
+    lower = least is None  # once k answers are known, their score is a better bound than this block's
     low = np.full(n, far.sum() if len(used) else 0, kind)
     open_rows = np.ones(n, bool) if barred is None else ~barred
     if least is not None and len(used) and parts[:, 0].sum() < least:  # not even the heads of the lists reach it
         return np.zeros(0, np.int64), np.zeros(0, kind), len(used)
     at = 0
     for depth in DEPTHS:
-        to = max(at, int(depth * n))
-        score = _add(score, rows[:, at:to], parts[:, at:to])
-        low = _add(low, rows[:, at:to], parts[:, at:to] - far[:, None])
-        at = to
-        front = parts[:, at] if at < n and len(used) else far
-        left = np.full(n, front.sum() if len(used) else 0, kind)
-        high = score + _add(left, rows[:, :at], np.broadcast_to(-front[:, None], (len(used), at)))
-        known = low[open_rows]
+        before, at = at, max(at, int(depth * n))
+        if lower:
+            low = _add(low, rows[:, before:at], parts[:, before:at] - far[:, None])
+        front = parts[:, at] if at < n else far  # an unread entry adds this at most, a read one what it has
+        high = _add(np.full(n, front.sum() if len(used) else 0, kind), rows[:, :at], parts[:, :at] - front[:, None])
+        known = low[open_rows] if lower else low[:0]
         if len(known) > k:
             kth = np.sort(known)[-k] if exact else np.partition(known, len(known) - k)[len(known) - k]
             least = kth if least is None else max(least, kth)
@@ -140,13 +138,12 @@ def read_lists(block: Lists, q: np.ndarray, k: int, least, barred: np.ndarray |
             open_rows &= np.asarray(high >= least, bool)
         if open_rows.sum() <= k:
             break
-    # read on for the rows that are left
-    rest = open_rows[rows[:, at:]]
-    score = _add(score, rows[:, at:][rest], parts[:, at:][rest])
+    left = open_rows[rows]  # the rows that are left are read to the lists' ends
+    score = _add(np.zeros(n, kind), rows[left], parts[left])
     found = np.flatnonzero(open_rows)
     if least is not None:
         found = found[np.asarray(score[found] >= least, bool)]
-    return found, score[found], len(used) * at + int(rest.sum())
+    return found, score[found], len(used) * at + int(left[:, at:].sum())
 
 
 def order_key(x: int) -> bytes:
