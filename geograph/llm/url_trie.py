@@ -1,6 +1,7 @@
 """URL filters: one trie over reversed host labels and then path segments,
 broadcast to every task, with longest-match precedence between allow and block
-entries."""
+entries. Rules too many for a broadcast are joined to the trie's nodes that each url
+passes, with the same results."""
 
 from __future__ import annotations
 
@@ -8,6 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Most rules that are broadcast as one trie, about 100 bytes each.
@@ -74,18 +76,60 @@ def match(trie: dict, host: str, path: str) -> tuple[str, str] | None:
     return None
 
 
+def _places(host: str, path: str) -> list[tuple[str, int, str, str]]:
+    """The trie's nodes that a url passes: host suffix, its labels, full segments of the
+    path, and the segment after them."""
+    labels, segments = host.split("."), path.split("/")
+    places = []
+    for i in range(len(labels)):
+        suffix, at = ".".join(labels[i:]), 0
+        for segment in segments:
+            places.append((suffix, len(labels) - i, path[:at], segment))
+            at += len(segment) + 1
+    return places
+
+
+def match_by_join(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """url, rule, verdict of each distinct url (column url, not null) that a rule fits.
+
+    Nodes meet rules by equal keys alone: first the node (host suffix, full segments),
+    then, for nodes that have rules, the beginnings of the next segment.
+    """
+    ends = rules.select(F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
+    tail = F.substring_index("path", "/", -1)
+    ends = ends.select("host", F.substr("path", F.lit(1), F.length("path") - F.length(tail)).alias("above"), tail.alias("tail"), "path", "verdict")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for low in range(0, b.num_rows, 256):
+                rows = [(u, *p) for u in b.column(0)[low : low + 256].to_pylist() for p in _places(*split_url(u))]
+                kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["url", "host", "labels", "above", "segment"])
+
+    passed = urls.select("url").distinct().mapInArrow(walk, "url string, host string, labels int, above string, segment string")
+    held = passed.join(ends.select("host", "above").distinct(), ["host", "above"], "left_semi")
+    beginnings = F.transform(F.sequence(F.lit(0), F.length("segment")), lambda n: F.substr("segment", F.lit(1), n))
+    fits = held.select("url", "host", "labels", "above", F.explode(beginnings).alias("tail")).join(ends, ["host", "above", "tail"])
+    best = F.max_by(F.struct(F.concat("host", "path").alias("rule"), "verdict"), F.struct("labels", F.length("path")))
+    return fits.groupBy("url").agg(best.alias("b")).select("url", "b.rule", "b.verdict")
+
+
 def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """id, host, path, rule, verdict of each url.
 
-    rules: host, path, verdict ('allow' or 'block'), at most MAX_BROADCAST_RULES
-    rows; more raise ValueError, since the trie is sent to every task. A null url,
-    or one without '://', has an empty host and path, no rule, and the default
-    verdict; so has a url that no rule fits. Repeated rows are judged alike; other
-    columns of pages are not read.
+    rules: host, path, verdict ('allow' or 'block'). Up to MAX_BROADCAST_RULES rows
+    are sent to every task as one trie; more are joined, with the same results. Of
+    equal rules with different verdicts, block holds. A null url, or one without
+    '://', has an empty host and path, no rule (unless one has an empty host), and
+    the default verdict; so has a url that no rule fits. Urls of any length are
+    read whole. Repeated rows are judged alike; other columns of pages are not read.
     """
     listed = rules.select("host", "path", "verdict").limit(MAX_BROADCAST_RULES + 1).collect()
     if len(listed) > MAX_BROADCAST_RULES:
-        raise ValueError(f"over {MAX_BROADCAST_RULES} rules")
+        found = match_by_join(pages.select(F.coalesce(F.col(url_col), F.lit("")).alias("url")), rules)
+        keyed = filter_urls(pages.select(F.struct(F.col(id_col).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url")).alias("key"), F.col(url_col).alias("url")), rules.limit(0), "key", "url", default)
+        both = keyed.select("key.*", "host", "path").join(found, "url", "left")
+        return both.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
     trie = pages.sparkSession.sparkContext.broadcast(build_trie([(r.host or "", r.path or "", r.verdict) for r in listed]))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

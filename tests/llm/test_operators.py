@@ -388,11 +388,14 @@ def plain_match(rules, host, path):
     return max(fits)[2:] if fits else None
 
 
-def test_trie_against_all_rules(spark):
+@pytest.mark.parametrize("most", [1_000_000, 3])
+def test_trie_against_all_rules(spark, monkeypatch, most):
+    """Both ways, the broadcast trie and the join beyond its bound."""
+    monkeypatch.setattr(url_trie, "MAX_BROADCAST_RULES", most)
     rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("org", "/fr", "allow"), ("a.org", "", "block"), ("b.a.org", "/x/y", "allow"), ("b.a.org", "/x/yz/", "block"), ("b.a.org", "/x/", "allow")]
     hosts = ["net", "x.net", "Example.NET", "www.example.net", "notexample.net", "org", "a.org", "b.a.org", "c.b.a.org", "", "com", "xa.org", ".net"]
     paths = ["", "/", "/en", "/en/", "/en/1", "/fr", "/french", "/x/y", "/x/yz", "/x/yz/1", "/x/", "//", "/x/yzz/"]
-    urls = [f"http://{h}{p}{end}" for h in hosts for p in paths for end in ("", "?a=/en/", "#/fr")] + ["no scheme", None, "", "://", "a://b://c/d", "http://É.net/", "http://host:80/x"]
+    urls = [f"http://{h}{p}{end}" for h in hosts for p in paths for end in ("", "?a=/en/", "#/fr")] + ["no scheme", None, "", "://", "a://b://c/d", "http://É.net/", "http://host:80/x", "http://b.a.org/x/" + "y" * 5000, "http://" + "b." * 300 + "a.org/" + "z/" * 50]
     df = frame(spark, [(i, u, "x") for i, u in enumerate(urls)] + [(0, urls[0], "x")], "page_id long, url string, host string")
     out = url_trie.filter_urls(df, frame(spark, rules, "host string, path string, verdict string")).collect()
     assert len(out) == len(urls) + 1
