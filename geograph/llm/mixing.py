@@ -1,12 +1,12 @@
 """Mixing sources to target weights.
 
 Each source is one stream of words, cut into blocks of fixed length. The mix is a
-row of slots, dealt into output shards. How many slots of a shard each source gets
-is drawn at random from what the sources have left (multinomial counts under the
-condition that each source's total is its quota), by halving the range of shards,
-so that any shard's counts and first indices follow from the seed alone. A slot's
-index goes through the source's pseudorandom permutation to a block, and blocks
-join their documents by index.
+row of slots, dealt into output shards. Each shard draws a multinomial count for
+every source, on its own, with the sources' quotas as weights. Over all shards a
+source then has drawn a little more or less than its quota; draws beyond a quota
+are handed, in order, to the sources that fell short, so that every source meets
+its quota and none is repeated too often. A draw's index goes through the source's
+pseudorandom permutation to a block, and blocks join their documents by index.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from .texthash import U, mix, text_bytes, word_bounds
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Words in a block, slots in an output shard, and times a source may be repeated.
 BLOCK_WORDS, SHARD_SLOTS, MOST_TIMES = 128, 1024, 3
+#: Sources up to which their table, about 50 bytes a row, is broadcast to joins.
+FEW_SOURCES = 100_000
 
 
 def targets(sizes: list[int], weights: list[int], most: int = MOST_TIMES) -> list[Fraction]:
@@ -64,35 +66,22 @@ def permute(at: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def _halve(left: list[int], take: int, rng: np.random.Generator) -> list[int]:
-    """How many of `take` draws without replacement fall to each source."""
-    out, pool = [], sum(left)
-    for n in left:
-        low, high = max(0, take - (pool - n)), min(n, take)
-        if low == high:
-            got = low
-        elif pool < 900_000_000:
-            got = int(rng.hypergeometric(n, pool - n, take))
-        else:  # beyond the generator's range the normal law is as good
-            p = n / pool
-            got = min(high, max(low, round(take * p + rng.standard_normal() * (take * p * (1 - p) * (pool - take) / (pool - 1)) ** 0.5)))
-        out.append(got)
-        take, pool = take - got, pool - n
-    return out
+def shard_counts(quotas: np.ndarray, shard: int, slots: int, seed: int) -> np.ndarray:
+    """Multinomial counts of a shard: how many of its slots each source draws."""
+    rng = np.random.Generator(np.random.Philox(key=[seed, shard]))
+    return rng.multinomial(slots, quotas / max(1, quotas.sum()))
 
 
-def shard_counts(quotas: list[int], shard: int, shards: int, slots: int, seed: int) -> tuple[list[int], list[int]]:
-    """First index and count of each source in a shard."""
-    low, high, first, left = 0, shards, [0] * len(quotas), list(quotas)
-    while high - low > 1:
-        mid = (low + high) // 2
-        rng = np.random.Generator(np.random.Philox(key=[seed, (low << 32) + high]))
-        some = _halve(left, min(sum(left), (mid - low) * slots), rng)
-        if shard < mid:
-            high, left = mid, some
-        else:
-            low, first, left = mid, [a + b for a, b in zip(first, some, strict=True)], [a - b for a, b in zip(left, some, strict=True)]
-    return first, left
+def hand_on(nth: np.ndarray, at: np.ndarray, quotas: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Source and index of each draw (source, index among its draws) once the draws
+    beyond a source's quota went to the sources that drew less than theirs."""
+    excess, lack = np.maximum(totals - quotas, 0), np.maximum(quotas - totals, 0)
+    over = at >= quotas[nth]
+    place = (np.cumsum(excess) - excess)[nth[over]] + at[over] - quotas[nth[over]]
+    to = np.searchsorted(np.cumsum(lack), place, "right")
+    nth, at = nth.copy(), at.copy()
+    nth[over], at[over] = to, totals[to] + place - (np.cumsum(lack) - lack)[to]
+    return nth, at
 
 
 def plan(docs: DataFrame, source_col: str = "source", block_words: int = BLOCK_WORDS, seed: int = 29) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -111,25 +100,39 @@ def plan(docs: DataFrame, source_col: str = "source", block_words: int = BLOCK_W
     quotas = [min(MOST_TIMES * b, round(t * b / n)) if n else 0 for t, b, n in zip(share, blocks, sizes, strict=True)]
     table = T.StructType([T.StructField("source", T.StringType()), T.StructField("nth", T.IntegerType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("n_blocks", T.LongType())])
     sources = spark.createDataFrame([(r[0], i, sizes[i], float(share[i]), blocks[i]) for i, r in enumerate(found)], table)
-    shards = max(1, -(-sum(quotas) // SHARD_SLOTS))
+    wanted, n_blocks = np.array(quotas, np.int64), np.array(blocks, np.int64)
+    all_slots = int(wanted.sum())
+    shards = max(1, -(-all_slots // SHARD_SLOTS))
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for shard in b.column(0).to_pylist():
-                first, count = shard_counts(quotas, shard, shards, SHARD_SLOTS, seed)
-                nth = np.repeat(np.arange(len(count)), count)
-                at = np.concatenate([np.zeros(0, np.int64), *[np.arange(f, f + c) for f, c in zip(first, count, strict=True)]])
-                n = np.array(blocks, np.int64)[nth] if len(nth) else at
-                times = at // np.maximum(n, 1)
-                key = mix((nth.astype(np.uint64) << U(8)) + times.astype(np.uint64) + mix(np.full(len(at), seed, np.uint64)))
-                block = permute(at % np.maximum(n, 1), n, key)
-                slot = np.random.Generator(np.random.Philox(key=[seed, shard])).permutation(len(at))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard)), pa.array(slot.astype(np.int64)), pa.array(nth.astype(np.int32)), pa.array(times.astype(np.int32)), pa.array(block)], names=["shard", "slot", "nth", "times", "block"])
-
-    slots = spark.range(shards, numPartitions=min(shards, shuffle_partitions(spark))).mapInArrow(draw, "shard long, slot long, nth int, times int, block long")
-    # one row a source, which the driver holds anyway; left to itself, the join would broadcast the documents' side
-    named = docs.withColumnRenamed(source_col, "_source")
-    numbered = named.join(F.broadcast(sources.select("source", "nth")), F.col("_source").eqNullSafe(F.col("source"))).select("row", "order", "nth", "size")
+                counts = shard_counts(wanted, shard, min(SHARD_SLOTS, all_slots - shard * SHARD_SLOTS), seed) if all_slots else wanted
+                some = np.flatnonzero(counts)
+                n = counts[some]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), shard)), pa.array(some.astype(np.int32)), pa.array(n), pa.array(np.cumsum(n) - n)], names=["shard", "nth", "n", "at"])
+
+    drawn = stage_table(spark.range(shards, numPartitions=min(shards, shuffle_partitions(spark))).mapInArrow(draw, "shard long, nth int, n long, at long"), "drawn")
+    totals = np.zeros(len(found), np.int64)
+    for r in drawn.groupBy("nth").agg(F.sum("n").alias("n")).collect():  # one row a source
+        totals[r.nth] = r.n
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shard, nth, n, at, start = (b.column(c).to_numpy() for c in ("shard", "nth", "n", "at", "start"))
+            within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            source, index = hand_on(np.repeat(nth, n).astype(np.int64), np.repeat(start, n) + within, wanted, totals)
+            size = n_blocks[source]
+            times = index // np.maximum(size, 1)
+            salt = mix(np.full(len(source), seed, np.uint64))
+            block = permute(index % np.maximum(size, 1), size, mix((source.astype(np.uint64) << U(8)) + times.astype(np.uint64) + salt))
+            of = np.repeat(shard, n)
+            slot = permute(np.repeat(at, n) + within, np.minimum(SHARD_SLOTS, all_slots - of * SHARD_SLOTS), mix(of.astype(np.uint64) + salt * U(3)))
+            yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(slot), pa.array(source.astype(np.int32)), pa.array(times.astype(np.int32)), pa.array(block)], names=["shard", "slot", "nth", "times", "block"])
+
+    firsts = running_total(drawn, "n", ["shard"], ["nth"], "draws").select("shard", "nth", "n", "at", "start")
+    slots = firsts.mapInArrow(place, "shard long, slot long, nth int, times int, block long")
+    numbered = _with_source(docs.withColumnRenamed(source_col, "_source"), sources.select("source", "nth")).select("row", "order", "nth", "size")
     placed = running_total(numbered.where("size > 0"), "size", ["order", "row"], ["nth"], "placed")
     first, last = F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}")
     cut = placed.withColumn("block", F.explode(F.sequence(first, last)))
@@ -137,6 +140,13 @@ def plan(docs: DataFrame, source_col: str = "source", block_words: int = BLOCK_W
     return sources, slots, cut.select("row", "nth", "block", (begin - F.col("start")).alias("word"), (end - begin).alias("words"))
 
 
+def _with_source(docs: DataFrame, sources: DataFrame) -> DataFrame:
+    """docs with the columns of their source (_source). The table of sources is sent to
+    every task while it is small; the documents' side never is."""
+    few = sources.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
+    return docs.join(F.broadcast(sources) if few else sources.hint("merge"), F.col("_source").eqNullSafe(F.col("source")))
+
+
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, keep: list[str]) -> DataFrame:
     """docs with row, size and order, written out so that row numbers stay."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
@@ -148,7 +158,7 @@ def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Sizes count words; a null or empty text has 0 and is never taken. The target is
     the document's source's; a null source is a source, the last. Sources hold one
-    row each on the driver. Repeated rows are documents of their own. No block is
+    row each on the driver, which knows their targets. Repeated rows are documents of their own. No block is
     drawn over MOST_TIMES times. Reruns agree, since all draws follow from the seed
     and documents go by id, equal ids by their place in the table.
     """
@@ -156,14 +166,16 @@ def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sources, slots, pieces = plan(rows, "_source", block_words, seed)
     drawn = slots.groupBy("nth", "block").agg(F.count("*").alias("n"))
     taken = pieces.join(drawn.hint("merge"), ["nth", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("n")).alias("taken"))
-    own = rows.join(F.broadcast(sources), F.col("_source").eqNullSafe(F.col("source"))).join(taken.hint("merge"), "row", "left")
+    own = _with_source(rows, sources).join(taken.hint("merge"), "row", "left")
     return own.select(F.col("order").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mix_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, seed: int = 29) -> DataFrame:
     """The mix itself, with the columns of docs: a document for each time it is taken;
     where only some of its blocks are, its text is cut to each run of words taken.
-    n_chars, if there is one, follows the text."""
+    n_chars, if there is one, follows the text. Documents that are not taken, such as
+    null, empty and blank ones, are not in it. Repeated rows are documents of their
+    own; columns of any name go through; an empty table gives an empty mix."""
     columns = docs.columns
     rows = sized(docs, id_col, text_col, source_col, columns)
     _, slots, pieces = plan(rows, "_source", block_words, seed)

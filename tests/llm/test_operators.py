@@ -211,17 +211,55 @@ def test_permutations_and_draws():
     for n in (1, 2, 3, 100, 1000):
         at = np.arange(n)
         assert sorted(mixing.permute(at, np.full(n, n), np.full(n, 5, np.uint64))) == list(range(n))
-    quotas = [5000, 0, 17, 2983]
-    parts = [mixing.shard_counts(quotas, s, 8, 1024, 3) for s in range(8)]
-    assert [sum(c[i] for _, c in parts) for i in range(4)] == quotas
-    for (first, count), (nxt, _) in zip(parts, parts[1:], strict=False):
-        assert [a + b for a, b in zip(first, count, strict=True)] == nxt
-    big = [3 * 10**9, 10**9]
-    low, high = mixing.shard_counts(big, 0, 2, 2 * 10**9, 1)[1], mixing.shard_counts(big, 1, 2, 2 * 10**9, 1)[1]
-    assert [a + b for a, b in zip(low, high, strict=True)] == big
-
-
-def test_mix(spark):
+    quotas = np.array([5000, 0, 17, 2983])
+    counts = np.array([mixing.shard_counts(quotas, s, 1000, 3) for s in range(8)])
+    assert (counts.sum(1) == 1000).all() and not counts[:, 1].any()
+    totals = counts.sum(0)
+    nth = np.repeat(np.arange(4), totals)
+    source, at = mixing.hand_on(nth, np.concatenate([np.arange(n) for n in totals]), quotas, totals)
+    for i, n in enumerate(quotas):  # every index of each quota, once
+        assert sorted(at[source == i]) == list(range(n))
+    assert (source != nth).sum() == np.maximum(totals - quotas, 0).sum() > 0
+
+
+def test_slots_against_a_plain_replay(spark, monkeypatch):
+    """The mix shard by shard: multinomial counts, indices in order, what is beyond a quota to who lacks, permuted blocks."""
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 50)
+    sizes = {"a": 4000, "b": 300, None: 90, "c": 2500}
+    rows = spark.createDataFrame([(i, n, i, s) for i, (s, n) in enumerate(sizes.items())], "row long, size long, order long, source string")
+    _, slots, _ = mixing.plan(rows, "source", block_words=10, seed=5)
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    n = [sizes[s] for s in names]
+    share = mixing.targets(n, [1, 2, 3, 1])
+    quota = [min(3 * (x // 10), round(t * (x // 10) / x)) for t, x in zip(share, n, strict=True)]
+    draws, left = [], sum(quota)
+    for shard in range(-(-sum(quota) // 50)):
+        counts = np.random.Generator(np.random.Philox(key=[5, shard])).multinomial(min(50, left), np.array(quota) / sum(quota))
+        left -= counts.sum()
+        draws += [(shard, i) for i, c in enumerate(counts) for _ in range(c)]
+    met, beyond, want = [0] * 4, [[] for _ in quota], []
+    for shard, i in draws:
+        if met[i] < quota[i]:
+            want.append((shard, i, met[i]))
+            met[i] += 1
+        else:
+            beyond[i].append(shard)
+    lacking = [(i, m) for i, q in enumerate(quota) for m in range(met[i], q)]
+    want += [(shard, *to) for shard, to in zip([s for x in beyond for s in x], lacking, strict=True)]
+    got = slots.collect()
+    assert len({(r.shard, r.slot) for r in got}) == len(got) and {r.slot for r in got if r.shard == 0} == set(range(50))
+    salt = mixing.mix(np.full(1, 5, np.uint64))
+    plain = []
+    for shard, i, at in want:
+        size = n[i] // 10
+        key = mixing.mix(np.array([(i << 8) + at // size], np.uint64) + salt)
+        plain.append((shard, i, at // size, int(mixing.permute(np.array([at % size]), np.array([size]), key)[0])))
+    assert sorted((r.shard, r.nth, r.times, r.block) for r in got) == sorted(plain)
+
+
+@pytest.mark.parametrize("few", [100_000, 1])
+def test_mix(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "FEW_SOURCES", few)
     rng = np.random.default_rng(4)
     rows = [(i, " ".join(f"d{i}w{j}" for j in range(rng.integers(0, 400))), ["a", "b", None, "c"][min(3, i % 7)], 0) for i in range(120)] + [(500, None, "b", 0), (501, "", None, 0), (700, "x y", "a", 0), (700, "x y", "a", 0)]
     df = frame(spark, rows, "doc_id long, text string, source string, n_chars long")
