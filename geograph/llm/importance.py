@@ -1,9 +1,12 @@
 """Quality classifier by importance resampling.
 
 Two generative models over hashed n-grams, one of the target text and one of all
-raw text, give each document an importance weight, the ratio of its likelihoods.
-Documents are then sampled without replacement by Gumbel top-k: the k largest of
-log weight + Gumbel noise.
+raw text, give each document an importance weight, the ratio of its likelihoods. The
+log ratio is taken per n-gram and counts as that of TEMPER independent ones, however
+long the text: neighbouring n-grams repeat each other's evidence, and a weight that
+grew with the length would leave the noise without effect. Documents are then
+sampled without replacement by Gumbel top-k: the k largest of log weight + Gumbel
+noise.
 """
 
 from __future__ import annotations
@@ -21,8 +24,8 @@ from .texthash import SPACE, U, mix, span_hashes, text_bytes
 
 #: Hash buckets of each model.
 BUCKETS = 1 << 14
-#: A document's evidence counts as that of so many n-grams at most, so that noise still matters for long texts.
-EVIDENCE = 1024
+#: A document's evidence counts as that of so many independent n-grams.
+TEMPER = 16
 #: Documents counted at a time.
 ROWS_AT_ONCE = 256
 #: Documents' worth of evidence for "as likely in either" that each bucket starts with.
@@ -44,7 +47,8 @@ KIND[SPACE] = 0
 def features(text: str | None) -> np.ndarray:
     """Buckets of a text's tokens and token pairs. A token is a run of letters and
     digits or a run of other signs. Pairs of equal tokens, next to each other or
-    with one between, share a bucket whatever the token."""
+    with one between, share a bucket whatever the token, so that the models also
+    learn how often tokens repeat. Texts are read whole."""
     data = text_bytes(text)
     kind = np.zeros(len(data) + 2, np.int8)
     kind[1:-1] = KIND[data]
@@ -93,8 +97,8 @@ def fit_log_ratio(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 
 
 def log_weights(docs: DataFrame, log_ratio: np.ndarray, seed: int, id_col: str, text_col: str) -> DataFrame:
-    """docs with n_features, log_weight (mean log ratio times at most EVIDENCE
-    features) and sample_key (log_weight plus Gumbel noise, to six digits)."""
+    """docs with n_features, log_weight (TEMPER times the mean log ratio of the features)
+    and sample_key (log_weight plus Gumbel noise, to six digits)."""
     table = docs.sparkSession.sparkContext.broadcast(log_ratio.astype(np.float64))
     schema = T.StructType([*docs.schema, T.StructField("n_features", T.LongType()), T.StructField("log_weight", T.DoubleType())])
 
@@ -104,7 +108,7 @@ def log_weights(docs: DataFrame, log_ratio: np.ndarray, seed: int, id_col: str,
             for i, text in enumerate(b.column(text_col)):
                 f = features(text.as_py())
                 if len(f):
-                    n[i], w[i] = len(f), round(float(table.value[f].mean()) * min(len(f), EVIDENCE), 9)
+                    n[i], w[i] = len(f), round(float(table.value[f].mean()) * TEMPER, 9)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n), pa.array(w)], names=schema.names)
 
     noise = -F.log(-F.log(unit_noise(F.col(id_col), F.xxhash64(text_col), F.lit(seed))))
@@ -153,22 +157,22 @@ def largest(df: DataFrame, key: str, k: int) -> float | None:
     return low / 1e6
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, share: float | None = None) -> tuple[np.ndarray, DataFrame, float | None]:
-    """(log_ratio, scored, edge): the models' ratio, the scores of all docs, staged, and
-    the k-th largest sample key (None where k is 0)."""
-    chosen = labels.where(F.col("good").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("good").alias("good")).orderBy(F.xxhash64(id_col), id_col).limit(MAX_LABELLED)
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, seed: int, share: float | None, keep: list[str]) -> tuple[DataFrame, float | None]:
+    """(scored, edge): the columns of keep with the scores of all docs, staged, and the
+    k-th largest sample key (None where k is 0)."""
+    chosen = labels.where(F.col("good").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias(id_col)).agg(F.max("good").alias("good")).orderBy(F.xxhash64(id_col), id_col).limit(MAX_LABELLED)
     chosen = stage_table(chosen, "labels")
     half = F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(2))
-    texts = docs.select(id_col, text_col)
-    log_ratio = fit_log_ratio(texts, chosen.where(half == 0), id_col, text_col)
-    scored = stage_table(log_weights(texts, log_ratio, seed, id_col, text_col).drop(text_col), "weights")
+    log_ratio = fit_log_ratio(docs.select(id_col, text_col), chosen.where(half == 0), id_col, text_col)
+    scored = log_weights(docs.select(*dict.fromkeys([*keep, id_col, text_col])), log_ratio, seed, id_col, text_col)
+    scored = stage_table(scored.select(*dict.fromkeys([*keep, id_col]), "n_features", "log_weight", "sample_key"), "weights")
     usable = scored.where("n_features > 0")
     if share is None:
         marked = usable.select(id_col, "log_weight").join(F.broadcast(chosen.where(half == 1)), id_col, "left")  # at most MAX_LABELLED rows
         k = usable.where(F.col("log_weight") >= threshold(marked)).count()
     else:
         k = round(share * scored.count())
-    return log_ratio, scored, largest(usable, "sample_key", k)
+    return scored, largest(usable, "sample_key", k)
 
 
 def _kept(edge: float | None):
@@ -178,7 +182,7 @@ def _kept(edge: float | None):
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, share: float | None = None) -> DataFrame:
     """id, n_features, log_weight, sample_key and kept of each document.
 
-    labels: (id, good boolean), of which at most MAX_LABELLED rows, those with the
+    labels: (doc_id, good boolean), of which at most MAX_LABELLED rows, those with the
     smallest hash of the id, are used; rows with a null good are left out. One half
     of them fits the target model, the other the threshold. k is `share` of all
     documents, or, where share is None, the number of documents whose log weight
@@ -189,14 +193,14 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     document labelled twice, good holds if any row says so. Without good or bad
     labels the threshold is 0. Other columns are not read.
     """
-    _, scored, edge = fit(docs, labels, id_col, text_col, seed, share)
+    scored, edge = fit(docs, labels, id_col, text_col, seed, share, [id_col])
     return scored.withColumn("kept", _kept(edge))
 
 
 def keep_best(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, share: float | None = None) -> DataFrame:
-    """The documents that resample() keeps, with their columns. They are scored once
-    more on the way, which moves no text."""
-    log_ratio, _, edge = fit(docs, labels, id_col, text_col, seed, share)
+    """The documents that resample() keeps, with their columns, which go through the
+    scoring under other names, so that none clashes. Null and empty texts go;
+    repeated rows stay or go alike; an empty table stays empty."""
     plain = docs.select(*[F.col(c).alias(f"d_{c}") for c in docs.columns])
-    scored = log_weights(plain, log_ratio, seed, f"d_{id_col}", f"d_{text_col}")
+    scored, edge = fit(plain, labels.select(F.col(id_col).alias("doc_id"), "good"), f"d_{id_col}", f"d_{text_col}", seed, share, plain.columns)
     return scored.where(_kept(edge)).select(*[F.col(f"d_{c}").alias(c) for c in docs.columns])

@@ -35,6 +35,54 @@ def test_resample_keeps_what_is_like_the_target(spark):
     assert sum(r.kept for r in importance.resample(df, labels, share=0.25).collect()) == 21
 
 
+def test_resample_against_a_plain_version(spark):
+    """Weights, keys, threshold and k computed again in plain Python; the noise decides near the edge."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").selectExpr("doc_id", "quality = 1 AS good")
+    F, seed = common.F, 17
+    rows = docs.select("doc_id", "text", (-F.log(-F.log(common.unit_noise(F.col("doc_id"), F.xxhash64("text"), F.lit(seed))))).alias("noise")).collect()
+    half = {r.doc_id: (r.good, r.half) for r in labels.select("doc_id", "good", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(2)).alias("half")).collect()}
+    raw, target, found = [0.0] * importance.BUCKETS, [0.0] * importance.BUCKETS, {}
+    for r in rows:
+        found[r.doc_id] = f = importance.features(r.text).tolist()
+        for x in f:
+            raw[x] += 1 / len(f)
+            target[x] += (1 / len(f)) * (half.get(r.doc_id) == (True, 0))
+    share, prior = sum(target) / sum(raw), importance.PRIOR
+    ratio = [np.log(t + prior) - np.log(r * share + prior) for t, r in zip(target, raw, strict=True)]
+    weight = {i: importance.TEMPER * sum(ratio[x] for x in f) / len(f) for i, f in found.items() if f}
+    held = [(weight[i], good) for i, (good, h) in half.items() if h == 1 and i in weight]
+    n_good, n_bad = sum(g for _, g in held), sum(not g for _, g in held)
+
+    def error(edge):
+        return importance.GOOD_LOSS * sum(g and w < edge for w, g in held) / n_good + sum(not g and w >= edge for w, g in held) / n_bad
+
+    out = {r.doc_id: r for r in importance.resample(docs, labels).collect()}
+    assert all(abs(out[i].log_weight - w) < 1e-4 for i, w in weight.items())
+    noise = {r.doc_id: r.noise for r in rows}
+    assert all(abs(out[i].sample_key - weight[i] - noise[i]) < 1e-4 for i in weight)
+    kept = {i for i, r in out.items() if r.kept}
+    keys = sorted((r.sample_key for i, r in out.items() if i in weight), reverse=True)
+    assert kept == {i for i in weight if out[i].sample_key >= keys[len(kept) - 1]}
+    edge = sorted(weight.values(), reverse=True)[len(kept) - 1]  # k documents reach the threshold, which is as good as any other
+    assert error(edge) <= min(error(e / 20) for e in range(-400, 100)) + 1e-9
+
+
+def test_noise_decides_near_the_edge(spark):
+    """Of alike documents the noise picks some; of unlike ones the weight does; the target's share rises."""
+    rng = np.random.default_rng(6)
+    words = np.array(["river", "stone", "light", "wind", "tree", "sand", "hill", "road"])
+    near = lambda p: " ".join(rng.choice(words, 60, p=p))
+    good, alike, junk = [0.2] * 4 + [0.05] * 4, [0.18] * 4 + [0.07] * 4, [0.01] * 4 + [0.24] * 4
+    rows = [(i, near((good, alike, junk)[i % 3])) for i in range(600)]
+    labels = frame(spark, [(i, i % 3 == 0) for i in range(600) if i % 3 != 1], "doc_id long, good boolean")
+    out = {r.doc_id: r for r in importance.resample(frame(spark, rows, "doc_id long, text string"), labels, share=0.4).collect()}
+    kept = {i for i, r in out.items() if r.kept}
+    plain = set(sorted(out, key=lambda i: -out[i].log_weight)[: len(kept)])
+    assert len(kept) == 240 and 20 < len(kept - plain) < 120
+    assert sum(i % 3 == 0 for i in kept) / 240 > 0.5 and sum(i % 3 == 2 for i in kept) / 240 < 0.15
+
+
 def test_resample_without_rows_or_labels(spark):
     none = frame(spark, [], "doc_id long, good boolean")
     empty = frame(spark, [], "doc_id long, text string")
