@@ -1,13 +1,14 @@
 """Exact top-k search by no-random-access aggregation.
 
 Vectors are packed into blocks, those of large norm first. A block holds a posting
-list (value, row) for each dimension, sorted by value. A query reads the lists of a
-block in order, each from its better end, a slice of all lists at a time. What has
-been read gives every row a lower and an upper bound of its score: unread entries
-lie between the list's reading point and its far end. Reading stops once no other
-row can reach the k-th best score known, which is carried from block to block; the
-scores of the rows that are left are resolved by reading on for them alone. Each
-task's best k meet in a window at the end.
+list (value, row) for each dimension, sorted by value. A block of queries reads the
+lists in order: those with a positive weight from the top, those with a negative one
+from the bottom, a share of the lists' useful parts at a time. What has been read
+bounds every row's score: unread entries lie between the reading point and the far
+end. A query stops once few rows can still reach the k-th best score known, which
+is carried from block to block; the scores of those rows are resolved by reading on
+for them alone. A query that the bounds do not stop reads the lists to their ends.
+Each task's best k meet in a window at the end.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from .common import shuffle_partitions, stage_table
 
 #: Rows in a block of candidates and of queries, and blocks of candidates that a task reads in turn.
 CANDIDATES, QUERIES, RUN = 4096, 128, 8
-#: Shares of the lists read before bounds are compared again.
-DEPTHS = (0.5, 0.75)
+#: Shares of the lists' useful parts (entries that raise a score) read before bounds are compared.
+SHARES = (0, 0.125, 0.5, 1)
+#: A query stops once at most so many times k rows are left.
+FEW = 4
 LONG = (1 << 63) - 1
 
 
@@ -80,9 +83,23 @@ def scaled(m: np.ndarray, scale: int) -> np.ndarray:
     return np.array([int(y) if math.isfinite(y) else int(x) * scale for x, y in zip(m.ravel().tolist(), v.ravel().tolist(), strict=True)], object).reshape(m.shape)
 
 
+def exact_kind(x: np.ndarray, q: np.ndarray) -> type:
+    """A type in which all sums of products are exact."""
+    if x.dtype == object or q.dtype == object:
+        return object
+    bound = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, x.shape[1])
+    return np.float32 if bound < 1 << 23 else np.float64 if bound < 1 << 52 else object
+
+
+def _as(a: np.ndarray, kind: type) -> np.ndarray:
+    if kind is not object:
+        return a.astype(kind)
+    return np.array([int(x) for x in a.ravel().tolist()], object).reshape(a.shape)
+
+
 @dataclass
 class Lists:
-    """Posting lists of a block: for each dimension, rows and values by falling value."""
+    """Posting lists of a block (dimension, place): rows and values by falling value."""
 
     ids: np.ndarray
     rows: np.ndarray
@@ -94,56 +111,78 @@ class Lists:
         return cls(ids, rows, np.take_along_axis(m.T, rows, axis=1))
 
 
-def _add(total: np.ndarray, rows: np.ndarray, parts: np.ndarray) -> np.ndarray:
-    """total with each part added at its row."""
-    if total.dtype == object:
-        np.add.at(total, rows.ravel(), parts.ravel())
-        return total
-    return total + np.bincount(rows.ravel(), parts.ravel(), len(total))
-
-
-def read_lists(block: Lists, q: np.ndarray, k: int, least, barred: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
-    """(rows, scores, entries read): the rows of a block that may be among a query's k best.
+def read_lists(block: Lists, q: np.ndarray, k: int, least: np.ndarray | None = None, barred: np.ndarray | None = None) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+    """(for each query: rows and exact scores of those that may be among its k best; entries read).
 
-    least: a score that an answer must reach, or None. barred: rows that are no
-    answer. Scores are exact integers; rows that tie with the k-th are all there.
+    least: a score for each query that its answers must reach. barred (row, query):
+    rows that are no answer. Rows that tie with the k-th are all there.
     """
-    n = len(block.ids)
-    exact = q.dtype == object or block.values.dtype == object or float(np.abs(q).max(initial=0)) * float(np.abs(block.values).max(initial=0)) * len(q) >= 1 << 52
-    kind = object if exact else np.float64
-    integers = lambda a: a if a.dtype == object else np.array([int(x) for x in a.ravel().tolist()], object).reshape(a.shape)
-    q, values = (integers(q), integers(block.values)) if exact else (q, block.values)
-    used = np.flatnonzero(q != 0)
-    rows, parts = block.rows[used], values[used] * q[used][:, None]
-    turn = np.array(q[used] < 0, bool)
-    rows[turn], parts[turn] = rows[turn, ::-1], parts[turn, ::-1]  # each list from its better end
-    far = parts[:, -1] if n else parts[:, :0].sum(1)
-    lower = least is None  # once k answers are known, their score is a better bound than this block's
-    low = np.full(n, far.sum() if len(used) else 0, kind)
-    open_rows = np.ones(n, bool) if barred is None else ~barred
-    if least is not None and len(used) and parts[:, 0].sum() < least:  # not even the heads of the lists reach it
-        return np.zeros(0, np.int64), np.zeros(0, kind), len(used)
-    at = 0
-    for depth in DEPTHS:
-        before, at = at, max(at, int(depth * n))
-        if lower:
-            low = _add(low, rows[:, before:at], parts[:, before:at] - far[:, None])
-        front = parts[:, at] if at < n else far  # an unread entry adds this at most, a read one what it has
-        high = _add(np.full(n, front.sum() if len(used) else 0, kind), rows[:, :at], parts[:, :at] - front[:, None])
-        known = low[open_rows] if lower else low[:0]
-        if len(known) > k:
-            kth = np.sort(known)[-k] if exact else np.partition(known, len(known) - k)[len(known) - k]
-            least = kth if least is None else max(least, kth)
-        if least is not None:
-            open_rows &= np.asarray(high >= least, bool)
-        if open_rows.sum() <= k:
-            break
-    left = open_rows[rows]  # the rows that are left are read to the lists' ends
-    score = _add(np.zeros(n, kind), rows[left], parts[left])
-    found = np.flatnonzero(open_rows)
-    if least is not None:
-        found = found[np.asarray(score[found] >= least, bool)]
-    return found, score[found], len(used) * at + int(left[:, at:].sum())
+    n, dims, asked = len(block.ids), len(block.rows), len(q)
+    kind = exact_kind(block.values.T, q)
+    q, values = _as(q, kind), _as(block.values, kind)
+    zero = q.dtype.type(0) if kind is not object else 0
+    plus, minus = np.maximum(q, zero).T, np.minimum(q, zero).T  # (dimension, query)
+    least = np.full(asked, -np.inf) if least is None else least.copy()
+    first = least == -np.inf  # no answers known yet: lower bounds in this block give a score that the k-th reaches
+    up, down = (values > 0).sum(1), (values < 0).sum(1)
+    top, bottom = np.zeros(dims, int), np.zeros(dims, int)  # entries read from either end of each list
+    floor = (np.minimum(plus * values[:, -1:], zero) + np.minimum(minus * values[:, :1], zero)).sum(0)  # the least that unread entries add
+    score = np.full((n, asked), zero, kind)
+    out: list = [(np.zeros(0, np.int64), np.zeros(0, kind))] * asked
+    live, entries = np.arange(asked), 0
+
+    def read(to_top: np.ndarray, to_bottom: np.ndarray) -> None:
+        nonlocal entries
+        for d in range(dims):
+            for low, high, weight in ((top[d], to_top[d], plus[d]), (n - to_bottom[d], n - bottom[d], minus[d])):
+                if high > low:  # a row is in a list once, so no sum is lost
+                    score[block.rows[d, low:high]] += values[d, low:high, None] * weight
+                    entries += int((high - low) * (weight != 0).sum())
+        top[:], bottom[:] = to_top, to_bottom
+
+    def resolve(i: int, rows: np.ndarray) -> np.ndarray:
+        """Scores of some rows: the unread entries that belong to them are added."""
+        nonlocal entries
+        wanted = np.zeros(n, bool)
+        wanted[rows] = True
+        d, at = np.nonzero(wanted[block.rows])
+        unread = np.where(plus[d, i] > 0, at >= top[d], at < n - bottom[d])
+        d, at = d[unread], at[unread]
+        entries += len(d)
+        total = score[:, i].copy()
+        np.add.at(total, block.rows[d, at], values[d, at] * (plus[d, i] + minus[d, i]))
+        return total[rows]
+
+    for share in SHARES:
+        read(np.ceil(up * share).astype(int), np.ceil(down * share).astype(int))
+        lists = np.arange(dims)
+        front = np.where(top < up, values[lists, np.minimum(top, n - 1)], zero)
+        back = np.where(bottom < down, values[lists, np.maximum(n - 1 - bottom, 0)], zero)
+        slack = (plus * front[:, None] + minus * back[:, None]).sum(0)  # the most that unread entries add
+        new = np.flatnonzero(first[live])
+        if n > k and len(new) and share:
+            known = score[:, new] if barred is None else np.where(barred[:, live[new]], -np.inf, score[:, new])
+            kth = np.sort(known, axis=0)[n - k] if kind is object else np.partition(known, n - k, axis=0)[n - k]
+            least[live[new]] = np.maximum(least[live[new]], kth + floor[new])
+        can = np.asarray(score + slack >= least[live], bool)
+        if barred is not None:
+            can &= ~barred[:, live]
+        few = can.sum(0) <= FEW * k
+        for i in np.flatnonzero(few):
+            rows = np.flatnonzero(can[:, i])
+            out[live[i]] = rows, resolve(i, rows)
+        if few.any():
+            live, score, plus, minus, floor = live[~few], np.ascontiguousarray(score[:, ~few]), plus[:, ~few], minus[:, ~few], floor[~few]
+        if not len(live):
+            return out, entries
+    read(np.full(dims, n), np.full(dims, n))
+    for i, own in enumerate(live):
+        can = np.asarray(score[:, i] >= least[own], bool)
+        if barred is not None:
+            can &= ~barred[:, own]
+        rows = np.flatnonzero(can)
+        out[own] = rows, score[rows, i]
+    return out, entries
 
 
 def order_key(x: int) -> bytes:
@@ -200,13 +239,12 @@ def top_k(embeddings: DataFrame, k: int = 20, scale: int = 64, every: int = 20,
                 width = max(dim, qdim)
                 ids, x = np.frombuffer(ids, np.int64), scaled(np.frombuffer(m).reshape(-1, dim), scale)
                 lists = Lists.of(ids, np.pad(x, ((0, 0), (0, width - dim))))
-                for i, q in enumerate(np.pad(asking, ((0, 0), (0, width - qdim)))):
-                    barred = ids == qids[i]
-                    least = best[i][-1][0] if len(best[i]) == k else None
-                    found, score, _ = read_lists(lists, q, k, least, barred if barred.any() else None)
-                    if len(found):
-                        merged = best[i] + [(int(s), int(v)) for s, v in zip(score.tolist(), ids[found].tolist(), strict=True)]
-                        best[i] = sorted(merged, key=lambda r: (-r[0], r[1]))[:k]
+                least = np.array([own[-1][0] if len(own) == k else -np.inf for own in best], object if x.dtype == object or asking.dtype == object else float)
+                barred = ids[:, None] == qids[None, :]
+                answered, _ = read_lists(lists, np.pad(asking, ((0, 0), (0, width - qdim))), k, least, barred if barred.any() else None)
+                for i, (found, score) in enumerate(answered):
+                    merged = best[i] + [(int(s), int(v)) for s, v in zip(score.tolist(), ids[found].tolist(), strict=True)]
+                    best[i] = sorted(merged, key=lambda r: (-r[0], r[1]))[:k]
         if group is not None:
             yield answers()
 
