@@ -35,7 +35,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     fixed = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return chat_tree.read_back(chat_tree.build_tree(rows.unionByName(fixed)))
+    import public_tokenizers
+
+    tokenizer = (tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return chat_tree.read_back(chat_tree.build_tree(rows.unionByName(fixed), *tokenizer), *tokenizer)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
