@@ -1,8 +1,8 @@
 """Token counts by offset-mapped attribution.
 
-A document is encoded once, as a whole. Its tokens' spans are then interval-joined
-to the spans of its sections, and a token that crosses a boundary is allocated by
-an explicit rule.
+A document, all its fields joined, is encoded once, as a whole. Its tokens' spans are
+then interval-joined to the spans of its fields' sections, and a token that crosses
+a boundary is allocated by an explicit rule.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: 'first': a token counts where its first character is; 'last': where its last one is.
@@ -65,35 +66,53 @@ def allocate(token_bytes: np.ndarray, data: np.ndarray, spans: np.ndarray, rule:
     return np.where(empty, 0, counted), np.where(empty, 0, touching - inside)
 
 
+def whole(text: str) -> list[tuple[int, int]]:
+    """The text as one section."""
+    return [(0, len(text))]
+
+
 def attribute(
-    docs: DataFrame, ranks_path: str, pattern: str, sections: Callable[[str], list[tuple[int, int]]] = lines, rule: str = "first", id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, ranks_path: str, pattern: str, fields: dict[str, Callable[[str], list[tuple[int, int]]]] | None = None, joiner: str = "\n", rule: str = "first", id_col: str = "doc_id"
 ) -> DataFrame:
-    """id, section (from 0), begin, end (code points), n_tokens, n_crossing, doc_tokens for each section of each document.
-
-    sections: gives a text's spans of code points; they may overlap or leave gaps.
-    A null or empty text has no section and no row, and so has a text without
-    sections. Repeated rows are counted each; other columns are not read.
+    """id, field, section (from 0 in its field), begin, end (code points of the document),
+    n_tokens, n_crossing, doc_tokens for each section of each field of each document.
+
+    fields: string columns, in the order in which `joiner` joins them, each with a
+    function that gives its text's spans of code points; they may overlap or leave
+    gaps. Default: the lines of `text`. A null or empty field takes no part, and
+    neither do its joiner's characters; a field without sections has no row, but
+    counts in doc_tokens. Tokens between sections count for none. Texts of any
+    length are encoded whole; repeated rows are counted each; other columns are not
+    read; an empty table gives no rows.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
+    fields = fields or {"text": lines}
     names = ["section", "begin", "end", "n_tokens", "n_crossing", "doc_tokens"]
-    schema = T.StructType([docs.schema[id_col], *(T.StructField(n, T.LongType()) for n in names)])
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("field", T.StringType()), *(T.StructField(n, T.LongType()) for n in names)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, lengths = encoding(ranks_path, pattern)
         for b in batches:
-            at, parts = [], []
-            for i, value in enumerate(b.column(1)):
-                text = value.as_py()
-                if not text or not (spans := sections(text)):
+            at, of, parts = [], [], []
+            for i in range(b.num_rows):
+                values = [(name, sections, text) for n, (name, sections) in enumerate(fields.items()) if (text := b.column(n + 1)[i].as_py())]
+                spans, start = [], 0
+                for name, sections, text in values:
+                    own = sections(text)
+                    of += [name] * len(own)
+                    spans += [(n, start + low, start + high) for n, (low, high) in enumerate(own)]
+                    start += len(text) + len(joiner)
+                if not spans:
                     continue
-                sizes = lengths[tokenizer.encode_ordinary(text)]
+                record = joiner.join(text for _, _, text in values)
+                sizes = lengths[tokenizer.encode_ordinary(record)]
                 spans = np.array(spans, np.int64)
-                counted, crossing = allocate(sizes, np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), spans, rule)
+                counted, crossing = allocate(sizes, np.frombuffer(record.encode("utf-8", "surrogatepass"), np.uint8), spans[:, 1:], rule)
                 at.append(np.full(len(spans), i))
-                parts.append(np.column_stack([np.arange(len(spans)), spans, counted, crossing, np.full(len(spans), len(sizes))]))
+                parts.append(np.column_stack([spans, counted, crossing, np.full(len(spans), len(sizes))]))
             if parts:
                 rows = np.concatenate(parts)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(at))), *(pa.array(np.ascontiguousarray(rows[:, j])) for j in range(6))], names=[id_col, *names])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(at))), pa.array(of, pa.string()), *(pa.array(np.ascontiguousarray(rows[:, j])) for j in range(6))], names=schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(count, schema)
+    return docs.select(F.col(id_col), *[F.col(c).alias(f"f{i}") for i, c in enumerate(fields)]).mapInArrow(count, schema)

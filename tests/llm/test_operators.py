@@ -457,31 +457,40 @@ def test_hilbert_curve_visits_neighbours():
 
 
 def test_attribution_against_a_loop(spark):
+    """Two fields in one encoding, by a loop over the tokens' places."""
     import public_tokenizers
 
     path = tokenizer_file("byte_bpe_50k.tiktoken")
     tokenizer, lengths = token_counts.encoding(path, public_tokenizers.PATTERN)
-    texts = ["one two\n\n\nthree 😀😀é\nx", "", None, "no end", "\n", "日本語のテキスト\n終わり", "a " * 500]
+    texts = ["one two\n\n\nthree 😀😀é\nx", "", None, "no end", "\n", "日本語のテキスト\n終わり", "a " * 500, "long line " * 30000 + "\nend"]
+    titles = ["A title", None, "only a title", "", "x", "題", "t", "t"]
     spans = lambda t: [(0, len(t)), (1, 3), (2, 2), *token_counts.lines(t), (len(t) // 2, len(t))]
-    df = frame(spark, [(i, t, 1) for i, t in enumerate(texts)] + [(0, texts[0], 1)], "doc_id long, text string, section int")
+    rows = [(i, t, title, 1) for i, (t, title) in enumerate(zip(texts, titles, strict=True))] + [(0, texts[0], titles[0], 1)]
+    df = frame(spark, rows, "doc_id long, text string, title string, field int")
     for rule in token_counts.RULES:
-        got = sorted({(r.doc_id, r.section, r.begin, r.end, r.n_tokens, r.n_crossing, r.doc_tokens) for r in token_counts.attribute(df, path, public_tokenizers.PATTERN, spans, rule).collect()})
+        fields = {"title": token_counts.whole, "text": spans}
+        got = sorted({tuple(r) for r in token_counts.attribute(df, path, public_tokenizers.PATTERN, fields, " ", rule).collect()})
         want = []
-        for i, t in enumerate(texts):
-            if not t:
-                continue
-            owner = [k for k, c in enumerate(t) for _ in c.encode()]  # the character of each byte
-            ids, at, places = tokenizer.encode_ordinary(t), 0, []
+        for i, t, title, _ in rows[:-1]:
+            record = " ".join(x for x in (title, t) if x)
+            owner = [k for k, c in enumerate(record) for _ in c.encode()]  # the character of each byte
+            ids, at, places = tokenizer.encode_ordinary(record), 0, []
             for x in ids:
                 places.append((owner[at], owner[at + lengths[x] - 1]))
                 at += lengths[x]
-            for n, (b, e) in enumerate(spans(t)):
-                counted = sum(b <= p[0 if rule == "first" else 1] < e for p in places)
-                crossing = sum(p[0] < e and p[1] >= b and not (b <= p[0] and p[1] < e) for p in places) if e > b else 0
-                want.append((i, n, b, e, counted, crossing, len(ids)))
+            start = 0
+            for name, value, sections in (("title", title, token_counts.whole), ("text", t, spans)):
+                if not value:
+                    continue
+                for n, (b, e) in enumerate(sections(value)):
+                    b, e = b + start, e + start
+                    counted = sum(b <= p[0 if rule == "first" else 1] < e for p in places)
+                    crossing = sum(p[0] < e and p[1] >= b and not (b <= p[0] and p[1] < e) for p in places) if e > b else 0
+                    want.append((i, name, n, b, e, counted, crossing, len(ids)))
+                start += len(value) + 1
         assert got == sorted(want)
-    whole = token_counts.attribute(df, path, public_tokenizers.PATTERN).groupBy("doc_id").agg({"n_tokens": "sum", "doc_tokens": "sum", "section": "count"}).collect()
-    assert len(whole) == 5 and all(r["sum(n_tokens)"] == r["sum(doc_tokens)"] / r["count(section)"] * (2 if r.doc_id == 0 else 1) for r in whole)
+    every = token_counts.attribute(df, path, public_tokenizers.PATTERN).groupBy("doc_id").agg({"n_tokens": "sum", "doc_tokens": "sum", "section": "count"}).collect()
+    assert len(every) == 6 and all(r["sum(n_tokens)"] == r["sum(doc_tokens)"] / r["count(section)"] * (2 if r.doc_id == 0 else 1) for r in every)
     assert token_counts.attribute(df.limit(0), path, public_tokenizers.PATTERN).collect() == []
 
 
