@@ -18,8 +18,9 @@ from .common import stage_table
 SPACE = "[\\x20\\x09-\\x0D]+"
 #: A sketch keeps 2**SUB_BITS buckets for each power of two: quantiles are within 1/32 of the value.
 SUB_BITS = 5
-#: Groups of fewer documents use their language's sketch, and small languages that of all documents.
-MIN_GROUP = 100
+#: A group's fences are means of its own, by its documents, and of its language's, which count as so many
+#: documents; a language's are blended with those of all documents in the same way.
+PARENT_DOCS = 100
 #: Fences lie so many interquartile ranges beyond the outer quartile ...
 FENCE = 3
 #: ... and the range counts as this much at least. Measures are in 1/10000, but mean_chars in 1/100.
@@ -123,9 +124,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
     """id, the measures, base_failed, failed (the measures beyond their fence) and kept.
 
     base_failed: under 50 words, or over half of them in repeated 3-word windows.
-    Fences come from the documents that pass the base rules. Null languages and
-    sources form groups of their own. A null text counts as empty and fails.
-    Repeated rows are judged each, and alike; other columns are not read. Windows
+    Fences come from the documents that pass the base rules, blended by count with
+    those of the language and of all documents, so that no group's size switches
+    its rule. Null languages and sources form groups of their own. A null text
+    counts as empty and fails; texts are read whole. Repeated rows are judged each,
+    and alike; other columns are not read; an empty table gives no rows. Windows
     are compared by 64-bit hash.
     """
     keys = [f"_g{i}" for i in range(len(group))]
@@ -138,7 +141,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
     own, language = wide(fences(fine, keys), keys, "g_"), wide(fences(merge(fine, keys[:1]), keys[:1]), keys[:1], "l_")
     every = {(r.measure, side): r[side] for r in fences(merge(fine, []), []).collect() for side in ("low", "high")}  # one row for each measure
     groups = own.join(language, keys[:1])
-    pick = lambda m, side: F.when(F.col("g_docs") >= MIN_GROUP, F.col(f"g_{m}_{side}")).when(F.col("l_docs") >= MIN_GROUP, F.col(f"l_{m}_{side}")).otherwise(F.lit(every.get((m, side))))
+    blend = lambda docs, own, parent: F.call_function("div", docs * own + PARENT_DOCS * parent, docs + PARENT_DOCS)
+    pick = lambda m, side: blend(F.col("g_docs"), F.col(f"g_{m}_{side}"), blend(F.col("l_docs"), F.col(f"l_{m}_{side}"), F.lit(every.get((m, side)))))
     limits = groups.select(*keys, *[pick(m, side).alias(f"{m}_{side}") for m in LEAST_RANGE for side in ("low", "high")])
     joined = measured.join(limits, keys, "left")
     values = ratios()

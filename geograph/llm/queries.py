@@ -42,7 +42,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adaptive_rules.judge(_table(spark, sf_dir, "documents"))
+    return adaptive_rules.judge(_table(spark, sf_dir, "documents")).withColumn("failed", F.array_join("failed", ","))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,6 +117,59 @@ SELECT conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id
 """
 
+OP4_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce('=' || lang, '') AS g, coalesce('=' || source, '') AS h FROM documents
+), w AS (
+  SELECT r, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d
+), u AS (
+  SELECT r, generate_subscripts(w, 1) AS i, unnest(w) AS a FROM w
+), t AS (
+  SELECT r, i, a, lead(a) OVER (PARTITION BY r ORDER BY i) AS b, lead(a, 2) OVER (PARTITION BY r ORDER BY i) AS c FROM u
+), n AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM t WHERE c IS NOT NULL
+), rep AS (
+  SELECT r, count(DISTINCT place) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS place FROM n WHERE n > 1) GROUP BY r
+), m AS (
+  SELECT d.r, doc_id, g, h, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM d JOIN w USING (r) LEFT JOIN rep USING (r)
+), v AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    CASE WHEN word_chars > 0 THEN n_symbols * 10000 // word_chars ELSE 0 END AS symbols,
+    CASE WHEN n_lines > 0 THEN n_dup_lines * 10000 // n_lines ELSE 0 END AS dup_lines,
+    CASE WHEN n_words > 0 THEN n_repeat_words * 10000 // n_words ELSE 0 END AS repeats,
+    CASE WHEN n_words > 0 THEN word_chars * 100 // n_words ELSE 0 END AS mean_chars
+  FROM m
+), x AS (
+  SELECT g, h, measure, value, greatest(length(bin(value)) - 6, 0) AS s
+  FROM (SELECT g, h, symbols, dup_lines, repeats, mean_chars FROM v WHERE NOT base_failed) UNPIVOT (value FOR measure IN (symbols, dup_lines, repeats, mean_chars))
+), k AS (
+  SELECT CAST(lv AS INTEGER) AS lv, CASE WHEN lv < 2 THEN g END AS g, CASE WHEN lv < 1 THEN h END AS h, measure, (value >> s) << s AS low, count(*) AS n
+  FROM x, (VALUES (0), (1), (2)) z(lv) GROUP BY ALL
+), c AS (
+  SELECT *, sum(n) OVER (PARTITION BY lv, g, h, measure ORDER BY low) AS up_to, sum(n) OVER (PARTITION BY lv, g, h, measure) AS docs FROM k
+), q AS (
+  SELECT lv, g, h, measure, CAST(max(docs) AS BIGINT) AS docs, min(CASE WHEN up_to * 4 >= docs THEN low END) AS q1, min(CASE WHEN up_to * 4 >= docs * 3 THEN low END) AS q3 FROM c GROUP BY ALL
+), f AS (
+  SELECT *, 3 * greatest(q3 - q1, CASE measure WHEN 'symbols' THEN 200 WHEN 'dup_lines' THEN 1000 WHEN 'repeats' THEN 500 ELSE 100 END) AS spread FROM q
+), b AS (
+  SELECT o.g, o.h, o.measure,
+    (o.docs * (o.q1 - o.spread) + 100 * ((l.docs * (l.q1 - l.spread) + 100 * (e.q1 - e.spread)) // (l.docs + 100))) // (o.docs + 100) AS low,
+    (o.docs * (o.q3 + o.spread) + 100 * ((l.docs * (l.q3 + l.spread) + 100 * (e.q3 + e.spread)) // (l.docs + 100))) // (o.docs + 100) AS high
+  FROM f o JOIN f l ON o.lv = 0 AND l.lv = 1 AND o.g = l.g AND o.measure = l.measure JOIN f e ON e.lv = 2 AND e.measure = o.measure
+), z AS (
+  SELECT g, h, max(CASE WHEN measure = 'symbols' THEN high END) AS s, max(CASE WHEN measure = 'dup_lines' THEN high END) AS d, max(CASE WHEN measure = 'repeats' THEN high END) AS r,
+    max(CASE WHEN measure = 'mean_chars' THEN high END) AS m, max(CASE WHEN measure = 'mean_chars' THEN low END) AS ml FROM b GROUP BY g, h
+), j AS (
+  SELECT v.*, concat_ws(',', CASE WHEN symbols > z.s THEN 'symbols' END, CASE WHEN dup_lines > z.d THEN 'dup_lines' END, CASE WHEN repeats > z.r THEN 'repeats' END, CASE WHEN mean_chars > z.m OR mean_chars < z.ml THEN 'mean_chars' END) AS failed
+  FROM v LEFT JOIN z ON v.g = z.g AND v.h = z.h
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed, failed, NOT base_failed AND failed = '' AS kept FROM j
+"""
+
 OP10_SQL = """
 WITH p AS (
   SELECT page_id,
@@ -136,4 +189,4 @@ WITH p AS (
 SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM m WHERE n = 1
 """
 
-SQL = {"op2_nra_top_k": OP2_SQL, "op3_chat_prefix_tree": OP3_SQL, "op10_url_trie": OP10_SQL}
+SQL = {"op2_nra_top_k": OP2_SQL, "op3_chat_prefix_tree": OP3_SQL, "op4_adaptive_rules": OP4_SQL, "op10_url_trie": OP10_SQL}
