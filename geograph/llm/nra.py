@@ -30,6 +30,8 @@ from .common import shuffle_partitions, stage_table
 CANDIDATES, QUERIES, RUN = 4096, 128, 8
 #: Shares of the lists' useful parts (entries that raise a score) read before bounds are compared.
 SHARES = (0, 0.125, 0.5, 1)
+#: Entries of a list that are added in one go.
+SLICE = 1024
 #: A query stops once at most so many times k rows are left.
 FEW = 4
 LONG = (1 << 63) - 1
@@ -42,8 +44,9 @@ def fine_vectors(embeddings: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return embeddings.where(F.coalesce(sound, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), double.alias("v"))
 
 
-def pack(rows: DataFrame, size: int) -> DataFrame:
-    """Blocks of at most `size` rows, as they come in each task: block, dim, ids, m (row-major doubles)."""
+def pack(rows: DataFrame, size: int, scale: int) -> DataFrame:
+    """Blocks of at most `size` rows, as they come in each task: block, dim, kind, ids and m
+    (row-major; scaled, or for huge components as they are, of kind 'x')."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -58,8 +61,12 @@ def pack(rows: DataFrame, size: int) -> DataFrame:
             m = np.zeros((len(vectors), dim))
             for i, v in enumerate(vectors):
                 m[i, : len(v)] = v
+            with np.errstate(over="ignore"):
+                whole = np.floor(m * float(scale))
+            kind = next((c for c in "bhi" if np.abs(whole).max(initial=0) <= np.iinfo(c).max), "d" if np.abs(whole).max() < 1 << 53 else "x")
+            raw = (m if kind == "x" else whole.astype(kind)).tobytes()
             at += 1
-            return pa.RecordBatch.from_arrays([pa.array([at]), pa.array([dim], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], names=["block", "dim", "ids", "m"])
+            return pa.RecordBatch.from_arrays([pa.array([at]), pa.array([dim], pa.int32()), pa.array([kind]), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([raw], pa.binary())], names=["block", "dim", "kind", "ids", "m"])
 
         for b in batches:
             for i, v in zip(b.column("id").to_pylist(), b.column("v"), strict=True):
@@ -71,22 +78,25 @@ def pack(rows: DataFrame, size: int) -> DataFrame:
         if ids:
             yield flush()
 
-    return rows.select("id", "v").mapInArrow(blocks, "block long, dim int, ids binary, m binary")
+    return rows.select("id", "v").mapInArrow(blocks, "block long, dim int, kind string, ids binary, m binary")
 
 
-def scaled(m: np.ndarray, scale: int) -> np.ndarray:
-    """floor(scale * x): doubles where they are exact, else Python's integers."""
-    with np.errstate(over="ignore"):
-        v = np.floor(m * float(scale))
-    if np.abs(v).max(initial=0) < 1 << 53:
-        return v
-    return np.array([int(y) if math.isfinite(y) else int(x) * scale for x, y in zip(m.ravel().tolist(), v.ravel().tolist(), strict=True)], object).reshape(m.shape)
+def unpack(raw: bytes, kind: str, dim: int, width: int, scale: int) -> np.ndarray:
+    """A block's matrix, filled up to `width`: of the packed type, or of Python's integers where components are huge."""
+    m = np.frombuffer(raw, float if kind == "x" else kind).reshape(-1, dim)
+    if kind == "x":
+        whole = [math.floor(y) if math.isfinite(y := x * float(scale)) else int(x) * scale for x in m.ravel().tolist()]
+        m = np.array(whole, object).reshape(m.shape)
+    return np.pad(m, ((0, 0), (0, width - dim)))
 
 
 def exact_kind(x: np.ndarray, q: np.ndarray) -> type:
     """A type in which all sums of products are exact."""
     if x.dtype == object or q.dtype == object:
         return object
+    norm = lambda m: float(np.sqrt((m.astype(float) ** 2).sum(1).max(initial=0))) + 1
+    if norm(x) * norm(q) < 1 << 15:  # no sum of some products is larger
+        return np.int16
     bound = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, x.shape[1])
     return np.float32 if bound < 1 << 23 else np.float64 if bound < 1 << 52 else object
 
@@ -107,7 +117,7 @@ class Lists:
 
     @classmethod
     def of(cls, ids: np.ndarray, m: np.ndarray) -> Lists:
-        rows = np.argsort(-m.T, axis=1, kind="stable")
+        rows = np.argsort(-(m.T.astype(float) if m.dtype != object else m.T), axis=1, kind="stable")
         return cls(ids, rows, np.take_along_axis(m.T, rows, axis=1))
 
 
@@ -121,23 +131,30 @@ def read_lists(block: Lists, q: np.ndarray, k: int, least: np.ndarray | None = N
     kind = exact_kind(block.values.T, q)
     q, values = _as(q, kind), _as(block.values, kind)
     zero = q.dtype.type(0) if kind is not object else 0
-    plus, minus = np.maximum(q, zero).T, np.minimum(q, zero).T  # (dimension, query)
+    plus, minus = np.ascontiguousarray(np.maximum(q, zero).T), np.ascontiguousarray(np.minimum(q, zero).T)  # (dimension, query)
+    never = -(1 << 4200) if kind is object else -np.inf  # lower than any score
+    wide = object if kind is object else float  # for sums over entries of different rows
     least = np.full(asked, -np.inf) if least is None else least.copy()
     first = least == -np.inf  # no answers known yet: lower bounds in this block give a score that the k-th reaches
     up, down = (values > 0).sum(1), (values < 0).sum(1)
     top, bottom = np.zeros(dims, int), np.zeros(dims, int)  # entries read from either end of each list
-    floor = (np.minimum(plus * values[:, -1:], zero) + np.minimum(minus * values[:, :1], zero)).sum(0)  # the least that unread entries add
+    floor = (np.minimum(plus * values[:, -1:], zero) + np.minimum(minus * values[:, :1], zero)).sum(0, dtype=wide)  # the least that unread entries add
     score = np.full((n, asked), zero, kind)
     out: list = [(np.zeros(0, np.int64), np.zeros(0, kind))] * asked
     live, entries = np.arange(asked), 0
 
     def read(to_top: np.ndarray, to_bottom: np.ndarray) -> None:
         nonlocal entries
+        sums, parts = np.empty((2, SLICE, len(live)), kind)
         for d in range(dims):
             for low, high, weight in ((top[d], to_top[d], plus[d]), (n - to_bottom[d], n - bottom[d], minus[d])):
-                if high > low:  # a row is in a list once, so no sum is lost
-                    score[block.rows[d, low:high]] += values[d, low:high, None] * weight
-                    entries += int((high - low) * (weight != 0).sum())
+                entries += int(high - low) * int(np.count_nonzero(weight))
+                for at in range(low, high, SLICE):  # a row is in a list once, so no sum is lost
+                    rows = block.rows[d, at : min(high, at + SLICE)]
+                    some = sums[: len(rows)]
+                    np.take(score, rows, axis=0, out=some, mode="clip")
+                    some += np.multiply(values[d, at : at + len(rows), None], weight, out=parts[: len(rows)])
+                    score[rows] = some
         top[:], bottom[:] = to_top, to_bottom
 
     def resolve(i: int, rows: np.ndarray) -> np.ndarray:
@@ -158,13 +175,13 @@ def read_lists(block: Lists, q: np.ndarray, k: int, least: np.ndarray | None = N
         lists = np.arange(dims)
         front = np.where(top < up, values[lists, np.minimum(top, n - 1)], zero)
         back = np.where(bottom < down, values[lists, np.maximum(n - 1 - bottom, 0)], zero)
-        slack = (plus * front[:, None] + minus * back[:, None]).sum(0)  # the most that unread entries add
+        slack = (plus * front[:, None] + minus * back[:, None]).sum(0, dtype=wide)  # the most that unread entries add
         new = np.flatnonzero(first[live])
         if n > k and len(new) and share:
-            known = score[:, new] if barred is None else np.where(barred[:, live[new]], -np.inf, score[:, new])
+            known = score[:, new] if barred is None else np.where(barred[:, live[new]], never, score[:, new])
             kth = np.sort(known, axis=0)[n - k] if kind is object else np.partition(known, n - k, axis=0)[n - k]
             least[live[new]] = np.maximum(least[live[new]], kth + floor[new])
-        can = np.asarray(score + slack >= least[live], bool)
+        can = np.asarray(score + slack >= least[live] if kind is object else score >= least[live] - slack, bool)
         if barred is not None:
             can &= ~barred[:, live]
         few = can.sum(0) <= FEW * k
@@ -208,20 +225,21 @@ def top_k(embeddings: DataFrame, k: int = 20, scale: int = 64, every: int = 20,
     rows = fine_vectors(embeddings, id_col, vec_col)
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     ranged = rows.withColumn("norm", norm).repartitionByRange(shuffle_partitions(spark), F.desc("norm")).sortWithinPartitions(F.desc("norm"), "id")
-    candidates = stage_table(pack(ranged, CANDIDATES), "candidates")
+    candidates = stage_table(pack(ranged, CANDIDATES, scale), "candidates")
     runs = max(1, -(-candidates.count() // RUN))
     asked = rows.where(F.col("id") % every == 0).dropDuplicates()
-    asked = stage_table(pack(asked, QUERIES), "queries").select(F.col("block").alias("asked"), F.col("dim").alias("qdim"), F.col("ids").alias("qids"), F.col("m").alias("qm"), F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
+    asked = stage_table(pack(asked, QUERIES, scale), "queries").select(F.col("block").alias("asked"), *[F.col(c).alias(f"q{c}") for c in ("dim", "kind", "ids", "m")], F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
     pairs = candidates.withColumn("run", F.pmod(F.xxhash64("block"), F.lit(runs)).cast("int")).join(asked.hint("shuffle_hash"), "run")
-    dealt = pairs.repartition(shuffle_partitions(spark), "asked", "run").sortWithinPartitions("asked", "run", "block").select("asked", "run", "dim", "ids", "m", "qdim", "qids", "qm")
+    dealt = pairs.repartition(shuffle_partitions(spark), "asked", "run").sortWithinPartitions("asked", "run", "block").select("asked", "run", "block", "dim", "kind", "ids", "m", "qdim", "qkind", "qids", "qm")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, qids, qm, best = None, None, None, []
+        opened: dict[tuple[int, int], Lists] = {}  # a run's blocks, which the next queries read again
 
         def answers() -> pa.RecordBatch:
             out = []
             for i, (own, found) in enumerate(zip(qids.tolist(), best, strict=True)):
-                name = int.from_bytes(hashlib.blake2b(qm[i].tobytes(), digest_size=8).digest(), "little", signed=True)
+                name = int.from_bytes(hashlib.blake2b(repr(qm[i].tolist()).encode(), digest_size=8).digest(), "little", signed=True)
                 for x, v in found:
                     held = max(-LONG - 1, min(LONG, x))
                     out.append((own, name, v, held, order_key(x) if abs(x) >= LONG else None))
@@ -229,21 +247,25 @@ def top_k(embeddings: DataFrame, k: int = 20, scale: int = 64, every: int = 20,
             return pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds)], names=["query_id", "query", "vec_id", "score", "beyond"])
 
         for b in batches:
-            for of, run, dim, ids, m, qdim, q_ids, q_m in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for of, run, block, dim, kind, ids, m, qdim, qkind, q_ids, q_m in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (of, run) != group:
                     if group is not None:
                         yield answers()
-                    group, qids, qm = (of, run), np.frombuffer(q_ids, np.int64), np.frombuffer(q_m).reshape(-1, qdim)
+                    group, qids, qm = (of, run), np.frombuffer(q_ids, np.int64), unpack(q_m, qkind, qdim, qdim, scale)
                     best = [[] for _ in qids]
-                    asking = scaled(qm, scale)
                 width = max(dim, qdim)
-                ids, x = np.frombuffer(ids, np.int64), scaled(np.frombuffer(m).reshape(-1, dim), scale)
-                lists = Lists.of(ids, np.pad(x, ((0, 0), (0, width - dim))))
-                least = np.array([own[-1][0] if len(own) == k else -np.inf for own in best], object if x.dtype == object or asking.dtype == object else float)
-                barred = ids[:, None] == qids[None, :]
-                answered, _ = read_lists(lists, np.pad(asking, ((0, 0), (0, width - qdim))), k, least, barred if barred.any() else None)
+                lists = opened.get((block, width))
+                if lists is None:
+                    if len(opened) >= RUN:
+                        opened.clear()
+                    lists = opened[block, width] = Lists.of(np.frombuffer(ids, np.int64), unpack(m, kind, dim, width, scale))
+                q = np.pad(qm, ((0, 0), (0, width - qdim)))
+                huge = q.dtype == object or lists.values.dtype == object
+                least = np.array([own[-1][0] if len(own) == k else -np.inf for own in best], object if huge else float)
+                barred = lists.ids[:, None] == qids[None, :]
+                answered, _ = read_lists(lists, q, k, least, barred if barred.any() else None)
                 for i, (found, score) in enumerate(answered):
-                    merged = best[i] + [(int(s), int(v)) for s, v in zip(score.tolist(), ids[found].tolist(), strict=True)]
+                    merged = best[i] + [(int(s), int(v)) for s, v in zip(score.tolist(), lists.ids[found].tolist(), strict=True)]
                     best[i] = sorted(merged, key=lambda r: (-r[0], r[1]))[:k]
         if group is not None:
             yield answers()
