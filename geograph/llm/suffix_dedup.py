@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +36,8 @@ LENGTH, Q = 200, 32
 CHUNK = 1 << 22
 #: Extents of a bucket that a task holds; strings of larger buckets are counted one row each.
 BUCKET_ROWS = 16_384
+#: A bucket with over 1 / HOT of all rows is hot; there are at most HOT of them. Their rows are dealt to SALTS tasks.
+HOT, SALTS = 2000, 64
 _POSITION = U((1 << 24) - 1)
 _A, _B = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 
@@ -121,38 +124,53 @@ def _anchors(keyed: DataFrame, length: int, q: int) -> DataFrame:
     return stage_table(keyed.select("h1", "h2", "text").mapInArrow(find, ANCHORS), "anchors")
 
 
-def _sort_buckets(anchors: DataFrame, length: int) -> DataFrame:
+def _hot_buckets(rows: DataFrame) -> DataFrame:
+    """The buckets with over 1 / HOT of the rows, at most HOT of them, staged."""
+    counts = stage_table(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0  # one number
+    return stage_table(counts.where(F.col("n") * HOT > total).select("bucket"), "hot")
+
+
+def _marked(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """rows with _hot, and with _salt, 0 but for hot buckets' rows. `hot` has HOT rows at most."""
+    found = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), "bucket", "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+    return found.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("h1", "begin"), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
+
+
+def _sort_buckets(anchors: DataFrame, hot: DataFrame, length: int) -> DataFrame:
     """Anchors by bucket and extent. Rows of an extent that occurs again are settled
     (no bucket); where a bucket has several extents, the last row of each goes on.
-    Rows stream through with one row of look-ahead, whatever the bucket's size."""
+    Rows stream through with one row of look-ahead, whatever the bucket's size. Hot
+    buckets are sorted in parts; of each part the last row of each extent goes on."""
     spark = anchors.sparkSession
-    ordered = anchors.where("bucket is not null").repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket", "ext")
+    ordered = _marked(anchors.where("bucket is not null"), hot).repartition(shuffle_partitions(spark), "bucket", "_salt").sortWithinPartitions("bucket", "_salt", "ext").select(*ANCHORS.names, "_hot", "_salt")
 
     def emit(t: pa.Table, n: int, before: tuple | None, opened: int | None) -> tuple[pa.RecordBatch, int | None]:
-        """Judge the first n rows of t; before: bucket and extent of the row above them; opened: the extent that opened that bucket."""
-        bucket, ext = t.column("bucket").to_numpy(), t.column("ext").to_numpy()
+        """Judge the first n rows of t; before: bucket, part and extent of the row above them; opened: the extent that opened that bucket."""
+        bucket, ext, salt = (t.column(c).to_numpy() for c in ("bucket", "ext", "_salt"))
         flagged = t.column("several").to_numpy(zero_copy_only=False)
+        split = t.column("_hot").to_numpy(zero_copy_only=False)
         size = len(bucket)
-        same_bucket = np.r_[bucket[1:] == bucket[:-1], False]
+        same_bucket = np.r_[(bucket[1:] == bucket[:-1]) & (salt[1:] == salt[:-1]), False]
         same_class = same_bucket & np.r_[ext[1:] == ext[:-1], False]
-        above_bucket = np.r_[before is not None and before[0] == bucket[0], same_bucket[:-1]]
-        above_class = np.r_[before is not None and before == (bucket[0], ext[0]), same_class[:-1]]
+        above_bucket = np.r_[before is not None and before[:2] == (bucket[0], salt[0]), same_bucket[:-1]]
+        above_class = np.r_[before is not None and before == (bucket[0], salt[0], ext[0]), same_class[:-1]]
         starts = np.flatnonzero(~above_bucket)
         first_ext = np.full(size, opened if opened is not None else 0, np.int64)
         if len(starts):
             first_ext[starts[0] :] = np.repeat(ext[starts], np.diff(np.r_[starts, size]))
         several = flagged | same_class | above_class
-        mixed = ~same_class & ((first_ext != ext) | same_bucket)
+        mixed = ~same_class & ((first_ext != ext) | same_bucket | split)
         settled, going = np.flatnonzero(several[:n]), np.flatnonzero(mixed[:n])
         order = np.concatenate([settled, going])
         out = t.take(pa.array(order)).to_batches()
         keep = pa.Table.from_batches(out, t.schema) if out else t.slice(0, 0)
         bare = np.arange(len(order)) < len(settled)
-        arrays = {c: keep.column(c).combine_chunks() for c in t.schema.names}
+        arrays = {c: keep.column(c).combine_chunks() for c in ANCHORS.names}
         arrays["bucket"] = pa.array(bucket[order], mask=bare)
         arrays["ext"] = pa.array(ext[order], mask=bare)
         arrays["several"] = pa.array(several[order])
-        return pa.RecordBatch.from_arrays([arrays[c] for c in t.schema.names], names=t.schema.names), int(first_ext[n - 1])
+        return pa.RecordBatch.from_arrays([arrays[c] for c in ANCHORS.names], names=ANCHORS.names), int(first_ext[n - 1])
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, before, opened = None, None, None
@@ -164,7 +182,7 @@ def _sort_buckets(anchors: DataFrame, length: int) -> DataFrame:
             if t.num_rows > 1:
                 n = t.num_rows - 1
                 made, opened = emit(t, n, before, opened)
-                before = (t.column("bucket")[n - 1].as_py(), t.column("ext")[n - 1].as_py())
+                before = tuple(t.column(c)[n - 1].as_py() for c in ("bucket", "_salt", "ext"))
                 yield made
             held = t.slice(t.num_rows - 1)
         if held is not None:
@@ -183,11 +201,11 @@ def _runs(dup: np.ndarray, of: np.ndarray, begin: np.ndarray) -> tuple[np.ndarra
     return of[first], begin[first], begin[last]
 
 
-def _refine(extents: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+def _refine(extents: DataFrame, hot: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """(spans, open): the repeated strings among the extents of each bucket, and the
-    single strings of buckets too large for a task, to be counted by Spark."""
+    single strings of hot buckets, and of those too large for a task, to be counted by Spark."""
     spark = extents.sparkSession
-    ordered = extents.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket").select("bucket", "h1", "h2", "begin", "several", "extent")
+    ordered = _marked(extents, hot).repartition(shuffle_partitions(spark), "bucket", "_salt").sortWithinPartitions("bucket").select("bucket", "h1", "h2", "begin", "several", "extent", "_hot")
     names = ["name", "bucket", "h1", "h2", "begin", "end", "several"]
     schema = T.StructType([T.StructField(n, t) for n, t in zip(names, (T.LongType(), T.LongType(), T.LongType(), T.IntegerType(), T.IntegerType(), T.IntegerType(), T.BooleanType()), strict=True)])
 
@@ -224,7 +242,11 @@ def _refine(extents: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
         for b in batches:
             for low in range(0, b.num_rows, BUCKET_ROWS):
                 t = pa.Table.from_batches([b.slice(low, BUCKET_ROWS)])
+                yield from leave_open(t.filter(t.column("_hot")))
+                t = t.filter(pc.invert(t.column("_hot")))
                 t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
+                if not t.num_rows:
+                    continue
                 bucket = t.column("bucket").to_numpy()
                 if too_large is not None:
                     n = int(np.searchsorted(bucket, too_large, "right"))
@@ -283,9 +305,10 @@ def with_spans(docs: DataFrame, id_col: str, text_col: str, length: int, q: int)
     keyed = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("h1"), F.hash(text).alias("h2"))
     first = stage_table(keyed.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "texts")
     anchors = _anchors(keyed, length, q)
-    buckets = _sort_buckets(anchors, length)
+    hot = _hot_buckets(anchors.where("bucket is not null"))
+    buckets = _sort_buckets(anchors, hot, length)
     own = lambda df: df.where("bucket is null").select("h1", "h2", "begin", (F.col("begin") + F.col("span") + length).alias("end"))
-    refined, unsettled = _refine(_extents(keyed, buckets.where("bucket is not null"), first, length), length)
+    refined, unsettled = _refine(_extents(keyed, buckets.where("bucket is not null"), first, length), hot, length)
     seen = unsettled.groupBy("name", "bucket").agg(F.count("*").alias("n"), F.max("several").alias("several")).where("n > 1 or several").select("name", "bucket")
     counted = unsettled.join(seen, ["name", "bucket"]).select("h1", "h2", "begin", "end")
     spans = own(anchors).unionByName(own(buckets)).unionByName(refined).unionByName(counted)
@@ -334,7 +357,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, id_col: st
 def cut_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated strings cut out of their texts; a character that is cut in
     part goes whole. n_chars, if there is one, follows the text. Documents that
-    have nothing left go; those that were empty before stay."""
+    have nothing left go; those that were empty or null before stay. Repeated rows
+    are copies, so long ones go, and all of them; columns of any name go through;
+    an empty table stays empty."""
     columns, schema = docs.columns, T.StructType(list(docs.schema))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,10 +19,12 @@ def corpus(seed, alphabet="ab c"):
     return [*docs, (40, docs[3][1]), (41, None), (42, ""), (43, "é" * 40 + "x"), (44, "y" + "é" * 35), (45, "ab" * 60), docs[5], docs[5]]
 
 
-@pytest.mark.parametrize("bucket_rows", [16384, 1])
+@pytest.mark.parametrize(("bucket_rows", "hot"), [(16384, 2000), (1, 2000), (16384, 4)])
 @pytest.mark.parametrize(("seed", "alphabet"), [(1, "ab c"), (2, "abcdefghij klmnopé"), (3, "a")])
-def test_same_as_counting_every_string(spark, monkeypatch, seed, alphabet, bucket_rows):
+def test_same_as_counting_every_string(spark, monkeypatch, seed, alphabet, bucket_rows, hot):
+    """hot 4: buckets of over a fourth of the rows are dealt to several tasks."""
     monkeypatch.setattr(sd, "BUCKET_ROWS", bucket_rows)
+    monkeypatch.setattr(sd, "HOT", hot)
     rows = corpus(seed, alphabet)
     df = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], "doc_id long, text string, bucket string, h1 int, spans int")
     assert rows_of(sd.remove_repeats(df, 20, 8)) == sorted(repeats(rows, 20))
@@ -36,6 +38,18 @@ def test_chunks_of_long_texts(spark, monkeypatch):
     assert rows_of(sd.remove_repeats(df, 20, 8)) == sorted(repeats(rows, 20))
 
 
+def test_a_passage_in_most_documents(spark, monkeypatch):
+    """One passage between different neighbours, in a hot bucket and in ordinary ones."""
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = word(60)
+    rows = [(i, word(rng.randint(0, 40)) + passage[: rng.randint(30, 60)] + word(rng.randint(0, 40))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (2000, 3):
+        monkeypatch.setattr(sd, "HOT", hot)
+        assert rows_of(sd.remove_repeats(df, 20, 8)) == sorted(repeats(rows, 20))
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert rows_of(sd.remove_repeats(df)) == [] and sd.cut_repeats(df).collect() == []
