@@ -6,13 +6,19 @@ regions, twice:
 * First, each shingle s is a pivot, the set {s}, rare ones first. A document's
   region is that of its first pivot. A document within the distance e misses few of
   its shingles, so its region is among the first few pivots of the document; into
-  those regions, its window, the document is replicated, and into no other.
+  those regions, its window, the document is replicated, and into no other. (This
+  is a prefix filter. With documents as pivots of all sets, nearly every document
+  falls into every window, since unlike documents are all about 1 apart.)
 * Regions whose documents may be within e (as small count vectors, another lower
   bound of the distance, tell) make clusters. In a cluster documents are pivots:
   each document goes to the region of its nearest pivot and, if its distance to
   another is at most 2 e more, to that one's. Regions join recursively, with whole
   sets, so that links are exact. A region whose documents are all connected already
-  needs no further join.
+  needs no further join. Clusters that fit a task are joined in it; larger ones in
+  rounds of Spark jobs, in which members, dealt in blocks, meet their region's
+  pivots, until each region fits a task or is connected. A region that windows do
+  not make smaller is joined block by block, but only between members that are not
+  connected yet.
 
 Only distinct sets take part; copies share their set's row.
 """
@@ -21,12 +27,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import shuffle_partitions, stage_table
 from .texthash import LOWER, U, mix, shingle_hashes, text_bytes, word_hashes
@@ -39,6 +48,10 @@ PER_COUNT, LEAST_COUNTS = 8, 32
 REGION_ROWS = 1 << 20
 #: Document pivots of a region, and members up to which all are compared.
 PIVOTS, LEAF = 16, 24
+#: Members, and their shingles, of a cluster or region that a task joins in memory, and of a block of a larger one.
+LARGE, LARGE_SHINGLES, BLOCK = 512, 1 << 22, 256
+#: A class of shingles with over 1 / HOT of all is hot; rows of its pivots are dealt to SALTS tasks.
+HOT, SALTS = 20_000, 64
 _CHUNKS = 16
 
 
@@ -189,6 +202,26 @@ def _complete(batches: Iterator[pa.RecordBatch], key: str, most: int | None = No
         yield held.combine_chunks(), False
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, bool]]:
+    """Rows of first regions, of ordinary pivots in whole regions; of hot ones as they come, marked as parts."""
+    hot: list[pa.Table] = []
+
+    def ordinary() -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            some = pc.greater_equal(b.column("salt"), 0)
+            if pc.any(some).as_py():
+                hot.append(pa.Table.from_batches([b.filter(some)]))
+                b = b.filter(pc.invert(some))
+            yield b
+
+    for found in _complete(ordinary(), "pivot", REGION_ROWS):
+        while hot:
+            yield hot.pop(), True
+        yield found
+    while hot:
+        yield hot.pop(), True
+
+
 def _bounds(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
 
@@ -235,19 +268,20 @@ def describe(keyed: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
     rarity = np.zeros((_CHUNKS, size // _CHUNKS), np.int64)
     for r in parts:
         rarity[r.chunk] = np.frombuffer(r.counts, np.int64)
-    return staged.where("chunk is null").drop("chunk"), np.minimum(rarity.ravel(), (1 << 24) - 1)
+    return staged.where("chunk is null").drop("chunk"), rarity.ravel()
 
 
 def first_regions(keyed: DataFrame, rarity: np.ndarray, width: int, percent: int) -> DataFrame:
     """region, sid: the sets of each pivot's region and window, of regions with several
     sets; regions with the same sets become one."""
     spark = keyed.sparkSession
-    table = spark.sparkContext.broadcast(rarity.astype(np.uint64))  # 2**RARITY_BITS numbers
+    table = spark.sparkContext.broadcast(np.minimum(rarity, (1 << 24) - 1).astype(np.uint64))  # 2**RARITY_BITS numbers
+    most = max(1, int(rarity.sum()) // HOT)
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for b in batches:
-            pivots, sids = [], []
+            pivots, sids, hot = [], [], []
             for text in b.column(0):
                 s = shingle_set(text.as_py(), width)
                 sid = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
@@ -255,14 +289,18 @@ def first_regions(keyed: DataFrame, rarity: np.ndarray, width: int, percent: int
                     continue
                 met.add(sid)
                 k = prefix_length(len(s), percent)
-                order = (table.value[(s >> U(64 - RARITY_BITS)).astype(np.int64)] << U(40)) | (s >> U(24))
-                pivots.append(s[np.argpartition(order, k - 1)[:k]])
+                count = table.value[(s >> U(64 - RARITY_BITS)).astype(np.int64)]
+                first = np.argpartition((count << U(40)) | (s >> U(24)), k - 1)[:k]
+                pivots.append(s[first])
                 sids.append(np.full(k, sid))
+                hot.append(count[first] > most)
             if pivots:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(pivots).view(np.int64)), pa.array(np.concatenate(sids))], names=["pivot", "sid"])
+                sid, hot = np.concatenate(sids), np.concatenate(hot)
+                salt = np.where(hot, sid % SALTS, -1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(pivots).view(np.int64)), pa.array(sid), pa.array(salt)], names=["pivot", "sid", "salt"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, parted in _complete(batches, "pivot", REGION_ROWS):
+        for t, parted in _parts(batches):
             pivot, sid = t.column("pivot").to_numpy(), t.column("sid").to_numpy()
             new = np.r_[True, (pivot[1:] != pivot[:-1]) | (sid[1:] != sid[:-1])]
             pivot, sid = pivot[new], sid[new]
@@ -277,16 +315,31 @@ def first_regions(keyed: DataFrame, rarity: np.ndarray, width: int, percent: int
                 rows = np.unique(np.stack([np.repeat(names, sizes)[several].view(np.int64), sid[several]], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, 0])), pa.array(np.ascontiguousarray(rows[:, 1]))], names=["region", "sid"])
 
-    rows = keyed.select("text").mapInArrow(replicate, "pivot long, sid long")
-    ordered = rows.repartition(shuffle_partitions(spark), "pivot").sortWithinPartitions("pivot", "sid")
+    rows = keyed.select("text").mapInArrow(replicate, "pivot long, sid long, salt int")
+    ordered = rows.repartition(shuffle_partitions(spark), "pivot", "salt").sortWithinPartitions("pivot", "sid")
     return stage_table(ordered.mapInArrow(gather, "region long, sid long").distinct(), "regions")
 
 
+def with_size(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """rows with their region's size; a large region's rows may be split among tasks."""
+    return rows.join(sizes.hint("merge"), "region")
+
+
 def may_link(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs that connect the sets of each region whose count vectors allow a link."""
+    """a, b: pairs that connect the sets of each region whose count vectors allow a link.
+
+    In a region of over LARGE sets, all sets of like size are connected instead; the
+    join of whole sets tells them apart.
+    """
     spark = regions.sparkSession
     vectors = sets.where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("counts").alias("counts"))
-    rows = regions.join(vectors, "sid").repartition(shuffle_partitions(spark), "region").sortWithinPartitions("region", "n", "sid").select("region", "sid", "n", "counts")
+    sizes = stage_table(regions.groupBy("region").agg(F.count("*").alias("members")).where("members > 1"), "sizes")
+    few = with_size(regions, sizes.where(F.col("members") <= LARGE))
+    rows = few.join(vectors, "sid").repartition(shuffle_partitions(spark), "region").sortWithinPartitions("region", "n", "sid").select("region", "sid", "n", "counts")
+    many = with_size(regions, sizes.where(F.col("members") > LARGE)).join(vectors.select("sid", "n"), "sid")
+    band = F.floor(F.log("n") / float(np.log(100 / percent) * 1.0001)).cast("long") if percent < 100 else F.col("n")
+    like = many.select("region", "sid", F.explode(F.array(band, band + 1)).alias("band"))
+    stars = like.join(like.groupBy("region", "band").agg(F.min("sid").alias("a")).hint("merge"), ["region", "band"]).where("a <> sid").select("a", F.col("sid").alias("b"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, _ in _complete(batches, "region"):
@@ -316,7 +369,7 @@ def may_link(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return stage_table(rows.mapInArrow(compare, "a long, b long").distinct(), "pairs")
+    return stage_table(rows.mapInArrow(compare, "a long, b long").unionByName(stars).distinct(), "pairs")
 
 
 def connected(pairs: DataFrame) -> DataFrame:
@@ -337,34 +390,191 @@ def connected(pairs: DataFrame) -> DataFrame:
             return labels
 
 
-def exact_groups(keyed: DataFrame, sets: DataFrame, clusters: DataFrame, width: int, percent: int) -> DataFrame:
-    """sid, root: sets of each cluster that links connect, found with whole sets."""
-    spark = keyed.sparkSession
-    chosen = sets.where("n > 0").groupBy("sid").agg(F.min(F.struct("id", "h1")).alias("doc"))
-    wanted = clusters.join(chosen, clusters.node == chosen.sid).select(F.col("root").alias("cluster"), "sid", F.col("doc.id").alias("_id"), F.col("doc.h1").alias("_h1"))
-    texts = wanted.join(keyed, wanted._id.eqNullSafe(keyed.id) & (wanted._h1 == keyed.h1)).select("cluster", "sid", "text")
+MEMBER = "region long, sid long, label long, shingles binary"
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for low in range(0, b.num_rows, 256):
-                part = b.slice(low, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([shingle_set(x.as_py(), width).tobytes() for x in part.column(2)], pa.binary())], names=["cluster", "sid", "shingles"])
+
+def join_small(members: DataFrame, percent: int) -> DataFrame:
+    """a, b: links that connect the linked sets of each region (MEMBER rows). Sets of one label are connected already."""
+    spark = members.sparkSession
+    ordered = members.repartition(shuffle_partitions(spark), "region").sortWithinPartitions("region", "sid").select("region", "sid", "label", "shingles")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, _ in _complete(batches, "cluster"):
-            at = _bounds(t.column("cluster").to_numpy())
-            sid = t.column("sid").to_numpy()
-            roots = sid.copy()
+        for t, _ in _complete(batches, "region"):
+            at = _bounds(t.column("region").to_numpy())
+            sid, label = t.column("sid").to_numpy(), t.column("label").to_numpy()
+            a, b = [], []
             for low, high in zip(at[:-1], at[1:], strict=True):
                 own, first = np.unique(sid[low:high], return_index=True)
+                forest = Forest(len(own))
+                _, of = np.unique(label[low:high][first], return_inverse=True)
+                _, one = np.unique(of, return_index=True)
+                for i, j in enumerate(of):
+                    forest.join(int(one[j]), i)
+                before = forest.roots(np.arange(len(own)))
                 if len(own) > 1:
-                    forest = Forest(len(own))
                     Sets([np.frombuffer(t.column("shingles")[int(low + i)].as_py(), np.uint64) for i in first], percent).join(np.arange(len(own)), forest)
-                    roots[low:high] = own[forest.roots(np.arange(len(own)))][np.searchsorted(own, sid[low:high])]
-            yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array(roots)], names=["sid", "root"])
+                after = forest.roots(np.arange(len(own)))
+                new = before != after
+                a.append(own[after[new]])
+                b.append(own[before[new]])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    return ordered.mapInArrow(join, "a long, b long")
+
 
-    ordered = texts.mapInArrow(cut, "cluster long, sid long, shingles binary").repartition(shuffle_partitions(spark), "cluster").sortWithinPartitions("cluster")
-    return stage_table(ordered.mapInArrow(join, "sid long, root long").distinct(), "groups")
+def _blocks(members: str, shingles: str) -> Column:
+    """Blocks that a region's members are dealt to."""
+    return F.greatest(F.ceil(F.col(members) / BLOCK), F.ceil(F.col(shingles) / (LARGE_SHINGLES // 4))).cast("long")
+
+
+def meet_pivots(members: DataFrame, sizes: DataFrame, seed: int, percent: int) -> DataFrame:
+    """One round for large regions, staged: link (a pivot, a member that it links with), or
+    the member's windows (parent, region). Members are dealt in blocks, each of which
+    gets the region's PIVOTS pivots."""
+    spark = members.sparkSession
+    dealt = with_size(members, sizes).withColumn("blocks", _blocks("members", "shingles_in"))
+    nth = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("sid", F.lit(seed)), "sid"))
+    chosen = dealt.select("region", "sid", "blocks").withColumn("nth", nth).where(F.col("nth") <= PIVOTS)
+    pivots = chosen.join(members.select("region", "sid", "shingles"), ["region", "sid"]).select("region", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("kind"), "sid", "shingles")
+    own = dealt.select("region", F.pmod(F.xxhash64("sid"), F.col("blocks")).alias("block"), F.lit(1).alias("kind"), "sid", "shingles")
+    ordered = pivots.unionByName(own).repartition(shuffle_partitions(spark), "region", "block").sortWithinPartitions("region", "block", "kind", "sid").select("region", "block", "kind", "sid", "shingles")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, names, sets, known = None, [], [], None
+        for b in batches:
+            out = []
+            for region, block, kind, sid, raw in zip(*b.columns, strict=True):
+                region, sid, s = region.as_py(), sid.as_py(), np.frombuffer(raw.as_py(), np.uint64)
+                if (region, block.as_py()) != group:
+                    group, names, sets, known = (region, block.as_py()), [], [], None
+                if not kind.as_py():
+                    names.append(sid)
+                    sets.append(s)
+                    continue
+                if known is None:
+                    known = np.unique(np.concatenate(sets))
+                    has = np.array([np.isin(known, p, assume_unique=True) for p in sets])
+                    size = np.array([len(p) for p in sets])
+                at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                both = has[:, at[known[at] == s]].sum(1)
+                union = size + len(s) - both
+                distance = 1 - both / union
+                for i in np.flatnonzero(100 * both >= percent * union):
+                    if names[i] != sid:
+                        out.append((True, names[i], 0, sid))
+                # a set of another region is within e of this one only if it is at most 2 e farther from this pivot than from its own
+                for i in np.flatnonzero(distance <= distance.min() + 2 * (1 - percent / 100) + 1e-9):
+                    out.append((False, region, int(mix(np.array([region, names[i]], np.int64).view(np.uint64)).sum().view(np.int64)), sid))
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate((pa.bool_(), pa.int64(), pa.int64(), pa.int64()))], names=["link", "parent", "region", "sid"])
+
+    return stage_table(ordered.mapInArrow(compare, "link boolean, parent long, region long, sid long"), "windows")
+
+
+def join_blocks(members: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """a, b: links of regions that windows do not make smaller. All members of a region but
+    those of its commonest label meet all members, block by block, where labels differ."""
+    spark = members.sparkSession
+    counts = members.groupBy("region", "label").agg(F.count("*").alias("n"), F.sum(F.length("shingles") / 8).alias("s"))
+    main = counts.groupBy("region").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.sum("s").alias("minor_shingles"))
+    shape = stage_table(main.join(sizes, "region").select("region", "main", _blocks("members", "shingles_in").alias("blocks"), F.expr("all - most").alias("minor"), "minor_shingles").where("minor > 0").withColumn("minors", _blocks("minor", "minor_shingles")).drop("minor", "minor_shingles"), "shape")
+    dealt = members.join(shape.hint("merge"), "region")
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    minor = dealt.where("label <> main").select("region", F.pmod(F.xxhash64("sid", F.lit(1)), F.col("minors")).alias("x"), upto("blocks").alias("y"), F.lit(0).alias("kind"), "sid", "label", "shingles")
+    every = dealt.select("region", upto("minors").alias("x"), F.pmod(F.xxhash64("sid"), F.col("blocks")).alias("y"), F.lit(1).alias("kind"), "sid", "label", "shingles")
+    ordered = minor.unionByName(every).repartition(shuffle_partitions(spark), "region", "x", "y").sortWithinPartitions("region", "x", "y", "kind", "sid")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, asked, sets = None, [], None
+        for b in batches:
+            out = []
+            for region, x, y, kind, sid, label, raw in zip(*b.columns, strict=True):
+                s = np.frombuffer(raw.as_py(), np.uint64)
+                if (key := (region.as_py(), x.as_py(), y.as_py())) != group:
+                    group, asked, sets = key, [], None
+                if not kind.as_py():
+                    asked.append((sid.as_py(), label.as_py(), s))
+                    continue
+                if not asked:
+                    continue
+                if sets is None:
+                    sets = np.unique(np.concatenate([q for _, _, q in asked]))
+                    ids = np.concatenate([np.searchsorted(sets, q) for _, _, q in asked])
+                    size = np.array([len(q) for _, _, q in asked])
+                    first, labels = np.cumsum(size) - size, np.array([q[1] for q in asked])
+                    mark = np.zeros(len(sets), np.int64)
+                at = np.minimum(np.searchsorted(sets, s), len(sets) - 1)
+                at = at[sets[at] == s]
+                mark[at] = 1
+                both = np.add.reduceat(mark[ids], first)
+                mark[at] = 0
+                linked = (100 * both >= percent * (size + len(s) - both)) & (labels != label.as_py())
+                out += [(asked[i][0], sid.as_py()) for i in np.flatnonzero(linked)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64()) for j in range(2)], names=["a", "b"])
+
+    return ordered.select("region", "x", "y", "kind", "sid", "label", "shingles").mapInArrow(compare, "a long, b long")
+
+
+def join_large(members: DataFrame, percent: int) -> DataFrame:
+    """a, b: links that connect the linked sets of large clusters (region, sid, shingles;
+    staged), in rounds. Each round stages its links, labels and rows."""
+    sets = members.select("sid", "shingles")
+    rows, links, labels, seed = members.select("region", "sid"), None, None, 0
+    while True:
+        own = rows if labels is None else rows.join(labels, rows.sid == labels.node, "left").select("region", "sid", F.coalesce("root", "sid").alias("label"))
+        own = own.withColumn("label", F.col("sid")) if labels is None else own
+        held = stage_table(own.join(sets, "sid").select("region", "sid", "label", "shingles"), "members")
+        sizes = held.groupBy("region").agg(F.count("*").alias("members"), F.sum(F.length("shingles") / 8).alias("shingles_in"), F.min("label").alias("low"), F.max("label").alias("high"))
+        sizes = stage_table(sizes.where("low <> high"), "sizes")  # a region of one label is connected
+        fits = (F.col("members") <= LARGE) & (F.col("shingles_in") <= LARGE_SHINGLES)
+        new = [join_small(with_size(held, sizes.where(fits)), percent)]
+        large = stage_table(sizes.where(~fits), "large")
+        more = large.limit(1).count() > 0
+        if more:
+            seed += 1
+            windows = meet_pivots(held, large, seed, percent)
+            new.append(windows.where("link").select(F.col("parent").alias("a"), F.col("sid").alias("b")))
+        found = stage_table(reduce(DataFrame.unionByName, new).where("a <> b").distinct(), "links")
+        links = found if links is None else stage_table(links.unionByName(found), "links")
+        if not more:
+            return links
+        labels = connected(links)
+        spread = windows.where("not link").select("parent", "region", "sid")
+        of = spread.join(labels, spread.sid == labels.node, "left").select("parent", "region", F.coalesce("root", "sid").alias("label"))
+        open_ones = of.groupBy("parent", "region").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+        progress = stage_table(open_ones.groupBy("parent").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("work")).join(large.select(F.col("region").alias("parent"), "members"), "parent").select("parent", (2 * F.col("work") <= F.col("members") * F.col("members")).alias("smaller")), "progress")
+        stuck = stage_table(large.join(progress.where("not smaller").select(F.col("parent").alias("region")), "region", "left_semi"), "stuck")
+        if stuck.limit(1).count():
+            again = held.join(stuck.select("region").hint("merge"), "region").select("region", "sid", "shingles")
+            again = again.join(labels, again.sid == labels.node, "left").select("region", "sid", F.coalesce("root", "sid").alias("label"), "shingles")
+            links = stage_table(links.unionByName(join_blocks(again, stuck, percent)).distinct(), "links")
+            labels = connected(links)
+        rows = stage_table(spread.join(progress.where("smaller").select("parent").hint("merge"), "parent").select("region", "sid").distinct(), "rows")
+
+
+def exact_groups(keyed: DataFrame, sets: DataFrame, clusters: DataFrame, width: int, percent: int) -> DataFrame:
+    """sid, root: sets of each cluster that links connect, found with whole sets."""
+    chosen = sets.where("n > 0").groupBy("sid").agg(F.min(F.struct("id", "h1")).alias("doc"), F.first("n").alias("n"))
+    named = clusters.join(chosen, clusters.node == chosen.sid).select(F.col("root").alias("region"), "sid", "n", F.col("doc.id").alias("_id"), F.col("doc.h1").alias("_h1"))
+    sizes = stage_table(named.groupBy("region").agg(F.count("*").alias("members"), F.sum("n").alias("shingles_in")), "clusters")
+    fits = (F.col("members") <= LARGE) & (F.col("shingles_in") <= LARGE_SHINGLES)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for low in range(0, b.num_rows, 256):
+                part = b.slice(low, 256)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(1), pa.array([shingle_set(x.as_py(), width).tobytes() for x in part.column(2)], pa.binary())], names=["region", "sid", "label", "shingles"])
+
+    def members(which: DataFrame) -> DataFrame:
+        wanted = with_size(named, which)
+        return wanted.join(keyed, wanted._id.eqNullSafe(keyed.id) & (wanted._h1 == keyed.h1)).select("region", "sid", "text").mapInArrow(cut, MEMBER)
+
+    links = stage_table(join_small(members(sizes.where(fits)), percent), "links")
+    large = sizes.where(~fits)
+    if large.limit(1).count():
+        rows = stage_table(members(large).select("region", "sid", "shingles").dropDuplicates(["sid"]), "large")
+        links = stage_table(links.unionByName(join_large(rows, percent)), "links")
+    return connected(links).select(F.col("node").alias("sid"), "root")
 
 
 def components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -40,6 +40,16 @@ def test_regions_too_large_to_hold(spark, monkeypatch):
     assert rows_of(jj.components(df, 3, 70)) == jaccard_components(rows, 3, 70)
 
 
+@pytest.mark.parametrize(("seed", "width", "percent"), [(4, 3, 90), (5, 3, 70), (6, 2, 50)])
+def test_clusters_too_large_for_a_task(spark, monkeypatch, seed, width, percent):
+    """Every cluster goes through rounds of pivots, windows and blocks in Spark; hot pivots are dealt out."""
+    for name, value in (("LARGE", 2), ("BLOCK", 2), ("PIVOTS", 2), ("LEAF", 2), ("HOT", 40)):
+        monkeypatch.setattr(jj, name, value)
+    rows = corpus(seed, 40)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(jj.components(df, width, percent)) == jaccard_components(rows, width, percent)
+
+
 def test_keep_one(spark):
     rows = [(3, "a b c d e f"), (1, "a b c d e f"), (2, "x y z u v w"), (None, "a b c d e f"), (4, None), (5, "")]
     df = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, component_id string")
