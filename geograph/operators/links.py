@@ -21,40 +21,57 @@ PLACE_KM, TITLE_KM, NEAR_KM = 120, 60, 15
 TOP_LINKS = 4
 
 
-def _band(lat: Column, km: float) -> tuple[Column, Column]:
-    """Band of latitude of a point, and the bands' height in degrees: km and a little more."""
-    height = F.lit(km / (EARTH_KM * math.pi / 180) * 1.000001)
-    return F.floor((lat + 90) / height).cast("long"), height
+def _height(km: Column) -> Column:
+    """Degrees of latitude of a band: km and a little more."""
+    return km / F.lit(EARTH_KM * math.pi / 180) * F.lit(1.000001)
 
 
-def _width(band: Column, height: Column, km: float) -> Column:
+def _width(band: Column, km: Column) -> Column:
     """Degrees of longitude that km may span in a band or its neighbours, where they come
     nearest a pole, rounded up to a part of 360."""
+    height = _height(km)
     top = F.least(F.lit(90.0), F.greatest(F.abs((band - 1) * height - 90), F.abs((band + 2) * height - 90)))
-    half = F.lit(km / 2 / EARTH_KM)
+    half = km / 2 / F.lit(EARTH_KM)
     cosine = F.cos(F.radians(top))
     span = F.when(cosine > F.sin(half), F.degrees(2 * F.asin(F.sin(half) / F.when(cosine > F.sin(half), cosine))) * 1.000001).otherwise(F.lit(360.0))
     return F.lit(360.0) / F.greatest(F.lit(1.0), F.floor(F.lit(360.0) / span))
 
 
-def radius_join(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
-    """a, b, km of each pair of points (id, lat, lng), one of either side, at most km apart.
+def _cell(band: Column, km: Column) -> Column:
+    width = _width(band, km)
+    count = F.greatest(F.lit(1.0), F.round(F.lit(360.0) / width)).cast("long")
+    return F.least(F.floor(F.pmod(F.col("lng") + 180, F.lit(360.0)) / width).cast("long"), count - 1)
+
+
+def at_home(points: DataFrame, km: Column) -> DataFrame:
+    """points (lat, lng, ...) with the band and cell in which they are; those with a null coordinate go."""
+    placed = points.where("lat is not null and lng is not null").withColumn("band", F.floor((F.col("lat") + 90) / _height(km)).cast("long"))
+    return placed.withColumn("cell", _cell(F.col("band"), km))
+
+
+def all_round(points: DataFrame, km: Column) -> DataFrame:
+    """points once for each cell, their own or a neighbouring one, in which something within km may be."""
+    banded = at_home(points, km).drop("cell").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    count = F.greatest(F.lit(1.0), F.round(F.lit(360.0) / _width(F.col("band"), km))).cast("long")
+    cells = F.array(*[F.pmod(_cell(F.col("band"), km) + d, count) for d in (-1, 0, 1)])
+    return banded.withColumn("cell", F.explode(F.array_distinct(cells)))
+
+
+def radius_join(left: DataFrame, right: DataFrame, km: float | None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """a, b, km and the keys of each pair of points (id, lat, lng), one of either side, at most km apart.
 
     Points are put into cells as wide as km at least; those of the right side are
     sent to the neighbouring cells as well, and true distances decide. Cells wrap
     around at the antimeridian and span the circle at the poles. Points with a null
-    coordinate have no pair.
+    coordinate have no pair. keys: columns that both sides have and that must be
+    equal. Without km, both sides have it as a column `reach`, in which they agree.
     """
-    placed = lambda p: p.where("lat is not null and lng is not null").withColumn("band", _band(F.col("lat"), km)[0])
-    height = _band(F.lit(0.0), km)[1]
-    at = lambda b: F.floor(F.pmod(F.col("lng") + 180, F.lit(360.0)) / _width(b, height, km)).cast("long")
-    count = lambda b: F.greatest(F.lit(1.0), F.round(F.lit(360.0) / _width(b, height, km))).cast("long")
-    home = placed(left).select(F.col("id").alias("a"), F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng"), "band", F.least(at(F.col("band")), count(F.col("band")) - 1).alias("cell"))
-    bands = placed(right).withColumn("_b", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    cells = F.array(*[F.pmod(F.least(at(F.col("_b")), count(F.col("_b")) - 1) + d, count(F.col("_b"))) for d in (-1, 0, 1)])
-    away = bands.withColumn("cell", F.explode(F.array_distinct(cells))).select(F.col("id").alias("b"), F.col("lat").alias("b_lat"), F.col("lng").alias("b_lng"), F.col("_b").alias("band"), "cell")
-    near = home.join(away, ["band", "cell"]).withColumn("km", haversine_km("a_lat", "a_lng", "b_lat", "b_lng"))
-    return near.where(F.col("km") <= km).select("a", "b", "km")
+    reach = F.col("reach") if km is None else F.lit(float(km))
+    keys = (*keys, "reach") if km is None else keys
+    side = lambda p, s: p.select(F.col("id").alias(s), F.col("lat").alias(f"{s}_lat"), F.col("lng").alias(f"{s}_lng"), "band", "cell", *keys)
+    met = side(at_home(left, reach), "a").join(side(all_round(right, reach), "b"), ["band", "cell", *keys])
+    near = met.withColumn("km", haversine_km("a_lat", "a_lng", "b_lat", "b_lng"))
+    return near.where(F.col("km") <= reach).select("a", "b", "km", *keys)
 
 
 def radius_pairs(points: DataFrame, km: float, id_col: str = "pos", lat: str = "lat", lng: str = "lng") -> DataFrame:
@@ -69,37 +86,33 @@ def pairs_on(points: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return side("a").join(side("b"), key).where("a_pos < b_pos")
 
 
-def link_candidates(nodes: DataFrame) -> DataFrame:
-    """a, b (positions), rule, tier, score, rationale: the first of six rules that fits each pair.
+def _near_by_key(points: DataFrame, key: str, km: float) -> DataFrame:
+    """a, b, km of points (pos) that share a key and are at most km apart, a <> b."""
+    p = points.where(F.col(key).isNotNull() & (F.col(key) != "")).select(F.col("pos").alias("id"), "lat", "lng", F.col(key).alias("key"))
+    return radius_join(p, p, km, ("key",)).where("a <> b").drop("key")
 
-    nodes: pos, title, heritage_group, lat, lng and the facts of with_facts(). Rules:
-    1 same normal title; 2 same place within 120 km; 3 same specific era; 4 same GI
-    type but not the same place; 5 a shared title token within 60 km; 6 same group
-    within 15 km. Keys shared by very many nodes give many pairs: every such pair
-    is a candidate by rule.
-    """
-    n = nodes.withColumn("tokens", title_tokens("title"))
-    point = ["pos", "lat", "lng", "place", "era_fact", "gi_fact", "heritage_group", "tokens"]
-    km = haversine_km("a_lat", "a_lng", "b_lat", "b_lng")
-
-    def rows(pairs: DataFrame, rule: int, distance: Column | None = None, words: Column | None = None) -> DataFrame:
-        return pairs.select(
-            F.col("a_pos").alias("a"), F.col("b_pos").alias("b"),
-            F.struct(F.lit(rule).alias("rule"), (distance if distance is not None else F.lit(None).cast("double")).alias("km"), (words if words is not None else F.lit(None).cast("array<string>")).alias("words")).alias("hit"),
-        )
-
-    near = radius_pairs(n, TITLE_KM)
-    side = lambda s: n.select(F.col("pos").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in point])
-    close = near.join(side("a"), "a").join(side("b"), "b")
-    shared = F.array_intersect("a_tokens", "b_tokens")
-    found = (
-        rows(pairs_on(n, "norm_title", point), 1)
-        .unionByName(rows(pairs_on(n, "place", [c for c in point if c != "place"]).withColumn("_km", km).where(F.col("_km") <= PLACE_KM), 2))
-        .unionByName(rows(pairs_on(n, "era_fact", [c for c in point if c != "era_fact"]), 3))
-        .unionByName(rows(pairs_on(n, "gi_fact", [c for c in point if c != "gi_fact"]).where(~F.col("a_place").eqNullSafe(F.col("b_place"))), 4))
-        .unionByName(rows(close.where(F.size(shared) > 0), 5, words=shared))
-        .unionByName(rows(close.where(F.col("a_heritage_group").eqNullSafe(F.col("b_heritage_group")) & (F.col("km") <= NEAR_KM)), 6, distance=F.col("km")))
-    )
+
+def _hits(pairs: DataFrame, rule: int, distance: Column | None = None, words: Column | None = None) -> DataFrame:
+    """a, b, hit of pairs (a, b) that a rule links."""
+    none = lambda c, kind: F.lit(None).cast(kind) if c is None else c
+    return pairs.select("a", "b", F.struct(F.lit(rule).alias("rule"), none(distance, "double").alias("km"), none(words, "array<string>").alias("words")).alias("hit"))
+
+
+def _by_token_and_group(n: DataFrame) -> DataFrame:
+    """Hits of rules 5 and 6, each pair from either end: a shared title token within TITLE_KM, the same group within NEAR_KM."""
+    group = n.withColumn("_group", F.coalesce("heritage_group", F.lit(" ")))
+    tokens = n.select("pos", "lat", "lng", F.explode(title_tokens("title")).alias("token"))
+    side = tokens.select(F.struct("pos", "token").alias("id"), "lat", "lng", F.col("token").alias("key"))
+    met = radius_join(side, side, TITLE_KM, ("key",)).where("a.pos <> b.pos").select(F.col("a.pos").alias("a"), F.col("b.pos").alias("b"), "a.token")
+    order = n.select(F.col("pos").alias("a"), title_tokens("title").alias("_all"))
+    shared = met.groupBy("a", "b").agg(F.collect_set("token").alias("w"))
+    first = shared.select("a", "b", "w", F.least("a", "b").alias("_p")).join(order.withColumnRenamed("a", "_p"), "_p")  # words go as the earlier title has them
+    words = first.select("a", "b", F.filter("_all", lambda x: F.array_contains("w", x)).alias("words"))
+    return _hits(words, 5, words=F.col("words")).unionByName(_hits(_near_by_key(group, "_group", NEAR_KM), 6, F.col("km")))
+
+
+def _judged(found: DataFrame, n: DataFrame) -> DataFrame:
+    """a, b, rule, tier, score, rationale: the first rule of each of the hits' pairs."""
     first = found.groupBy("a", "b").agg(F.min_by("hit", "hit.rule").alias("hit")).select("a", "b", "hit.*")
     facts = n.select(F.col("pos").alias("a"), "place", "era_fact", "gi_fact", "heritage_group")
     count = F.size("words")
@@ -125,6 +138,26 @@ def link_candidates(nodes: DataFrame) -> DataFrame:
     return first.join(facts, "a").select("a", "b", "rule", tier.alias("tier"), score.alias("score"), rationale.alias("rationale"))
 
 
+def link_candidates(nodes: DataFrame) -> DataFrame:
+    """a, b (positions, a before b), rule, tier, score, rationale: the first of six rules that fits each pair.
+
+    nodes: pos, title, heritage_group, lat, lng and the facts of with_facts(). Rules:
+    1 same normal title; 2 same place within 120 km; 3 same specific era; 4 same GI
+    type but not the same place; 5 a shared title token within 60 km; 6 same group
+    within 15 km. Every such pair is a candidate, so a key shared by very many nodes
+    costs its square; link_graph() does without that.
+    """
+    on = lambda key, *more: pairs_on(nodes, key, ["pos", *more]).select(F.col("a_pos").alias("a"), F.col("b_pos").alias("b"), *[f"{s}_{c}" for c in more for s in "ab"])
+    found = (
+        _hits(on("norm_title"), 1)
+        .unionByName(_hits(_near_by_key(nodes, "place", PLACE_KM).where("a < b"), 2))
+        .unionByName(_hits(on("era_fact"), 3))
+        .unionByName(_hits(on("gi_fact", "place").where(~F.col("a_place").eqNullSafe(F.col("b_place"))), 4))
+        .unionByName(_by_token_and_group(nodes).where("a < b"))
+    )
+    return _judged(found, nodes)
+
+
 def top_links(candidates: DataFrame, k: int = TOP_LINKS) -> DataFrame:
     """Candidates that are among the k best of either end, ties to the earlier other end."""
     both = candidates.select(F.col("a").alias("own"), F.col("b").alias("other"), *candidates.columns).unionByName(candidates.select(F.col("b").alias("own"), F.col("a").alias("other"), *candidates.columns))
@@ -132,11 +165,61 @@ def top_links(candidates: DataFrame, k: int = TOP_LINKS) -> DataFrame:
     return best.select(*candidates.columns).distinct()
 
 
+def _first_of_key(nodes: DataFrame, key: str, most: int, apart: str | None = None) -> DataFrame:
+    """a, b: for each node the first `most` others, by pos, that share its key; with
+    `apart`, of those that do not share that column. Groups are cut to their first
+    members before they meet, so the work grows with the nodes, whatever the key."""
+    p = nodes.where(F.col(key).isNotNull() & (F.col(key) != "")).select("pos", F.col(key).alias("key"), (F.col(apart) if apart else F.lit(None).cast("string")).alias("apart"))
+    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("pos"))
+    firsts = p.withColumn("_n", nth("key", "apart")).where(F.col("_n") <= most + 1) if apart else p
+    firsts = firsts.withColumn("_n", nth("key")).where(F.col("_n") <= 2 * most + 1).select("key", F.col("pos").alias("b"), F.col("apart").alias("b_apart"))
+    met = p.withColumnRenamed("pos", "a").join(firsts, "key").where("a <> b")
+    return (met.where(~F.col("apart").eqNullSafe(F.col("b_apart"))) if apart else met).select("a", "b")
+
+
+def _first_near(nodes: DataFrame, key: str, km: float, most: int, held: int = 64) -> DataFrame:
+    """a, b: for each node the first `most` others, by pos, that share its key within km.
+
+    Nodes first meet the first `held` of each cell around them. Where a cell that
+    was cut might still have an earlier one, they meet its other members as well.
+    """
+    p = nodes.where(F.col(key).isNotNull() & (F.col(key) != "")).select(F.col("pos").alias("id"), "lat", "lng", F.col(key).alias("key"))
+    reach = F.lit(float(km))
+    at = ["key", "band", "cell"]
+    homes = at_home(p, reach).select(*at, F.col("id").alias("b"), F.col("lat").alias("b_lat"), F.col("lng").alias("b_lng"))
+    first = homes.withColumn("_n", F.row_number().over(Window.partitionBy(*at).orderBy("b"))).where(F.col("_n") <= held + 1).withColumn("_cut", F.col("_n") > held)
+    looks = all_round(p, reach).select(*at, F.col("id").alias("a"), F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng"))
+    met = looks.join(first, at).withColumn("km", haversine_km("a_lat", "a_lng", "b_lat", "b_lng"))
+    seen = met.where(F.col("_cut") | ((F.col("km") <= reach) & (F.col("a") != F.col("b"))))
+    found = seen.where("not _cut").select("a", "b").withColumn("_n", F.row_number().over(Window.partitionBy("a").orderBy("b"))).where(F.col("_n") <= most)
+    last = found.groupBy("a").agg(F.max("b").alias("last"), F.count("*").alias("n"))
+    cut = seen.where("_cut").groupBy("a").agg(F.min("b").alias("cut"))  # an unseen one stands here at the earliest
+    unsure = cut.join(last, "a", "left").where((F.coalesce("n", F.lit(0)) < most) | (F.col("cut") < F.col("last"))).select("a")
+    rest = looks.join(unsure, "a", "left_semi").join(homes, at).where("a <> b").where(haversine_km("a_lat", "a_lng", "b_lat", "b_lng") <= reach).select("a", "b")
+    return found.select("a", "b").unionByName(rest)
+
+
 def link_graph(nodes: DataFrame, k: int = TOP_LINKS) -> DataFrame:
-    """source_id, target_id (ordered), tier, score, rationale of the rule-linked graph."""
-    best = top_links(link_candidates(nodes), k)
+    """source_id, target_id (ordered), tier, score, rationale of the rule-linked graph: the
+    links of link_candidates() that are among the k best of either end.
+
+    Rules 1 to 4 have a constant score, and ties go to the earlier node. A node that
+    has fewer than k links by earlier rules needs the first 2 k by the next one at
+    most, so each node meets only the first members of its groups, and no pair of a
+    large group is listed.
+    """
+    n = nodes
+    found = (
+        _hits(_first_of_key(n, "norm_title", 2 * k), 1)
+        .unionByName(_hits(_first_near(n, "place", PLACE_KM, 2 * k), 2))
+        .unionByName(_hits(_first_of_key(n, "era_fact", 2 * k), 3))
+        .unionByName(_hits(_first_of_key(n, "gi_fact", 2 * k, "place"), 4))
+        .unionByName(_by_token_and_group(n))
+    )
+    best = _judged(found, n).withColumn("_n", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).where(F.col("_n") <= k)
+    pairs = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "tier", "score", "rationale").groupBy("a", "b").agg(F.first("tier").alias("tier"), F.first("score").alias("score"), F.first("rationale").alias("rationale"))
     name = lambda c: nodes.select(F.col("pos").alias(c), F.col("id").alias(f"{c}_id"))
-    named = best.join(name("a"), "a").join(name("b"), "b")
+    named = pairs.join(name("a"), "a").join(name("b"), "b")
     return named.select(F.least("a_id", "b_id").alias("source_id"), F.greatest("a_id", "b_id").alias("target_id"), "tier", "score", "rationale")
 
 

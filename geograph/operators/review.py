@@ -104,7 +104,7 @@ def promote(new: DataFrame, nodes: DataFrame, same_subject: DataFrame, link_verd
     each other.
     """
     titled = nodes.select(F.col("node_id").alias("other_id"), normal_title("title").alias("norm")).where("norm <> ''").groupBy("norm").agg(F.min("other_id").alias("by_title"))
-    near = best_matches(new.select(F.col("node_id").alias("query_id"), "embedding"), nodes.select("node_id", "embedding"), (1 << 31) - 1, duplicate_from)
+    near = best_matches(new.select(F.col("node_id").alias("query_id"), "embedding"), nodes.select("node_id", "embedding"), None, duplicate_from)
     confirmed = near.select(F.col("query_id").alias("node_id"), F.col("node_id").alias("other_id")).join(same_subject.select("node_id", "other_id").distinct(), ["node_id", "other_id"]).groupBy("node_id").agg(F.min("other_id").alias("by_vector"))
     judged = new.withColumn("norm", normal_title("title")).join(titled, "norm", "left").join(confirmed, "node_id", "left").withColumn("merged_into", F.coalesce("by_title", "by_vector"))
     added = judged.where("merged_into is null").drop("norm", "by_title", "by_vector")

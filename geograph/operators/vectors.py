@@ -17,7 +17,8 @@ from pyspark.sql.window import Window
 
 from ..functions.text import text
 
-BLOCK = 2048
+#: Rows in a block of nodes and of queries.
+BLOCK, ASKED = 1024, 256
 # Defaults of matching, candidates and duplicates.
 MATCH_COUNT, ANSWER_FROM = 3, 0.70
 NEIGHBOURS, LEAST_COSINE = 6, 0.35
@@ -33,42 +34,63 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
+def sound(vec_col: str) -> Column:
+    """True for vectors that can be compared: not null or empty, and without null, NaN or infinite components."""
+    fine = F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
+    return F.coalesce((F.size(vec_col) > 0) & fine, F.lit(False))
+
+
 def _packed(df: DataFrame, id_col: str, vec_col: str, prefix: str, size: int) -> DataFrame:
-    """Blocks of unit vectors: ids and a row-major matrix."""
+    """Blocks of sound vectors: ids and a row-major matrix, short vectors filled up with zeros."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for low in range(0, b.num_rows, size):
                 ids, vectors = b.column(0)[low : low + size], b.column(1)[low : low + size]
-                m = np.array(vectors.to_pylist(), np.float64)
-                m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
-                yield pa.RecordBatch.from_arrays([pa.array([ids.to_pylist()], pa.list_(ids.type)), pa.array([m.shape[1]], pa.int32()), pa.array([m.tobytes()], pa.binary())], names=[f"{prefix}_ids", f"{prefix}_dim", f"{prefix}_m"])
+                lengths = np.diff(vectors.offsets.to_numpy())
+                flat = vectors.flatten().to_numpy(zero_copy_only=False)
+                m = np.zeros((len(vectors), int(lengths.max())), np.float32 if flat.dtype == np.float32 else np.float64)
+                m[np.arange(m.shape[1]) < lengths[:, None]] = flat
+                yield pa.RecordBatch.from_arrays([pa.array([ids.to_pylist()], pa.list_(ids.type)), pa.array([m.shape[1]], pa.int32()), pa.array([m.dtype.str]), pa.array([m.tobytes()], pa.binary())], names=[f"{prefix}_{c}" for c in ("ids", "dim", "type", "m")])
 
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.where(F.col(vec_col).isNotNull() & (F.size(vec_col) > 0)).select(id_col, vec_col)
-    return rows.mapInArrow(pack, f"{prefix}_ids array<{kind}>, {prefix}_dim int, {prefix}_m binary")
+    rows = df.where(sound(vec_col)).select(id_col, vec_col)
+    return rows.mapInArrow(pack, f"{prefix}_ids array<{kind}>, {prefix}_dim int, {prefix}_type string, {prefix}_m binary")
+
 
+def _unit(raw: bytes, kind: str, dim: int, width: int) -> np.ndarray:
+    """Rows of a packed block as unit vectors of `width` components; a norm of zero counts as 1e-9."""
+    m = np.frombuffer(raw, kind).reshape(-1, dim).astype(np.float64)
+    largest = np.maximum(np.abs(m).max(axis=1, keepdims=True), 1.0)  # so that no square overflows
+    norm = np.linalg.norm(m / largest, axis=1, keepdims=True) * largest
+    return np.pad(m / np.maximum(norm, 1e-9), ((0, 0), (0, width - dim)))
 
-def best_matches(queries: DataFrame, nodes: DataFrame, k: int, least: float | None = None, query_id: str = "query_id", node_id: str = "node_id", vec_col: str = "embedding", skip_same: bool = False) -> DataFrame:
+
+def best_matches(queries: DataFrame, nodes: DataFrame, k: int | None, least: float | None = None, query_id: str = "query_id", node_id: str = "node_id", vec_col: str = "embedding", skip_same: bool = False) -> DataFrame:
     """query_id, node_id, similarity, rank: each query's k most similar nodes, ties to the
     smaller id; with `least`, none less similar. skip_same: a node is no match of its
-    own id. Vectors all have one length; null and empty ones take no part."""
+    own id. k None: all that reach `least`, without rank. Null and empty vectors, and
+    those with null, NaN or infinite components, take no part, as query or as node;
+    shorter vectors count as filled up with zeros."""
     kind = nodes.schema[node_id].dataType.simpleString()
     q_kind = queries.schema[query_id].dataType.simpleString()
     shards = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = _packed(nodes, node_id, vec_col, "n", BLOCK).withColumn("shard", F.pmod(F.xxhash64("n_m"), F.lit(shards)).cast("int"))
-    asked = _packed(queries, query_id, vec_col, "q", 256).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    pairs = spread.join(asked, "shard").select("n_ids", "n_dim", "n_m", "q_ids", "q_dim", "q_m")
+    asked = _packed(queries, query_id, vec_col, "q", ASKED).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    pairs = spread.join(asked, "shard").select(*[f"{p}_{c}" for p in "nq" for c in ("ids", "dim", "type", "m")])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for n_ids, n_dim, n_m, q_ids, q_dim, q_m in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                n_ids, q_ids = np.array(n_ids), np.array(q_ids)
-                s = np.frombuffer(q_m).reshape(-1, q_dim) @ np.frombuffer(n_m).reshape(-1, n_dim).T
+            for row in range(b.num_rows):  # a pair of blocks at a time, so that a batch of pairs is not held twice
+                n_ids, n_dim, n_type, n_m, q_ids, q_dim, q_type, q_m = (c[row].as_py() for c in b.columns)
+                n_ids, q_ids, width = np.array(n_ids), np.array(q_ids), max(n_dim, q_dim)
+                s = _unit(q_m, q_type, q_dim, width) @ _unit(n_m, n_type, n_dim, width).T
                 if skip_same:
                     s[q_ids[:, None] == n_ids[None, :]] = -np.inf
-                cut = np.partition(s, len(n_ids) - k, axis=1)[:, len(n_ids) - k] if len(n_ids) > k else np.full(len(q_ids), -np.inf)
-                keep = (s >= cut[:, None] - 1e-9) & (s > -np.inf)  # sums differ in their last digits: what may tie stays
+                keep = s > -np.inf
+                if k is not None and len(n_ids) > k:
+                    cut = np.partition(s, len(n_ids) - k, axis=1)[:, len(n_ids) - k]
+                    keep &= s >= cut[:, None] - 1e-9  # sums differ in their last digits: what may tie stays
                 if least is not None:
                     keep &= s >= least - 1e-9
                 qi, ni = np.nonzero(keep)
@@ -77,6 +99,8 @@ def best_matches(queries: DataFrame, nodes: DataFrame, k: int, least: float | No
     found = pairs.mapInArrow(score, f"query_id {q_kind}, node_id {kind}, similarity double")
     if least is not None:
         found = found.where(F.col("similarity") >= least)
+    if k is None:
+        return found
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "node_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -91,7 +115,7 @@ def knn_candidates(nodes: DataFrame, k: int = NEIGHBOURS, least: float = LEAST_C
 
 def similar_pairs(nodes: DataFrame, least: float, node_id: str = "node_id", vec_col: str = "embedding") -> DataFrame:
     """a < b, similarity of all pairs with a cosine of `least`; exact, block by block."""
-    found = best_matches(nodes.select(F.col(node_id).alias("query_id"), F.col(vec_col).alias("embedding")), nodes.select(F.col(node_id).alias("node_id"), F.col(vec_col).alias("embedding")), (1 << 31) - 1, least, skip_same=True)
+    found = best_matches(nodes.select(F.col(node_id).alias("query_id"), F.col(vec_col).alias("embedding")), nodes.select(F.col(node_id).alias("node_id"), F.col(vec_col).alias("embedding")), None, least, skip_same=True)
     return found.where("query_id < node_id").select(F.col("query_id").alias("a"), F.col("node_id").alias("b"), "similarity")
 
 
@@ -118,8 +142,12 @@ def semantic_dedupe(nodes: DataFrame, verdicts: DataFrame, least: float = DUPLIC
     canonical. Components merge more than a greedy pass over the pairs would, but
     they depend on no order and leave no chains."""
     said = verdicts.where("same_subject").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
-    found = similar_pairs(nodes, least, node_id, vec_col).join(said, ["a", "b"])
-    return components(found).where("node <> root").select(F.col("node").alias("node_id"), F.col("root").alias("canonical"))
+    return merged_components(similar_pairs(nodes, least, node_id, vec_col).join(said, ["a", "b"]))
+
+
+def merged_components(pairs: DataFrame) -> DataFrame:
+    """node_id, canonical of the nodes that confirmed pairs (a, b) merge into a smaller id."""
+    return components(pairs).where("node <> root").select(F.col("node").alias("node_id"), F.col("root").alias("canonical"))
 
 
 def resolve_canonical(nodes: DataFrame, rounds: int = 40) -> DataFrame:
@@ -135,12 +163,12 @@ def resolve_canonical(nodes: DataFrame, rounds: int = 40) -> DataFrame:
     return now
 
 
-def answers(queries: DataFrame, nodes: DataFrame, k: int = MATCH_COUNT, least: float = ANSWER_FROM) -> DataFrame:
+def answers(queries: DataFrame, nodes: DataFrame, k: int = MATCH_COUNT, least: float = ANSWER_FROM, skip_same: bool = False) -> DataFrame:
     """query_id, refused, top_similarity, context, prompt. nodes: node_id, title, content,
     embedding; queries: query_id, user_query, embedding. A query is refused where
     nothing matches or the best match is less similar than `least`."""
     asked = queries.where(F.trim(text("user_query")) != "")
-    matches = best_matches(asked.select("query_id", "embedding"), nodes.select("node_id", "embedding"), k).join(nodes.select("node_id", "title", "content"), "node_id")
+    matches = best_matches(asked.select("query_id", "embedding"), nodes.select("node_id", "embedding"), k, skip_same=skip_same).join(nodes.select("node_id", "title", "content"), "node_id")
     chunk = F.concat(F.lit("Title: "), text("title"), F.lit("\nContent: "), text("content"))
     gathered = matches.groupBy("query_id").agg(F.max("similarity").alias("top_similarity"), F.array_sort(F.collect_list(F.struct("rank", chunk.alias("t")))).alias("m"))
     context = F.array_join(F.transform("m", lambda x: x["t"]), "\n\n---\n\n")
@@ -154,12 +182,17 @@ def hashed_embedding(texts: list[str | None]) -> np.ndarray:
     """A text's words, hashed into EMBEDDING_SIZE signed places, as a unit vector: the embedder that needs no model."""
     import re
     import zlib
+    from collections import Counter
 
     out = np.zeros((len(texts), EMBEDDING_SIZE), np.float32)
+    places: dict[str, tuple[int, int]] = {}  # each word of the batch is hashed once
     for i, t in enumerate(texts):
-        for w in re.findall(r"\w+", (t or "").lower()):
-            h = zlib.crc32(w.encode("utf-8", "surrogatepass"))
-            out[i, (h >> 1) % EMBEDDING_SIZE] += 1 if h & 1 else -1
+        for w, n in Counter(re.findall(r"\w+", (t or "").lower())).items():
+            if w not in places:
+                h = zlib.crc32(w.encode("utf-8", "surrogatepass"))
+                places[w] = (h >> 1) % EMBEDDING_SIZE, 1 if h & 1 else -1
+            at, sign = places[w]
+            out[i, at] += sign * n
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 

@@ -212,18 +212,18 @@ def semantic_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)[1]
     pairs = vectors.similar_pairs(v, 0.40)
     label = lambda c: v.select(F.col("node_id").alias(c), F.col("label").alias(f"{c}_label"))
-    said = pairs.join(label("a"), "a").join(label("b"), "b").select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), (F.col("a_label") == F.col("b_label")).alias("same_subject"))
-    return vectors.semantic_dedupe(v, said, 0.40)
+    said = pairs.join(label("a"), "a").join(label("b"), "b").where("a_label = b_label").select("a", "b")
+    return vectors.merged_components(said)
 
 
-@query(f"""WITH m AS (SELECT a.vec_id AS q, b.vec_id AS i, {_COS} AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND b.vec_id % 20 <> 0),
+@query(f"""WITH m AS (SELECT a.vec_id AS q, b.vec_id AS i, {_COS} AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
   g AS (SELECT q, max(s) AS top, string_agg('Title: T' || i || chr(10) || 'Content: ' || CAST((SELECT label FROM embeddings e WHERE e.vec_id = m.i) AS VARCHAR), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY r) AS t FROM m WHERE r <= 3 GROUP BY q)
   SELECT q AS query_id, top < 0.40 AS refused, round(top, 6) AS top_similarity, CASE WHEN top >= 0.40 THEN t END AS context FROM g""")
 def answerability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Context of each query, or its refusal."""
     q, v = _vectors(spark, sf_dir)
-    there = v.where("node_id % 20 <> 0").select("node_id", F.concat(F.lit("T"), "node_id").alias("title"), F.col("label").cast("string").alias("content"), "embedding")
-    return vectors.answers(q.withColumn("user_query", F.lit("what is here?")), there, 3, 0.40).select("query_id", "refused", F.round("top_similarity", 6).alias("top_similarity"), "context")
+    there = v.select("node_id", F.concat(F.lit("T"), "node_id").alias("title"), F.col("label").cast("string").alias("content"), "embedding")
+    return vectors.answers(q.withColumn("user_query", F.lit("what is here?")), there, 3, 0.40, skip_same=True).select("query_id", "refused", F.round("top_similarity", 6).alias("top_similarity"), "context")
 
 
 @query(f"""WITH s AS ({duck(SCANS)}), f AS ({duck(FENCES)}), e AS (SELECT *, sum(CASE WHEN is_reset THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS epoch FROM s),
@@ -502,12 +502,12 @@ def promotion_verdicts(new: DataFrame, there: DataFrame) -> tuple[DataFrame, Dat
     pair's checksum: (same_subject, link_verdicts), some of the latter malformed."""
     asked, known = new.select(F.col("node_id").alias("query_id"), "embedding"), there.select("node_id", "embedding")
 
-    def pairs(k: int, least: float) -> DataFrame:
+    def pairs(k: int | None, least: float) -> DataFrame:
         found = vectors.best_matches(asked, known, k, least).select(F.col("query_id").alias("node_id"), F.col("node_id").alias("other_id"))
         return found.withColumn("sum", F.crc32(F.concat_ws("|", "node_id", "other_id").cast("binary")))
 
     c = F.col("sum")
-    same = pairs((1 << 31) - 1, review.DUPLICATE_FROM).where(c % 2 == 0).drop("sum")
+    same = pairs(None, review.DUPLICATE_FROM).where(c % 2 == 0).drop("sum")
     said = pairs(review.NEIGHBOURS, review.LEAST_COSINE).select("node_id", "other_id", (c % 2 == 0).alias("connect"), F.when(c % 3 == 0, "guess").otherwise("potential").alias("tier"), F.when(c % 5 == 0, " ").otherwise(" near in meaning ").alias("rationale"))
     return same, said
 
