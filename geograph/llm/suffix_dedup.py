@@ -202,8 +202,9 @@ def _runs(dup: np.ndarray, of: np.ndarray, begin: np.ndarray) -> tuple[np.ndarra
 
 
 def _refine(extents: DataFrame, hot: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """(spans, open): the repeated strings among the extents of each bucket, and the
-    single strings of hot buckets, and of those too large for a task, to be counted by Spark."""
+    """(spans, open): the repeated strings among the extents of each bucket, and one row for
+    each different string of each part of a bucket that is hot or too large for a
+    task, to be counted by Spark."""
     spark = extents.sparkSession
     ordered = _marked(extents, hot).repartition(shuffle_partitions(spark), "bucket", "_salt").sortWithinPartitions("bucket").select("bucket", "h1", "h2", "begin", "several", "extent", "_hot")
     names = ["name", "bucket", "h1", "h2", "begin", "end", "several"]
@@ -219,31 +220,39 @@ def _refine(extents: DataFrame, hot: DataFrame, length: int) -> tuple[DataFrame,
         of = np.repeat(np.arange(len(raw)), sizes - length + 1)
         return mix(ids[at + nth]), of, t.column("begin").to_numpy()[of] + nth
 
-    def settle(t: pa.Table) -> pa.RecordBatch:
+    def settle(t: pa.Table, whole: bool = True) -> Iterator[pa.RecordBatch]:
+        """The repeated strings of t, as runs. Of a part of a bucket (not whole), one row goes
+        on for each different string, marked `several` where its place is settled."""
         ids, of, begin = strings(t)
         several = t.column("several").to_numpy(zero_copy_only=False)
-        _, inverse, n = np.unique(ids, return_inverse=True, return_counts=True)
+        names_in, at, inverse, n = np.unique(ids, return_index=True, return_inverse=True, return_counts=True)
         donated = np.zeros(len(n), bool)
         donated[inverse[several[of]]] = True
-        row, first, last = _runs(((n > 1) | donated)[inverse] & ~several[of], of, begin)
+        again = (n > 1) | donated
+        row, first, last = _runs(again[inverse] & ~several[of], of, begin)
         take = pa.array(row)
         none = pa.nulls(len(row), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, t.column("h1").take(take).combine_chunks(), t.column("h2").take(take).combine_chunks(), pa.array(first.astype(np.int32)), pa.array((last + length).astype(np.int32)), pa.array(np.zeros(len(row), bool))], names=names)
+        own = lambda rows: [t.column(c).take(rows).combine_chunks() for c in ("h1", "h2")]
+        yield pa.RecordBatch.from_arrays([none, none, *own(take), pa.array(first.astype(np.int32)), pa.array((last + length).astype(np.int32)), pa.array(np.zeros(len(row), bool))], names=names)
+        if not whole:
+            one = pa.array(of[at])
+            yield pa.RecordBatch.from_arrays([_long(names_in), t.column("bucket").take(one).combine_chunks(), *own(one), pa.array(begin[at].astype(np.int32)), pa.array((begin[at] + length).astype(np.int32)), pa.array(again)], names=names)
 
     def leave_open(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        for low in range(0, t.num_rows, 1024):
-            part = t.slice(low, 1024).combine_chunks()
-            ids, of, begin = strings(part)
-            take = pa.array(of)
-            yield pa.RecordBatch.from_arrays([_long(ids), *(part.column(c).take(take).combine_chunks() for c in ("bucket", "h1", "h2")), pa.array(begin.astype(np.int32)), pa.array((begin + length).astype(np.int32)), part.column("several").take(take).combine_chunks()], names=names)
+        for low in range(0, t.num_rows, BUCKET_ROWS):
+            yield from settle(t.slice(low, BUCKET_ROWS).combine_chunks(), whole=False)
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, too_large = None, None
+        held, too_large, hot_rows = None, None, []
         for b in batches:
             for low in range(0, b.num_rows, BUCKET_ROWS):
                 t = pa.Table.from_batches([b.slice(low, BUCKET_ROWS)])
-                yield from leave_open(t.filter(t.column("_hot")))
-                t = t.filter(pc.invert(t.column("_hot")))
+                if pc.any(t.column("_hot")).as_py():
+                    hot_rows.append(t.filter(t.column("_hot")))
+                    if sum(x.num_rows for x in hot_rows) >= BUCKET_ROWS:
+                        yield from leave_open(pa.concat_tables(hot_rows))
+                        hot_rows = []
+                    t = t.filter(pc.invert(t.column("_hot")))
                 t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
                 if not t.num_rows:
                     continue
@@ -258,13 +267,15 @@ def _refine(extents: DataFrame, hot: DataFrame, length: int) -> tuple[DataFrame,
                     too_large = None
                 n = int(np.searchsorted(bucket, bucket[-1], "left"))
                 if n:
-                    yield settle(t.slice(0, n).combine_chunks())
+                    yield from settle(t.slice(0, n).combine_chunks())
                 held = t.slice(n)
                 if held.num_rows > BUCKET_ROWS:
                     yield from leave_open(held)
                     too_large, held = int(bucket[-1]), None
+        if hot_rows:
+            yield from leave_open(pa.concat_tables(hot_rows))
         if held is not None and held.num_rows:
-            yield settle(held.combine_chunks())
+            yield from settle(held.combine_chunks())
 
     found = stage_table(ordered.mapInArrow(refine, schema), "strings")
     return found.where("name is null").select("h1", "h2", "begin", "end"), found.where("name is not null")
@@ -310,7 +321,7 @@ def with_spans(docs: DataFrame, id_col: str, text_col: str, length: int, q: int)
     own = lambda df: df.where("bucket is null").select("h1", "h2", "begin", (F.col("begin") + F.col("span") + length).alias("end"))
     refined, unsettled = _refine(_extents(keyed, buckets.where("bucket is not null"), first, length), hot, length)
     seen = unsettled.groupBy("name", "bucket").agg(F.count("*").alias("n"), F.max("several").alias("several")).where("n > 1 or several").select("name", "bucket")
-    counted = unsettled.join(seen, ["name", "bucket"]).select("h1", "h2", "begin", "end")
+    counted = unsettled.where("not several").join(seen, ["name", "bucket"]).select("h1", "h2", "begin", "end")
     spans = own(anchors).unionByName(own(buckets)).unionByName(refined).unionByName(counted)
     by_text = spans.groupBy("h1", "h2").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
     marked = first.select("h1", "h2", (F.col("copies") > 1).alias("copied")).join(by_text, ["h1", "h2"], "left").where("copied or spans is not null")

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from ..functions.geo import EARTH_KM, haversine_km
 from ..functions.text import title_tokens
 from ..sources.schemas import SHOWN_TIERS, TIERS
+from .staging import settled
 
 # The cascade's distances, and links kept for a node.
 PLACE_KM, TITLE_KM, NEAR_KM = 120, 60, 15
@@ -208,7 +209,7 @@ def link_graph(nodes: DataFrame, k: int = TOP_LINKS) -> DataFrame:
     most, so each node meets only the first members of its groups, and no pair of a
     large group is listed.
     """
-    n = nodes
+    n = settled(nodes.select("pos", "id", "title", "lat", "lng", "heritage_group", "place", "era_fact", "gi_fact", "norm_title"))  # the facts are read once, not in every rule
     found = (
         _hits(_first_of_key(n, "norm_title", 2 * k), 1)
         .unionByName(_hits(_first_near(n, "place", PLACE_KM, 2 * k), 2))
@@ -218,7 +219,7 @@ def link_graph(nodes: DataFrame, k: int = TOP_LINKS) -> DataFrame:
     )
     best = _judged(found, n).withColumn("_n", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).where(F.col("_n") <= k)
     pairs = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "tier", "score", "rationale").groupBy("a", "b").agg(F.first("tier").alias("tier"), F.first("score").alias("score"), F.first("rationale").alias("rationale"))
-    name = lambda c: nodes.select(F.col("pos").alias(c), F.col("id").alias(f"{c}_id"))
+    name = lambda c: n.select(F.col("pos").alias(c), F.col("id").alias(f"{c}_id"))
     named = pairs.join(name("a"), "a").join(name("b"), "b")
     return named.select(F.least("a_id", "b_id").alias("source_id"), F.greatest("a_id", "b_id").alias("target_id"), "tier", "score", "rationale")
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import text
+from .staging import settled
 
 #: Rows in a block of nodes and of queries.
 BLOCK, ASKED = 1024, 256
@@ -124,13 +125,14 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     neighbours and are followed one step further each round; rounds are
     checkpointed, so that plans stay short and lost executors cost little."""
     edges = pairs.select(F.col(a).alias("a"), F.col(b).alias("b"))
-    edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node").checkpoint()
+    edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    edges = settled(edges)
+    labels = settled(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"))
     while True:
         heard = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("root").alias("heard"))
         told = labels.join(heard, labels.node == heard.a).select("node", F.col("root").alias("was"), F.least("root", "heard").alias("next"))
         further = labels.select(F.col("node").alias("at"), F.col("root").alias("further"))
-        moved = told.join(further, told.next == further.at, "left").select("node", "was", F.least("next", F.coalesce("further", "next")).alias("root")).checkpoint()
+        moved = settled(told.join(further, told.next == further.at, "left").select("node", "was", F.least("next", F.coalesce("further", "next")).alias("root")))
         labels = moved.select("node", "root")
         if moved.where("was <> root").isEmpty():
             return labels
@@ -153,10 +155,10 @@ def merged_components(pairs: DataFrame) -> DataFrame:
 def resolve_canonical(nodes: DataFrame, rounds: int = 40) -> DataFrame:
     """node_id, canonical: where merged_into leads in the end, following chains. Each round
     doubles the steps; a circle ends at one of its own nodes."""
-    now = nodes.select("node_id", F.coalesce("merged_into", "node_id").alias("canonical")).checkpoint()
+    now = settled(nodes.select("node_id", F.coalesce("merged_into", "node_id").alias("canonical")))
     for _ in range(rounds):
         step = now.select(F.col("node_id").alias("_at"), F.col("canonical").alias("_to"))
-        nxt = now.join(step, now.canonical == step._at, "left").select("node_id", "canonical", F.coalesce("_to", "canonical").alias("to")).checkpoint()
+        nxt = settled(now.join(step, now.canonical == step._at, "left").select("node_id", "canonical", F.coalesce("_to", "canonical").alias("to")))
         now = nxt.select("node_id", F.col("to").alias("canonical"))
         if nxt.where("canonical <> to").isEmpty():
             break
