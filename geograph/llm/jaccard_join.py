@@ -49,7 +49,9 @@ REGION_ROWS = 1 << 20
 #: Document pivots of a region, and members up to which all are compared.
 PIVOTS, LEAF = 16, 24
 #: Members, and their shingles, of a cluster or region that a task joins in memory, and of a block of a larger one.
-LARGE, LARGE_SHINGLES, BLOCK = 512, 1 << 22, 256
+LARGE, LARGE_SHINGLES, BLOCK = 1024, 1 << 22, 256
+#: Rows up to which a table of large regions is broadcast.
+FEW = 100_000
 #: A class of shingles with over 1 / HOT of all is hot; rows of its pivots are dealt to SALTS tasks.
 HOT, SALTS = 20_000, 64
 _CHUNKS = 16
@@ -320,9 +322,10 @@ def first_regions(keyed: DataFrame, rarity: np.ndarray, width: int, percent: int
     return stage_table(ordered.mapInArrow(gather, "region long, sid long").distinct(), "regions")
 
 
-def with_size(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """rows with their region's size; a large region's rows may be split among tasks."""
-    return rows.join(sizes.hint("merge"), "region")
+def few(staged: DataFrame) -> DataFrame:
+    """A staged table of large regions, to be broadcast if it has FEW rows at most. Else it is
+    merged; large regions' rows are then split where they are skewed."""
+    return F.broadcast(staged) if staged.limit(FEW + 1).count() <= FEW else staged.hint("merge")
 
 
 def may_link(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -333,13 +336,13 @@ def may_link(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     spark = regions.sparkSession
     vectors = sets.where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("counts").alias("counts"))
-    sizes = stage_table(regions.groupBy("region").agg(F.count("*").alias("members")).where("members > 1"), "sizes")
-    few = with_size(regions, sizes.where(F.col("members") <= LARGE))
-    rows = few.join(vectors, "sid").repartition(shuffle_partitions(spark), "region").sortWithinPartitions("region", "n", "sid").select("region", "sid", "n", "counts")
-    many = with_size(regions, sizes.where(F.col("members") > LARGE)).join(vectors.select("sid", "n"), "sid")
+    large = few(stage_table(regions.groupBy("region").agg(F.count("*").alias("members")).where(F.col("members") > LARGE).select("region"), "large"))
+    rows = regions.join(large, "region", "left_anti").join(vectors, "sid").repartition(shuffle_partitions(spark), "region").sortWithinPartitions("region", "n", "sid").select("region", "sid", "n", "counts")
+    many = regions.join(large, "region", "left_semi").join(vectors.select("sid", "n"), "sid")
     band = F.floor(F.log("n") / float(np.log(100 / percent) * 1.0001)).cast("long") if percent < 100 else F.col("n")
-    like = many.select("region", "sid", F.explode(F.array(band, band + 1)).alias("band"))
-    stars = like.join(like.groupBy("region", "band").agg(F.min("sid").alias("a")).hint("merge"), ["region", "band"]).where("a <> sid").select("a", F.col("sid").alias("b"))
+    like = stage_table(many.select("region", "sid", F.explode(F.array(band, band + 1)).alias("band")), "like")
+    least = few(stage_table(like.groupBy("region", "band").agg(F.min("sid").alias("a")), "stars"))
+    stars = like.join(least, ["region", "band"]).where("a <> sid").select("a", F.col("sid").alias("b"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, _ in _complete(batches, "region"):
@@ -433,10 +436,10 @@ def meet_pivots(members: DataFrame, sizes: DataFrame, seed: int, percent: int) -
     the member's windows (parent, region). Members are dealt in blocks, each of which
     gets the region's PIVOTS pivots."""
     spark = members.sparkSession
-    dealt = with_size(members, sizes).withColumn("blocks", _blocks("members", "shingles_in"))
+    dealt = members.join(few(sizes), "region").withColumn("blocks", _blocks("members", "shingles_in"))
     nth = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("sid", F.lit(seed)), "sid"))
-    chosen = dealt.select("region", "sid", "blocks").withColumn("nth", nth).where(F.col("nth") <= PIVOTS)
-    pivots = chosen.join(members.select("region", "sid", "shingles"), ["region", "sid"]).select("region", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("kind"), "sid", "shingles")
+    chosen = stage_table(dealt.select("region", "sid", "blocks").withColumn("nth", nth).where(F.col("nth") <= PIVOTS).drop("nth"), "pivots")
+    pivots = members.select("region", "sid", "shingles").join(few(chosen), ["region", "sid"]).select("region", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("kind"), "sid", "shingles")
     own = dealt.select("region", F.pmod(F.xxhash64("sid"), F.col("blocks")).alias("block"), F.lit(1).alias("kind"), "sid", "shingles")
     ordered = pivots.unionByName(own).repartition(shuffle_partitions(spark), "region", "block").sortWithinPartitions("region", "block", "kind", "sid").select("region", "block", "kind", "sid", "shingles")
 
@@ -478,7 +481,7 @@ def join_blocks(members: DataFrame, sizes: DataFrame, percent: int) -> DataFrame
     counts = members.groupBy("region", "label").agg(F.count("*").alias("n"), F.sum(F.length("shingles") / 8).alias("s"))
     main = counts.groupBy("region").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.sum("s").alias("minor_shingles"))
     shape = stage_table(main.join(sizes, "region").select("region", "main", _blocks("members", "shingles_in").alias("blocks"), F.expr("all - most").alias("minor"), "minor_shingles").where("minor > 0").withColumn("minors", _blocks("minor", "minor_shingles")).drop("minor", "minor_shingles"), "shape")
-    dealt = members.join(shape.hint("merge"), "region")
+    dealt = members.join(few(shape), "region")
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     minor = dealt.where("label <> main").select("region", F.pmod(F.xxhash64("sid", F.lit(1)), F.col("minors")).alias("x"), upto("blocks").alias("y"), F.lit(0).alias("kind"), "sid", "label", "shingles")
     every = dealt.select("region", upto("minors").alias("x"), F.pmod(F.xxhash64("sid"), F.col("blocks")).alias("y"), F.lit(1).alias("kind"), "sid", "label", "shingles")
@@ -519,16 +522,12 @@ def join_large(members: DataFrame, percent: int) -> DataFrame:
     """a, b: links that connect the linked sets of large clusters (region, sid, shingles;
     staged), in rounds. Each round stages its links, labels and rows."""
     sets = members.select("sid", "shingles")
-    rows, links, labels, seed = members.select("region", "sid"), None, None, 0
+    held, links, seed = members.withColumn("label", F.col("sid")), None, 0
     while True:
-        own = rows if labels is None else rows.join(labels, rows.sid == labels.node, "left").select("region", "sid", F.coalesce("root", "sid").alias("label"))
-        own = own.withColumn("label", F.col("sid")) if labels is None else own
-        held = stage_table(own.join(sets, "sid").select("region", "sid", "label", "shingles"), "members")
-        sizes = held.groupBy("region").agg(F.count("*").alias("members"), F.sum(F.length("shingles") / 8).alias("shingles_in"), F.min("label").alias("low"), F.max("label").alias("high"))
-        sizes = stage_table(sizes.where("low <> high"), "sizes")  # a region of one label is connected
+        sizes = held.groupBy("region").agg(F.count("*").alias("members"), F.sum(F.length("shingles") / 8).alias("shingles_in"))
         fits = (F.col("members") <= LARGE) & (F.col("shingles_in") <= LARGE_SHINGLES)
-        new = [join_small(with_size(held, sizes.where(fits)), percent)]
         large = stage_table(sizes.where(~fits), "large")
+        new = [join_small(held.join(few(large.select("region")), "region", "left_anti"), percent)]
         more = large.limit(1).count() > 0
         if more:
             seed += 1
@@ -538,26 +537,28 @@ def join_large(members: DataFrame, percent: int) -> DataFrame:
         links = found if links is None else stage_table(links.unionByName(found), "links")
         if not more:
             return links
-        labels = connected(links)
-        spread = windows.where("not link").select("parent", "region", "sid")
-        of = spread.join(labels, spread.sid == labels.node, "left").select("parent", "region", F.coalesce("root", "sid").alias("label"))
-        open_ones = of.groupBy("parent", "region").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        progress = stage_table(open_ones.groupBy("parent").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("work")).join(large.select(F.col("region").alias("parent"), "members"), "parent").select("parent", (2 * F.col("work") <= F.col("members") * F.col("members")).alias("smaller")), "progress")
-        stuck = stage_table(large.join(progress.where("not smaller").select(F.col("parent").alias("region")), "region", "left_semi"), "stuck")
+        named = lambda df, found: df.join(found, df.sid == found.node, "left").withColumn("label", F.coalesce("root", "sid")).drop("node", "root")
+        spread = stage_table(named(windows.where("not link").select("parent", "region", "sid"), connected(links)), "spread")
+        of = spread.groupBy("parent", "region").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+        open_ones = stage_table(of.where("low <> high"), "open")  # a region of one label is connected
+        work = open_ones.groupBy("parent").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("work"))
+        judged = work.join(large.select(F.col("region").alias("parent"), "members", "shingles_in"), "parent").withColumn("stuck", 2 * F.col("work") > F.col("members").cast("double") * F.col("members"))
+        judged = stage_table(judged, "judged")
+        stuck = stage_table(judged.where("stuck").select(F.col("parent").alias("region"), "members", "shingles_in"), "stuck")
         if stuck.limit(1).count():
-            again = held.join(stuck.select("region").hint("merge"), "region").select("region", "sid", "shingles")
-            again = again.join(labels, again.sid == labels.node, "left").select("region", "sid", F.coalesce("root", "sid").alias("label"), "shingles")
-            links = stage_table(links.unionByName(join_blocks(again, stuck, percent)).distinct(), "links")
-            labels = connected(links)
-        rows = stage_table(spread.join(progress.where("smaller").select("parent").hint("merge"), "parent").select("region", "sid").distinct(), "rows")
+            again = named(held.drop("label").join(few(stuck.select("region")), "region", "left_semi"), connected(links))
+            links = stage_table(links.unionByName(join_blocks(stage_table(again, "members"), stuck, percent)).distinct(), "links")
+        smaller = stage_table(open_ones.join(judged.where("not stuck").select("parent"), "parent").select("region").distinct(), "smaller")
+        rows = named(spread.drop("label").join(few(smaller), "region", "left_semi").select("region", "sid").distinct(), connected(links))
+        held = stage_table(rows.join(sets, "sid").select("region", "sid", "label", "shingles"), "members")
 
 
 def exact_groups(keyed: DataFrame, sets: DataFrame, clusters: DataFrame, width: int, percent: int) -> DataFrame:
     """sid, root: sets of each cluster that links connect, found with whole sets."""
     chosen = sets.where("n > 0").groupBy("sid").agg(F.min(F.struct("id", "h1")).alias("doc"), F.first("n").alias("n"))
     named = clusters.join(chosen, clusters.node == chosen.sid).select(F.col("root").alias("region"), "sid", "n", F.col("doc.id").alias("_id"), F.col("doc.h1").alias("_h1"))
-    sizes = stage_table(named.groupBy("region").agg(F.count("*").alias("members"), F.sum("n").alias("shingles_in")), "clusters")
-    fits = (F.col("members") <= LARGE) & (F.col("shingles_in") <= LARGE_SHINGLES)
+    sizes = named.groupBy("region").agg(F.count("*").alias("members"), F.sum("n").alias("shingles_in"))
+    large = stage_table(sizes.where((F.col("members") > LARGE) | (F.col("shingles_in") > LARGE_SHINGLES)).select("region"), "clusters")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -565,14 +566,13 @@ def exact_groups(keyed: DataFrame, sets: DataFrame, clusters: DataFrame, width:
                 part = b.slice(low, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(1), pa.array([shingle_set(x.as_py(), width).tobytes() for x in part.column(2)], pa.binary())], names=["region", "sid", "label", "shingles"])
 
-    def members(which: DataFrame) -> DataFrame:
-        wanted = with_size(named, which)
+    def members(how: str) -> DataFrame:
+        wanted = named.join(few(large), "region", how)
         return wanted.join(keyed, wanted._id.eqNullSafe(keyed.id) & (wanted._h1 == keyed.h1)).select("region", "sid", "text").mapInArrow(cut, MEMBER)
 
-    links = stage_table(join_small(members(sizes.where(fits)), percent), "links")
-    large = sizes.where(~fits)
+    links = stage_table(join_small(members("left_anti"), percent), "links")
     if large.limit(1).count():
-        rows = stage_table(members(large).select("region", "sid", "shingles").dropDuplicates(["sid"]), "large")
+        rows = stage_table(members("left_semi").select("region", "sid", "shingles").dropDuplicates(["sid"]), "large")
         links = stage_table(links.unionByName(join_large(rows, percent)), "links")
     return connected(links).select(F.col("node").alias("sid"), "root")
 

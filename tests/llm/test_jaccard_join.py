@@ -40,10 +40,10 @@ def test_regions_too_large_to_hold(spark, monkeypatch):
     assert rows_of(jj.components(df, 3, 70)) == jaccard_components(rows, 3, 70)
 
 
-@pytest.mark.parametrize(("seed", "width", "percent"), [(4, 3, 90), (5, 3, 70), (6, 2, 50)])
-def test_clusters_too_large_for_a_task(spark, monkeypatch, seed, width, percent):
+@pytest.mark.parametrize(("seed", "width", "percent", "few"), [(4, 3, 90, 100), (5, 3, 70, 0), (6, 2, 50, 100)])
+def test_clusters_too_large_for_a_task(spark, monkeypatch, seed, width, percent, few):
     """Every cluster goes through rounds of pivots, windows and blocks in Spark; hot pivots are dealt out."""
-    for name, value in (("LARGE", 2), ("BLOCK", 2), ("PIVOTS", 2), ("LEAF", 2), ("HOT", 40)):
+    for name, value in (("LARGE", 2), ("BLOCK", 2), ("PIVOTS", 2), ("LEAF", 2), ("HOT", 40), ("FEW", few)):
         monkeypatch.setattr(jj, name, value)
     rows = corpus(seed, 40)
     df = spark.createDataFrame(rows, "doc_id long, text string")
