@@ -100,16 +100,15 @@ def _hits(pairs: DataFrame, rule: int, distance: Column | None = None, words: Co
 
 
 def _by_token_and_group(n: DataFrame) -> DataFrame:
-    """Hits of rules 5 and 6, each pair from either end: a shared title token within TITLE_KM, the same group within NEAR_KM."""
+    """Hits of rules 5 and 6, a before b: a shared title token within TITLE_KM, the same group within NEAR_KM."""
     group = n.withColumn("_group", F.coalesce("heritage_group", F.lit(" ")))
     tokens = n.select("pos", "lat", "lng", F.explode(title_tokens("title")).alias("token"))
     side = tokens.select(F.struct("pos", "token").alias("id"), "lat", "lng", F.col("token").alias("key"))
-    met = radius_join(side, side, TITLE_KM, ("key",)).where("a.pos <> b.pos").select(F.col("a.pos").alias("a"), F.col("b.pos").alias("b"), "a.token")
-    order = n.select(F.col("pos").alias("a"), title_tokens("title").alias("_all"))
+    met = radius_join(side, side, TITLE_KM, ("key",)).where("a.pos < b.pos").select(F.col("a.pos").alias("a"), F.col("b.pos").alias("b"), "a.token")
     shared = met.groupBy("a", "b").agg(F.collect_set("token").alias("w"))
-    first = shared.select("a", "b", "w", F.least("a", "b").alias("_p")).join(order.withColumnRenamed("a", "_p"), "_p")  # words go as the earlier title has them
-    words = first.select("a", "b", F.filter("_all", lambda x: F.array_contains("w", x)).alias("words"))
-    return _hits(words, 5, words=F.col("words")).unionByName(_hits(_near_by_key(group, "_group", NEAR_KM), 6, F.col("km")))
+    order = n.select(F.col("pos").alias("a"), title_tokens("title").alias("_all"))
+    first = shared.join(order, "a").select("a", "b", F.filter("_all", lambda x: F.array_contains("w", x)).alias("words"))  # words go as the earlier title has them
+    return _hits(first, 5, words=F.col("words")).unionByName(_hits(_near_by_key(group, "_group", NEAR_KM).where("a < b"), 6, F.col("km")))
 
 
 def _judged(found: DataFrame, n: DataFrame) -> DataFrame:
@@ -154,7 +153,7 @@ def link_candidates(nodes: DataFrame) -> DataFrame:
         .unionByName(_hits(_near_by_key(nodes, "place", PLACE_KM).where("a < b"), 2))
         .unionByName(_hits(on("era_fact"), 3))
         .unionByName(_hits(on("gi_fact", "place").where(~F.col("a_place").eqNullSafe(F.col("b_place"))), 4))
-        .unionByName(_by_token_and_group(nodes).where("a < b"))
+        .unionByName(_by_token_and_group(nodes))
     )
     return _judged(found, nodes)
 
@@ -210,12 +209,14 @@ def link_graph(nodes: DataFrame, k: int = TOP_LINKS) -> DataFrame:
     large group is listed.
     """
     n = settled(nodes.select("pos", "id", "title", "lat", "lng", "heritage_group", "place", "era_fact", "gi_fact", "norm_title"))  # the facts are read once, not in every rule
+    last = settled(_by_token_and_group(n))
     found = (
         _hits(_first_of_key(n, "norm_title", 2 * k), 1)
         .unionByName(_hits(_first_near(n, "place", PLACE_KM, 2 * k), 2))
         .unionByName(_hits(_first_of_key(n, "era_fact", 2 * k), 3))
         .unionByName(_hits(_first_of_key(n, "gi_fact", 2 * k, "place"), 4))
-        .unionByName(_by_token_and_group(n))
+        .unionByName(last)
+        .unionByName(last.select(F.col("b").alias("a"), F.col("a").alias("b"), "hit"))
     )
     best = _judged(found, n).withColumn("_n", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).where(F.col("_n") <= k)
     pairs = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "tier", "score", "rationale").groupBy("a", "b").agg(F.first("tier").alias("tier"), F.first("score").alias("score"), F.first("rationale").alias("rationale"))
@@ -275,10 +276,12 @@ def unadjudicated(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     return pairs.join(edges.select("source_id", "target_id"), ["source_id", "target_id"], "left_anti")
 
 
-def number_batches(pairs: DataFrame, size: int = 5, buckets: int = 64) -> DataFrame:
+def number_batches(pairs: DataFrame, size: int = 5, per_bucket: int = 100_000) -> DataFrame:
     """pairs with batch and index: up to `size` pairs share a batch. Pairs are numbered
-    inside a hash bucket, so that no task numbers all."""
-    keyed = pairs.withColumn("bucket", F.pmod(F.xxhash64("source_id", "target_id"), F.lit(buckets)))
+    inside hash buckets of about per_bucket pairs, as many as there need be, so that
+    no task numbers all."""
+    held = settled(pairs)
+    keyed = held.withColumn("bucket", F.pmod(F.xxhash64("source_id", "target_id"), F.lit(max(1, held.count() // per_bucket))))
     nth = F.row_number().over(Window.partitionBy("bucket").orderBy("source_id", "target_id")) - 1
     return keyed.withColumn("_n", nth).withColumns({"batch": F.concat_ws("-", "bucket", F.floor(F.col("_n") / size)), "index": (F.col("_n") % size).cast("int")}).drop("_n", "bucket")
 

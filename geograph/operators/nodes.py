@@ -162,17 +162,36 @@ def join_photo_lookup(nodes: DataFrame, lookup: DataFrame, attribution: str) ->
     return both.withColumns({"attribution": F.when(hit, F.lit(attribution)), "photo_url": F.when(hit, F.col("thumb")).otherwise(F.col("photo_url"))}).drop("thumb")
 
 
+def _first_contained(titles: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """title, hit of each title (upper case) with the first key (by ord) that it contains,
+    by joins on equal beginnings: each place in a title meets the keys that begin with
+    the letters found there, as many as the shortest key has."""
+    keys = gazetteer.where(F.col("key") != "")
+    short = keys.agg(F.min(F.length("key"))).first()[0]  # one number
+    begin = lambda c, at: F.substr(c, at, F.lit(short))
+    places = titles.where(F.length("title") >= short).select("title", F.explode(F.sequence(F.lit(1), F.length("title") - short + 1)).alias("at"))
+    met = places.withColumn("begin", begin(F.col("title"), F.col("at"))).join(keys.withColumn("begin", begin(F.col("key"), F.lit(1))), "begin")
+    full = met.where(F.substr("title", F.col("at"), F.length("key")) == F.col("key"))
+    return full.groupBy("title").agg(F.min_by(F.struct("key", "lat", "lng", "city"), F.struct("ord", "key")).alias("hit"))
+
+
 def gazetteer_substring(df: DataFrame, gazetteer: DataFrame, most_keys: int = 10_000) -> DataFrame:
     """df with lat, lng and city of the first key (by `ord`) that its upper-case title
     contains, else the centre of the state. Matches add a sentence on the origin to
-    the details. The gazetteer has at most most_keys rows (ord, key, lat, lng, city),
-    which go into the expression as literals."""
-    rows = gazetteer.select("ord", "key", "lat", "lng", "city").orderBy("ord").limit(most_keys + 1).collect()
-    if len(rows) > most_keys:
-        raise ValueError(f"over {most_keys} keys")
-    entries = F.array(*[F.struct(F.lit(r.key).alias("key"), F.lit(float(r.lat)).alias("lat"), F.lit(float(r.lng)).alias("lng"), F.lit(r.city).alias("city")) for r in rows])
-    hit = F.get(F.filter(entries, lambda e: F.contains(F.upper(text("title")), e["key"])), F.lit(0))
-    found = df.withColumn("_hit", hit)
+    the details. Of a gazetteer (ord, key, lat, lng, city) up to most_keys rows go
+    into the expression as literals; a larger one is joined, with the same results.
+    Null and empty keys match nothing."""
+    rows = gazetteer.where(F.col("key") != "").select("ord", "key", F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng"), "city")
+    listed = rows.orderBy("ord", "key").limit(most_keys + 1).collect()
+    if len(listed) > most_keys:
+        title = F.upper(text("title"))
+        hits = _first_contained(df.select(title.alias("title")).distinct(), rows).select(F.col("title").alias("_title"), F.col("hit").alias("_hit"))
+        found = df.withColumn("_title", title).join(hits, "_title", "left").drop("_title")
+    elif listed:
+        entries = F.array(*[F.struct(F.lit(r.key).alias("key"), F.lit(r.lat).alias("lat"), F.lit(r.lng).alias("lng"), F.lit(r.city).alias("city")) for r in listed])
+        found = df.withColumn("_hit", F.get(F.filter(entries, lambda e: F.contains(F.upper(text("title")), e["key"])), F.lit(0)))
+    else:
+        found = df.withColumn("_hit", F.lit(None).cast("struct<key: string, lat: double, lng: double, city: string>"))
     lat, lng, label = STATE_CENTRE
     return found.withColumns(
         {

@@ -1,10 +1,10 @@
-"""Audits of the tables' constraints, and metrics of a step."""
+"""Audits of the tables' constraints."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -47,9 +47,3 @@ def audit_constraints(nodes: DataFrame, clusters: DataFrame, node_clusters: Data
         orphans(edges, "edges", "target_id", nodes, "node_id"),
     ]
     return reduce(DataFrame.unionByName, checks)
-
-
-def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, Observation]:
-    """df that counts as it runs: rows, and each named metric, read after an action."""
-    seen = Observation(name)
-    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in metrics.items()]), seen

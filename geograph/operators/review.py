@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.taxonomy import SUBTYPES
@@ -16,13 +16,21 @@ IMAGE_TYPES = ["image/jpeg", "image/png", "image/webp", "image/gif"]
 MAX_PHOTO_BYTES = 8 * 1024 * 1024
 
 
-def categories(df: DataFrame) -> DataFrame:
+def categories(spark: SparkSession) -> DataFrame:
     """The categories that have a rule, sorted."""
-    return df.sparkSession.createDataFrame([(c,) for c in sorted({c for _, cs in SUBTYPES.values() for c in cs})], "category string")
-
-
-def sorted_values(df: DataFrame, column: str) -> DataFrame:
-    return df.select(column).distinct().orderBy(column)
+    return spark.createDataFrame([(c,) for c in sorted({c for _, cs in SUBTYPES.values() for c in cs})], "category string")
+
+
+def edit_tags(df: DataFrame, edits: DataFrame) -> DataFrame:
+    """Submissions with their tags edited: edits (submission_id, remove_at, add) drop the tag
+    at an index from 0 and add one at the end. Tags are stripped; blank ones and ones
+    that are there already are not added; an index beyond the list drops nothing."""
+    both = df.join(edits, "submission_id", "left")
+    tags = F.coalesce("tags", F.array().cast("array<string>"))
+    left = F.filter(tags, lambda x, i: F.col("remove_at").isNull() | (i != F.col("remove_at")))
+    new = blank_to_null(strip(text("add")))
+    added = F.when(new.isNotNull() & ~F.coalesce(F.array_contains(left, new), F.lit(False)), F.concat(left, F.array(new))).otherwise(left)
+    return both.withColumn("tags", F.when(F.col("remove_at").isNotNull() | F.col("add").isNotNull(), added).otherwise(F.col("tags"))).select(*df.columns)
 
 
 def validate_submissions(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import text
+from .links import dedupe_pairs
 from .staging import settled
 
 #: Rows in a block of nodes and of queries.
@@ -111,7 +112,7 @@ def knn_candidates(nodes: DataFrame, k: int = NEIGHBOURS, least: float = LEAST_C
     asked = nodes.select(F.col(node_id).alias("query_id"), F.col(vec_col).alias("embedding"))
     there = nodes.select(F.col(node_id).alias("node_id"), F.col(vec_col).alias("embedding"))
     found = best_matches(asked, there, k, least, skip_same=True)
-    return found.groupBy(F.least("query_id", "node_id").alias("source_id"), F.greatest("query_id", "node_id").alias("target_id")).agg(F.max("similarity").alias("score"))
+    return dedupe_pairs(found, "query_id", "node_id", "similarity")
 
 
 def similar_pairs(nodes: DataFrame, least: float, node_id: str = "node_id", vec_col: str = "embedding") -> DataFrame:

@@ -10,90 +10,101 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import links, nodes, vectors
+from ..operators.staging import settled
 from ..sources.schemas import CLUSTERS, EDGES, NODE_CLUSTERS, NODES
 from ..sources.sinks import replace_for_keys, seed_merge, update_by_key, upsert
 
 
 class GraphTables:
-    """Parquet tables under one shared folder. A table is replaced by writing its next
-    version in full; readers take the latest complete one, so a failed write changes nothing."""
+    """The graph's tables in the session's catalog, under names with a prefix."""
 
     SCHEMAS = {"nodes": NODES, "clusters": CLUSTERS, "node_clusters": NODE_CLUSTERS, "edges": EDGES}
 
-    def __init__(self, spark: SparkSession, base: str):
-        self.spark, self.base = spark, base.rstrip("/")
-
-    def _versions(self, name: str) -> int | None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        done = [int(s.getPath().getName()[2:]) for s in fs.listStatus(path) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))] if fs.exists(path) else []
-        return max(done, default=None)
+    def __init__(self, spark: SparkSession, prefix: str = "graph_"):
+        self.spark, self.prefix = spark, prefix
 
     def read(self, name: str) -> DataFrame:
-        """The latest complete version; an empty table if there is none."""
-        version = self._versions(name)
-        schema = self.SCHEMAS[name]
-        return self.spark.createDataFrame([], schema) if version is None else self.spark.read.schema(schema).parquet(f"{self.base}/{name}/v={version}")
+        """The table; an empty one if there is none yet."""
+        if not self.spark.catalog.tableExists(self.prefix + name):
+            return self.spark.createDataFrame([], self.SCHEMAS[name])
+        return self.spark.table(self.prefix + name)
 
     def write(self, name: str, df: DataFrame) -> None:
+        """Replace the table. Rows are computed in full before, as they may come from the table itself."""
         have = set(df.columns)
         full = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(self.SCHEMAS[name])])
-        full.write.mode("overwrite").parquet(f"{self.base}/{name}/v={(self._versions(name) or 0) + 1}")
+        settled(full).write.mode("overwrite").format("parquet").saveAsTable(self.prefix + name)
 
 
-def seed(t: GraphTables, raw: DataFrame) -> None:
-    t.write("nodes", seed_merge(t.read("nodes"), nodes.normalize_nodes(raw)))
+def seed(t: GraphTables, raw: DataFrame) -> dict[str, int]:
+    usable = nodes.normalize_nodes(raw)
+    t.write("nodes", seed_merge(t.read("nodes"), usable))
+    seen, kept = raw.count(), usable.count()
+    return {"seen": seen, "skipped": seen - kept, "nodes": t.read("nodes").count()}
 
 
-def enrich(t: GraphTables, rewrite: Callable[[DataFrame], DataFrame] | None) -> None:
+def enrich(t: GraphTables, rewrite: Callable[[DataFrame], DataFrame] | None) -> dict[str, int]:
     """rewrite: candidates -> (node_id, description); None leaves all as it is."""
-    if rewrite:
-        n = t.read("nodes")
-        t.write("nodes", nodes.apply_rewrites(n, rewrite(nodes.enrich_candidates(n))))
+    if not rewrite:
+        return {"seen": 0, "rewritten": 0, "skipped": 0}
+    n = t.read("nodes")
+    asked = settled(nodes.enrich_candidates(n))
+    t.write("nodes", nodes.apply_rewrites(n, rewrite(asked)))
+    done = t.read("nodes").join(asked.select("node_id"), "node_id", "left_semi").where("content_source = 'ai_enriched'").count()
+    return {"seen": (seen := asked.count()), "rewritten": done, "skipped": seen - done}
 
 
-def embed(t: GraphTables) -> None:
+def embed(t: GraphTables) -> dict[str, int]:
     n = t.read("nodes")
-    made = vectors.embed(nodes.embed_pending(n).select("node_id", "content"), "content", out_col="vector_embedding").drop("content")
-    t.write("nodes", update_by_key(n, made, "node_id"))
+    pending = settled(nodes.embed_pending(n).select("node_id", "content"))
+    t.write("nodes", update_by_key(n, vectors.embed(pending, "content", out_col="vector_embedding").drop("content"), "node_id"))
+    return {"seen": pending.count(), "embedded": t.read("nodes").join(pending, "node_id", "left_semi").where("vector_embedding is not null").count()}
 
 
-def dedupe(t: GraphTables, verdicts: DataFrame | None, least: float = vectors.DUPLICATE_FROM) -> None:
+def dedupe(t: GraphTables, verdicts: DataFrame | None, least: float = vectors.DUPLICATE_FROM) -> dict[str, int]:
     """By title, then, among what is left, by vectors and verdicts."""
-    n = nodes.merge_titles(t.read("nodes"))
+    before = t.read("nodes")
+    seen, n = before.where("merged_into is null").count(), settled(nodes.merge_titles(before))
+    by_title = seen - n.where("merged_into is null").count()
     if verdicts is not None:
         left = n.where("merged_into is null and vector_embedding is not null").select("node_id", F.col("vector_embedding").alias("embedding"))
         merged = vectors.semantic_dedupe(left, verdicts, least).select("node_id", F.col("canonical").alias("merged_into"), F.lit("merged_duplicate").alias("trust_status"))
         n = update_by_key(n, merged, "node_id")
     t.write("nodes", n)
+    return {"seen": seen, "merged_by_title": by_title, "merged_by_vector": seen - by_title - t.read("nodes").where("merged_into is null").count()}
 
 
-def cluster(t: GraphTables) -> None:
+def cluster(t: GraphTables) -> dict[str, int]:
     """Clusters are upserted; the memberships of active nodes are written anew."""
     own = t.read("nodes").where("merged_into is null")
     members = nodes.memberships(own)
     t.write("clusters", upsert(t.read("clusters"), nodes.build_clusters(members), ["cluster_id"]))
     t.write("node_clusters", replace_for_keys(t.read("node_clusters"), own.select("node_id"), members.select("node_id", "cluster_id")))
+    return {"seen": own.count(), "clusters": t.read("clusters").count(), "memberships": t.read("node_clusters").count()}
 
 
-def link(t: GraphTables, judge: Callable[[DataFrame], DataFrame] | None, k: int = vectors.NEIGHBOURS, least: float = vectors.LEAST_COSINE) -> None:
+def link(t: GraphTables, judge: Callable[[DataFrame], DataFrame] | None, k: int = vectors.NEIGHBOURS, least: float = vectors.LEAST_COSINE) -> dict[str, int]:
     """judge: numbered pairs -> verdicts (batch, index, connect, tier, rationale). Pairs that
     are edges already are not judged again."""
     if not judge:
-        return
+        return {"seen": 0, "formed": 0, "skipped": 0}
     own = t.read("nodes").where("merged_into is null and vector_embedding is not null").select("node_id", F.col("vector_embedding").alias("embedding"))
     edges = t.read("edges")
-    numbered = links.number_batches(links.unadjudicated(vectors.knn_candidates(own, k, least), edges)).checkpoint()
+    numbered = settled(links.number_batches(links.unadjudicated(vectors.knn_candidates(own, k, least), edges)))
     formed, _ = links.apply_link_verdicts(numbered, judge(numbered))
+    formed = settled(formed)
     t.write("edges", upsert(edges, formed.withColumn("edge_id", F.xxhash64("source_id", "target_id")), ["source_id", "target_id"]))
+    seen, made = numbered.count(), formed.count()
+    return {"seen": seen, "formed": made, "skipped": seen - made}
 
 
 STEPS = ["seed", "enrich", "embed", "dedupe", "cluster", "link"]
 
 
-def run(t: GraphTables, raw: DataFrame, rewrite=None, verdicts: DataFrame | None = None, judge=None, first: str | None = None, only: str | None = None) -> dict[str, float]:
-    """Seconds of each step run: all, those from `first` on, or `only` one. The first
-    failure stops the job; steps before it stay done, and each may run again."""
+def run(t: GraphTables, raw: DataFrame, rewrite=None, verdicts: DataFrame | None = None, judge=None, first: str | None = None, only: str | None = None) -> dict[str, dict[str, float]]:
+    """Seconds and counts (rows seen, merged, formed, skipped ...) of each step run: all,
+    those from `first` on, or `only` one. The first failure stops the job; steps
+    before it stay done, and each may run again."""
     calls = {"seed": lambda: seed(t, raw), "enrich": lambda: enrich(t, rewrite), "embed": lambda: embed(t), "dedupe": lambda: dedupe(t, verdicts), "cluster": lambda: cluster(t), "link": lambda: link(t, judge)}
     for name in (first, only):
         if name is not None and name not in STEPS:
@@ -102,6 +113,6 @@ def run(t: GraphTables, raw: DataFrame, rewrite=None, verdicts: DataFrame | None
     took = {}
     for name in chosen:
         began = time.time()
-        calls[name]()
-        took[name] = time.time() - began
+        counts = calls[name]()
+        took[name] = {"seconds": time.time() - began, **counts}
     return took

@@ -9,24 +9,9 @@ from ..functions import taxonomy
 from ..functions import text as tx
 from ..operators import geofence, links, nodes, quality, review, vectors
 from ..sources import readers, sinks
+from .registry import query
 from .tables import FENCES, NODES, SCANS, SUBMISSIONS, derived, duck, table
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function of (spark, sf_dir) under its name, with its SQL if there is one."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def flat_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.with_facts(derived(spark, sf_dir, NODES).withColumn("heritage_group", tx.group_of("category")))
 
@@ -74,10 +59,10 @@ def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(tx.tokens("text")).cast("long").alias("n_tokens"), F.size(tx.title_tokens("text")).cast("long").alias("n_title_tokens"))
 
 
-@query("WITH k AS (SELECT doc_id, " + _NORM.format("substr(text, 1, 60)") + " AS t FROM documents) SELECT doc_id, CASE WHEN t = '' THEN doc_id ELSE min(doc_id) OVER (PARTITION BY t) END AS canonical, t <> '' AND min(doc_id) OVER (PARTITION BY t) <> doc_id AS is_merged FROM k")
+@query(f"WITH {_BASE}, k AS (SELECT id, {_NORM.format('title')} AS t FROM n) SELECT id, CASE WHEN t = '' THEN id ELSE min(id) OVER (PARTITION BY t) END AS canonical, t <> '' AND min(id) OVER (PARTITION BY t) <> id AS is_merged FROM k")
 def title_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with equal normal openings, taken as titles."""
-    return nodes.title_dedupe(table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("title")), "doc_id").select("doc_id", "canonical", "is_merged")
+    """Nodes with equal normal titles."""
+    return nodes.title_dedupe(derived(spark, sf_dir, NODES).select("id", "title"), "id").select("id", "canonical", "is_merged")
 
 
 @query("SELECT doc_id, source, lang FROM documents QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY n_chars, doc_id) = 1")
@@ -157,6 +142,21 @@ def link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _edges(spark, sf_dir)[1].select("source_id", "target_id", "tier", F.round("score", 6).alias("score"))
 
 
+_SHARED = "list_filter(list_filter({0}, lambda w, i: list_position({0}, w) = i), lambda w: list_contains({1}, w))".format(_TOKENS.format("x.title"), "y.tokens")
+
+
+@query(f"""WITH {_GRAPH}, l AS (SELECT DISTINCT a, b, rule FROM t WHERE n <= 4), w AS (
+  SELECT x.id AS i, y.id AS o, rule, x.place, x.era_fact, x.gi_fact, x.heritage_group, {_KM.format('x.lat', 'x.lng', 'y.lat', 'y.lng')} AS km, {_SHARED} AS words FROM l JOIN f x ON x.pos = l.a JOIN f y ON y.pos = l.b)
+  SELECT least(i, o) AS source_id, greatest(i, o) AS target_id, CASE rule WHEN 1 THEN 'Duplicate archival record of the same documented subject.'
+    WHEN 2 THEN 'Both officially registered/protected under "' || place || '" — a shared, sourced administrative fact.' WHEN 3 THEN 'Both dated to the same documented era — "' || era_fact || '".'
+    WHEN 4 THEN 'Same craft/produce classification ("' || gi_fact || '") from a different town — a possible cross-regional technique lineage. Not established as historically linked by current sources; flagged as a research lead.'
+    WHEN 5 THEN 'Share the keyword' || CASE WHEN len(words) > 1 THEN 's' ELSE '' END || ' "' || array_to_string(words[1:3], ', ') || '" in their titles. A direct relationship is not established by current sources; flagged as a research lead.'
+    ELSE 'Both ' || heritage_group || ' heritage nodes ' || printf('%.1f', km) || ' km apart with no documented link yet — proximity-only research lead.' END AS rationale FROM w""")
+def link_rationales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why the nodes of each edge are linked."""
+    return _edges(spark, sf_dir)[1].select("source_id", "target_id", "rationale")
+
+
 @query(f"WITH {_GRAPH}, b AS (SELECT source_id AS i FROM e UNION ALL SELECT target_id FROM e), d AS (SELECT i, count(*) AS k FROM b GROUP BY i) SELECT id AS node_id, coalesce(k, 0) AS degree, round(4 + 2.6 * sqrt(coalesce(k, 0)), 6) AS radius FROM n LEFT JOIN d ON i = id")
 def node_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, e = _edges(spark, sf_dir)
@@ -228,14 +228,14 @@ def answerability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH s AS ({duck(SCANS)}), f AS ({duck(FENCES)}), e AS (SELECT *, sum(CASE WHEN is_reset THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS epoch FROM s),
   d AS (SELECT e.*, f.node_id, {_KM.format('e.latitude', 'e.longitude', 'f.lat', 'f.lng')} AS km FROM e, f WHERE NOT is_reset),
-  z AS (SELECT *, CASE WHEN km <= radius_km THEN 'IN' WHEN km > radius_km + 75 THEN 'OUT' END AS zone FROM d),
+  z AS (SELECT *, CASE WHEN km <= radius_km THEN 'IN' WHEN km > radius_km + 12 THEN 'OUT' END AS zone FROM d),
   l AS (SELECT *, last_value(zone IGNORE NULLS) OVER (PARTITION BY session_id, epoch, node_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM z),
   h AS (SELECT *, CASE WHEN zone = 'IN' THEN CASE WHEN was = 'IN' THEN 'INSIDE' ELSE 'ENTERED' END WHEN zone = 'OUT' THEN 'EXITED' END AS clear FROM l),
   t AS (SELECT *, coalesce(last_value(clear IGNORE NULLS) OVER (PARTITION BY session_id, epoch, node_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 'EXITED') AS state FROM h)
   SELECT session_id, event_id, node_id, round(km, 2) AS distance_km, state AS trigger_state, CASE WHEN is_teleport_mode THEN 'teleport' ELSE 'normal' END AS user_mode FROM t WHERE state <> 'EXITED'""")
 def geofence_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes entered or inside at each scan."""
-    return geofence.triggered(derived(spark, sf_dir, SCANS), derived(spark, sf_dir, FENCES), 75.0)
+    return geofence.triggered(derived(spark, sf_dir, SCANS), derived(spark, sf_dir, FENCES), 12.0)
 
 
 @query("""WITH a AS (SELECT c_custkey AS pos, 'Site ' || CAST(c_custkey % 400 AS VARCHAR) AS title FROM customer), b AS (SELECT s_suppkey AS pos, CASE WHEN s_suppkey % 9 = 0 THEN 'Q' || CAST(s_suppkey AS VARCHAR) ELSE 'SITE ' || CAST(s_suppkey * 3 % 500 AS VARCHAR) END AS title FROM supplier),
@@ -252,13 +252,17 @@ def feed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.add_unseen(first, readers.map_feed(b, "wiki"), ["pos"]).select("node_id", "title", "famous_for")
 
 
-@query("""WITH g AS (SELECT n_nationkey AS ord, upper('ring') AS k, n_nationkey * 1.5 AS lat, n_nationkey * 2.5 AS lng, n_name AS city FROM nation WHERE n_nationkey = 3 UNION ALL SELECT n_nationkey, 'BLUE', n_nationkey * 1.5, n_nationkey * 2.5, n_name FROM nation WHERE n_nationkey = 1 UNION ALL SELECT n_nationkey, 'GEAR', n_nationkey * 1.5, n_nationkey * 2.5, n_name FROM nation WHERE n_nationkey = 2)
+#: What the nations are called in the gazetteer, by their key.
+GAZETTEER_KEYS = ["RING", "BLUE", "GEAR", "OLD R", "E AN", "PLATE", "TIN", "COLD B", "ZINC", "HOT", "WIDGET", "BRASS", "NEW GI", "ROD", "L BOLT", "COPPER", "RED", "ANVIL", "GOLD", "LARGE W", "SILVER", "EAST", "WEST", "SMALL", "LEAD"]
+
+
+@query(f"""WITH g AS (SELECT n_nationkey AS ord, {_LIST(GAZETTEER_KEYS)}[n_nationkey + 1] AS k, n_nationkey * 1.5 AS lat, n_nationkey * 2.5 AS lng, n_name AS city FROM nation)
   SELECT p_partkey, CAST(coalesce(lat, 26.58) AS DOUBLE) AS lat, CAST(coalesce(lng, 73.84) AS DOUBLE) AS lng, coalesce(city, 'Rajasthan (Statewide)') AS location_text, CASE WHEN city IS NULL THEN p_brand ELSE p_brand || ' Officially originates from ' || city || '.' END AS docent_details
   FROM part LEFT JOIN g ON contains(upper(p_name), k) QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY ord) = 1""")
 def gazetteer_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation")
-    key = F.when(F.col("n_nationkey") == 3, "RING").when(F.col("n_nationkey") == 1, "BLUE").when(F.col("n_nationkey") == 2, "GEAR")
-    g = n.select(F.col("n_nationkey").alias("ord"), key.alias("key"), (F.col("n_nationkey") * 1.5).alias("lat"), (F.col("n_nationkey") * 2.5).alias("lng"), F.col("n_name").alias("city")).where("key is not null")
+    """Places by the first name of the gazetteer that a title contains."""
+    k = F.col("n_nationkey")
+    g = table(spark, sf_dir, "nation").select(k.alias("ord"), F.element_at(F.array(*map(F.lit, GAZETTEER_KEYS)), k + 1).alias("key"), (k * 1.5).alias("lat"), (k * 2.5).alias("lng"), F.col("n_name").alias("city"))
     return nodes.gazetteer_substring(table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("title"), F.col("p_brand").alias("docent_details")), g).drop("title")
 
 
@@ -457,7 +461,12 @@ def verdict_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.apply_link_verdicts(pairs, links.parse_verdicts(replies, LINK_VERDICTS))[0].drop("formed_by")
 
 
-@query()
+_KNN = f"""k AS (SELECT a.vec_id AS x, b.vec_id AS y, {_COS} AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id AND {_COS} >= 0.35),
+  c AS (SELECT least(x, y) AS source_id, greatest(x, y) AS target_id, max(s) AS score FROM k WHERE r <= 6 GROUP BY ALL)"""
+
+
+@query(f"""WITH {_KNN}, m AS (SELECT *, row_number() OVER (ORDER BY source_id, target_id) - 1 AS nth FROM c)
+  SELECT '0-' || CAST(nth // 5 AS VARCHAR) AS batch, string_agg('Pair ' || CAST(nth % 5 AS VARCHAR) || ':' || chr(10) || 'Node A: ' || CAST(source_id AS VARCHAR) || chr(10) || 'Node B: ' || CAST(target_id AS VARCHAR) || chr(10) || 'Embedding cosine similarity: ' || printf('%.3f', score), chr(10) || chr(10) ORDER BY nth) AS prompt FROM m GROUP BY nth // 5""")
 def candidate_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts of up to five candidate pairs each."""
     pairs = links.number_batches(vectors.knn_candidates(_vectors(spark, sf_dir)[1]))

@@ -27,14 +27,14 @@ FROM {customer} JOIN {part} ON p_partkey = c_custkey
 SCANS = """
 SELECT 'S' || CAST(user_id AS STRING) AS session_id, event_id, ts,
   23.35 + CAST((event_id * 41) % 658 AS DOUBLE) / 100 AS latitude, 70.35 + CAST((event_id * 59) % 755 AS DOUBLE) / 100 AS longitude,
-  CAST(150 + event_id % 3 AS DOUBLE) AS radius_km, event_id % 11 = 0 AS is_teleport_mode, event_type = 'signup' AS is_reset
+  CAST(20 + event_id % 3 AS DOUBLE) AS radius_km, event_id % 11 = 0 AS is_teleport_mode, event_type = 'signup' AS is_reset
 FROM {events}
 """
 
 #: The fences that scans are held against.
 FENCES = """
 SELECT 'N' || CAST(s_suppkey AS STRING) AS node_id, 23.35 + CAST((s_suppkey * 137) % 658 AS DOUBLE) / 100 AS lat, 70.35 + CAST((s_suppkey * 253) % 755 AS DOUBLE) / 100 AS lng
-FROM {supplier} WHERE s_suppkey < 5
+FROM {supplier}
 """
 
 #: Orders as submissions.

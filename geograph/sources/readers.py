@@ -26,19 +26,19 @@ def read_elements(spark: SparkSession, path: str) -> DataFrame:
     return flatten_elements(spark.read.schema(ELEMENTS).json(path, multiLine=True))
 
 
-def flatten_bindings(df: DataFrame) -> DataFrame:
-    """pos, label, coord, image of each query binding; a missing label is 'Unknown Site', the rest empty."""
-    rows = df.select(F.posexplode("results.bindings").alias("pos", "b"))
-    return rows.select("pos", strip(F.coalesce("b.itemLabel.value", F.lit("Unknown Site"))).alias("label"), text("b.coord.value").alias("coord"), text("b.image.value").alias("image"))
+def flatten_bindings(df: DataFrame, *keep: str) -> DataFrame:
+    """The columns of keep, pos, label, coord, image of each query binding; a missing label is 'Unknown Site', the rest empty."""
+    rows = df.select(*keep, F.posexplode("results.bindings").alias("pos", "b"))
+    return rows.select(*keep, "pos", strip(F.coalesce("b.itemLabel.value", F.lit("Unknown Site"))).alias("label"), text("b.coord.value").alias("coord"), text("b.image.value").alias("image"))
 
 
-def flatten_elements(df: DataFrame) -> DataFrame:
-    """pos, label, historic, lat, lng of each map element. Where an element's own
+def flatten_elements(df: DataFrame, *keep: str) -> DataFrame:
+    """The columns of keep, pos, label, historic, lat, lng of each map element. Where an element's own
     coordinate is null or zero its centre's counts."""
-    rows = df.select(F.posexplode("elements").alias("pos", "e"))
+    rows = df.select(*keep, F.posexplode("elements").alias("pos", "e"))
     pick = lambda own, centre: F.coalesce(F.nullif(F.col(own), F.lit(0.0)), F.col(centre))
     tag = lambda name: F.try_element_at(F.col("e.tags"), F.lit(name))
-    return rows.select("pos", strip(text(tag("name"))).alias("label"), F.coalesce(tag("historic"), F.lit("heritage site")).alias("historic"), pick("e.lat", "e.center.lat").alias("lat"), pick("e.lon", "e.center.lon").alias("lng"))
+    return rows.select(*keep, "pos", strip(text(tag("name"))).alias("label"), F.coalesce(tag("historic"), F.lit("heritage site")).alias("historic"), pick("e.lat", "e.center.lat").alias("lat"), pick("e.lon", "e.center.lon").alias("lng"))
 
 
 # The entities that are decoded.

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,7 +70,19 @@ def insert_with_defaults(df: DataFrame) -> DataFrame:
 
 
 def write_nodes_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    """Nodes as JSON arrays, one in each part file, as read_nodes_json() reads them. Null
+    fields are left out; an empty table gives empty arrays."""
+    rows = df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+
+    def brackets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = True
+        for b in batches:
+            lines = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([("[" if first and not i else ",") + x for i, x in enumerate(lines)], pa.string())], names=["value"])
+            first = first and not lines
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if first else "]"])], names=["value"])
+
+    rows.mapInArrow(brackets, "value string").write.mode("overwrite").text(path)
 
 
 def active(nodes: DataFrame, *columns: str) -> DataFrame:

@@ -67,7 +67,7 @@ def test_matches_with_few_rows_and_answers(spark):
 
 def test_verdicts(spark):
     pairs = spark.createDataFrame([("b", "a", 0.55555), ("c", "d", 0.4), ("e", "f", 0.5)], "source_id string, target_id string, score double")
-    numbered = links.number_batches(pairs, 5, 1)
+    numbered = links.number_batches(pairs, 5)
     replies = spark.createDataFrame([("0-0", '{"results":[{"index":0,"connect":true,"tier":"potential","rationale":" ok "},{"index":1,"connect":true,"tier":"odd","rationale":"x"},{"index":2,"connect":true,"tier":"verified","rationale":"no"},{"index":2,"connect":false}]}'), ("0-0", "not json")], "batch string, raw string")
     from geograph.sources.schemas import LINK_VERDICTS
 
@@ -219,8 +219,13 @@ def test_build_is_repeatable(spark, tmp_path):
     ).selectExpr("*", "cast(null as string) era", "cast(null as string) famous_for", "cast(null as string) docent_details", "cast(null as string) nearby_culture", "cast(null as string) trust_status", "cast(null as struct<photo_url: string>) media")
     judge = lambda pairs: pairs.select("batch", "index", F.lit(True).alias("connect"), F.lit("potential").alias("tier"), F.lit("alike").alias("rationale"))
     rewrite = lambda c: c.select("node_id", F.concat(F.lit("About "), "title").alias("description"))
-    tables = build.GraphTables(spark, str(tmp_path))
-    assert list(build.run(tables, raw, rewrite, None, judge)) == build.STEPS
+    tables = build.GraphTables(spark, f"t{tmp_path.name.replace('-', '_')}_")
+    done = build.run(tables, raw, rewrite, None, judge)
+    assert list(done) == build.STEPS
+    counts = {step: {k: v for k, v in found.items() if k != "seconds"} for step, found in done.items()}
+    assert counts["seed"] == {"seen": raw.count(), "skipped": raw.count() - 3, "nodes": 3} and counts["enrich"]["rewritten"] == counts["enrich"]["seen"] == 3
+    assert counts["embed"] == {"seen": 3, "embedded": 3} and counts["dedupe"] == {"seen": 3, "merged_by_title": 1, "merged_by_vector": 0} and counts["cluster"]["seen"] == 2
+    assert counts["link"]["formed"] + counts["link"]["skipped"] == counts["link"]["seen"] == tables.read("edges").count()
     first = {n: sorted(map(str, tables.read(n).drop("created_at", "updated_at").collect())) for n in build.GraphTables.SCHEMAS}
     rows = {r.node_id: r for r in tables.read("nodes").collect()}
     assert set(rows) == {"a", "b", "c"} and rows["b"].merged_into == "a" and rows["b"].trust_status == "merged_duplicate" and rows["a"].content == "About Amber Fort" and len(rows["c"].vector_embedding) == 384
@@ -230,3 +235,67 @@ def test_build_is_repeatable(spark, tmp_path):
     with pytest.raises(ValueError, match="no step"):
         build.run(tables, raw, first="nothing")
     assert quality.audit_constraints(*(tables.read(n) for n in ("nodes", "clusters", "node_clusters", "edges"))).count() == 0
+
+
+def test_odd_vectors_take_no_part(spark):
+    """NaN, infinite, null-holding, empty and null vectors neither match nor push others out; short ones count as filled up."""
+    odd = [float("nan"), 1.0], [None, 1.0], [float("inf"), 0.0], [], None
+    rows = [(i, [1.0, i / 10]) for i in range(6)] + [(10 + i, v) for i, v in enumerate(odd)] + [(20, [1.0]), (21, [1.0, 0.0, 0.0]), (22, [0.0, 0.0]), (23, [1e200, 1e200])]
+    for kind in ("float", "double"):
+        n = spark.createDataFrame([r for r in rows if kind == "double" or r[0] != 23], f"node_id long, embedding array<{kind}>")
+        q = n.withColumnRenamed("node_id", "query_id")
+        got = {}
+        for r in vectors.best_matches(q, n, 3, skip_same=True).orderBy("rank").collect():
+            got.setdefault(r.query_id, []).append(r.node_id)
+        fine = [i for i, v in rows if v and all(x is not None and math.isfinite(x) for x in v) and (kind == "double" or i != 23)]
+        assert set(got) == set(fine) and all(len(m) == 3 and set(m) <= set(fine) for m in got.values())
+        assert got[0] == [20, 21, 1] and got[5][0] == 4 and (kind == "float" or got[23][0] == 5)
+        assert vectors.knn_candidates(n, 3, 0.5).where("source_id between 10 and 14 or target_id between 10 and 14").count() == 0
+
+
+def test_nodes_json_round_trip(spark, tmp_path):
+    kind = "node_id string, title string, coordinates struct<lat: double, lng: double>, synapses array<struct<connection: string>>"
+    rows = [(str(i), f'T "{i}"\n\u00e9', (1.0 * i, 2.0), [("x",)]) for i in range(7)]
+    for name, df in (("some", spark.createDataFrame(rows, kind).repartition(3)), ("none", spark.createDataFrame([], kind))):
+        sinks.write_nodes_json(df, f"{tmp_path}/{name}")
+        back = readers.read_nodes_json(spark, f"{tmp_path}/{name}").select("node_id", "title", "coordinates", "synapses")
+        assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+    (tmp_path / "poi.csv").write_text("item,itemLabel,coord,image\nq1,Fort,Point(1 2),\n")
+    assert [(r.itemLabel, r.coord, r.image) for r in readers.read_poi_csv(spark, str(tmp_path / "poi.csv")).collect()] == [("Fort", "Point(1 2)", None)]
+
+
+def test_gazetteer_on_both_sides_of_its_bound(spark):
+    keys = [(2, "AMBER", 1.0, 1.0, "b"), (1, "MBE", 2.0, 2.0, "a"), (3, "X", 3.0, 3.0, "c"), (4, "", 4.0, 4.0, "d"), (5, None, 5.0, 5.0, "e"), (0, "LONG KEY", 6.0, 6.0, "f")]
+    g = spark.createDataFrame(keys, "ord int, key string, lat double, lng double, city string")
+    titles = ["Amber fort", "ambe", "x", "a long keyx", "", None, "none", "Amber fort"]
+    df = spark.createDataFrame([(i, t, "d") for i, t in enumerate(titles)], "i int, title string, docent_details string")
+    rows = [sorted(map(str, nodes.gazetteer_substring(df, g, most).collect())) for most in (10, 2)]
+    assert rows[0] == rows[1] and sum("Officially" in r for r in rows[0]) == 5
+
+
+def test_one_key_in_very_many_nodes(spark):
+    """Every node links to the first ones of an era that 100,000 share; no pair of the group is listed."""
+    n = spark.range(100_000).select(F.col("id").alias("pos"), F.concat(F.lit("n"), F.col("id")).alias("id"), F.concat(F.lit("word"), F.col("id")).alias("title"), F.lit("tangible").alias("heritage_group"), (F.col("id") % 300 * 0.5 - 75).alias("lat"), (F.floor(F.col("id") / 300) - 170.0).alias("lng"), F.lit(None).cast("string").alias("place"), F.lit("8th century").alias("era_fact"), F.lit(None).cast("string").alias("gi_fact"), F.concat(F.lit("word"), F.col("id")).alias("norm_title"))
+    edges = links.link_graph(n).collect()
+    firsts = {f"n{i}" for i in range(5)}
+    assert len(edges) == 4 * 100_000 - 10 and all(r.source_id in firsts or r.target_id in firsts for r in edges) and {r.tier for r in edges} == {"source_supported"}
+
+
+def test_first_near_against_all_pairs(spark):
+    rng = random.Random(11)
+    points = [(i, rng.uniform(20, 24), rng.uniform(70, 74), rng.choice(["a", "a", "a", "b", "", None])) for i in range(400)]
+    df = spark.createDataFrame(points, "pos long, lat double, lng double, place string")
+    for held in (2, 64):
+        got = {}
+        for r in links._first_near(df, "place", 120, 3, held).collect():
+            got.setdefault(r.a, set()).add(r.b)
+        for i, lat, lng, p in points:
+            want = [j for j, a, b, o in points if j != i and p and o == p and km((lat, lng), (a, b)) <= 120]
+            assert set(want[:3]) <= got.get(i, set()) <= set(want)
+
+
+def test_epochs_over_spans(spark):
+    rows = [(s, i, f"2024-01-01 {i // 30:02d}:{i % 30:02d}:00", i % 7 == 3) for i in range(200) for s in ("a", None)]
+    df = spark.createDataFrame(rows, "session_id string, event_id long, ts string, is_reset boolean").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = geofence.with_epochs(df).collect()
+    assert len(out) == len(rows) and all(r.epoch == sum(i % 7 == 3 for i in range(r.event_id + 1)) for r in out)
