@@ -113,7 +113,7 @@ def _by_token_and_group(n: DataFrame) -> DataFrame:
 
 def _judged(found: DataFrame, n: DataFrame) -> DataFrame:
     """a, b, rule, tier, score, rationale: the first rule of each of the hits' pairs."""
-    first = found.groupBy("a", "b").agg(F.min_by("hit", "hit.rule").alias("hit")).select("a", "b", "hit.*")
+    first = found.groupBy("a", "b").agg(F.min_by("hit", F.col("hit.rule")).alias("best")).select("a", "b", "best.*")
     facts = n.select(F.col("pos").alias("a"), "place", "era_fact", "gi_fact", "heritage_group")
     count = F.size("words")
     score = (
@@ -219,7 +219,7 @@ def link_graph(nodes: DataFrame, k: int = TOP_LINKS) -> DataFrame:
         .unionByName(last.select(F.col("b").alias("a"), F.col("a").alias("b"), "hit"))
     )
     best = _judged(found, n).withColumn("_n", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).where(F.col("_n") <= k)
-    pairs = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "tier", "score", "rationale").groupBy("a", "b").agg(F.first("tier").alias("tier"), F.first("score").alias("score"), F.first("rationale").alias("rationale"))
+    pairs = settled(best).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "tier", "score", "rationale").groupBy("a", "b").agg(F.first("tier").alias("tier"), F.first("score").alias("score"), F.first("rationale").alias("rationale"))
     name = lambda c: n.select(F.col("pos").alias(c), F.col("id").alias(f"{c}_id"))
     named = pairs.join(name("a"), "a").join(name("b"), "b")
     return named.select(F.least("a_id", "b_id").alias("source_id"), F.greatest("a_id", "b_id").alias("target_id"), "tier", "score", "rationale")
