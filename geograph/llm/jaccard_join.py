@@ -433,7 +433,7 @@ def _blocks(members: str, shingles: str) -> Column:
 
 def meet_pivots(members: DataFrame, sizes: DataFrame, seed: int, percent: int) -> DataFrame:
     """One round for large regions, staged: link (a pivot, a member that it links with), or
-    the member's windows (parent, region). Members are dealt in blocks, each of which
+    the member's windows (parent, regions). Members are dealt in blocks, each of which
     gets the region's PIVOTS pivots."""
     spark = members.sparkSession
     dealt = members.join(few(sizes), "region").withColumn("blocks", _blocks("members", "shingles_in"))
@@ -459,19 +459,27 @@ def meet_pivots(members: DataFrame, sizes: DataFrame, seed: int, percent: int) -
                     known = np.unique(np.concatenate(sets))
                     has = np.array([np.isin(known, p, assume_unique=True) for p in sets])
                     size = np.array([len(p) for p in sets])
+                    joined = Sets(sets, percent)
+                    forest = Forest(len(sets))
+                    tree = link_all(np.arange(len(sets)), forest, joined.near)
+                    root = forest.roots(np.arange(len(sets)))
                 at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                 both = has[:, at[known[at] == s]].sum(1)
                 union = size + len(s) - both
                 distance = 1 - both / union
-                for i in np.flatnonzero(100 * both >= percent * union):
-                    if names[i] != sid:
-                        out.append((True, names[i], 0, sid))
+                linked = np.flatnonzero(100 * both >= percent * union)
+                if sid in names:  # a pivot: its own part of what connects the pivots
+                    out += [(True, names[j], sid, None) for i, j in tree if names[i] == sid]
+                elif len(linked):  # one link for all pivots that are connected themselves
+                    _, one = np.unique(root[linked], return_index=True)
+                    out += [(True, names[i], sid, None) for i in linked[one]]
                 # a set of another region is within e of this one only if it is at most 2 e farther from this pivot than from its own
-                for i in np.flatnonzero(distance <= distance.min() + 2 * (1 - percent / 100) + 1e-9):
-                    out.append((False, region, int(mix(np.array([region, names[i]], np.int64).view(np.uint64)).sum().view(np.int64)), sid))
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate((pa.bool_(), pa.int64(), pa.int64(), pa.int64()))], names=["link", "parent", "region", "sid"])
+                near = np.array(names, np.int64)[distance <= distance.min() + 2 * (1 - percent / 100) + 1e-9]
+                out.append((False, region, sid, mix(mix(np.full(1, region, np.int64).view(np.uint64)) + near.view(np.uint64)).view(np.int64)))
+            kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)], names=["link", "parent", "sid", "regions"])
 
-    return stage_table(ordered.mapInArrow(compare, "link boolean, parent long, region long, sid long"), "windows")
+    return stage_table(ordered.mapInArrow(compare, "link boolean, parent long, sid long, regions array<long>"), "windows")
 
 
 def join_blocks(members: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -538,7 +546,9 @@ def join_large(members: DataFrame, percent: int) -> DataFrame:
         if not more:
             return links
         named = lambda df, found: df.join(found, df.sid == found.node, "left").withColumn("label", F.coalesce("root", "sid")).drop("node", "root")
-        spread = stage_table(named(windows.where("not link").select("parent", "region", "sid"), connected(links)), "spread")
+        spread = stage_table(named(windows.where("not link").select("parent", "sid", "regions"), connected(links)), "spread")
+        apart = spread.groupBy("parent").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("parent")
+        spread = spread.join(few(stage_table(apart, "apart")), "parent", "left_semi").select("parent", F.explode("regions").alias("region"), "sid", "label")
         of = spread.groupBy("parent", "region").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
         open_ones = stage_table(of.where("low <> high"), "open")  # a region of one label is connected
         work = open_ones.groupBy("parent").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("work"))
