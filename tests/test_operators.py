@@ -299,3 +299,31 @@ def test_epochs_over_spans(spark):
     df = spark.createDataFrame(rows, "session_id string, event_id long, ts string, is_reset boolean").withColumn("ts", F.col("ts").cast("timestamp"))
     out = geofence.with_epochs(df).collect()
     assert len(out) == len(rows) and all(r.epoch == sum(i % 7 == 3 for i in range(r.event_id + 1)) for r in out)
+
+
+def test_intake_and_promotion_in_batches(spark, tmp_path):
+    """Submission files are validated once each, approved ones promoted batch by batch, and nodes without a vector get one."""
+    from geograph.streaming import intake
+
+    kind = "submission_id string, title string, description string, category string, photo_type string, photo_bytes long, contributor_name string, contributor_note string, latitude double, longitude double"
+    rows = [("1", " Amber Fort ", "a hill of stone by the lake", None, None, None, " me ", None, 1.0, 2.0), ("2", " ", "no title", None, None, None, None, None, 1.0, 2.0), ("3", "Old Well", "deep water under stairs", None, "text/plain", 5, None, None, 1.0, 2.0)]
+    (tmp_path / "in").mkdir()
+    for k, r in enumerate(rows):
+        spark.createDataFrame([r], kind).coalesce(1).write.mode("append").json(f"{tmp_path}/in/{k}")
+    run = lambda: intake.intake(spark, f"{tmp_path}/in/*", kind, f"{tmp_path}/valid", f"{tmp_path}/rejects", f"{tmp_path}/check")
+    run().awaitTermination()
+    run().awaitTermination()  # nothing new
+    valid, rejects = spark.read.parquet(f"{tmp_path}/valid"), spark.read.parquet(f"{tmp_path}/rejects")
+    assert [(r.submission_id, r.title, r.contributor_name, r.status) for r in valid.collect()] == [("1", "Amber Fort", "me", "pending")]
+    assert {(r.submission_id, r.reason) for r in rejects.collect()} == {("2", "title and description are required"), ("3", "unsupported photo type")}
+
+    there = vectors.embed(spark.createDataFrame([("n1", "amber fort", "x")], "node_id string, title string, content string"), "content")
+    none = spark.createDataFrame([], "node_id string, other_id string"), spark.createDataFrame([], "node_id string, other_id string, connect boolean, tier string, rationale string")
+    promote = lambda batch: {"outcome": review.promote(vectors.embed(review.derive_nodes(batch), "content"), there, *none)["outcome"]}
+    approved = spark.readStream.schema(valid.drop("batch").schema).parquet(f"{tmp_path}/valid/*")
+    intake.promote_stream(approved, promote, f"{tmp_path}/out", f"{tmp_path}/check2").awaitTermination()
+    assert [(r.submission_id, r.status, r.merged_into) for r in spark.read.parquet(f"{tmp_path}/out/outcome").collect()] == [("1", "merged", "n1")]
+
+    backlog = spark.createDataFrame([("a", "some text", None, None), ("b", "more", None, [1.0]), ("c", "gone", "a", None)], "node_id string, content string, merged_into string, vector_embedding array<float>")
+    made = intake.embed_backlog(backlog).collect()
+    assert [r.node_id for r in made] == ["a"] and len(made[0].vector_embedding) == vectors.EMBEDDING_SIZE
