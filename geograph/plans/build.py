@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,24 +17,27 @@ from ..sources.sinks import replace_for_keys, seed_merge, update_by_key, upsert
 
 
 class GraphTables:
-    """The graph's tables in the session's catalog, under names with a prefix."""
+    """The graph's tables as Parquet folders under one shared folder."""
 
     SCHEMAS = {"nodes": NODES, "clusters": CLUSTERS, "node_clusters": NODE_CLUSTERS, "edges": EDGES}
 
-    def __init__(self, spark: SparkSession, prefix: str = "graph_"):
-        self.spark, self.prefix = spark, prefix
+    def __init__(self, spark: SparkSession, base: str):
+        self.spark, self.base = spark, base.rstrip("/")
 
     def read(self, name: str) -> DataFrame:
         """The table; an empty one if there is none yet."""
-        if not self.spark.catalog.tableExists(self.prefix + name):
+        try:
+            return self.spark.read.schema(self.SCHEMAS[name]).parquet(f"{self.base}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], self.SCHEMAS[name])
-        return self.spark.table(self.prefix + name)
 
     def write(self, name: str, df: DataFrame) -> None:
         """Replace the table. Rows are computed in full before, as they may come from the table itself."""
         have = set(df.columns)
         full = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(self.SCHEMAS[name])])
-        settled(full).write.mode("overwrite").format("parquet").saveAsTable(self.prefix + name)
+        settled(full).write.mode("overwrite").parquet(f"{self.base}/{name}")
 
 
 def seed(t: GraphTables, raw: DataFrame) -> dict[str, int]:
