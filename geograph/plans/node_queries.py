@@ -53,15 +53,13 @@ def flattened_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.flatten_nodes(raw_nodes(spark, sf_dir))
 
 
-@query(f"WITH {_GRAPH}, x AS (SELECT *, row_number() OVER (ORDER BY source_id, target_id) AS edge_id FROM e) SELECT 'edge-' || CAST(edge_id AS VARCHAR) AS id, source_id AS source, target_id AS target, tier, round(score, 6) AS score FROM x")
+@query(f"WITH {_GRAPH} SELECT 'edge-' || source_id || '-' || target_id AS id, source_id AS source, target_id AS target, tier, round(score, 6) AS score FROM e")
 def shown_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges under the names that displays use."""
-    from pyspark.sql.window import Window
-
     n, e = _edges(spark, sf_dir)
     named = n.withColumns({"node_id": F.col("id"), "latitude": F.col("lat"), "longitude": F.col("lng"), "trust_status": F.col("trust"), "district": F.col("place"), "content": F.col("docent_details"), "content_source": F.lit("original"), "photo_url": F.col("photo"), "subtype_id": F.lit(None).cast("string"), "subtype_name": F.lit(None).cast("string")})
-    numbered = e.withColumn("edge_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("source_id", "target_id")))
-    return links.to_graph_shape(named, numbered)[1].select("id", "source", "target", "tier", F.round("score", 6).alias("score"))
+    identified = e.withColumn("edge_id", F.concat_ws("-", "source_id", "target_id"))
+    return links.to_graph_shape(named, identified)[1].select("id", "source", "target", "tier", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_FACTS} SELECT id, title, heritage_group AS \"group\", lat, lng, coalesce(place, '') AS place, coalesce(photo, '') AS photo FROM f")
