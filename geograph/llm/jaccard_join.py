@@ -546,7 +546,8 @@ def join_large(members: DataFrame, percent: int) -> DataFrame:
         if not more:
             return links
         named = lambda df, found: df.join(found, df.sid == found.node, "left").withColumn("label", F.coalesce("root", "sid")).drop("node", "root")
-        spread = stage_table(named(windows.where("not link").select("parent", "sid", "regions"), connected(links)), "spread")
+        labels = connected(links)
+        spread = stage_table(named(windows.where("not link").select("parent", "sid", "regions"), labels), "spread")
         apart = spread.groupBy("parent").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("parent")
         spread = spread.join(few(stage_table(apart, "apart")), "parent", "left_semi").select("parent", F.explode("regions").alias("region"), "sid", "label")
         of = spread.groupBy("parent", "region").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
@@ -556,10 +557,12 @@ def join_large(members: DataFrame, percent: int) -> DataFrame:
         judged = stage_table(judged, "judged")
         stuck = stage_table(judged.where("stuck").select(F.col("parent").alias("region"), "members", "shingles_in"), "stuck")
         if stuck.limit(1).count():
-            again = named(held.drop("label").join(few(stuck.select("region")), "region", "left_semi"), connected(links))
+            again = named(held.drop("label").join(few(stuck.select("region")), "region", "left_semi"), labels)
             links = stage_table(links.unionByName(join_blocks(stage_table(again, "members"), stuck, percent)).distinct(), "links")
         smaller = stage_table(open_ones.join(judged.where("not stuck").select("parent"), "parent").select("region").distinct(), "smaller")
-        rows = named(spread.drop("label").join(few(smaller), "region", "left_semi").select("region", "sid").distinct(), connected(links))
+        if not smaller.limit(1).count():
+            return links
+        rows = named(spread.drop("label").join(few(smaller), "region", "left_semi").select("region", "sid").distinct(), labels)
         held = stage_table(rows.join(sets, "sid").select("region", "sid", "label", "shingles"), "members")
 
 
