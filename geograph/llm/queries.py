@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import adaptive_rules, chat_tree, importance, jaccard_join, mixing, nra, packing, suffix_dedup, token_counts, url_trie
+from . import adaptive_rules, chat_tree, head_tail, importance, jaccard_join, mixing, nra, packing, positional_index, suffix_dedup, token_counts, url_trie, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trie.filter_urls(_table(spark, sf_dir, "pages"), rules)
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return head_tail.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positional_index.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_importance_resampling": op1,
     "op2_nra_top_k": op2,
@@ -87,6 +99,9 @@ QUERIES = {
     "op8_jaccard_join": op8,
     "op9_token_attribution": op9,
     "op10_url_trie": op10,
+    "op11_head_tail_resampling": op11,
+    "op12_positional_index": op12,
+    "op13_resident_lloyd": op13,
 }
 
 OP2_SQL = """
@@ -189,4 +204,112 @@ WITH p AS (
 SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM m WHERE n = 1
 """
 
-SQL = {"op2_nra_top_k": OP2_SQL, "op3_chat_prefix_tree": OP3_SQL, "op4_adaptive_rules": OP4_SQL, "op10_url_trie": OP10_SQL}
+# Words of the texts of a table, in order, as lists.
+_WORDS = r"""list_filter(string_split_regex(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"""
+
+# A CRC-32 is the exclusive or of what each byte gives at its distance from the end, and of the CRC of as many zero bytes.
+OP11_SQL = (
+    """
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, %s AS w FROM documents
+), f AS (
+  SELECT r, w[i] AS f FROM (SELECT r, w, unnest(generate_series(1, len(w))) AS i FROM d)
+  UNION ALL SELECT r, w[i] || ' ' || w[i + 1] FROM (SELECT r, w, unnest(generate_series(1, len(w) - 1)) AS i FROM d)
+  UNION ALL SELECT r, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM (SELECT r, w, unnest(generate_series(1, len(w) - 2)) AS i FROM d)
+), e AS (
+  SELECT %s AS w FROM benchmark
+), g AS (
+  SELECT w[i] AS f FROM (SELECT w, unnest(generate_series(1, len(w))) AS i FROM e)
+  UNION ALL SELECT w[i] || ' ' || w[i + 1] FROM (SELECT w, unnest(generate_series(1, len(w) - 1)) AS i FROM e)
+  UNION ALL SELECT w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM (SELECT w, unnest(generate_series(1, len(w) - 2)) AS i FROM e)
+), n AS (
+  SELECT f, CAST(sum(s) AS BIGINT) AS s, CAST(sum(t) AS BIGINT) AS t FROM (SELECT f, 1 AS s, 0 AS t FROM f UNION ALL SELECT f, 0, 1 FROM g) GROUP BY f
+), step AS (
+  SELECT CAST(b AS BIGINT) AS b, list_reduce(list_prepend(CAST(b AS BIGINT), generate_series(1, 8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END) AS v FROM range(256) t(b)
+), far AS (
+  SELECT b, 0 AS dist, v FROM step
+  UNION ALL SELECT far.b, dist + 1, xor(far.v // 256, step.v) FROM far JOIN step ON step.b = far.v % 256 WHERE dist < (SELECT max(octet_length(encode(f))) FROM n)
+), zero AS (
+  SELECT 0 AS len, CAST(4294967295 AS BIGINT) AS v
+  UNION ALL SELECT len + 1, xor(zero.v // 256, step.v) FROM zero JOIN step ON step.b = zero.v % 256 WHERE len < (SELECT max(octet_length(encode(f))) FROM n)
+), h AS (
+  SELECT f, hex(encode(f)) AS x, octet_length(encode(f)) AS len FROM n
+), y AS (
+  SELECT f, len, len - i AS dist, CAST('0x' || substr(x, 2 * i - 1, 2) AS BIGINT) AS b FROM (SELECT f, x, len, unnest(generate_series(1, len)) AS i FROM h)
+), k AS (
+  SELECT f, max(len) AS len, bit_xor(v) AS v FROM y JOIN far USING (b, dist) GROUP BY f
+), c AS (
+  SELECT f, xor(xor(k.v, zero.v), 4294967295) %% 10000 AS bucket FROM k JOIN zero USING (len)
+), u AS (
+  SELECT bucket, CAST(sum(s) AS DOUBLE) AS s, CAST(sum(t) AS DOUBLE) AS t FROM n JOIN c USING (f) GROUP BY bucket
+), z AS (
+  SELECT CAST(sum(s) AS DOUBLE) AS s, CAST(sum(t) AS DOUBLE) AS t FROM n
+), q AS (
+  SELECT bucket, CAST(floor(1000 * ln((u.t + 1) * (z.s + 10000) / ((u.s + 1) * (z.t + 10000)))) AS BIGINT) AS gain FROM u, z
+), o AS (
+  SELECT r, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM f JOIN c USING (f) JOIN q USING (bucket) GROUP BY r
+), p AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM d LEFT JOIN o USING (r)
+), a AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_words >= 20) AS docs FROM p
+)
+SELECT doc_id, n_words, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * docs // 100 THEN place END AS rank FROM a
+"""
+    .replace("%%", "%")
+    .replace("%s", _WORDS.format("text"))
+)
+
+OP12_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, %s AS w FROM documents
+), b AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, %s AS w FROM benchmark
+), q AS (
+  SELECT DISTINCT item, least(len(w), 10) AS size, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS run
+  FROM (SELECT item, w, unnest(generate_series(1, greatest(1, len(w) - 9))) AS i FROM b WHERE len(w) > 0)
+), z AS (
+  SELECT DISTINCT size FROM q
+), p AS (
+  SELECT r, size, i, array_to_string(w[i:i + size - 1], ' ') AS run FROM (SELECT r, w, size, unnest(generate_series(1, len(w) - size + 1)) AS i FROM d, z)
+), m AS (
+  SELECT r, i, size, item FROM p JOIN q USING (size, run)
+), h AS (
+  SELECT r, count(*) AS n FROM (SELECT DISTINCT r, unnest(generate_series(i, i + size - 1)) AS at FROM m) GROUP BY r
+), n AS (
+  SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM m) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(n.n, 0) AS n_items, sha256(coalesce(n.items, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN n USING (r)
+""".replace("%s", _WORDS.format("text"))
+
+
+def _lloyd_sql(rounds: int = 4) -> str:
+    """Lloyd's rounds, written out one after the other."""
+    nearest = "SELECT r, p, x, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT v.r, v.p, v.x, b.e, CAST(list_sum(list_transform(generate_series(1, len(v.x)), lambda i: (v.x[i] - b.x[i]) * (v.x[i] - b.x[i]))) AS BIGINT) AS d FROM v JOIN {0} b USING (p)) GROUP BY r, p, x"
+    parts = []
+    for n in range(rounds):
+        parts.append(f"a{n} AS MATERIALIZED ({nearest.format(f'b{n}')})")
+        means = f"SELECT p, e, list(m ORDER BY i) AS x FROM (SELECT p, e, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS m FROM (SELECT p, e, x, unnest(generate_series(1, len(x))) AS i FROM a{n}) GROUP BY p, e, i) GROUP BY p, e"
+        parts.append(f"b{n + 1} AS MATERIALIZED (SELECT b{n}.p, b{n}.e, coalesce(m.x, b{n}.x) AS x FROM b{n} LEFT JOIN ({means}) m USING (p, e))")
+    return f"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), v AS MATERIALIZED (
+  SELECT r, p, x[p * len(x) // 4 + 1:(p + 1) * len(x) // 4] AS x FROM k, (VALUES (0), (1), (2), (3)) t(p)
+), b0 AS (
+  SELECT p, r - 1 AS e, x FROM v WHERE r <= 256
+), {", ".join(parts)}, z AS MATERIALIZED (
+  {nearest.format(f"b{rounds}")}
+), c AS (
+  SELECT r, string_agg(lower(lpad(to_hex(e), 2, '0')), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM z GROUP BY r
+), s AS (
+  SELECT sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM (SELECT p, e, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM b{rounds})
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN c USING (r), s
+"""
+
+
+SQL = {"op2_nra_top_k": OP2_SQL, "op3_chat_prefix_tree": OP3_SQL, "op4_adaptive_rules": OP4_SQL, "op10_url_trie": OP10_SQL, "op11_head_tail_resampling": OP11_SQL, "op12_positional_index": OP12_SQL, "op13_resident_lloyd": _lloyd_sql()}
