@@ -36,8 +36,10 @@ LENGTH, Q = 200, 32
 CHUNK = 1 << 22
 #: Extents of a bucket that a task holds; strings of larger buckets are counted one row each.
 BUCKET_ROWS = 16_384
-#: A bucket with over 1 / HOT of all rows is hot; there are at most HOT of them. Their rows are dealt to SALTS tasks.
+#: A bucket with over 1 / HOT of all rows is hot; there are at most HOT of them. Their rows are dealt to SALTS keys.
 HOT, SALTS = 2000, 64
+#: Keys to which the extents of a hot bucket are dealt, many, so that all tasks get like shares of them.
+SHARES = 4096
 _POSITION = U((1 << 24) - 1)
 _A, _B = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 
@@ -131,10 +133,10 @@ def _hot_buckets(rows: DataFrame) -> DataFrame:
     return stage_table(counts.where(F.col("n") * HOT > total).select("bucket"), "hot")
 
 
-def _marked(rows: DataFrame, hot: DataFrame) -> DataFrame:
+def _marked(rows: DataFrame, hot: DataFrame, salts: int) -> DataFrame:
     """rows with _hot, and with _salt, 0 but for hot buckets' rows. `hot` has HOT rows at most."""
     found = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), "bucket", "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
-    return found.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("h1", "begin"), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
+    return found.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("h1", "begin"), F.lit(salts))).otherwise(F.lit(0).cast("long")))
 
 
 def _sort_buckets(anchors: DataFrame, hot: DataFrame, length: int) -> DataFrame:
@@ -143,7 +145,7 @@ def _sort_buckets(anchors: DataFrame, hot: DataFrame, length: int) -> DataFrame:
     Rows stream through with one row of look-ahead, whatever the bucket's size. Hot
     buckets are sorted in parts; of each part the last row of each extent goes on."""
     spark = anchors.sparkSession
-    ordered = _marked(anchors.where("bucket is not null"), hot).repartition(shuffle_partitions(spark), "bucket", "_salt").sortWithinPartitions("bucket", "_salt", "ext").select(*ANCHORS.names, "_hot", "_salt")
+    ordered = _marked(anchors.where("bucket is not null"), hot, SALTS).repartition(shuffle_partitions(spark), "bucket", "_salt").sortWithinPartitions("bucket", "_salt", "ext").select(*ANCHORS.names, "_hot", "_salt")
 
     def emit(t: pa.Table, n: int, before: tuple | None, opened: int | None) -> tuple[pa.RecordBatch, int | None]:
         """Judge the first n rows of t; before: bucket, part and extent of the row above them; opened: the extent that opened that bucket."""
@@ -206,7 +208,7 @@ def _refine(extents: DataFrame, hot: DataFrame, length: int) -> tuple[DataFrame,
     each different string of each part of a bucket that is hot or too large for a
     task, to be counted by Spark."""
     spark = extents.sparkSession
-    ordered = _marked(extents, hot).repartition(shuffle_partitions(spark), "bucket", "_salt").sortWithinPartitions("bucket").select("bucket", "h1", "h2", "begin", "several", "extent", "_hot")
+    ordered = _marked(extents, hot, SHARES).repartition(shuffle_partitions(spark), "bucket", "_salt").sortWithinPartitions("bucket").select("bucket", "h1", "h2", "begin", "several", "extent", "_hot")
     names = ["name", "bucket", "h1", "h2", "begin", "end", "several"]
     schema = T.StructType([T.StructField(n, t) for n, t in zip(names, (T.LongType(), T.LongType(), T.LongType(), T.IntegerType(), T.IntegerType(), T.IntegerType(), T.BooleanType()), strict=True)])
 
