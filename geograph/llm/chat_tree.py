@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import running_total, shuffle_partitions, stage_table
-from .token_counts import encoding
+from .token_counts import encode_whole, encoding
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 #: Stands for a null conversation id while conversations are put in order.
@@ -59,8 +59,8 @@ def read_turn(formatted: str) -> tuple[str, str]:
 def encode_turn(tokenizer, role: str | None, text: str | None) -> tuple[list[int], int, int]:
     """The turn's tokens, and where the message begins and ends in them. The marks have the ids after the tokenizer's last."""
     formatted, begin, end = format_turn(role, text)
-    head = [tokenizer.n_vocab, *tokenizer.encode_ordinary(formatted[len(START) : begin])]
-    body = tokenizer.encode_ordinary(formatted[begin:end])
+    head = [tokenizer.n_vocab, *encode_whole(tokenizer, formatted[len(START) : begin])]
+    body = encode_whole(tokenizer, formatted[begin:end])
     return [*head, *body, tokenizer.n_vocab + 1, *tokenizer.encode_ordinary(END[-1])], len(head), len(head) + len(body)
 
 

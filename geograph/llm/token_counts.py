@@ -19,6 +19,9 @@ from pyspark.sql import types as T
 #: 'first': a token counts where its first character is; 'last': where its last one is.
 RULES = ("first", "last")
 _encodings: dict[tuple[str, str], tuple] = {}
+#: White space of so many characters is taken out of a text's way: the tokenizer's own pattern overflows its stack on about a million.
+LONG_SPACE = 100_000
+_parting: dict[str, bool] = {}
 
 
 def encoding(path: str, pattern: str) -> tuple:
@@ -35,6 +38,44 @@ def encoding(path: str, pattern: str) -> tuple:
     return _encodings[path, pattern]
 
 
+def parts_at_space(pattern: str) -> bool:
+    """True for patterns that always part a text where white space follows anything else (but for the space before a word)."""
+    import regex
+
+    if pattern not in _parting:
+        _parting[pattern] = all(regex.search(pattern, c + space + "x", pos=0)[0] == c for c in "a1.é名_" for space in ("   ", "\n\n\n", "\r\n\t"))
+    return _parting[pattern]
+
+
+def encode_whole(tokenizer, text: str) -> list[int]:
+    """The ids of a text as a whole, however long its white space.
+
+    Very long runs of it are parted by a regular expression without recursion, as the
+    pattern parts them, and encoded piece by piece; what stands between them by the
+    tokenizer. With a pattern that joins white space to what is before, all pieces
+    of such a text are found that way.
+    """
+    import regex
+
+    long = [m for m in regex.finditer(r"\p{White_Space}{2}\p{White_Space}*+", text) if m.end() - m.start() >= LONG_SPACE] if len(text) >= LONG_SPACE else []
+    if not long:
+        return tokenizer.encode_ordinary(text)
+    pattern = tokenizer._pat_str
+    piece = lambda m: tokenizer._encode_single_piece(m[0])
+    if not parts_at_space(pattern):
+        return [i for m in regex.finditer(pattern, text) for i in piece(m)]
+    ids, at = [], 0
+    for run in long:
+        ids += tokenizer.encode_ordinary(text[at : run.start()])
+        at = run.start()
+        for m in regex.finditer(pattern, text[run.start() : run.end() + 1]):
+            if run.start() + m.end() > run.end():  # goes on in what follows
+                break
+            ids += piece(m)
+            at = run.start() + m.end()
+    return ids + tokenizer.encode_ordinary(text[at:])
+
+
 def lines(text: str) -> list[tuple[int, int]]:
     """Each line with its line feed. They cover the text, so each token counts once."""
     data = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -106,7 +147,7 @@ def attribute(
                 if not spans:
                     continue
                 record = joiner.join(text for _, _, text in values)
-                sizes = lengths[tokenizer.encode_ordinary(record)]
+                sizes = lengths[encode_whole(tokenizer, record)]
                 spans = np.array(spans, np.int64)
                 counted, crossing = allocate(sizes, np.frombuffer(record.encode("utf-8", "surrogatepass"), np.uint8), spans[:, 1:], rule)
                 at.append(np.full(len(spans), i))

@@ -502,10 +502,10 @@ def plain_match(rules, host, path):
     return max(fits)[2:] if fits else None
 
 
-@pytest.mark.parametrize("most", [1_000_000, 3])
+@pytest.mark.parametrize("most", [64_000_000, 3])
 def test_trie_against_all_rules(spark, monkeypatch, most):
     """Both ways, the broadcast trie and the join beyond its bound."""
-    monkeypatch.setattr(url_trie, "MAX_BROADCAST_RULES", most)
+    monkeypatch.setattr(url_trie, "MAX_TRIE_BYTES", most)
     rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("org", "/fr", "allow"), ("a.org", "", "block"), ("b.a.org", "/x/y", "allow"), ("b.a.org", "/x/yz/", "block"), ("b.a.org", "/x/", "allow")]
     hosts = ["net", "x.net", "Example.NET", "www.example.net", "notexample.net", "org", "a.org", "b.a.org", "c.b.a.org", "", "com", "xa.org", ".net"]
     paths = ["", "/", "/en", "/en/", "/en/1", "/fr", "/french", "/x/y", "/x/yz", "/x/yz/1", "/x/", "//", "/x/yzz/"]
@@ -520,6 +520,73 @@ def test_trie_against_all_rules(spark, monkeypatch, most):
     assert url_trie.split_url("HTTP://WWW.É.Net?x") == ("www.É.net", "") and url_trie.split_url("a://b://c/d") == ("b:", "//c/d")
 
 
+def test_urls_of_any_length(spark, monkeypatch):
+    """A segment of a million letters, 100,000 segments and 10,000 labels, in time, on both ways."""
+    import time
+
+    rules = frame(spark, [("org", "/fr/", "block"), ("host.org", "/fr/" + "a" * 50, "allow"), ("org", "/x/" * 20, "block")], "host string, path string, verdict string")
+    urls = ["http://host.org/fr/" + "a" * 1_000_000, "http://host.org/fr/" + "b" * 1_000_000, "http://org/fr" + "/s" * 100_000, "http://" + "l." * 10_000 + "org/fr/", "http://org/" + "x/" * 30]
+    df = frame(spark, [*enumerate(urls)], "page_id long, url string").coalesce(1)
+    for most in (64_000_000, 0):
+        monkeypatch.setattr(url_trie, "MAX_TRIE_BYTES", most)
+        url_trie.filter_urls(df.limit(1), rules).collect()
+        began = time.time()
+        out = {r.page_id: r.rule for r in url_trie.filter_urls(df, rules).collect()}
+        assert out == {0: "host.org/fr/" + "a" * 50, 1: "org/fr/", 2: "org/fr/", 3: "org/fr/", 4: None} and time.time() - began < 20
+    trie = url_trie.build_trie([(r.host, r.path, r.verdict) for r in rules.collect()])
+    for u in urls:
+        began = time.time()
+        url_trie.match(trie, *url_trie.split_url(u))
+        assert time.time() - began < 1
+
+
+def test_bytes_of_a_trie(spark):
+    import tracemalloc
+
+    listed = [(f"h{i}.{'x' * (i % 30)}{i % 97}.net", f"/a{i % 11}/{'é' * (i % 40)}/{i}", "block") for i in range(5000)]
+    tracemalloc.start()
+    trie = url_trie.build_trie(listed)
+    took = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert trie and took <= url_trie.trie_bytes(frame(spark, listed, "host string, path string, verdict string")) < 6 * took
+
+
+# white space of any length
+
+
+def test_long_white_space_in_tokens(monkeypatch):
+    import random
+
+    import public_tokenizers
+
+    names = (tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    tokenizer, _ = token_counts.encoding(*names)
+    joins, _ = token_counts.encoding(names[0], r" ?[^\s\p{L}\p{N}]+[\r\n]*|\p{L}+|\p{N}|\s+(?!\S)|\s+")
+    assert token_counts.parts_at_space(names[1]) and not token_counts.parts_at_space(joins._pat_str)
+    monkeypatch.setattr(token_counts, "LONG_SPACE", 4)
+    rng = random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "Éb", "1", "!", "'s", " ", "  ", "\n\n", "\r\n", "\t", "\u2003\u00a0", " " * 9, "\x1f" * 5, "\n" * 7]) for _ in range(rng.randint(0, 25)))
+        assert token_counts.encode_whole(tokenizer, text) == tokenizer.encode_ordinary(text)
+        assert token_counts.encode_whole(joins, text) == joins.encode_ordinary(text)
+
+
+def test_two_million_characters_of_one_kind(spark):
+    import public_tokenizers
+
+    names = (tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    n = 2_000_000
+    texts = [" " * n, "\n" * n, "a" + " \n" * (n // 2) + "b", "w" * n]
+    df = frame(spark, [(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    counts = {r.doc_id: (r.n, r.doc_tokens) for r in token_counts.attribute(df, *names, {"text": token_counts.whole}).groupBy("doc_id").agg({"n_tokens": "sum", "doc_tokens": "max"}).toDF("doc_id", "doc_tokens", "n").select("doc_id", "n", "doc_tokens").collect()}
+    tokenizer, _ = token_counts.encoding(*names)
+    assert counts[3][0] == len(tokenizer.encode_ordinary(texts[3])) and all(a == b for a, b in counts.values()) and counts[0][0] == n
+    talk = frame(spark, [(i, k, "assistant", t) for i, t in enumerate(texts) for k in (0, 1)], "conv_id long, turn long, role string, text string")
+    back = {r.conv_id: r for r in chat_tree.read_back(chat_tree.build_tree(talk, *names), *names).collect()}
+    for i, t in enumerate(texts):
+        assert back[i].turns_sha256 == hashlib.sha256(f"assistant\n{t}\n".encode() * 2).hexdigest() and back[i].loss_chars == 2 * len(t)
+
+
 # helpers
 
 
