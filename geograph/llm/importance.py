@@ -117,10 +117,11 @@ def log_weights(docs: DataFrame, log_ratio: np.ndarray, seed: int, id_col: str,
 
 def threshold(scored: DataFrame) -> float:
     """The log weight that parts good from bad labelled rows with the least error
-    (good rows lost, weighted by GOOD_LOSS, and bad rows kept), found on a histogram of 4000 steps of
-    the score, which is all that reaches the driver; 0 if a class has no row."""
+    (good rows lost, weighted by GOOD_LOSS, and bad rows kept), found on a histogram of the
+    score in steps of 0.05, which is all that reaches the driver, a row for each labelled
+    row at most; 0 if a class has no row."""
     step = 0.05
-    at = F.greatest(F.lit(-2000), F.least(F.lit(1999), F.floor(F.col("log_weight") / step)))
+    at = F.floor(F.col("log_weight") / step)
     rows = scored.where("good is not null").groupBy(at.alias("at")).agg(F.sum(F.col("good").cast("long")).alias("good"), F.count("*").alias("n")).orderBy("at").collect()
     good, bad = sum(r.good for r in rows), sum(r.n - r.good for r in rows)
     if not good or not bad:
