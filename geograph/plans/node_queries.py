@@ -27,15 +27,15 @@ def unadjudicated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.unadjudicated(pairs, pairs.where((F.col("source_id") + F.col("target_id")) % 3 == 0)).select("source_id", "target_id", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH RECURSIVE v AS (SELECT *, vec_id % 97 AS t FROM embeddings), l AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY t ORDER BY vec_id) = 1),
-  p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM l a, l b WHERE a.vec_id <> b.vec_id AND {_COS} >= 0.25), c AS (SELECT x AS node, x AS r FROM p UNION SELECT p.y, c.r FROM c JOIN p ON p.x = c.node),
+@query(f"""WITH RECURSIVE v AS (SELECT *, vec_id // 3 AS t FROM embeddings), l AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY t ORDER BY vec_id) = 1),
+  p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM l a, l b WHERE a.vec_id <> b.vec_id AND {_COS} >= 0.40), c AS (SELECT x AS node, x AS r FROM p UNION SELECT p.y, c.r FROM c JOIN p ON p.x = c.node),
   m AS (SELECT node, min(r) AS r FROM c GROUP BY node)
   SELECT v.vec_id AS node_id, CASE WHEN l.vec_id <> v.vec_id THEN l.vec_id WHEN m.r < v.vec_id THEN m.r END AS merged_into, CASE WHEN l.vec_id <> v.vec_id OR m.r < v.vec_id THEN 'merged_duplicate' ELSE 'verified' END AS trust_status FROM v JOIN l USING (t) LEFT JOIN m ON m.node = v.vec_id""")
 def two_pass_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Duplicates by title, then, among what is left, by vectors."""
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node_id"), F.concat(F.lit("Site No "), F.col("vec_id") % 97).alias("title"), F.lit(None).cast("long").alias("merged_into"), F.lit("verified").alias("trust_status"), "embedding")
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node_id"), F.concat(F.lit("Site No "), F.floor(F.col("vec_id") / 3)).alias("title"), F.lit(None).cast("long").alias("merged_into"), F.lit("verified").alias("trust_status"), "embedding")
     n = nodes.merge_titles(v)
-    pairs = vectors.similar_pairs(n.where("merged_into is null").select("node_id", "embedding"), 0.25)
+    pairs = vectors.similar_pairs(n.where("merged_into is null").select("node_id", "embedding"), 0.40)
     merged = vectors.merged_components(pairs).select("node_id", F.col("canonical").alias("merged_into"), F.lit("merged_duplicate").alias("trust_status"))
     return sinks.update_by_key(n, merged, "node_id").select("node_id", "merged_into", "trust_status")
 

@@ -238,16 +238,16 @@ def geofence_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geofence.triggered(derived(spark, sf_dir, SCANS), derived(spark, sf_dir, FENCES), 12.0)
 
 
-@query("""WITH a AS (SELECT c_custkey AS pos, 'Site ' || CAST(c_custkey % 400 AS VARCHAR) AS title FROM customer), b AS (SELECT s_suppkey AS pos, CASE WHEN s_suppkey % 9 = 0 THEN 'Q' || CAST(s_suppkey AS VARCHAR) ELSE 'SITE ' || CAST(s_suppkey * 3 % 500 AS VARCHAR) END AS title FROM supplier),
+@query("""WITH a AS (SELECT c_custkey AS pos, 'Site ' || CAST(c_custkey // 4 AS VARCHAR) AS title FROM customer), b AS (SELECT s_suppkey AS pos, CASE WHEN s_suppkey % 9 = 0 THEN 'Q' || CAST(s_suppkey AS VARCHAR) ELSE 'SITE ' || CAST(s_suppkey * 5 AS VARCHAR) END AS title FROM supplier),
   k AS (SELECT pos, title FROM a QUALIFY row_number() OVER (PARTITION BY lower(title) ORDER BY pos) = 1)
   SELECT 'IN-RJ-CSV-' || CASE WHEN length(CAST(pos AS VARCHAR)) < 3 THEN lpad(CAST(pos AS VARCHAR), 3, '0') ELSE CAST(pos AS VARCHAR) END AS node_id, title, 'A prominent cultural landmark known as ' || title || '.' AS famous_for FROM k
   UNION ALL (SELECT 'IN-RJ-WIKI-' || CASE WHEN length(CAST(pos AS VARCHAR)) < 3 THEN lpad(CAST(pos AS VARCHAR), 3, '0') ELSE CAST(pos AS VARCHAR) END, title, 'A prominent architectural landmark located in Rajasthan.' FROM b
     WHERE NOT regexp_matches(title, '^Q[0-9]+$') AND lower(title) NOT IN (SELECT lower(title) FROM k) QUALIFY row_number() OVER (PARTITION BY lower(title) ORDER BY pos) = 1)""")
 def feed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two feeds in one: the second adds the titles that the first lacks."""
-    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pos"), F.concat(F.lit("Site "), F.col("c_custkey") % 400).alias("label"))
+    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pos"), F.concat(F.lit("Site "), F.floor(F.col("c_custkey") / 4)).alias("label"))
     s = F.col("s_suppkey")
-    b = table(spark, sf_dir, "supplier").select(s.alias("pos"), F.when(s % 9 == 0, F.concat(F.lit("Q"), s)).otherwise(F.concat(F.lit("SITE "), s * 3 % 500)).alias("label"))
+    b = table(spark, sf_dir, "supplier").select(s.alias("pos"), F.when(s % 9 == 0, F.concat(F.lit("Q"), s)).otherwise(F.concat(F.lit("SITE "), s * 5)).alias("label"))
     first = nodes.first_per_key(readers.map_feed(a, "csv").withColumn("_t", F.lower("title")), ["_t"], ["pos"]).drop("_t")
     return nodes.add_unseen(first, readers.map_feed(b, "wiki"), ["pos"]).select("node_id", "title", "famous_for")
 
