@@ -1,8 +1,8 @@
 """Vector search, retrieval, embedding and semantic duplicates.
 
 Exact scores of queries against nodes are computed in blocks: both sides are packed
-into matrices, each block of queries meets each block of nodes once, and only each
-block's best rows leave the task.
+into matrices, each block of queries meets each shard of nodes once, and only each
+shard's best rows leave the task.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from ..functions.text import text
 from .links import dedupe_pairs
 from .staging import settled
 
-#: Rows in a block of nodes and of queries.
-BLOCK, ASKED = 1024, 256
+#: Rows in a block of nodes and of queries, blocks of nodes that a task holds, and rows that leave it at a time.
+BLOCK, ASKED, HELD, MOST_ROWS = 1024, 256, 8, 1 << 16
 # Defaults of matching, candidates and duplicates.
 MATCH_COUNT, ANSWER_FROM = 3, 0.70
 NEIGHBOURS, LEAST_COSINE = 6, 0.35
@@ -68,37 +68,67 @@ def _unit(raw: bytes, kind: str, dim: int, width: int) -> np.ndarray:
     return np.pad(m / np.maximum(norm, 1e-9), ((0, 0), (0, width - dim)))
 
 
+def _blocks(df: DataFrame, id_col: str, vec_col: str, size: int, is_node: bool) -> DataFrame:
+    """Packed blocks as rows of one shape for nodes and queries: node (whether they are), n_ids or q_ids, dim, type, m."""
+    p = "n" if is_node else "q"
+    packed = _packed(df, id_col, vec_col, p, size)
+    return packed.select(F.lit(is_node).alias("node"), f"{p}_ids", F.col(f"{p}_dim").alias("dim"), F.col(f"{p}_type").alias("type"), F.col(f"{p}_m").alias("m"))
+
+
 def best_matches(queries: DataFrame, nodes: DataFrame, k: int | None, least: float | None = None, query_id: str = "query_id", node_id: str = "node_id", vec_col: str = "embedding", skip_same: bool = False) -> DataFrame:
     """query_id, node_id, similarity, rank: each query's k most similar nodes, ties to the
     smaller id; with `least`, none less similar. skip_same: a node is no match of its
     own id. k None: all that reach `least`, without rank. Null and empty vectors, and
     those with null, NaN or infinite components, take no part, as query or as node;
-    shorter vectors count as filled up with zeros."""
+    shorter vectors count as filled up with zeros.
+
+    Nodes are dealt to shards of at most about HELD blocks, queries to groups. A task
+    holds a shard's nodes while it reads the queries of a group, a block at a time;
+    only each shard's best rows leave it.
+    """
     kind = nodes.schema[node_id].dataType.simpleString()
     q_kind = queries.schema[query_id].dataType.simpleString()
-    shards = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = _packed(nodes, node_id, vec_col, "n", BLOCK).withColumn("shard", F.pmod(F.xxhash64("n_m"), F.lit(shards)).cast("int"))
-    asked = _packed(queries, query_id, vec_col, "q", ASKED).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    pairs = spread.join(asked, "shard").select(*[f"{p}_{c}" for p in "nq" for c in ("ids", "dim", "type", "m")])
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    there, asked = settled(_blocks(nodes, node_id, vec_col, BLOCK, True)), _blocks(queries, query_id, vec_col, ASKED, False)
+    shards = max(1, -(-2 * there.count() // HELD))  # shards differ in size, so they are half full on average
+    groups = max(1, -(-parts // shards))
+    deal = lambda ids, n: F.pmod(F.xxhash64(ids, "m"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    both = there.withColumn("shard", deal("n_ids", shards)).withColumn("group", every(groups)).unionByName(asked.withColumn("group", deal("q_ids", groups)).withColumn("shard", every(shards)), allowMissingColumns=True)
+    dealt = both.repartition(parts, "shard", "group").sortWithinPartitions("shard", "group", F.desc("node")).select("shard", "group", "node", "n_ids", "q_ids", "dim", "type", "m")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, ids, held = None, [], []
         for b in batches:
-            for row in range(b.num_rows):  # a pair of blocks at a time, so that a batch of pairs is not held twice
-                n_ids, n_dim, n_type, n_m, q_ids, q_dim, q_type, q_m = (c[row].as_py() for c in b.columns)
-                n_ids, q_ids, width = np.array(n_ids), np.array(q_ids), max(n_dim, q_dim)
-                s = _unit(q_m, q_type, q_dim, width) @ _unit(n_m, n_type, n_dim, width).T
+            for row in range(b.num_rows):
+                shard, group, is_node, n_ids, q_ids, dim, kind, m = (c[row].as_py() for c in b.columns)
+                if (shard, group) != own:
+                    own, ids, held, matrix = (shard, group), [], [], None
+                if is_node:
+                    ids.append(np.array(n_ids))
+                    held.append(_unit(m, kind, dim, dim))
+                    continue
+                if not held:
+                    continue
+                width = max(dim, max(x.shape[1] for x in held)) if matrix is None else max(dim, matrix.shape[1])
+                if matrix is None or matrix.shape[1] < width:
+                    all_ids, matrix = np.concatenate(ids), np.concatenate([np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in held])
+                q_ids = np.array(q_ids)
+                s = _unit(m, kind, dim, width) @ matrix.T
                 if skip_same:
-                    s[q_ids[:, None] == n_ids[None, :]] = -np.inf
+                    s[q_ids[:, None] == all_ids[None, :]] = -np.inf
                 keep = s > -np.inf
-                if k is not None and len(n_ids) > k:
-                    cut = np.partition(s, len(n_ids) - k, axis=1)[:, len(n_ids) - k]
+                if k is not None and len(all_ids) > k:
+                    cut = np.partition(s, len(all_ids) - k, axis=1)[:, len(all_ids) - k]
                     keep &= s >= cut[:, None] - 1e-9  # sums differ in their last digits: what may tie stays
                 if least is not None:
                     keep &= s >= least - 1e-9
                 qi, ni = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[qi]), pa.array(n_ids[ni]), pa.array(np.round(s[qi, ni], 12))], names=["query_id", "node_id", "similarity"])
+                for low in range(0, len(qi), MOST_ROWS):
+                    q, n = qi[low : low + MOST_ROWS], ni[low : low + MOST_ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[q]), pa.array(all_ids[n]), pa.array(np.round(s[q, n], 12))], names=["query_id", "node_id", "similarity"])
 
-    found = pairs.mapInArrow(score, f"query_id {q_kind}, node_id {kind}, similarity double")
+    found = dealt.mapInArrow(score, f"query_id {q_kind}, node_id {kind}, similarity double")
     if least is not None:
         found = found.where(F.col("similarity") >= least)
     if k is None:

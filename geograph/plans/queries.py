@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import taxonomy
 from ..functions import text as tx
 from ..operators import geofence, links, nodes, quality, review, vectors
+from ..operators.staging import settled
 from ..sources import readers, sinks
 from .registry import query
 from .tables import FENCES, NODES, SCANS, SUBMISSIONS, derived, duck, table
@@ -518,13 +519,13 @@ def promotion_verdicts(new: DataFrame, there: DataFrame) -> tuple[DataFrame, Dat
     c = F.col("sum")
     same = pairs(None, review.DUPLICATE_FROM).where(c % 2 == 0).drop("sum")
     said = pairs(review.NEIGHBOURS, review.LEAST_COSINE).select("node_id", "other_id", (c % 2 == 0).alias("connect"), F.when(c % 3 == 0, "guess").otherwise("potential").alias("tier"), F.when(c % 5 == 0, " ").otherwise(" near in meaning ").alias("rationale"))
-    return same, said
+    return settled(same), settled(said)
 
 
 @query()
 def promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pending submissions promoted into the graph of document vectors."""
     s = derived(spark, sf_dir, SUBMISSIONS).where("status = 'pending' and description is not null and trim(title) <> ''").withColumns({"latitude": F.lit(0.0), "longitude": F.lit(0.0)})
-    new = vectors.embed(review.derive_nodes(s), "content")
-    there = vectors.embed(flat_nodes(spark, sf_dir).select(F.col("id").alias("node_id"), "title", F.col("docent_details").alias("content")), "content").select("node_id", "title", "embedding")
+    new = settled(vectors.embed(review.derive_nodes(s), "content"))
+    there = settled(vectors.embed(flat_nodes(spark, sf_dir).select(F.col("id").alias("node_id"), "title", F.col("docent_details").alias("content")), "content").select("node_id", "title", "embedding"))
     return review.promote(new, there, *promotion_verdicts(new, there))["outcome"]
