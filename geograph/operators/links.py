@@ -44,9 +44,9 @@ def _cell(band: Column, km: Column) -> Column:
     return F.least(F.floor(F.pmod(F.col("lng") + 180, F.lit(360.0)) / width).cast("long"), count - 1)
 
 
-def at_home(points: DataFrame, km: Column) -> DataFrame:
-    """points (lat, lng, ...) with the band and cell in which they are; those with a null coordinate go."""
-    placed = points.where("lat is not null and lng is not null").withColumn("band", F.floor((F.col("lat") + 90) / _height(km)).cast("long"))
+def at_home(points: DataFrame, km: Column, keep_all: bool = False) -> DataFrame:
+    """points (lat, lng, ...) with the band and cell in which they are; those with a null coordinate go, or have none with keep_all."""
+    placed = (points if keep_all else points.where("lat is not null and lng is not null")).withColumn("band", F.floor((F.col("lat") + 90) / _height(km)).cast("long"))
     return placed.withColumn("cell", _cell(F.col("band"), km))
 
 

@@ -103,26 +103,38 @@ def test_geofence_frames_stream_and_literal_machine_agree(spark, tmp_path):
     want = literal(rows, {"a": (10.0, 20.0), "b": (10.1, 20.1), "c": (50.0, 50.0)}, 8.0)
     got = sorted((r.session_id, r.event_id, r.node_id, r.trigger_state) for r in geofence.triggered(scans, fences, 8.0).collect())
     assert got == want and {s for *_, s in want} == {"ENTERED", "INSIDE"}
-    near = geofence.scan_distances(scans, fences).select("session_id", "event_id", "ts", "radius_km", "is_teleport_mode", F.lit(False).alias("is_reset"), "node_id", "distance_km")
-    resets = scans.where("is_reset").select("session_id", "event_id", "ts", "radius_km", "is_teleport_mode", "is_reset", F.lit(None).cast("string").alias("node_id"), F.lit(None).cast("double").alias("distance_km"))
-    both = near.unionByName(resets)
-    for k, (low, high) in enumerate([(0, 100), (100, 200), (200, 300)]):  # files in the order of time
-        both.where((F.col("event_id") >= low) & (F.col("event_id") < high)).coalesce(1).write.parquet(f"{tmp_path}/in/p{k}")
+    for chunk in (2, 5):  # runs that go on over chunks of few numbers
+        states = geofence.geofence_states(geofence.scan_distances(geofence.with_epochs(scans), fences, 8.0), chunk).where("state <> 'EXITED'")
+        assert sorted((r.session_id, r.event_id, r.node_id, r.state) for r in states.collect()) == want
     import glob
     import os
     import shutil
 
-    os.makedirs(f"{tmp_path}/flat")
-    for k in range(3):
-        (part,) = glob.glob(f"{tmp_path}/in/p{k}/part-*.parquet")
-        shutil.copy(part, f"{tmp_path}/flat/{k}.parquet")
-        os.utime(f"{tmp_path}/flat/{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
-    stream = geofence_stream(spark.readStream.schema(both.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/flat"), 8.0)
+    kind = "session_id string, event_id long, ts timestamp, latitude double, longitude double, radius_km double, is_teleport_mode boolean, is_reset boolean"
+    last = spark.createDataFrame([(f"s{k}", 999, "2024-01-02 00:00:00", None, None, None, None, False) for k in range(3)], kind.replace("ts timestamp", "ts string")).withColumn("ts", F.to_timestamp("ts"))
+    os.makedirs(f"{tmp_path}/in")
+    for k in range(4):  # files as time goes, each in no order, the last one to let the watermark pass
+        part = scans.where((F.col("event_id") >= 100 * k) & (F.col("event_id") < 100 * k + 100)).orderBy(F.xxhash64("event_id")) if k < 3 else last
+        path = f"{tmp_path}/in/{k}.parquet"
+        part.coalesce(1).write.parquet(f"{tmp_path}/made/{k}")
+        shutil.copy(glob.glob(f"{tmp_path}/made/{k}/part-*.parquet")[0], path)
+        os.utime(path, (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = geofence_stream(spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), fences, 8.0)
     query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted((r.session_id, r.event_id, r.node_id, r.trigger_state) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == want
 
 
+def test_one_session_of_many_scans(spark):
+    """100,000 scans of one session: rows near nodes only, and what runs of many chunks bring along."""
+    scans = spark.range(100_000).select(F.lit("all").alias("session_id"), F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id")).alias("ts"), F.when(F.col("id") % 50_000 == 49_999, 5.0).otherwise(F.lit(10.0)).alias("latitude"), (F.lit(20.0) + F.when(F.col("id") % 1000 == 0, 0.0).otherwise(0.1)).alias("longitude"), F.lit(10.0).alias("radius_km"), F.lit(False).alias("is_teleport_mode"), F.lit(False).alias("is_reset"))
+    fences = spark.createDataFrame([(f"n{k}", 10.0, 20.0 + 3 * k) for k in range(50)], "node_id string, lat double, lng double")
+    near = geofence.scan_distances(geofence.with_epochs(scans), fences, 8.0)
+    assert near.count() == 99_998
+    found = geofence.geofence_states(near, 1000).groupBy("state").count().collect()
+    assert {r.state: r["count"] for r in found} == {"ENTERED": 2000, "INSIDE": 97_998}
+
+
 def test_sinks(spark):
     t = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "k int, v string, w double")
     u = spark.createDataFrame([(2, None), (3, "c")], "k int, v string")
@@ -297,8 +309,10 @@ def test_first_near_against_all_pairs(spark):
 def test_epochs_over_spans(spark):
     rows = [(s, i, f"2024-01-01 {i // 30:02d}:{i % 30:02d}:00", i % 7 == 3) for i in range(200) for s in ("a", None)]
     df = spark.createDataFrame(rows, "session_id string, event_id long, ts string, is_reset boolean").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = geofence.with_epochs(df).collect()
+    placed = df.withColumns({"latitude": F.when(F.col("event_id") % 5 != 1, 1.0), "longitude": F.lit(2.0)})
+    out = geofence.with_epochs(placed).collect()
     assert len(out) == len(rows) and all(r.epoch == sum(i % 7 == 3 for i in range(r.event_id + 1)) for r in out)
+    assert all(r.nth == sum(i % 7 != 3 and i % 5 != 1 for i in range(r.event_id + 1)) for r in out)
 
 
 def test_intake_and_promotion_in_batches(spark, tmp_path):
