@@ -20,6 +20,8 @@ from .staging import settled
 # The cascade's distances, and links kept for a node.
 PLACE_KM, TITLE_KM, NEAR_KM = 120, 60, 15
 TOP_LINKS = 4
+#: Members of a cell that are met at first; members from which on a search for the nearest begins in narrower cells, and how often these halve; title tokens whose sets are listed.
+HELD, CROWD, HALVINGS, LONGEST = 64, 256, 16, 8
 
 
 def _height(km: Column) -> Column:
@@ -177,47 +179,126 @@ def _first_of_key(nodes: DataFrame, key: str, most: int, apart: str | None = Non
     return (met.where(~F.col("apart").eqNullSafe(F.col("b_apart"))) if apart else met).select("a", "b")
 
 
-def _first_near(nodes: DataFrame, key: str, km: float, most: int, held: int = 64) -> DataFrame:
-    """a, b: for each node the first `most` others, by pos, that share its key within km.
+def _keyed(nodes: DataFrame, key: str) -> DataFrame:
+    """pos, lat, lng, key of the nodes that have a key."""
+    return nodes.where(F.col(key).isNotNull() & (F.col(key) != "")).select("pos", "lat", "lng", F.col(key).alias("key"))
 
-    Nodes first meet the first `held` of each cell around them. Where a cell that
+
+def _first_near(asking: DataFrame, there: DataFrame, km: float, most: int) -> DataFrame:
+    """a, b: for each asker (pos, lat, lng, key) and key the first `most` others of `there`, by
+    pos, that have the key within km.
+
+    Askers first meet the first HELD of each cell around them. Where a cell that
     was cut might still have an earlier one, they meet its other members as well.
     """
-    p = nodes.where(F.col(key).isNotNull() & (F.col(key) != "")).select(F.col("pos").alias("id"), "lat", "lng", F.col(key).alias("key"))
     reach = F.lit(float(km))
-    at = ["key", "band", "cell"]
-    homes = at_home(p, reach).select(*at, F.col("id").alias("b"), F.col("lat").alias("b_lat"), F.col("lng").alias("b_lng"))
-    first = homes.withColumn("_n", F.row_number().over(Window.partitionBy(*at).orderBy("b"))).where(F.col("_n") <= held + 1).withColumn("_cut", F.col("_n") > held)
-    looks = all_round(p, reach).select(*at, F.col("id").alias("a"), F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng"))
+    at, one = ["key", "band", "cell"], ["key", "a"]
+    home = lambda p: p.withColumnRenamed("pos", "id")
+    asked = there if asking is there else there.join(asking.select("key").distinct(), "key", "left_semi")
+    homes = at_home(home(asked), reach).select(*at, F.col("id").alias("b"), F.col("lat").alias("b_lat"), F.col("lng").alias("b_lng"))
+    first = homes.withColumn("_n", F.row_number().over(Window.partitionBy(*at).orderBy("b"))).where(F.col("_n") <= HELD + 1).withColumn("_cut", F.col("_n") > HELD)
+    looks = all_round(home(asking), reach).select(*at, F.col("id").alias("a"), F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng"))
     met = looks.join(first, at).withColumn("km", haversine_km("a_lat", "a_lng", "b_lat", "b_lng"))
-    seen = met.where(F.col("_cut") | ((F.col("km") <= reach) & (F.col("a") != F.col("b"))))
-    found = seen.where("not _cut").select("a", "b").withColumn("_n", F.row_number().over(Window.partitionBy("a").orderBy("b"))).where(F.col("_n") <= most)
-    last = found.groupBy("a").agg(F.max("b").alias("last"), F.count("*").alias("n"))
-    cut = seen.where("_cut").groupBy("a").agg(F.min("b").alias("cut"))  # an unseen one stands here at the earliest
-    unsure = cut.join(last, "a", "left").where((F.coalesce("n", F.lit(0)) < most) | (F.col("cut") < F.col("last"))).select("a")
-    rest = looks.join(unsure, "a", "left_semi").join(homes, at).where("a <> b").where(haversine_km("a_lat", "a_lng", "b_lat", "b_lng") <= reach).select("a", "b")
+    seen = settled(met.where(F.col("_cut") | ((F.col("km") <= reach) & (F.col("a") != F.col("b")))).select(*one, "b", "_cut"))
+    found = seen.where("not _cut").withColumn("_n", F.row_number().over(Window.partitionBy(*one).orderBy("b"))).where(F.col("_n") <= most)
+    cut = seen.where("_cut").groupBy(*one).agg(F.min("b").alias("cut"))  # an unseen one stands here at the earliest
+    if cut.isEmpty():
+        return found.select("a", "b")
+    last = found.groupBy(*one).agg(F.max("b").alias("last"), F.count("*").alias("n"))
+    unsure = cut.join(last, one, "left").where((F.coalesce("n", F.lit(0)) < most) | (F.col("cut") < F.col("last"))).select(*one)
+    rest = looks.join(unsure, one, "left_semi").join(homes, at).where("a <> b").where(haversine_km("a_lat", "a_lng", "b_lat", "b_lng") <= reach).select("a", "b")
     return found.select("a", "b").unionByName(rest)
 
 
+def _nearest(asking: DataFrame, there: DataFrame, km: float, most: int) -> DataFrame:
+    """a, b, km: for each asker (pos, lat, lng, key) the `most` nearest others of its key within
+    km, ties to the smaller pos.
+
+    Where some cell as wide as km holds over CROWD points, the search begins in narrower
+    ones, and only askers that have not found enough look twice as far. So few askers
+    are left around any point that many others surround. Of points in one place the
+    first `most` and one more are enough.
+    """
+    place = Window.partitionBy("key", "lat", "lng").orderBy("pos")
+    points, reaches = there.withColumnRenamed("pos", "id").select("id", "lat", "lng", "key"), [float(km)]
+    largest = lambda reach: at_home(points, F.lit(reach)).groupBy("key", "band", "cell").count().agg(F.max("count")).first()[0] or 0
+    if largest(reaches[0]) > CROWD:
+        points = settled(there.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= most + 1).select(F.col("pos").alias("id"), "lat", "lng", "key"))
+        while len(reaches) < HALVINGS and largest(reaches[-1]) > CROWD:
+            reaches.append(reaches[-1] / 2)
+    open_ones, done = asking.withColumnRenamed("pos", "id").select("id", "lat", "lng", "key"), None
+    for reach in reversed(reaches):
+        near = radius_join(open_ones, points, reach, ("key",)).where("a <> b")
+        found = near.withColumn("_n", F.row_number().over(Window.partitionBy("a").orderBy("km", "b"))).where(F.col("_n") <= most)
+        if reach == km:
+            found = found.select("a", "b", "km")
+        else:
+            found = settled(found)
+            full = found.where(F.col("_n") == most).select("a")
+            open_ones = open_ones.join(full, open_ones.id == full.a, "left_anti")
+            found = found.join(full, "a", "left_semi").select("a", "b", "km")
+        done = found if done is None else done.unionByName(found)
+    return done
+
+
+def _shared_words(asking: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """Hits of rule 5 for each asker: the first `most`, by shared title tokens (four are as
+    good as more) and then by pos, among those within TITLE_KM.
+
+    Whoever shares m tokens shares a set of m of them, and those before it in the
+    order of a set's members come before it here as well. So the first members of all
+    sets of up to four tokens are enough. Titles of over LONGEST tokens have too
+    many sets; they, and their neighbours with them, meet token by token.
+    """
+    titled = lambda p: p.select("pos", "lat", "lng", title_tokens("title").alias("_all")).where(F.size("_all") > 0)
+    known, askers = settled(titled(nodes)), settled(titled(asking))
+    short = F.size("_all") <= LONGEST
+    last = lambda sets: F.element_at(sets, -1)
+    longer = lambda sets: F.flatten(F.transform(sets, lambda x: F.transform(F.filter("_all", lambda w: w > last(x)), lambda w: F.concat(x, F.array(w)))))
+
+    def by_sets(p: DataFrame) -> DataFrame:
+        p = p.where(short).withColumn("_s1", F.transform(F.array_distinct("_all"), lambda w: F.array(w)))
+        p = p.withColumn("_s2", longer(F.col("_s1"))).withColumn("_s3", longer(F.col("_s2"))).withColumn("_s4", longer(F.col("_s3")))
+        return p.select("pos", "lat", "lng", F.explode(F.concat("_s1", "_s2", "_s3", "_s4")).alias("key")).withColumn("key", F.array_join("key", " "))
+
+    def by_token(p: DataFrame) -> DataFrame:
+        return p.select(F.col("pos").alias("id"), "lat", "lng", F.explode(F.array_distinct("_all")).alias("key"))
+
+    found = _first_near(by_sets(askers), by_sets(known), TITLE_KM, most)
+    for one, other in ((askers.where(~short), known), (askers, known.where(~short))):
+        found = found.unionByName(radius_join(by_token(one), by_token(other), TITLE_KM, ("key",)).where("a <> b").select("a", "b"))
+    words = lambda c: known.select(F.col("pos").alias(c), F.array_distinct("_all").alias(f"{c}_all"))
+    both = found.distinct().join(words("a"), "a").join(words("b"), "b")
+    early, late = (F.when((F.col("a") < F.col("b")) == first, F.col("a_all")).otherwise(F.col("b_all")) for first in (True, False))
+    shared = both.withColumn("words", F.array_intersect(early, late))  # words go as the earlier title has them
+    best = Window.partitionBy("a").orderBy(F.desc(F.least(F.size("words"), F.lit(4))), "b")
+    return _hits(shared.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= most), 5, words=F.col("words"))
+
+
 def link_graph(nodes: DataFrame, k: int = TOP_LINKS) -> DataFrame:
     """source_id, target_id (ordered), tier, score, rationale of the rule-linked graph: the
     links of link_candidates() that are among the k best of either end.
 
-    Rules 1 to 4 have a constant score, and ties go to the earlier node. A node that
-    has fewer than k links by earlier rules needs the first 2 k by the next one at
-    most, so each node meets only the first members of its groups, and no pair of a
-    large group is listed.
+    Rules 1 to 4 have a constant score, and ties go to the earlier node; rule 5 scores by
+    shared words, up to four, and rule 6 by distance. A node that has fewer than k
+    links by earlier rules needs the first 2 k by the next one at most, so each node
+    meets only the first members of its groups, the first of each set of its title's
+    words, and its nearest neighbours, and no pair of a large group is listed.
     """
     n = settled(nodes.select("pos", "id", "title", "lat", "lng", "heritage_group", "place", "era_fact", "gi_fact", "norm_title"))  # the facts are read once, not in every rule
-    last = settled(_by_token_and_group(n))
-    found = (
+    places = _keyed(n, "place")
+    found = settled(
         _hits(_first_of_key(n, "norm_title", 2 * k), 1)
-        .unionByName(_hits(_first_near(n, "place", PLACE_KM, 2 * k), 2))
+        .unionByName(_hits(_first_near(places, places, PLACE_KM, 2 * k), 2))
         .unionByName(_hits(_first_of_key(n, "era_fact", 2 * k), 3))
         .unionByName(_hits(_first_of_key(n, "gi_fact", 2 * k, "place"), 4))
-        .unionByName(last)
-        .unionByName(last.select(F.col("b").alias("a"), F.col("a").alias("b"), "hit"))
     )
+    linked = lambda hits: hits.groupBy("a").agg(F.count_distinct("b").alias("_links")).where(F.col("_links") >= k).select(F.col("a").alias("pos"))
+    asking = n.join(linked(found.where("hit.rule < 4")), "pos", "left_anti")  # four shared words are as good as rule 4
+    found = found.unionByName(settled(_shared_words(asking, n, 2 * k)))
+    asking = n.join(linked(found), "pos", "left_anti")
+    grouped = lambda p: p.select("pos", "lat", "lng", F.coalesce("heritage_group", F.lit(" ")).alias("key"))
+    found = found.unionByName(_hits(_nearest(grouped(asking), grouped(n), NEAR_KM, 2 * k), 6, F.col("km")))
     best = _judged(found, n).withColumn("_n", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).where(F.col("_n") <= k)
     pairs = settled(best).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "tier", "score", "rationale").groupBy("a", "b").agg(F.first("tier").alias("tier"), F.first("score").alias("score"), F.first("rationale").alias("rationale"))
     name = lambda c: n.select(F.col("pos").alias(c), F.col("id").alias(f"{c}_id"))

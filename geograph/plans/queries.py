@@ -301,11 +301,15 @@ def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.extract_blocks(table(spark, sf_dir, "pages"), ["h1"], None, ("the", "der"))
 
 
+def card_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with their list items as event cards, whose links read as festivals."""
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.regexp_replace("html", "<li>", '<li class="item">'), "</a></li>", " Festival - 2027 on</a><span>known far and wide</span></li>").alias("html"))
+
+
 @query()
 def html_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event cards: pages' list items, whose links read as festivals."""
-    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.regexp_replace("html", "<li>", '<li class="item">'), "</a></li>", " Festival - 2027 on</a><span>known far and wide</span></li>").alias("html"))
-    return readers.extract_cards(pages)
+    """Event cards of pages."""
+    return readers.extract_cards(card_pages(spark, sf_dir))
 
 
 @query(f"""WITH {_BASE} SELECT id AS node_id, title, coalesce(nullif(category, ''), 'TANGIBLE_HERITAGE') AS category, {_GROUP} AS heritage_group, nullif(era, '') AS era, {_PLACE} AS district, {_GI} AS gi_type, lat AS latitude, lng AS longitude,

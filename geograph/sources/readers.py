@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, event_title, padded, strip, text
+from .html_tree import Page, read_pages
 from .schemas import BINDINGS, ELEMENTS, POI, RAW_NODES
 
 
@@ -41,38 +45,39 @@ def flatten_elements(df: DataFrame, *keep: str) -> DataFrame:
     return rows.select(*keep, "pos", strip(text(tag("name"))).alias("label"), F.coalesce(tag("historic"), F.lit("heritage site")).alias("historic"), pick("e.lat", "e.center.lat").alias("lat"), pick("e.lon", "e.center.lon").alias("lng"))
 
 
-# The entities that are decoded.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
+def elements(pages: DataFrame, tags: list[str], class_pattern: str | None = None, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """id, pos, tag, inner, text of each element of the given tags whose class fits the
+    pattern, in page order; elements inside others have rows of their own."""
+    names, pattern = frozenset(tags), class_pattern and re.compile(class_pattern, re.I)
 
+    def found(page: Page) -> Iterator[tuple]:
+        for pos, e in enumerate(page.inside(None, names, pattern)):
+            yield pos, e.tag, page.inner(e), page.text(e)
 
-def plain_text(html: Column) -> Column:
-    """Text of a piece of HTML: no tags, common entities decoded, stripped."""
-    c = F.regexp_replace(html, r"(?s)<!--.*?-->|<[^>]*>", "")
-    for entity, sign in ENTITIES.items():
-        c = F.replace(c, F.lit(entity), F.lit(sign))
-    return strip(c)
+    return read_pages(pages, found, "pos int, tag string, inner string, text string", id_col, html_col).withColumn("text", strip(F.col("text")))
 
 
-def _class_is(attributes: Column, pattern: str) -> Column:
-    return F.regexp_extract(attributes, r"""(?i)\bclass\s*=\s*["']?([^"'>]*)""", 1).rlike(f"(?i){pattern}")
+_PARTS, _CELLS = frozenset(["thead", "tbody", "tfoot"]), frozenset(["td", "th"])
 
 
-def elements(pages: DataFrame, tags: list[str], class_pattern: str | None = None, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """id, pos, tag, inner of each element of the given tags, in page order, as regular
-    expressions see it: an element ends at its tag's first end."""
-    names = "|".join(tags)
-    pattern = rf"(?is)<({names})((?:\s[^>]*)?)>(.*?)</\1\s*>"
-    found = F.arrays_zip(*[F.regexp_extract_all(text(html_col), F.lit(pattern), F.lit(i)).alias(n) for i, n in ((1, "tag"), (2, "attributes"), (3, "inner"))])
-    rows = pages.select(id_col, F.posexplode(found).alias("pos", "e")).select(id_col, "pos", F.lower("e.tag").alias("tag"), "e.attributes", "e.inner")
-    return (rows.where(_class_is(F.col("attributes"), class_pattern)) if class_pattern else rows).drop("attributes")
+def table_rows(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", class_name: str | None = None, own: bool = True) -> DataFrame:
+    """id, table, row, cells of each row of each table of a class. With `own` a table's rows
+    are its children and what its head, body and foot hold, and a row's cells its
+    children; else all rows and cells inside, those of tables in cells too."""
 
+    def found(page: Page) -> Iterator[tuple]:
+        tables = [e for e in page.inside(None, frozenset(["table"])) if class_name is None or class_name in e.classes()]
+        for n, table in enumerate(tables):
+            rows = list(page.inside(table, frozenset(["tr"])))
+            if own:
+                held = {id(r) for part in table.children if part.tag in _PARTS for r in page.inside(part, frozenset(["tr"]))} | {id(e) for e in table.children if e.tag == "tr"}
+                rows = [r for r in rows if id(r) in held]
+            for k, row in enumerate(rows):
+                cells = [e for e in row.children if e.tag in _CELLS] if own else page.inside(row, _CELLS)
+                yield n, k, [page.text(c) for c in cells]
 
-def table_rows(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """id, table, row, cells, text of each row of each table."""
-    tables = F.regexp_extract_all(text(html_col), F.lit(r"(?is)<table((?:\s[^>]*)?)>.*?</table\s*>"), F.lit(0))
-    rows = pages.select(id_col, F.posexplode(tables).alias("table", "t")).select(id_col, "table", F.posexplode(F.regexp_extract_all("t", F.lit(r"(?is)<tr(?:\s[^>]*)?>(.*?)</tr\s*>"), F.lit(1))).alias("row", "r"), F.regexp_extract("t", r"(?is)^<table((?:\s[^>]*)?)>", 1).alias("attributes"))
-    cells = F.transform(F.regexp_extract_all("r", F.lit(r"(?is)<(t[dh])(?:\s[^>]*)?>(.*?)</\1\s*>"), F.lit(2)), plain_text)
-    return rows.select(id_col, "table", "row", "attributes", cells.alias("cells"))
+    rows = read_pages(pages, found, "table int, row int, cells array<string>", id_col, html_col)
+    return rows.withColumn("cells", F.transform("cells", strip))
 
 
 def extract_table_rows(pages: DataFrame, name_header: str, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -88,11 +93,11 @@ def extract_table_rows(pages: DataFrame, name_header: str, id_col: str = "page_i
     return out.where(~name.isin("", "nan"))
 
 
-def extract_filtered_rows(pages: DataFrame, term: str, class_pattern: str = "wikitable", id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+def extract_filtered_rows(pages: DataFrame, term: str, class_name: str = "wikitable", id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """id, table, pos, name, kind of the rows, but for headers, of all tables of a class
     that name the term and have four cells at least. A name of digits alone stands
     one cell too far left where there is a fifth."""
-    rows = table_rows(pages, id_col, html_col).where((F.col("row") > 0) & _class_is(F.col("attributes"), rf"\b{class_pattern}\b"))
+    rows = table_rows(pages, id_col, html_col, class_name, own=False).where("row > 0")
     kept = rows.where(F.contains(F.array_join("cells", " | "), F.lit(term)) & (F.size("cells") >= 4))
     shift = F.when(F.get("cells", F.lit(2)).rlike(r"^\d+$") & (F.size("cells") > 4), 1).otherwise(0)
     return kept.select(id_col, "table", (F.col("row") - 1).alias("pos"), F.get("cells", shift + 2).alias("name"), F.upper(F.get("cells", shift + 3)).alias("kind"))
@@ -108,7 +113,7 @@ def first_rows(df: DataFrame, key: Column, *order: str) -> DataFrame:
 def extract_blocks(pages: DataFrame, tags: list[str] = ("h3", "h4", "div"), class_pattern: str | None = "title|heading|fest", words: tuple[str, str] = ("Festival", "Fair"), id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """id, pos, title of heading-like blocks: over four characters and the first word in
     it, or the second word in it, however short. A title stays once, where it comes first."""
-    blocks = elements(pages, list(tags), class_pattern, id_col, html_col).select(id_col, "pos", plain_text(F.col("inner")).alias("title"))
+    blocks = elements(pages, list(tags), class_pattern, id_col, html_col).select(id_col, "pos", F.col("text").alias("title"))
     event = ((F.length("title") > 4) & F.contains("title", F.lit(words[0]))) | F.contains("title", F.lit(words[1]))
     return first_rows(blocks.where(event), F.col("title"), id_col, "pos")
 
@@ -119,15 +124,21 @@ NO_DESCRIPTION = "A cultural event officially listed on the Rajasthan Tourism po
 
 def extract_cards(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """id, pos, title, description, summary of event cards; a page without cards gives
-    its h2 and h3 headings instead. Titles are cleaned, and each stays once,
-    whatever its case, where it comes first."""
-    cards = elements(pages, ["div", "article", "li"], "card|item|fest|event", id_col, html_col)
-    headings = elements(pages, ["h2", "h3"], None, id_col, html_col).join(cards.select(id_col).distinct(), id_col, "left_anti")
-    both = cards.unionByName(headings)
-    part = lambda names: F.regexp_extract_all("inner", F.lit(rf"(?is)<({names})(?:\s[^>]*)?>(.*?)</\1\s*>"), F.lit(2))
-    raw_title = plain_text(F.coalesce(F.get(part("h3|h4|a|strong"), F.lit(0)), F.col("inner")))
-    described = F.get(part("p|span"), F.lit(0))
-    read = both.select(id_col, "pos", event_title(raw_title).alias("title"), F.coalesce(plain_text(described), F.lit(NO_DESCRIPTION)).alias("description"))
+    its h2 and h3 headings instead. A card's title is its first heading, link or
+    strong text, its description its first paragraph or span, however deep they
+    lie. Titles are cleaned, and each stays once, whatever its case, where it comes
+    first."""
+    kinds, fitting = frozenset(["div", "article", "li"]), re.compile("card|item|fest|event", re.I)
+    titles, texts = frozenset(["h3", "h4", "a", "strong"]), frozenset(["p", "span"])
+
+    def found(page: Page) -> Iterator[tuple]:
+        cards = list(page.inside(None, kinds, fitting)) or page.inside(None, frozenset(["h2", "h3"]))
+        for pos, e in enumerate(cards):
+            title = page.first_text(e, titles)
+            yield pos, page.text(e) if title is None else title, page.first_text(e, texts)
+
+    both = read_pages(pages, found, "pos int, raw string, described string", id_col, html_col)
+    read = both.select(id_col, "pos", event_title(strip(F.col("raw"))).alias("title"), F.coalesce(strip(F.col("described")), F.lit(NO_DESCRIPTION)).alias("description"))
     short = F.when(F.length("description") > 150, F.concat(F.substring("description", 1, 150), F.lit("..."))).otherwise(F.col("description"))
     return first_rows(read.where("title is not null").withColumn("summary", short), F.lower("title"), id_col, "pos")
 

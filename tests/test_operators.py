@@ -5,6 +5,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from geograph.functions import text as tx
 from geograph.operators import geofence, links, nodes, quality, review, vectors
 from geograph.plans import build, queries
 from geograph.sources import readers, sinks
@@ -135,6 +136,37 @@ def test_one_session_of_many_scans(spark):
     assert {r.state: r["count"] for r in found} == {"ENTERED": 2000, "INSIDE": 97_998}
 
 
+@pytest.mark.parametrize(("held", "crowd", "longest"), [(64, 256, 8), (1, 2, 2)])
+def test_best_links_among_crowds(spark, monkeypatch, held, crowd, longest):
+    """The first by shared words and the nearest, also where many stand in one place or cells hold few, against all pairs."""
+    for name, value in (("HELD", held), ("CROWD", crowd), ("LONGEST", longest)):
+        monkeypatch.setattr(links, name, value)
+    rng = random.Random(7)
+    vocabulary = ["amber", "river", "stone", "golden", "temple9", "marble", "desert"]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 6))), 10.0 + rng.choice([0, 0, 0.001, rng.random() / 3]), 20.0 + rng.choice([0, 0, rng.random() / 2]), rng.choice(["x", "x", "y", None])) for i in range(90)] + [(90, "amber", None, 1.0, "x")]
+    nodes = spark.createDataFrame(rows, "pos int, title string, lat double, lng double, heritage_group string")
+    asking = nodes.where("pos % 3 = 0")
+    tokens = {r.pos: list(dict.fromkeys(r.t)) for r in nodes.select("pos", tx.title_tokens("title").alias("t")).collect()}
+    where = {r[0]: (r[2], r[3]) for r in rows}
+    for a in range(0, 90, 3):
+        others = [b for b in range(90) if b != a and km(where[a], where[b]) <= 60 and set(tokens[a]) & set(tokens[b])]
+        shared = {b: [w for w in tokens[min(a, b)] if w in tokens[max(a, b)]] for b in others}
+        want = sorted(others, key=lambda b: (-min(4, len(shared[b])), b))[:5]
+        tokens[a, "want"] = [(b, shared[b]) for b in want]
+    got = {}
+    for r in links._shared_words(asking, nodes, 5).collect():
+        got.setdefault(r.a, []).append((r.b, r.hit.words))
+    assert all(sorted(got.get(a, [])) == sorted(tokens[a, "want"]) for a in range(0, 90, 3))
+    keyed = lambda p: p.select("pos", "lat", "lng", F.coalesce("heritage_group", F.lit(" ")).alias("key"))
+    near = {}
+    for r in links._nearest(keyed(asking), keyed(nodes), 15, 5).collect():
+        near.setdefault(r.a, []).append((round(r.km, 9), r.b))
+    group = {r[0]: r[4] for r in rows}
+    for a in range(0, 90, 3):
+        want = sorted((round(km(where[a], where[b]), 9), b) for b in range(90) if b != a and group[a] == group[b] and km(where[a], where[b]) <= 15)[:5]
+        assert sorted(near.get(a, [])) == want
+
+
 def test_sinks(spark):
     t = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "k int, v string, w double")
     u = spark.createDataFrame([(2, None), (3, "c")], "k int, v string")
@@ -147,6 +179,87 @@ def test_sinks(spark):
     assert sinks.graph_or_fallback(t.limit(0), t).count() == 2
 
 
+def plain_cards(html):
+    """Cards of a page by the standard library's parser and a stack."""
+    from html.parser import HTMLParser
+
+    void = {"br", "meta", "img", "hr", "input", "link"}
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.root = {"tag": "", "class": [], "inside": []}
+            self.stack = [self.root]
+
+        def handle_starttag(self, tag, attrs):
+            e = {"tag": tag, "class": (dict(attrs).get("class") or "").split(), "inside": []}
+            self.stack[-1]["inside"].append(e)
+            if tag not in void:
+                self.stack.append(e)
+
+        def handle_endtag(self, tag):
+            at = [i for i, e in enumerate(self.stack) if e["tag"] == tag]
+            if at:
+                del self.stack[at[-1] :]
+
+        def handle_data(self, data):
+            if self.stack[-1]["tag"] not in ("script", "style"):
+                self.stack[-1]["inside"].append(data)
+
+    tree = Tree()
+    tree.feed(html)
+    tree.close()
+
+    def walk(e):
+        for x in e["inside"]:
+            if isinstance(x, dict):
+                yield x
+                yield from walk(x)
+
+    say = lambda e: "".join(x if isinstance(x, str) else say(x) for x in e["inside"])
+    every = list(walk(tree.root))
+    cards = [e for e in every if e["tag"] in ("div", "article", "li") and any(w in c.lower() for c in e["class"] for w in ("card", "item", "fest", "event"))] or [e for e in every if e["tag"] in ("h2", "h3")]
+    first = lambda e, tags: next((say(x) for x in walk(e) if x["tag"] in tags), None)
+    return [(k, first(e, ("h3", "h4", "a", "strong")) or say(e), first(e, ("p", "span"))) for k, e in enumerate(cards)]
+
+
+def test_cards_of_all_pages(spark):
+    """The registered query's pages, and nested ones, against a plain parser and the rules for titles."""
+    import re
+
+    pages = queries.card_pages(spark, "/root/testdata/sf0.01")
+    nested = ['<div class="card"><div class="pic">..</div><h3>Camel Fair Pushkar</h3><p>By <b>the</b> lake</p></div>', '<div class="event"><article class="Card"><h4>Inner Fair</h4></article><h3>Outer Fair</h3><p>both</p></div>', '<ul class="list"><li class="item"><a href="x>y">Kite &amp; Sky Fair</a><li class="item">Sun Fair<br/>tonight</ul>', "<h2>Head Fair", '<div class=card>No <!-- <h3>Not Fair</h3> --><script>"<h3>Bad Fair</h3>"</script>Open Fair']
+    pages = pages.unionByName(spark.createDataFrame([(-1 - i, h) for i, h in enumerate(nested)] + [(-99, None)], "page_id long, html string"))
+    want, seen = [], set()
+    for r in sorted(pages.collect(), key=lambda r: r.page_id):
+        for pos, raw, described in plain_cards(r.html or ""):
+            raw = raw.strip()
+            if len(raw) > 50 or ("FESTIVALS" in raw.upper() and len(raw.split()) > 6) or not re.search("Festival|Fair|Utsav", raw):
+                continue
+            title = re.sub(r"[-–—]\s*\d{4}.*", "", raw).strip().replace("FESTIVALS", "").strip()
+            if len(title) >= 3 and title.lower() not in seen:
+                seen.add(title.lower())
+                want.append((r.page_id, pos, title, described.strip() if described is not None else readers.NO_DESCRIPTION))
+    got = sorted((r.page_id, r.pos, r.title, r.description) for r in readers.extract_cards(pages).collect())
+    assert got == sorted(want) and len(want) > 200
+    assert {t for i, _, t, _ in want if i < 0} == {"Camel Fair Pushkar", "Inner Fair", "Kite & Sky Fair", "Sun Fairtonight", "Head Fair", "No Open Fair"}
+
+
+def test_tables_in_tables(spark):
+    html = '<table class="wikitable sortable"><tr><th>h</th></tr><tr><td>1</td><td>2</td><td>Saree</td><td>craft <table class="wikitable"><tr><th>x</th></tr><tr><td>a</td><td>b</td><td>Rajasthan</td><td>d</td></tr></table></td></tr></table><table class="wikitables"><tr><td>Rajasthan</td></tr></table>'
+    pages = spark.createDataFrame([(1, html)], "page_id long, html string")
+    assert [(r.table, r.row, r.cells) for r in readers.table_rows(pages).orderBy("table", "row").collect()] == [(0, 0, ["h"]), (0, 1, ["1", "2", "Saree", "craft xabRajasthand"]), (1, 0, ["x"]), (1, 1, ["a", "b", "Rajasthan", "d"]), (2, 0, ["Rajasthan"])]
+    found = readers.extract_filtered_rows(pages, "Rajasthan").orderBy("table", "pos").collect()
+    assert [(r.table, r.pos, r["name"]) for r in found] == [(0, 0, "Saree"), (0, 2, "Rajasthan"), (1, 0, "Rajasthan")]
+    long = "<div class='card'>" * 3000 + "x" + "<" * 200_000 + '<a "' * 20_000
+    import time
+
+    from geograph.sources.html_tree import Page
+
+    began = time.time()
+    assert len(Page.of(long).elements) == 3000 and time.time() - began < 20
+
+
 def test_html(spark):
     html = '<table class="wikitable x"><tr><th> Name </th><th>District</th></tr><tr><td>Fort &amp; co</td><td><b>Kota</b></td></tr><tr><td> </td><td>x</td></tr></table><table class="wikitable"><tr><th>h</th></tr><tr><td>1</td><td>2</td><td>77</td><td>Saree</td><td>craft</td><td>Rajasthan</td></tr><tr><td>1</td><td>2</td><td>Bhujia</td><td>food</td><td>Rajasthan</td></tr><tr><td>Rajasthan</td></tr></table>'
     pages = spark.createDataFrame([(1, html), (2, '<div class="Card"><h3>Desert Festival - 2027</h3><p>By the dunes</p></div><li class="item">Kite Fair</li>'), (3, "<h2>Camel Fair</h2><h3>x</h3>"), (4, None)], "page_id long, html string")
