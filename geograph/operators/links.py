@@ -384,7 +384,12 @@ def parse_verdicts(replies: DataFrame, schema: str) -> DataFrame:
 def apply_link_verdicts(numbered: DataFrame, verdicts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges, rejects) of judged pairs. Edges: connect is true, the tier is known and the
     rationale not blank. Rejects: connected, but malformed."""
-    judged = numbered.join(verdicts, ["batch", "index"]).where("connect").withColumn("rationale", F.trim("rationale"))
+    return form_edges(numbered.join(verdicts, ["batch", "index"]))
+
+
+def form_edges(verdicts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, rejects) of pairs with their verdicts."""
+    judged = verdicts.where("connect").withColumn("rationale", F.trim("rationale"))
     fine = F.coalesce(F.col("tier").isin(TIERS) & (F.col("rationale") != ""), F.lit(False))
     edge = [F.least("source_id", "target_id").alias("source_id"), F.greatest("source_id", "target_id").alias("target_id"), "tier", F.round("score", 4).alias("score"), "rationale"]
     return judged.where(fine).select(*edge, F.lit("ai_pipeline").alias("formed_by")), judged.where(~fine).select(*edge)

@@ -10,6 +10,7 @@ NODES = (
 CLUSTERS = ("cluster_id string, name string, kind string, parent_id string, description string, created_at timestamp")
 NODE_CLUSTERS = ("node_id string, cluster_id string")
 EDGES = ("edge_id long, source_id string, target_id string, tier string, score double, rationale string, formed_by string, created_at timestamp")
+VERDICTS = ("source_id string, target_id string, score double, connect boolean, tier string, rationale string")
 SUBMISSIONS = (
     "submission_id string, title string, description string, category string, tags array<string>, latitude double, longitude double, photo_path string, contributor_name string, contributor_note string, "
     "status string, promoted_node_id string, reviewed_by string, reviewed_at timestamp, created_at timestamp"

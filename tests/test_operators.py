@@ -362,6 +362,60 @@ def test_build_is_repeatable(spark, tmp_path):
     assert quality.audit_constraints(*(tables.read(n) for n in ("nodes", "clusters", "node_clusters", "edges"))).count() == 0
 
 
+def test_a_table_is_whole_wherever_its_writer_stops(spark, tmp_path, monkeypatch):
+    """Stopped before the rows are whole, between the two moves, and after them."""
+    rows = lambda *ids: spark.createDataFrame([(i, "c") for i in ids], "node_id string, cluster_id string")
+    t = build.GraphTables(spark, str(tmp_path))
+    assert t.read("node_clusters").count() == 0 and t.write("node_clusters", rows("a", "b")) == {"rows": 2}
+    read = lambda: sorted(r.node_id for r in build.GraphTables(spark, str(tmp_path)).read("node_clusters").collect())
+    with pytest.raises(Exception, match="lost"):
+        t.write("node_clusters", rows("x").unionByName(rows("y").withColumn("node_id", F.raise_error(F.lit("lost")))))
+    assert read() == ["a", "b"]
+    move = build.GraphTables._move
+
+    def stop_after(n):
+        calls = []
+
+        def moved(self, old, new):
+            if len(calls) == n:
+                raise OSError("lost")
+            calls.append(old)
+            move(self, old, new)
+
+        monkeypatch.setattr(build.GraphTables, "_move", moved)
+
+    for n, want in ((0, ["a", "b"]), (1, ["c", "d"])):
+        stop_after(n)
+        with pytest.raises(OSError, match="lost"):
+            t.write("node_clusters", rows("c", "d"))
+        monkeypatch.setattr(build.GraphTables, "_move", move)
+        assert read() == want
+    assert t.write("node_clusters", t.read("node_clusters").limit(1), big="node_id > 'b'") == {"rows": 1, "big": 1} and len(read()) == 1
+
+
+def test_judging_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
+    """The judge fails in its second group; the next run asks only for what has no verdict."""
+    monkeypatch.setattr(build, "JUDGED_AT_ONCE", 2)
+    t = build.GraphTables(spark, str(tmp_path))
+    t.write("nodes", spark.createDataFrame([(f"n{i:02d}", [1.0, i / 20]) for i in range(12)], "node_id string, vector_embedding array<float>"))
+    asked = []
+
+    def judge(pairs, fail=False):
+        if fail and asked:
+            raise RuntimeError("no reply")
+        asked.extend((r.source_id, r.target_id) for r in pairs.collect())
+        return pairs.select("batch", "index", (F.col("source_id") < "n06").alias("connect"), F.lit("potential").alias("tier"), F.lit("near").alias("rationale"))
+
+    with pytest.raises(RuntimeError, match="no reply"):
+        build.link(t, lambda p: judge(p, True), k=3)
+    first = set(asked)
+    assert t.read("verdicts").count() == len(asked) > 0 and t.read("edges").count() == 0
+    done = build.link(t, judge, k=3)
+    assert len(asked) == len(set(asked)) > len(first) and done["seen"] == len(asked) - len(first)
+    assert {(r.source_id, r.target_id) for r in t.read("edges").collect()} == {p for p in asked if p[0] < "n06"}
+    assert build.link(t, judge, k=3)["seen"] == 0
+
+
 def test_odd_vectors_take_no_part(spark):
     """NaN, infinite, null-holding, empty and null vectors neither match nor push others out; short ones count as filled up."""
     odd = [float("nan"), 1.0], [None, 1.0], [float("inf"), 0.0], [], None
