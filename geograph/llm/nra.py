@@ -29,7 +29,7 @@ from .common import shuffle_partitions, stage_table
 #: Rows in a block of candidates and of queries, and blocks of candidates that a task reads in turn.
 CANDIDATES, QUERIES, RUN = 4096, 128, 8
 #: Shares of the lists' useful parts (entries that raise a score) read before bounds are compared.
-SHARES = (0, 0.125, 0.5, 1)
+SHARES = (0, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 1)
 #: Entries of a list that are added in one go.
 SLICE = 1024
 #: A query stops once at most so many times k rows are left.
@@ -194,9 +194,12 @@ def read_lists(block: Lists, q: np.ndarray, k: int, least: np.ndarray | None = N
             return out, entries
     read(np.full(dims, n), np.full(dims, n))
     for i, own in enumerate(live):
-        can = np.asarray(score[:, i] >= least[own], bool)
-        if barred is not None:
-            can &= ~barred[:, own]
+        fit = np.ones(n, bool) if barred is None else ~barred[:, own]
+        known = score[fit, i]
+        if len(known) > k:  # all scores are whole now: the k-th best of them cuts
+            kth = np.sort(known)[len(known) - k] if kind is object else np.partition(known, len(known) - k)[len(known) - k]
+            least[own] = max(least[own], kth)
+        can = fit & np.asarray(score[:, i] >= least[own], bool)
         rows = np.flatnonzero(can)
         out[own] = rows, score[rows, i]
     return out, entries
