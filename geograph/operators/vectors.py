@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import text
+from .components import components, join_unique
 from .links import dedupe_pairs
 from .staging import settled
 
@@ -151,31 +152,35 @@ def similar_pairs(nodes: DataFrame, least: float, node_id: str = "node_id", vec_
     return found.where("query_id < node_id").select(F.col("query_id").alias("a"), F.col("node_id").alias("b"), "similarity")
 
 
-def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, root: the least id that each node reaches over the pairs. Labels pass to
-    neighbours and are followed one step further each round; rounds are
-    checkpointed, so that plans stay short and lost executors cost little."""
-    edges = pairs.select(F.col(a).alias("a"), F.col(b).alias("b"))
-    edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    edges = settled(edges)
-    labels = settled(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"))
-    while True:
-        heard = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("root").alias("heard"))
-        told = labels.join(heard, labels.node == heard.a).select("node", F.col("root").alias("was"), F.least("root", "heard").alias("next"))
-        further = labels.select(F.col("node").alias("at"), F.col("root").alias("further"))
-        moved = settled(told.join(further, told.next == further.at, "left").select("node", "was", F.least("next", F.coalesce("further", "next")).alias("root")))
-        labels = moved.select("node", "root")
-        if moved.where("was <> root").isEmpty():
-            return labels
+def similar_links(nodes: DataFrame, least: float, within: str | None = None, node_id: str = "node_id", vec_col: str = "embedding") -> DataFrame:
+    """a < b, similarity: links between nodes of a cosine of `least` that join the same
+    nodes as all such pairs do. Equal vectors are linked to their least id alone, so n
+    of them give n - 1 links; of different vectors all pairs are there. within: a
+    column in which linked nodes agree."""
+    same = F.col(within).cast("string") if within else F.lit("")
+    own = nodes.where(sound(vec_col)).select(F.col(node_id).alias("b"), F.col(vec_col).alias("v"), same.alias("w")).withColumn("key", F.struct("w", "v"))
+    keyed = settled(own.where(F.col("b").isNotNull()))
+    first = settled(keyed.groupBy("key").agg(F.min("b").alias("a"), F.count("*").alias("n")))
+    copies = join_unique(keyed, first, "key", "n").where("a < b").select("a", "b", F.round(cosine("v", "v"), 12).alias("similarity")).where(F.col("similarity") >= least)
+    heads = first.select(F.col("a").alias("node_id"), "key.w", F.col("key.v").alias("embedding"))
+    pairs = similar_pairs(heads, least)
+    named = lambda c: heads.select(F.col("node_id").alias(c), F.col("w").alias(f"{c}_w"))
+    met = pairs.join(named("a"), "a").join(named("b"), "b").where(F.col("a_w").eqNullSafe(F.col("b_w"))) if within else pairs
+    return copies.unionByName(met.select("a", "b", "similarity"))
 
 
 def semantic_dedupe(nodes: DataFrame, verdicts: DataFrame, least: float = DUPLICATE_FROM, node_id: str = "node_id", vec_col: str = "embedding") -> DataFrame:
     """node_id, canonical: nodes to merge. Pairs of a cosine of `least` that a verdict
     (id_a, id_b, same_subject) confirms are joined, and each component's least id is
     canonical. Components merge more than a greedy pass over the pairs would, but
-    they depend on no order and leave no chains."""
-    said = verdicts.where("same_subject").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
-    return merged_components(similar_pairs(nodes, least, node_id, vec_col).join(said, ["a", "b"]))
+    they depend on no order and leave no chains. Only the verdicts' pairs are measured."""
+    said = verdicts.where("same_subject and id_a <> id_b").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+    own = nodes.where(sound(vec_col)).select(F.col(node_id).alias("id"), F.col(vec_col).alias("v"))
+    side = lambda c: own.select(F.col("id").alias(c), F.col("v").alias(f"v_{c}"))
+    width = F.greatest(F.size("v_a"), F.size("v_b"))
+    filled = lambda c: F.concat(c, F.array_repeat(F.lit(0.0), width - F.size(c)))
+    measured = said.join(side("a"), "a").join(side("b"), "b").withColumn("similarity", F.round(cosine(filled(F.col("v_a")), filled(F.col("v_b"))), 12))
+    return merged_components(measured.where(F.col("similarity") >= least).select("a", "b"))
 
 
 def merged_components(pairs: DataFrame) -> DataFrame:

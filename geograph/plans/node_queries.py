@@ -35,7 +35,7 @@ def two_pass_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Duplicates by title, then, among what is left, by vectors."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node_id"), F.concat(F.lit("Site No "), F.floor(F.col("vec_id") / 3)).alias("title"), F.lit(None).cast("long").alias("merged_into"), F.lit("verified").alias("trust_status"), "embedding")
     n = nodes.merge_titles(v)
-    pairs = vectors.similar_pairs(n.where("merged_into is null").select("node_id", "embedding"), 0.40)
+    pairs = vectors.similar_links(n.where("merged_into is null").select("node_id", "embedding"), 0.40)
     merged = vectors.merged_components(pairs).select("node_id", F.col("canonical").alias("merged_into"), F.lit("merged_duplicate").alias("trust_status"))
     return sinks.update_by_key(n, merged, "node_id").select("node_id", "merged_into", "trust_status")
 

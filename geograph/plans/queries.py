@@ -210,11 +210,7 @@ def knn_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
   c AS (SELECT x AS node, x AS r FROM p UNION SELECT p.y, c.r FROM c JOIN p ON p.x = c.node) SELECT node AS node_id, min(r) AS canonical FROM c GROUP BY node HAVING min(r) < node""")
 def semantic_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similar vectors of one label, merged by components; the label stands for the judge."""
-    v = _vectors(spark, sf_dir)[1]
-    pairs = vectors.similar_pairs(v, 0.40)
-    label = lambda c: v.select(F.col("node_id").alias(c), F.col("label").alias(f"{c}_label"))
-    said = pairs.join(label("a"), "a").join(label("b"), "b").where("a_label = b_label").select("a", "b")
-    return vectors.merged_components(said)
+    return vectors.merged_components(vectors.similar_links(_vectors(spark, sf_dir)[1], 0.40, "label"))
 
 
 @query(f"""WITH m AS (SELECT a.vec_id AS q, b.vec_id AS i, {_COS} AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),

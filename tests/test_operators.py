@@ -416,6 +416,40 @@ def test_judging_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
     assert build.link(t, judge, k=3)["seen"] == 0
 
 
+def test_components_of_hubs_paths_and_chance(spark, monkeypatch):
+    """A star, a long path and a random graph against a union-find, in few rounds."""
+    from geograph.operators import components as co
+
+    rng = random.Random(4)
+    pairs = [(5, i) for i in range(10, 3000)] + [(i, i + 1) for i in range(4000, 4250)] + [(rng.randrange(6000, 6300), rng.randrange(6000, 6300)) for _ in range(200)] + [(7000, 7000), (9, 8), (8, 9)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        p, q = find(a), find(b)
+        root[max(p, q)] = min(p, q)
+    df = spark.createDataFrame([rng.choice([(a, b), (b, a)]) for a, b in pairs], "a long, b long")
+    rounds, stars = [], co._stars
+    monkeypatch.setattr(co, "_stars", lambda e: rounds.append(1) or stars(e))
+    got = sorted((r.node, r.root) for r in co.components(df).collect())
+    assert got == sorted((x, find(x)) for x in root) and len(rounds) <= 10
+    assert co.components(df.limit(0)).count() == 0
+
+
+def test_equal_vectors_are_linked_once_each(spark):
+    rows = [(i, [1.0, 2.0], i % 2) for i in range(50)] + [(60, [2.0, 4.0], 0), (61, [0.0, 0.0], 0), (62, [0.0, 0.0], 0), (63, None, 0), (None, [1.0, 2.0], 0), (64, [-1.0, 0.0], 1)]
+    n = spark.createDataFrame(rows, "node_id long, embedding array<float>, label int")
+    links_of = lambda within: sorted((r.a, r.b) for r in vectors.similar_links(n, 0.9, within).collect())
+    assert links_of(None) == sorted([(0, i) for i in range(1, 50)] + [(0, 60)])
+    assert links_of("label") == sorted([(i % 2, i) for i in range(2, 50)] + [(0, 60)])
+    said = spark.createDataFrame([(3, 4, True), (4, 5, True), (60, 3, True), (61, 62, True), (64, 3, True), (1, 2, False), (7, 99, True)], "id_a long, id_b long, same_subject boolean")
+    assert sorted(map(tuple, vectors.semantic_dedupe(n, said, 0.9).collect())) == [(4, 3), (5, 3), (60, 3)]
+
+
 def test_odd_vectors_take_no_part(spark):
     """NaN, infinite, null-holding, empty and null vectors neither match nor push others out; short ones count as filled up."""
     odd = [float("nan"), 1.0], [None, 1.0], [float("inf"), 0.0], [], None
