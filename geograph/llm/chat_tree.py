@@ -29,6 +29,8 @@ START, END = "<|im_start|>", "<|im_end|>\n"
 NO_ID = -(1 << 63)
 #: A node with over 1 / HOT of all turns is hot; there are at most HOT of them. Their rows are dealt to SALTS keys.
 HOT, SALTS = 2000, 64
+#: Turns that a task holds as Python lists at a time.
+TURNS_AT_ONCE = 512
 
 
 def escape(text: str) -> str:
@@ -56,6 +58,13 @@ def read_turn(formatted: str) -> tuple[str, str]:
     return role, unescape(body)
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, as lists of tokens take many times their bytes."""
+    for b in batches:
+        for low in range(0, b.num_rows, TURNS_AT_ONCE):
+            yield b.slice(low, TURNS_AT_ONCE)
+
+
 def encode_turn(tokenizer, role: str | None, text: str | None) -> tuple[list[int], int, int]:
     """The turn's tokens, and where the message begins and ends in them. The marks have the ids after the tokenizer's last."""
     formatted, begin, end = format_turn(role, text)
@@ -81,7 +90,7 @@ def _turns(conversations: DataFrame, ranks_path: str, pattern: str) -> DataFrame
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, _ = encoding(ranks_path, pattern)
         conv, nth, position, digest = None, 0, 0, b""
-        for b in batches:
+        for b in _parts(batches):
             out = []
             for c, role, text in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if c != conv:
@@ -188,7 +197,7 @@ def read_back(tree: dict[str, DataFrame], ranks_path: str, pattern: str) -> Data
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, _ = encoding(ranks_path, pattern)
         conv, n, turns, lost, loss, chars = None, 0, None, 0, None, 0
-        for b in batches:
+        for b in _parts(batches):
             out = []
             for c, nth, tokens, begin, end in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if not nth:
