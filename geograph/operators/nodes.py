@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from ..functions import taxonomy
@@ -162,36 +168,57 @@ def join_photo_lookup(nodes: DataFrame, lookup: DataFrame, attribution: str) ->
     return both.withColumns({"attribution": F.when(hit, F.lit(attribution)), "photo_url": F.when(hit, F.col("thumb")).otherwise(F.col("photo_url"))}).drop("thumb")
 
 
-def _first_contained(titles: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """title, hit of each title (upper case) with the first key (by ord) that it contains,
-    by joins on equal beginnings: each place in a title meets the keys that begin with
-    the letters found there, as many as the shortest key has."""
-    keys = gazetteer.where(F.col("key") != "")
-    short = keys.agg(F.min(F.length("key"))).first()[0]  # one number
-    begin = lambda c, at: F.substr(c, at, F.lit(short))
-    places = titles.where(F.length("title") >= short).select("title", F.explode(F.sequence(F.lit(1), F.length("title") - short + 1)).alias("at"))
-    met = places.withColumn("begin", begin(F.col("title"), F.col("at"))).join(keys.withColumn("begin", begin(F.col("key"), F.lit(1))), "begin")
-    full = met.where(F.substr("title", F.col("at"), F.length("key")) == F.col("key"))
-    return full.groupBy("title").agg(F.min_by(F.struct("key", "lat", "lng", "city"), F.struct("ord", "key")).alias("hit"))
-
-
-def gazetteer_substring(df: DataFrame, gazetteer: DataFrame, most_keys: int = 10_000) -> DataFrame:
+#: Bytes of keys in one automaton; more go in blocks, one after the other.
+KEY_BYTES = 8_000_000
+_automata: dict[str, object] = {}
+
+
+def _automaton(name: str, listed: list[tuple]) -> object:
+    """The automaton of a list of keys, made once in each worker."""
+    import ahocorasick
+
+    if name not in _automata:
+        _automata.clear()
+        made = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for place, (key, *_) in reversed(list(enumerate(listed))):  # of equal keys the first stays
+            made.add_word(key, place)
+        made.make_automaton()
+        _automata[name] = made
+    return _automata[name]
+
+
+def _first_contained(df: DataFrame, title: Column, keys: DataFrame, out: str) -> DataFrame:
+    """df with a struct (ord, key, lat, lng, city) of the first key, by ord, that the title
+    contains. Titles are read once by an automaton of all keys (of a block, where keys
+    have over KEY_BYTES bytes), whatever their number."""
+    n = max(1, -(-(keys.agg(F.sum(F.octet_length("key") + 16)).first()[0] or 0) // KEY_BYTES))
+    kind = F.struct(keys["ord"], "key", "lat", "lng", "city")
+    hit = keys.select(kind.alias("h")).schema["h"].dataType
+    found = df.withColumn("_title", title)
+    for i in range(n):
+        own = keys.where(F.pmod(F.xxhash64("key"), F.lit(n)) == i).orderBy("ord", "key", "lat", "lng", "city").select("key", "ord", "lat", "lng", "city")
+        shared = df.sparkSession.sparkContext.broadcast([tuple(r) for r in own.collect()])  # about KEY_BYTES bytes of keys
+        schema = T.StructType([*found.schema, T.StructField(f"_h{i}", hit)])
+
+        def find(batches: Iterator[pa.RecordBatch], shared=shared, schema=schema, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            listed = shared.value
+            automaton = _automaton(name, listed) if listed else None
+            kinds = to_arrow_type(schema[-1].dataType)
+            for b in batches:
+                first = [min((place for _, place in automaton.iter(t)), default=None) if automaton and t else None for t in b.column("_title").to_pylist()]
+                hits = [None if at is None else dict(zip(("key", "ord", "lat", "lng", "city"), listed[at], strict=True)) for at in first]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hits, kinds)], names=schema.names)
+
+        found = found.mapInArrow(find, schema)
+    return found.withColumn(out, F.array_min(F.array(*[F.col(f"_h{i}") for i in range(n)]))).drop("_title", *[f"_h{i}" for i in range(n)])
+
+
+def gazetteer_substring(df: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """df with lat, lng and city of the first key (by `ord`) that its upper-case title
     contains, else the centre of the state. Matches add a sentence on the origin to
-    the details. Of a gazetteer (ord, key, lat, lng, city) up to most_keys rows go
-    into the expression as literals; a larger one is joined, with the same results.
-    Null and empty keys match nothing."""
+    the details. gazetteer: ord, key, lat, lng, city. Null and empty keys match nothing."""
     rows = gazetteer.where(F.col("key") != "").select("ord", "key", F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng"), "city")
-    listed = rows.orderBy("ord", "key").limit(most_keys + 1).collect()
-    if len(listed) > most_keys:
-        title = F.upper(text("title"))
-        hits = _first_contained(df.select(title.alias("title")).distinct(), rows).select(F.col("title").alias("_title"), F.col("hit").alias("_hit"))
-        found = df.withColumn("_title", title).join(hits, "_title", "left").drop("_title")
-    elif listed:
-        entries = F.array(*[F.struct(F.lit(r.key).alias("key"), F.lit(r.lat).alias("lat"), F.lit(r.lng).alias("lng"), F.lit(r.city).alias("city")) for r in listed])
-        found = df.withColumn("_hit", F.get(F.filter(entries, lambda e: F.contains(F.upper(text("title")), e["key"])), F.lit(0)))
-    else:
-        found = df.withColumn("_hit", F.lit(None).cast("struct<key: string, lat: double, lng: double, city: string>"))
+    found = _first_contained(df, F.upper(text("title")), rows, "_hit")
     lat, lng, label = STATE_CENTRE
     return found.withColumns(
         {

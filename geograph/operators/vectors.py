@@ -138,6 +138,21 @@ def best_matches(queries: DataFrame, nodes: DataFrame, k: int | None, least: flo
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def register_search(nodes: DataFrame, name: str = "match_nodes", node_id: str = "node_id", vec_col: str = "embedding") -> None:
+    """Make the search callable from SQL in the nodes' session: cosine_similarity(a, b), and
+    SELECT * FROM match_nodes(vector, match_count), the rows (node_id, similarity) of the
+    most similar nodes, ties to the smaller id. For one vector at a time; tables of
+    queries go through best_matches()."""
+    spark = nodes.sparkSession
+    rows = nodes.where(sound(vec_col)).select(F.col(node_id).alias("node_id"), F.transform(vec_col, lambda x: x.cast("double")).alias("embedding"))
+    rows.createOrReplaceTempView(f"{name}_rows")
+    norm = lambda c: f"greatest(sqrt(aggregate(transform({c}, x -> x * x), 0D, (s, v) -> s + v)), 1e-9D)"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION cosine_similarity(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN aggregate(zip_with(a, b, (x, y) -> coalesce(x, 0D) * coalesce(y, 0D)), 0D, (s, v) -> s + v) / ({norm('a')} * {norm('b')})")
+    kind = rows.schema["node_id"].dataType.simpleString()
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(query ARRAY<DOUBLE>, match_count INT) RETURNS TABLE (node_id {kind}, similarity DOUBLE) RETURN
+      SELECT node_id, similarity FROM (SELECT *, row_number() OVER (ORDER BY similarity DESC, node_id) AS n FROM (SELECT node_id, cosine_similarity(query, embedding) AS similarity FROM {name}_rows)) WHERE n <= match_count""")
+
+
 def knn_candidates(nodes: DataFrame, k: int = NEIGHBOURS, least: float = LEAST_COSINE, node_id: str = "node_id", vec_col: str = "embedding") -> DataFrame:
     """source_id < target_id, score: pairs in which either is among the other's k nearest of a cosine of `least`."""
     asked = nodes.select(F.col(node_id).alias("query_id"), F.col(vec_col).alias("embedding"))

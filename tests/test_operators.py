@@ -450,6 +450,15 @@ def test_equal_vectors_are_linked_once_each(spark):
     assert sorted(map(tuple, vectors.semantic_dedupe(n, said, 0.9).collect())) == [(4, 3), (5, 3), (60, 3)]
 
 
+def test_search_from_sql(spark):
+    n = spark.createDataFrame([(i, [1.0, i / 10]) for i in range(20)] + [(30, None), (31, [float("nan"), 1.0])], "node_id long, embedding array<float>")
+    vectors.register_search(n)
+    q = spark.createDataFrame([(1, [1.0, 0.5])], "query_id long, embedding array<float>")
+    want = [(r.node_id, round(r.similarity, 9)) for r in vectors.best_matches(q, n, 3).orderBy("rank").collect()]
+    got = [(r.node_id, round(r.similarity, 9)) for r in spark.sql("SELECT * FROM match_nodes(array(1.0D, 0.5D), 3) ORDER BY similarity DESC, node_id").collect()]
+    assert got == want and spark.sql("SELECT cosine_similarity(array(1D, 0D), array(0D, 2D)) AS c").first().c == 0
+
+
 def test_odd_vectors_take_no_part(spark):
     """NaN, infinite, null-holding, empty and null vectors neither match nor push others out; short ones count as filled up."""
     odd = [float("nan"), 1.0], [None, 1.0], [float("inf"), 0.0], [], None
@@ -477,13 +486,19 @@ def test_nodes_json_round_trip(spark, tmp_path):
     assert [(r.itemLabel, r.coord, r.image) for r in readers.read_poi_csv(spark, str(tmp_path / "poi.csv")).collect()] == [("Fort", "Point(1 2)", None)]
 
 
-def test_gazetteer_on_both_sides_of_its_bound(spark):
-    keys = [(2, "AMBER", 1.0, 1.0, "b"), (1, "MBE", 2.0, 2.0, "a"), (3, "X", 3.0, 3.0, "c"), (4, "", 4.0, 4.0, "d"), (5, None, 5.0, 5.0, "e"), (0, "LONG KEY", 6.0, 6.0, "f")]
+@pytest.mark.parametrize("key_bytes", [8_000_000, 20])
+def test_gazetteer(spark, monkeypatch, key_bytes):
+    """One automaton, and one for each of some blocks, against a search key by key."""
+    monkeypatch.setattr(nodes, "KEY_BYTES", key_bytes)
+    keys = [(2, "AMBER", 1.0, 1.0, "b"), (1, "MBE", 2.0, 2.0, "a"), (3, "X", 3.0, 3.0, "c"), (4, "", 4.0, 4.0, "d"), (5, None, 5.0, 5.0, "e"), (0, "LONG KEY", 6.0, 6.0, "f"), (9, "X", 7.0, 7.0, "g"), (7, "É", 8.0, 8.0, "h")]
     g = spark.createDataFrame(keys, "ord int, key string, lat double, lng double, city string")
-    titles = ["Amber fort", "ambe", "x", "a long keyx", "", None, "none", "Amber fort"]
+    titles = ["Amber fort", "ambe", "x", "a long keyx", "", None, "none", "Amber fort", "é", "x" * 5000]
     df = spark.createDataFrame([(i, t, "d") for i, t in enumerate(titles)], "i int, title string, docent_details string")
-    rows = [sorted(map(str, nodes.gazetteer_substring(df, g, most).collect())) for most in (10, 2)]
-    assert rows[0] == rows[1] and sum("Officially" in r for r in rows[0]) == 5
+    for r in nodes.gazetteer_substring(df, g).collect():
+        hits = sorted(k for k in keys if k[1] and k[1] in (r.title or "").upper())
+        assert (r.lat, r.location_text) == ((hits[0][2], hits[0][4]) if hits else (nodes.STATE_CENTRE[0], nodes.STATE_CENTRE[2]))
+        assert r.docent_details == ("d Officially originates from " + hits[0][4] + "." if hits else "d")
+    assert nodes.gazetteer_substring(df, g.limit(0)).where(F.col("lat") == nodes.STATE_CENTRE[0]).count() == len(titles)
 
 
 def test_one_key_in_very_many_nodes(spark):
