@@ -14,6 +14,7 @@ GROUPS = {
     "intangible": ("heritage-intangible", "Intangible Heritage", "Performing arts, festivals, and living traditions."),
     "gastro": ("heritage-gastro", "Gastronomy & Craft", "GI-tagged foods, crafts, and culinary heritage."),
 }
+# By id, as it is read both ways: from a category to its subtype, and from the table to the list of known categories.
 SUBTYPES = {
     "subtype-forts-castles": ("Forts & Castles", ["TANGIBLE_FORT", "TANGIBLE_CASTLE"]),
     "subtype-asi-protected": ("ASI Protected Monuments", ["TANGIBLE_ASI_PROTECTED"]),

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import links, nodes, vectors
+from ..operators.staging import settled
 from ..sources import sinks
-from .queries import _BASE, _BOILER, _COS, _FACTS, _GRAPH, _GROUP, _KNN, _PRETTY, _edges, _vectors, flat_nodes, raw_nodes
+from .queries import _BASE, _BOILER, _COS, _FACTS, _GRAPH, _GROUP, _KNN, _MEMBERS, _PRETTY, _edges, _members, _vectors, flat_nodes, raw_nodes
 from .registry import query
 from .tables import NODES, derived, table
 
@@ -99,15 +102,29 @@ def pending_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.embed_pending(n).select("id")
 
 
-@query(f"WITH {_GRAPH} SELECT 'nodes' AS \"table\", count(*) AS n FROM n WHERE pos % 6 <> 2 UNION ALL SELECT 'edges', count(*) FROM e UNION ALL SELECT 'fallback', count(*) FROM e")
+@query(f"""WITH {_GRAPH}, {_MEMBERS.partition(", m AS")[1][2:]}{_MEMBERS.partition(", m AS")[2]}
+  SELECT 'nodes' AS "table", id AS key, id || '|' || heritage_group AS row FROM f WHERE pos % 6 <> 2
+  UNION ALL SELECT 'clusters', cluster_id, kind || '|' || arg_max(coalesce(parent_id, ''), node_id) FROM m GROUP BY cluster_id, kind
+  UNION ALL SELECT 'node_clusters', node_id || '|' || cluster_id, '' FROM m
+  UNION ALL SELECT 'edges', source_id || '|' || target_id, tier FROM e
+  UNION ALL SELECT 'fallback', source_id || '|' || target_id, tier FROM e""")
 def graph_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tables of the built graph, and the rule-linked edges where no edge was built."""
+    """The rows of the graph's four tables, and the rule-linked edges where no edge was built."""
     n, e = _edges(spark, sf_dir)
-    own = n.select(F.col("id").alias("node_id"), F.when(F.col("pos") % 6 == 2, "N0").alias("merged_into"))
-    found = sinks.graph_snapshot(own, own.limit(0), own.limit(0), e)
-    rows = {"nodes": found["nodes"], "edges": found["edges"], "fallback": sinks.graph_or_fallback(spark.createDataFrame([], e.schema), e)}
-    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "n") for name, df in rows.items()]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    own = n.select(F.col("id").alias("node_id"), "heritage_group", F.when(F.col("pos") % 6 == 2, "N0").alias("merged_into"))
+    members = settled(_members(spark, sf_dir))
+    found = sinks.graph_snapshot(own, nodes.build_clusters(members), members.select("node_id", "cluster_id"), settled(e))
+    none = spark.createDataFrame([], e.schema)
+    pair = lambda a, b: F.concat_ws("|", a, b)
+    rows = {
+        "nodes": found["nodes"].select(F.col("node_id").alias("key"), pair("node_id", "heritage_group").alias("row")),
+        "clusters": found["clusters"].select(F.col("cluster_id").alias("key"), pair("kind", F.coalesce("parent_id", F.lit(""))).alias("row")),
+        "node_clusters": found["node_clusters"].select(pair("node_id", "cluster_id").alias("key"), F.lit("").alias("row")),
+        "edges": found["edges"].select(pair("source_id", "target_id").alias("key"), F.col("tier").alias("row")),
+        "fallback": sinks.graph_or_fallback(none, found["edges"]).select(pair("source_id", "target_id").alias("key"), F.col("tier").alias("row")),
+    }
+    out = [df.select(F.lit(name).alias("table"), "key", "row") for name, df in rows.items()]
+    return reduce(DataFrame.unionByName, out)
 
 
 @query(f"WITH {_BASE} SELECT id AS node_id, title FROM n WHERE pos % 6 <> 2")

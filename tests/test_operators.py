@@ -450,6 +450,22 @@ def test_equal_vectors_are_linked_once_each(spark):
     assert sorted(map(tuple, vectors.semantic_dedupe(n, said, 0.9).collect())) == [(4, 3), (5, 3), (60, 3)]
 
 
+def test_embeddings_of_documents(spark):
+    """The registered query's vectors, computed again word by word."""
+    import re
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    rows = queries.embed_documents(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = [0.0] * vectors.EMBEDDING_SIZE
+        for w in re.findall(r"\w+", (texts[r.doc_id] or "").lower()):
+            h = zlib.crc32(w.encode())
+            want[(h >> 1) % len(want)] += 1 if h & 1 else -1
+        norm = math.sqrt(sum(x * x for x in want)) or 1.0
+        assert max(abs(x / norm - y) for x, y in zip(want, r.embedding, strict=True)) < 1e-6
+
+
 def test_search_from_sql(spark):
     n = spark.createDataFrame([(i, [1.0, i / 10]) for i in range(20)] + [(30, None), (31, [float("nan"), 1.0])], "node_id long, embedding array<float>")
     vectors.register_search(n)
