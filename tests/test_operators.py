@@ -525,13 +525,15 @@ def test_one_key_in_very_many_nodes(spark):
     assert len(edges) == 4 * 100_000 - 10 and all(r.source_id in firsts or r.target_id in firsts for r in edges) and {r.tier for r in edges} == {"source_supported"}
 
 
-def test_first_near_against_all_pairs(spark):
+def test_first_near_against_all_pairs(spark, monkeypatch):
     rng = random.Random(11)
     points = [(i, rng.uniform(20, 24), rng.uniform(70, 74), rng.choice(["a", "a", "a", "b", "", None])) for i in range(400)]
     df = spark.createDataFrame(points, "pos long, lat double, lng double, place string")
+    places = links._keyed(df, "place")
     for held in (2, 64):
+        monkeypatch.setattr(links, "HELD", held)
         got = {}
-        for r in links._first_near(df, "place", 120, 3, held).collect():
+        for r in links._first_near(places, places, 120, 3).collect():
             got.setdefault(r.a, set()).add(r.b)
         for i, lat, lng, p in points:
             want = [j for j, a, b, o in points if j != i and p and o == p and km((lat, lng), (a, b)) <= 120]
