@@ -113,20 +113,26 @@ def _by_token_and_group(n: DataFrame) -> DataFrame:
     return _hits(first, 5, words=F.col("words")).unionByName(_hits(_near_by_key(group, "_group", NEAR_KM).where("a < b"), 6, F.col("km")))
 
 
-def _judged(found: DataFrame, n: DataFrame) -> DataFrame:
-    """a, b, rule, tier, score, rationale: the first rule of each of the hits' pairs."""
-    first = found.groupBy("a", "b").agg(F.min_by("hit", F.col("hit.rule")).alias("best")).select("a", "b", "best.*")
-    facts = n.select(F.col("pos").alias("a"), "place", "era_fact", "gi_fact", "heritage_group")
-    count = F.size("words")
-    score = (
+def _tier() -> Column:
+    return F.when(F.col("rule") == 1, "verified").when(F.col("rule") <= 3, "source_supported").otherwise("potential")
+
+
+def _score() -> Column:
+    """A link's score by its rule, words and km."""
+    return (
         F.when(F.col("rule") == 1, F.lit(1.0))
         .when(F.col("rule") == 2, F.lit(0.8) + F.lit(0.1))
         .when(F.col("rule") == 3, F.lit(0.8) + F.lit(0.05))
         .when(F.col("rule") == 4, F.lit(0.55))
-        .when(F.col("rule") == 5, F.least(F.lit(0.35) + count * F.lit(0.05), F.lit(0.55)))
+        .when(F.col("rule") == 5, F.least(F.lit(0.35) + F.size("words") * F.lit(0.05), F.lit(0.55)))
         .otherwise(F.greatest(F.lit(0.12), F.lit(0.26) - F.col("km") / NEAR_KM * F.lit(0.14)))
     )
-    tier = F.when(F.col("rule") == 1, "verified").when(F.col("rule") <= 3, "source_supported").otherwise("potential")
+
+
+def _judged(found: DataFrame, n: DataFrame) -> DataFrame:
+    """a, b, rule, tier, score, rationale: the first rule of each of the hits' pairs."""
+    first = found.groupBy("a", "b").agg(F.min_by("hit", F.col("hit.rule")).alias("best")).select("a", "b", "best.*")
+    facts = n.select(F.col("pos").alias("a"), "place", "era_fact", "gi_fact", "heritage_group")
     say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     # How a link is explained.
     rationale = (
@@ -134,10 +140,10 @@ def _judged(found: DataFrame, n: DataFrame) -> DataFrame:
         .when(F.col("rule") == 2, say('Both officially registered/protected under "', F.col("place"), '" — a shared, sourced administrative fact.'))
         .when(F.col("rule") == 3, say('Both dated to the same documented era — "', F.col("era_fact"), '".'))
         .when(F.col("rule") == 4, say('Same craft/produce classification ("', F.col("gi_fact"), '") from a different town — a possible cross-regional technique lineage. Not established as historically linked by current sources; flagged as a research lead.'))
-        .when(F.col("rule") == 5, say("Share the keyword", F.when(count > 1, "s").otherwise(""), ' "', F.array_join(F.slice("words", 1, 3), ", "), '" in their titles. A direct relationship is not established by current sources; flagged as a research lead.'))
+        .when(F.col("rule") == 5, say("Share the keyword", F.when(F.size("words") > 1, "s").otherwise(""), ' "', F.array_join(F.slice("words", 1, 3), ", "), '" in their titles. A direct relationship is not established by current sources; flagged as a research lead.'))
         .otherwise(say("Both ", F.col("heritage_group"), " heritage nodes ", F.format_string("%.1f", "km"), " km apart with no documented link yet — proximity-only research lead."))
     )
-    return first.join(facts, "a").select("a", "b", "rule", tier.alias("tier"), score.alias("score"), rationale.alias("rationale"))
+    return first.join(facts, "a").select("a", "b", "rule", _tier().alias("tier"), _score().alias("score"), rationale.alias("rationale"))
 
 
 def link_candidates(nodes: DataFrame) -> DataFrame:
@@ -147,7 +153,7 @@ def link_candidates(nodes: DataFrame) -> DataFrame:
     1 same normal title; 2 same place within 120 km; 3 same specific era; 4 same GI
     type but not the same place; 5 a shared title token within 60 km; 6 same group
     within 15 km. Every such pair is a candidate, so a key shared by very many nodes
-    costs its square; link_graph() does without that.
+    costs its square; candidate_counts() and link_graph() do without that.
     """
     on = lambda key, *more: pairs_on(nodes, key, ["pos", *more]).select(F.col("a_pos").alias("a"), F.col("b_pos").alias("b"), *[f"{s}_{c}" for c in more for s in "ab"])
     found = (
@@ -160,6 +166,47 @@ def link_candidates(nodes: DataFrame) -> DataFrame:
     return _judged(found, nodes)
 
 
+def candidate_counts(nodes: DataFrame) -> DataFrame:
+    """rule, tier, pairs, score: how many pairs link_candidates() has of each rule, and the
+    sum of their scores, without listing the pairs of rules 1, 3 and 4.
+
+    Pairs that share keys are counted from the sizes of the groups. Who shares an era
+    but no title: the pairs of each era less those of each (era, title); "not the same
+    place" takes off those of each (.., place) likewise, null being a place like any
+    other. Pairs near each other are listed, and their facts tell what they count for
+    and which earlier rule has them.
+    """
+    n = settled(nodes.select("pos", "title", "lat", "lng", "heritage_group", "place", "era_fact", "gi_fact", "norm_title"))
+    title, era, gi = "norm_title", "era_fact", "gi_fact"
+    terms = [(1, 1, (title,), False), (3, 1, (era,), False), (3, -1, (era, title), False)]
+    for sign, keys in ((1, (gi,)), (-1, (gi, title)), (-1, (gi, era)), (1, (gi, era, title))):
+        terms += [(4, sign, keys, False), (4, -sign, keys, True)]
+    has = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
+
+    def group(at: int, rule: int, sign: int, keys: tuple[str, ...], placed: bool) -> Column:
+        there = has(keys[0])
+        for k in keys[1:]:
+            there = there & has(k)
+        key = F.array(*[F.col(k) for k in keys], *([F.col("place")] if placed else []))
+        return F.when(there, F.struct(F.lit(at).alias("term"), F.lit(rule).alias("rule"), F.lit(sign).alias("sign"), key.alias("key")))
+
+    groups = n.select(F.explode(F.array_compact(F.array(*[group(i, *t) for i, t in enumerate(terms)]))).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+    square = F.col("n").cast("decimal(19,0)") * (F.col("n") - 1).cast("decimal(19,0)")
+    counted = groups.groupBy("g.rule").agg(F.sum(F.col("g.sign") * square / 2).alias("pairs"))
+
+    facts = lambda s: n.select(F.col("pos").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("place", era, gi, title)])
+    same = lambda c: F.coalesce((F.col(f"a_{c}") == F.col(f"b_{c}")) & (F.col(f"a_{c}") != ""), F.lit(False))
+    placed = _hits(_near_by_key(n, "place", PLACE_KM).where("a < b"), 2)
+    near = placed.unionByName(_by_token_and_group(n)).groupBy("a", "b").agg(F.min_by("hit", F.col("hit.rule")).alias("best")).select("a", "b", "best.*")
+    told = near.join(facts("a"), "a").join(facts("b"), "b").where(~same(title))
+    later = ~same(era) & ~(same(gi) & ~F.col("a_place").eqNullSafe(F.col("b_place")))
+    listed = settled(told.where((F.col("rule") == 2) | later).groupBy("rule").agg(F.count("*").alias("pairs"), F.sum(_score()).alias("score"), F.count_if(same(era) & (F.col("rule") == 2)).alias("eras")))
+    taken = listed.agg(F.sum("eras")).first()[0] or 0  # what rule 2 has of rule 3
+    left = counted.select("rule", (F.col("pairs") - F.when(F.col("rule") == 3, F.lit(taken)).otherwise(0)).cast("long").alias("pairs"))
+    constant = left.withColumns({"words": F.array().cast("array<string>"), "km": F.lit(0.0)}).select("rule", "pairs", (F.col("pairs") * _score()).alias("score"))
+    return constant.unionByName(listed.drop("eras")).where("pairs > 0").select("rule", _tier().alias("tier"), "pairs", "score")
+
+
 def top_links(candidates: DataFrame, k: int = TOP_LINKS) -> DataFrame:
     """Candidates that are among the k best of either end, ties to the earlier other end."""
     both = candidates.select(F.col("a").alias("own"), F.col("b").alias("other"), *candidates.columns).unionByName(candidates.select(F.col("b").alias("own"), F.col("a").alias("other"), *candidates.columns))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import taxonomy
 from ..functions import text as tx
-from ..operators import geofence, links, nodes, quality, review, vectors
+from ..operators import geofence, links, nodes, quality, review, vector_index, vectors
 from ..operators.staging import settled
 from ..sources import readers, sinks
 from .registry import query
@@ -124,7 +124,7 @@ _PAIRS = f"""{_FACTS}, p AS (
 @query(f"WITH {_PAIRS} SELECT rule, tier, count(*) AS pairs, round(sum(score), 3) AS score FROM c GROUP BY rule, tier")
 def link_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs by the first rule that links them."""
-    return links.link_candidates(flat_nodes(spark, sf_dir)).groupBy("rule", "tier").agg(F.count("*").alias("pairs"), F.round(F.sum("score"), 3).alias("score"))
+    return links.candidate_counts(flat_nodes(spark, sf_dir)).withColumn("score", F.round("score", 3))
 
 
 _GRAPH = f"""{_PAIRS}, t AS (
@@ -193,14 +193,20 @@ def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return v.where("node_id % 20 = 0").select(F.col("node_id").alias("query_id"), "embedding"), v
 
 
-@query(f"SELECT a.vec_id AS query_id, b.vec_id AS node_id, round({_COS}, 6) AS similarity, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS INTEGER) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id QUALIFY rank <= 3")
+_MATCH = f"SELECT a.vec_id AS query_id, b.vec_id AS node_id, round({_COS}, 6) AS similarity, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS INTEGER) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id QUALIFY rank <= 3"
+
+
+@query(_MATCH)
 def vector_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three most similar nodes of each query."""
     q, v = _vectors(spark, sf_dir)
     return vectors.best_matches(q, v, 3, skip_same=True).withColumn("similarity", F.round("similarity", 6))
 
 
-@query(f"WITH k AS (SELECT a.vec_id AS x, b.vec_id AS y, {_COS} AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id AND {_COS} >= 0.35) SELECT least(x, y) AS source_id, greatest(x, y) AS target_id, round(max(s), 6) AS score FROM k WHERE r <= 6 GROUP BY ALL")
+_KNN = f"WITH k AS (SELECT a.vec_id AS x, b.vec_id AS y, {_COS} AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id AND {_COS} >= 0.35) SELECT least(x, y) AS source_id, greatest(x, y) AS target_id, round(max(s), 6) AS score FROM k WHERE r <= 6 GROUP BY ALL"
+
+
+@query(_KNN)
 def knn_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)[1]
     return vectors.knn_candidates(v).withColumn("score", F.round("score", 6))
@@ -213,6 +219,39 @@ def semantic_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.merged_components(vectors.similar_links(_vectors(spark, sf_dir)[1], 0.40, "label"))
 
 
+@query(_MATCH)
+def index_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vector_match from the inverted file: four cells, and then those that may hold a better row."""
+    q, v = _vectors(spark, sf_dir)
+    found = vector_index.search(vector_index.build(v), q, 3, 4, exact=True, skip_same=True)
+    return found.select("query_id", "node_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query(_KNN)
+def index_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """knn_candidates from the inverted file."""
+    found = vector_index.knn_candidates(vector_index.build(_vectors(spark, sf_dir)[1]))
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({_COS}, 6) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id < b.vec_id AND {_COS} >= 0.40")
+def index_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a cosine of 0.40, from cells that may hold one."""
+    found = vector_index.similar_pairs(vector_index.build(_vectors(spark, sf_dir)[1]), 0.40)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@query()
+def index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of each query's ten most similar nodes are among those that probing finds, when
+    as many cells are read as 95 % of the sampled rows' neighbours need."""
+    q, v = _vectors(spark, sf_dir)
+    index = vector_index.build(v)
+    found = vector_index.search(index, q, 10, vector_index.probes_for(index), skip_same=True).select("query_id", "node_id", F.lit(1).alias("hit"))
+    best = vectors.best_matches(q, v, 10, skip_same=True).select("query_id", "node_id")
+    return best.join(found, ["query_id", "node_id"], "left").groupBy("query_id").agg(F.count("*").alias("best"), F.count("hit").alias("found"))
+
+
 @query(f"""WITH m AS (SELECT a.vec_id AS q, b.vec_id AS i, {_COS} AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
   g AS (SELECT q, max(s) AS top, string_agg('Title: T' || i || chr(10) || 'Content: ' || CAST((SELECT label FROM embeddings e WHERE e.vec_id = m.i) AS VARCHAR), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY r) AS t FROM m WHERE r <= 3 GROUP BY q)
   SELECT q AS query_id, top < 0.40 AS refused, round(top, 6) AS top_similarity, CASE WHEN top >= 0.40 THEN t END AS context FROM g""")
