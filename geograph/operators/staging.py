@@ -20,6 +20,11 @@ def _folder(df: DataFrame) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt to as many tasks as a shuffle has, for work that is heavy a row: sizes in bytes would leave it to few."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df, checkpointed: computed once, its lineage cut, and safe from lost executors."""
     _folder(df)

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import taxonomy
 from ..functions import text as tx
 from ..operators import geofence, links, nodes, quality, review, vector_index, vectors
-from ..operators.staging import settled
+from ..operators.staging import settled, spread
 from ..sources import readers, sinks
 from .registry import query
 from .tables import FENCES, NODES, SCANS, SUBMISSIONS, derived, duck, table
 
 def flat_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes.with_facts(derived(spark, sf_dir, NODES).withColumn("heritage_group", tx.group_of("category")))
+    """Nodes with their facts. They are dealt out first: facts take many patterns a row, and small files or a small join leave them to few tasks."""
+    return nodes.with_facts(spread(derived(spark, sf_dir, NODES), "pos").withColumn("heritage_group", tx.group_of("category")))
 
 
 def raw_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
