@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import nodes, review, vectors
+from ..operators.staging import spread
 from ..sources import readers, sinks
 from .queries import _BASE, _SUB
 from .registry import query
@@ -65,7 +66,8 @@ def _order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     cell = lambda c: F.concat(F.lit("<td> "), c, F.lit(" </td>"))
     line = lambda x: F.concat(F.lit("<tr>"), cell(F.when(x["l_partkey"] % 5 == 0, " ").otherwise(F.concat(F.lit("Part &amp; "), x["l_partkey"]))), cell(x["l_suppkey"]), cell(F.concat(F.lit("<b>n"), x["l_suppkey"], F.lit("</b>"))), cell(x["l_returnflag"]), F.lit("</tr>"))
     html = F.concat(F.lit('<table class="x wikitable"><tr><th> Name </th><th>Supplier</th><th>No</th><th>Flag</th></tr>'), F.array_join(F.transform(rows, line), ""), F.lit("</table>"))
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("page_id")).agg(html.alias("html"))
+    lines = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")  # pages are parsed where they are made, by as many tasks as a shuffle has
+    return lines.groupBy(F.col("l_orderkey").alias("page_id")).agg(html.alias("html"))
 
 
 @query(f"WITH {_LINES} SELECT l_orderkey AS page_id, CAST(n - 1 AS INTEGER) AS pos, 'Part & ' || CAST(l_partkey AS VARCHAR) AS name, s AS supplier FROM r WHERE l_partkey % 5 <> 0")
