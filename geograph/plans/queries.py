@@ -518,8 +518,9 @@ def candidate_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pair_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What neighbours share."""
     n = flat_nodes(spark, sf_dir)
-    side = lambda s: n.select(F.col("pos").alias(s), F.col("place").alias(f"{s}_district"), F.col("era").alias(f"{s}_era"), F.col("gi_fact").alias(f"{s}_gi_type"), F.col("heritage_group").alias(f"{s}_heritage_group"))
-    return links.radius_pairs(n, 15).join(side("a"), "a").join(side("b"), "b").select("a", "b", nodes.hints("a_", "b_").alias("hints"))
+    told = settled(n.select(F.struct("pos", F.col("place").alias("district"), "era", F.col("gi_fact").alias("gi_type"), "heritage_group").alias("id"), "lat", "lng"))  # facts go with the points, so no pair is shuffled for them
+    pairs = links.radius_join(told, told, 15).where("a.pos < b.pos")
+    return pairs.select(F.col("a.pos").alias("a"), F.col("b.pos").alias("b"), nodes.hints("a.", "b.").alias("hints"))
 
 
 @query(f"WITH {_BASE} SELECT id, title FROM n WHERE contains(lower(title), 'palace') ORDER BY pos LIMIT 1")
