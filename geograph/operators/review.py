@@ -9,7 +9,7 @@ from ..functions.taxonomy import SUBTYPES
 from ..functions.text import blank_to_null, community_id, group_of, is_boilerplate, normal_title, place, strip, text
 from ..sources.sinks import update_by_key
 from .nodes import memberships
-from .vectors import DUPLICATE_FROM, LEAST_COSINE, NEIGHBOURS, best_matches
+from .vectors import DUPLICATE_FROM, LEAST_COSINE, NEIGHBOURS, alike, best_alike, confirmed_alike
 
 # Photos that are taken.
 IMAGE_TYPES = ["image/jpeg", "image/png", "image/webp", "image/gif"]
@@ -99,7 +99,7 @@ def derive_nodes(submissions: DataFrame) -> DataFrame:
     )
 
 
-def promote(new: DataFrame, nodes: DataFrame, same_subject: DataFrame, link_verdicts: DataFrame, duplicate_from: float = DUPLICATE_FROM, k: int = NEIGHBOURS, least: float = LEAST_COSINE) -> dict[str, DataFrame]:
+def promote(new: DataFrame, nodes: DataFrame, same_subject: DataFrame, link_verdicts: DataFrame, duplicate_from: float = DUPLICATE_FROM, k: int = NEIGHBOURS, least: float = LEAST_COSINE, vectors: tuple[DataFrame, DataFrame] | None = None) -> dict[str, DataFrame]:
     """Approved submissions (derive_nodes() with `embedding`) in the graph of active nodes
     (node_id, title, embedding).
 
@@ -109,14 +109,17 @@ def promote(new: DataFrame, nodes: DataFrame, same_subject: DataFrame, link_verd
     other_id) confirms. nodes, clusters, edges: what is added. Edges go to the k
     nearest nodes of a cosine of `least` that link_verdicts (node_id, other_id,
     connect, tier, rationale) connects. The submissions of one batch do not see
-    each other.
+    each other. Equal vectors are searched for once, and of same_subject's pairs alone
+    it is measured whether they reach duplicate_from. vectors: alike() of new and of
+    nodes, where the caller has them.
     """
+    asked, there = vectors or (alike(new, "node_id"), alike(nodes, "node_id"))
     titled = nodes.select(F.col("node_id").alias("other_id"), normal_title("title").alias("norm")).where("norm <> ''").groupBy("norm").agg(F.min("other_id").alias("by_title"))
-    near = best_matches(new.select(F.col("node_id").alias("query_id"), "embedding"), nodes.select("node_id", "embedding"), None, duplicate_from)
-    confirmed = near.select(F.col("query_id").alias("node_id"), F.col("node_id").alias("other_id")).join(same_subject.select("node_id", "other_id").distinct(), ["node_id", "other_id"]).groupBy("node_id").agg(F.min("other_id").alias("by_vector"))
+    said = same_subject.select(F.col("node_id").alias("query_id"), F.col("other_id").alias("node_id")).distinct()
+    confirmed = confirmed_alike(said, asked, there, duplicate_from).select(F.col("query_id").alias("node_id"), F.col("node_id").alias("other_id")).groupBy("node_id").agg(F.min("other_id").alias("by_vector"))
     judged = new.withColumn("norm", normal_title("title")).join(titled, "norm", "left").join(confirmed, "node_id", "left").withColumn("merged_into", F.coalesce("by_title", "by_vector"))
     added = judged.where("merged_into is null").drop("norm", "by_title", "by_vector")
-    ranked = best_matches(added.select(F.col("node_id").alias("query_id"), "embedding"), nodes.select("node_id", "embedding"), k, least).select(F.col("query_id").alias("node_id"), F.col("node_id").alias("other_id"), "similarity")
+    ranked = best_alike(asked, there, k, least, only=added.select(F.col("node_id").alias("id"))).select(F.col("query_id").alias("node_id"), F.col("node_id").alias("other_id"), "similarity")
     valid = link_verdicts.where("connect").withColumn("rationale", F.trim("rationale")).where(F.col("tier").isin("verified", "source_supported", "potential", "contradictory") & (F.col("rationale") != ""))
     edges = ranked.join(valid, ["node_id", "other_id"]).select("node_id", F.least("node_id", "other_id").alias("source_id"), F.greatest("node_id", "other_id").alias("target_id"), "tier", F.round("similarity", 4).alias("score"), "rationale")
     formed = edges.groupBy("node_id").agg(F.count("*").alias("n"))

@@ -7,6 +7,7 @@ shard's best rows leave the task.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,6 +23,8 @@ from .staging import settled
 
 #: Rows in a block of nodes and of queries, blocks of nodes that a task holds, and rows that leave it at a time.
 BLOCK, ASKED, HELD, MOST_ROWS = 1024, 256, 8, 1 << 16
+#: Different vectors that a task remembers while it looks for equal ones.
+REMEMBERED = 1 << 16
 # Defaults of matching, candidates and duplicates.
 MATCH_COUNT, ANSWER_FROM = 3, 0.70
 NEIGHBOURS, LEAST_COSINE = 6, 0.35
@@ -138,6 +141,73 @@ def best_matches(queries: DataFrame, nodes: DataFrame, k: int | None, least: flo
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def alike(rows: DataFrame, id_col: str, vec_col: str = "embedding") -> DataFrame:
+    """id, key, v of the sound vectors, settled: equal vectors share a key (a digest of 128
+    bits), and v is there in the first row of a key that a task meets."""
+    kind, vec = (rows.schema[c].dataType.simpleString() for c in (id_col, vec_col))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for b in batches:
+            flat = b.column(1).flatten().to_numpy(zero_copy_only=False)
+            at = b.column(1).offsets.to_numpy() - (b.column(1).offsets[0].as_py() if b.num_rows else 0)
+            keys = [hashlib.blake2b(flat[low:high], digest_size=16).hexdigest() for low, high in zip(at[:-1], at[1:], strict=True)]
+            new = []
+            for i, key in enumerate(keys):
+                if key in seen:
+                    new.append(None)
+                    continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(key)
+                new.append(i)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.string()), b.column(1).take(pa.array(new, pa.int32()))], names=["id", "key", "v"])
+
+    return settled(rows.where(sound(vec_col)).select(id_col, vec_col).mapInArrow(digest, f"id {kind}, key string, v {vec}"))
+
+
+def _heads(rows: DataFrame) -> DataFrame:
+    """key, v of each different vector of alike() rows."""
+    return rows.where("v is not null").select("key", "v").dropDuplicates(["key"])
+
+
+def best_alike(asked: DataFrame, there: DataFrame, k: int | None, least: float | None = None, only: DataFrame | None = None) -> DataFrame:
+    """best_matches() of alike() rows: each different vector asks once; only: the ids (id) that ask. Of equal nodes only
+    the k least ids can be among a query's k best, so no others are met; k None: equal
+    nodes are met once, and each pair that reaches `least` is listed."""
+    heads = _heads(asked)
+    if only is not None:
+        asked = asked.select("id", "key").join(only, "id", "left_semi")
+        heads = heads.join(asked.select("key").distinct(), "key")
+    queries = heads.select(F.col("key").alias("query_id"), F.col("v").alias("embedding"))
+    if k is None:
+        met = best_matches(queries, _heads(there).select(F.col("key").alias("node_id"), F.col("v").alias("embedding")), None, least)
+        own = lambda rows, c: rows.select(F.col("key").alias(c), F.col("id").alias(f"{c}_own"))
+        return met.join(own(there, "node_id"), "node_id").join(own(asked, "query_id"), "query_id").select(F.col("query_id_own").alias("query_id"), F.col("node_id_own").alias("node_id"), "similarity")
+    first = there.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("_n") <= k).select("key", "id")
+    met = best_matches(queries, first.join(_heads(there), "key").select(F.col("id").alias("node_id"), F.col("v").alias("embedding")), k, least)
+    found = met.select(F.col("query_id").alias("key"), "node_id", "similarity").join(asked.select("key", F.col("id").alias("query_id")), "key").select("query_id", "node_id", "similarity")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "node_id"))).where(F.col("rank") <= k)
+
+
+def confirmed_alike(pairs: DataFrame, asked: DataFrame, there: DataFrame, least: float) -> DataFrame:
+    """query_id, node_id, similarity of those of the given pairs that reach `least`: only their vectors are measured, each two once."""
+    own = lambda rows, c: rows.select(F.col("id").alias(c), F.col("key").alias(f"{c}_key"))
+    keyed = settled(pairs.join(own(asked, "query_id"), "query_id").join(own(there, "node_id"), "node_id"))
+    by = lambda rows, c: _heads(rows).select(F.col("key").alias(f"{c}_key"), F.col("v").alias(c))
+    keys = ["query_id_key", "node_id_key"]
+    met = keyed.select(*keys).distinct().join(by(asked, "query_id"), "query_id_key").join(by(there, "node_id"), "node_id_key")
+    reached = met.select(*keys, _filled_cosine("query_id", "node_id").alias("similarity")).where(F.col("similarity") >= least)
+    return keyed.join(reached, keys).select("query_id", "node_id", "similarity")
+
+
+def _filled_cosine(a: str, b: str) -> Column:
+    """Cosine of two arrays, the shorter one filled up with zeros, rounded as best_matches() does."""
+    width = F.greatest(F.size(a), F.size(b))
+    filled = lambda c: F.concat(c, F.array_repeat(F.lit(0.0), width - F.size(c)))
+    return F.round(cosine(filled(F.col(a)), filled(F.col(b))), 12)
+
+
 def register_search(nodes: DataFrame, name: str = "match_nodes", node_id: str = "node_id", vec_col: str = "embedding") -> None:
     """Make the search callable from SQL in the nodes' session: cosine_similarity(a, b), and
     SELECT * FROM match_nodes(vector, match_count), the rows (node_id, similarity) of the
@@ -192,9 +262,7 @@ def semantic_dedupe(nodes: DataFrame, verdicts: DataFrame, least: float = DUPLIC
     said = verdicts.where("same_subject and id_a <> id_b").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
     own = nodes.where(sound(vec_col)).select(F.col(node_id).alias("id"), F.col(vec_col).alias("v"))
     side = lambda c: own.select(F.col("id").alias(c), F.col("v").alias(f"v_{c}"))
-    width = F.greatest(F.size("v_a"), F.size("v_b"))
-    filled = lambda c: F.concat(c, F.array_repeat(F.lit(0.0), width - F.size(c)))
-    measured = said.join(side("a"), "a").join(side("b"), "b").withColumn("similarity", F.round(cosine(filled(F.col("v_a")), filled(F.col("v_b"))), 12))
+    measured = said.join(side("a"), "a").join(side("b"), "b").withColumn("similarity", _filled_cosine("v_a", "v_b"))
     return merged_components(measured.where(F.col("similarity") >= least).select("a", "b"))
 
 
