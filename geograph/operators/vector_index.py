@@ -23,25 +23,28 @@ from .vectors import LEAST_COSINE, NEIGHBOURS, sound
 
 #: Rows that pivots are fitted on, rounds of fitting, cells and rows of the sample for each.
 FITTED, ROUNDS, MOST_CELLS, FOR_EACH = 20_000, 8, 1024, 16
-#: Rows of a cell's part, queries scored at a time, visits that one task takes from a shard, shards that may have more.
-PART, ASKED, VISITS, HOT = 8192, 256, 1 << 16, 2000
+#: Rows of a cell's part, queries dealt at a time, visits that one task takes from a bin.
+PART, ASKED, VISITS = 8192, 256, 1 << 16
+#: Rows and components of a bin, scores that a task holds at a time, pairs that leave it at a time.
+BIN, COMPONENTS, SCORES, PAIRS = 1 << 16, 1 << 23, 1 << 22, 1 << 16
 #: Rows whose neighbours tell how many cells to read, and what rounding may add to an angle.
 ASKED_FOR_RECALL, SLACK = 512, 4e-6
 
 
 @dataclass
 class VectorIndex:
-    """pivots: a unit row for each cell. rows: cell, shard, node_id, v, angle of every
+    """pivots: a unit row for each cell. rows: cell, bin, node_id, v, angle of every
     sound node, settled. n, low, high: each cell's size and its least and greatest
-    angle; shards: its first shard and their number. A row of these for each cell, at
-    most MOST_CELLS, is all that the driver holds."""
+    angle; bins: the first and the last bin of its parts. A row of these for each cell, at
+    most MOST_CELLS, is all that the driver holds. A bin is what a task holds at a time:
+    neighbouring cells, or parts of one."""
 
     pivots: np.ndarray
     rows: DataFrame
     n: np.ndarray
     low: np.ndarray
     high: np.ndarray
-    shards: np.ndarray
+    bins: np.ndarray
 
     def __len__(self) -> int:
         return len(self.pivots)
@@ -102,101 +105,153 @@ def build(nodes: DataFrame, pivots: np.ndarray | None = None, node_id: str = "no
     for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high")).collect():  # a row a cell
         n[r.cell], low[r.cell], high[r.cell] = r.n, r.low, r.high
     parts = -(-n // PART)
-    shards = np.stack([np.cumsum(parts) - parts, parts], axis=1)
-    cells = nodes.sparkSession.createDataFrame([(c, int(s), int(p)) for c, (s, p) in enumerate(shards)], "cell int, _first int, _parts int")
-    rows = placed.join(F.broadcast(cells), "cell")
-    rows = settled(rows.withColumn("shard", (F.col("_first") + F.pmod(F.xxhash64("node_id", "v"), F.col("_parts"))).cast("int")).drop("_first", "_parts"))
-    return VectorIndex(pivots, rows, n, low, high, shards)
+    first = np.cumsum(parts) - parts
+    start = np.cumsum(np.repeat(n / np.maximum(parts, 1), parts))  # rows up to and with each part
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = max(1, min(BIN, COMPONENTS // pivots.shape[1], -(-int(n.sum()) // max(1, int(tasks**0.5)))))
+    bin_of = (np.maximum(start - 1, 0) // most).astype(int)
+    bins = np.stack([bin_of[np.minimum(first, len(bin_of) - 1)], bin_of[np.maximum(first + parts - 1, 0)]], axis=1) if len(bin_of) else np.zeros((len(pivots), 2), int)
+    cells = nodes.sparkSession.createDataFrame([(c, int(f), int(p)) for c, (f, p) in enumerate(zip(first, parts, strict=True))], "cell int, _first int, _parts int")
+    held = nodes.sparkSession.createDataFrame([(i, int(x)) for i, x in enumerate(bin_of)], "_part int, bin int")
+    rows = placed.join(F.broadcast(cells), "cell").withColumn("_part", (F.col("_first") + F.pmod(F.xxhash64("node_id", "v"), F.col("_parts"))).cast("int"))
+    return VectorIndex(pivots, settled(rows.join(F.broadcast(held), "_part").drop("_part", "_first", "_parts")), n, low, high, bins)
+
+
+def _reader(index: VectorIndex, after: int, upto: int):
+    """A function of unit rows and their reaches: each row's places of the cells, in the order
+    of their pivots' angles, and which it reads: from `after` up to `upto`, those that
+    may hold a row within its reach."""
+    pivots, low, high, n = index.pivots, index.low, index.high, index.n
+
+    def read(rows: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        angles = _angles(rows, pivots)
+        places = np.empty(angles.shape, np.int32)
+        np.put_along_axis(places, np.argsort(angles, axis=1, kind="stable"), np.arange(len(pivots), dtype=np.int32)[None, :], axis=1)
+        near = np.maximum(angles - high, low - angles) <= reach[:, None] + SLACK
+        return places, (places >= after) & (places < upto) & near & (n > 0)
+
+    return read
 
 
 def _visits(index: VectorIndex, queries: DataFrame, after: int, upto: int) -> DataFrame:
-    """query_id, v, shard, place: queries (query_id, v, reach) at each part of the cells that
-    they read. Places are a query's cells in the order of their pivots' angles; from
-    `after` up to `upto`, those that may hold a row within the angle `reach`."""
+    """query_id, v, reach, home, bin: queries (query_id, v, reach) once at each bin of the cells
+    that they read. home, if they have it: bins before it are left out."""
     kind, vec = (queries.schema[c].dataType.simpleString() for c in ("query_id", "v"))
-    pivots, low, high, shards, n = index.pivots, index.low, index.high, index.shards, index.n
+    width, bins, read = index.pivots.shape[1], index.bins, _reader(index, after, upto)
+    every = np.arange(int(bins.max(initial=0)) + 1)
+    holds = ((bins[:, :1] <= every) & (every <= bins[:, 1:])).astype(np.float32)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (b.slice(at, ASKED) for b in batches for at in range(0, b.num_rows, ASKED)):
-            angles = _angles(_unit_rows(b.column(1), pivots.shape[1]), pivots)
-            places = np.empty(angles.shape, np.int32)
-            np.put_along_axis(places, np.argsort(angles, axis=1, kind="stable"), np.arange(len(pivots), dtype=np.int32)[None, :], axis=1)
-            bound = np.maximum(angles - high, low - angles)
-            near = bound <= b.column(2).to_numpy(zero_copy_only=False)[:, None] + SLACK
-            q, c = np.nonzero((places >= after) & (places < upto) & near & (n > 0))
-            each = shards[c, 1]
-            part = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-            q, shard, place = np.repeat(q, each), np.repeat(shards[c, 0], each) + part, np.repeat(places[q, c], each)
+            _, reads = read(_unit_rows(b.column(1), width), b.column(2).to_numpy(zero_copy_only=False))
+            home = b.column(3).to_numpy(zero_copy_only=False)
+            q, to = np.nonzero((reads.astype(np.float32) @ holds > 0) & (every >= home[:, None]))
             for at in range(0, len(q), 4 * ASKED):
                 cut = slice(at, at + 4 * ASKED)
                 own = b.take(pa.array(q[cut]))
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(shard[cut].astype(np.int32)), pa.array(place[cut])], names=["query_id", "v", "shard", "place"])
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(to[cut].astype(np.int32))], names=["query_id", "v", "reach", "home", "bin"])
 
-    return queries.select("query_id", "v", "reach").mapInArrow(visit, f"query_id {kind}, v {vec}, shard int, place int")
+    home = "home" if "home" in queries.columns else F.lit(-1).alias("home")
+    return queries.select("query_id", "v", "reach", home).mapInArrow(visit, f"query_id {kind}, v {vec}, reach double, home int, bin int")
 
 
-def _scored(index: VectorIndex, visits: DataFrame, k: int | None, least: float | None, skip_same: bool) -> DataFrame:
-    """query_id, node_id, similarity, place: of each visit, the shard's k best rows.
+def _scored(index: VectorIndex, queries: DataFrame, after: int, upto: int, k: int | None, least: float | None, skip_same: bool) -> DataFrame:
+    """query_id, node_id, similarity, place: each query's (query_id, v, reach) k best rows of each
+    bin, of the cells that it reads. Where queries have a home, pairs of that bin are
+    listed from their smaller id alone.
 
-    A task holds a shard's rows and reads its queries a few at a time. Shards that very
-    many queries visit, at most HOT of them, are copied to several tasks.
+    A task holds a bin's rows and reads its queries a few at a time; which cells a query
+    reads follows from the pivots there, so it goes to a bin once, however many of
+    the bin's cells it reads. Bins that very many queries visit are copied to several tasks.
     """
-    visits = settled(visits)
+    visits = _visits(index, queries, after, upto)
     q_kind, n_kind = visits.schema["query_id"].dataType.simpleString(), index.rows.schema["node_id"].dataType.simpleString()
-    counts = visits.groupBy("shard").agg(F.count("*").alias("_n"))
-    total = visits.count()
-    most = max(VISITS, total // HOT)
-    hot = F.broadcast(counts.where(F.col("_n") > most).select("shard", F.ceil(F.col("_n") / most).cast("int").alias("_groups")))
-    groups = F.coalesce("_groups", F.lit(1))
-    null = lambda kind: F.lit(None).cast(kind)
-    vec = F.transform("v", lambda x: x.cast("double")).alias("v")  # both sides may differ in type
-    there = index.rows.join(hot, "shard", "left").select("shard", F.explode(F.sequence(F.lit(0), groups - 1)).alias("group"), F.lit(True).alias("node"), "node_id", null(q_kind).alias("query_id"), null("int").alias("place"), vec)
-    asked = visits.join(hot, "shard", "left").select("shard", F.pmod(F.xxhash64("query_id", "v"), groups).cast("int").alias("group"), F.lit(False).alias("node"), null(n_kind).alias("node_id"), "query_id", "place", vec)
+    q_vec, n_vec = (df.schema["v"].dataType.simpleString() for df in (visits, index.rows))
+    vec = n_vec if q_vec == n_vec else "array<double>"
     parts = int(visits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = there.unionByName(asked).repartition(parts, "shard", "group").sortWithinPartitions("shard", "group", F.desc("node"))
-    width = index.pivots.shape[1]
+    asked_at = {r.bin: r["n"] for r in visits.groupBy("bin").agg(F.count("*").alias("n")).collect()}  # a row a bin
+    groups = visits.sparkSession.createDataFrame([(b, max(-(-parts // len(asked_at)), -(-n // VISITS))) for b, n in asked_at.items()], "bin int, _groups int")
+    null = lambda kind: F.lit(None).cast(kind)
+    there = index.rows.join(F.broadcast(groups), "bin").select("bin", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1)).alias("group"), F.lit(True).alias("node"), "node_id", "cell", null(q_kind).alias("query_id"), null("double").alias("reach"), null("int").alias("home"), F.col("v").cast(vec).alias("v"))
+    asked = visits.join(F.broadcast(groups), "bin").select("bin", F.pmod(F.xxhash64("query_id", "v"), F.col("_groups")).cast("int").alias("group"), F.lit(False).alias("node"), null(n_kind).alias("node_id"), null("int").alias("cell"), "query_id", "reach", "home", F.col("v").cast(vec).alias("v"))
+    dealt = there.unionByName(asked).repartition(parts, "bin", "group").sortWithinPartitions("bin", "group", F.desc("node"))
+    width, read = index.pivots.shape[1], _reader(index, after, upto)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, ids, held, matrix = None, [], [], None
+        own, held, side = None, [], None
         for b in batches:
             key = np.stack([b.column(i).cast(pa.int32()).to_numpy(zero_copy_only=False) for i in range(3)])
             edges = [0, *(np.nonzero(np.any(key[:, 1:] != key[:, :-1], axis=0))[0] + 1), b.num_rows]
             for low, high in zip(edges, edges[1:]):
                 if low == high:
                     continue
-                shard, group, is_node = key[:, low]
-                if (shard, group) != own:
-                    own, ids, held, matrix = (shard, group), [], [], None
+                if tuple(key[:2, low]) != own:
+                    own, held, side = tuple(key[:2, low]), [], None
                 run = b.slice(low, high - low)
-                if is_node:
-                    ids.append(run.column(3).to_numpy(zero_copy_only=False))
-                    held.append(_unit_rows(run.column(6), width))
+                if key[2, low]:
+                    held.append((run.column(3).to_numpy(zero_copy_only=False), run.column(4).to_numpy(zero_copy_only=False), _unit_rows(run.column(8), width)))
                     continue
                 if not held:
                     continue
-                if matrix is None:
-                    all_ids, matrix = np.concatenate(ids), np.concatenate(held)
-                for at in range(0, run.num_rows, ASKED):
-                    q = run.slice(at, ASKED)
-                    q_ids = q.column(4).to_numpy(zero_copy_only=False)
-                    s = _unit_rows(q.column(6), width) @ matrix.T
-                    if skip_same:
-                        s[q_ids[:, None] == all_ids[None, :]] = -np.inf
-                    keep = s > -np.inf
-                    if k is not None and len(all_ids) > k:
-                        cut = np.partition(s, len(all_ids) - k, axis=1)[:, len(all_ids) - k]
-                        keep &= s >= cut[:, None] - 1e-9  # sums differ in their last digits: what may tie stays
-                    if least is not None:
-                        keep &= s >= least - 1e-9
-                    qi, ni = np.nonzero(keep)
-                    for first in range(0, len(qi), 1 << 16):
-                        x, y = qi[first : first + (1 << 16)], ni[first : first + (1 << 16)]
-                        yield pa.RecordBatch.from_arrays([pa.array(q_ids[x]), pa.array(all_ids[y]), pa.array(np.round(s[x, y], 12)), q.column(5).take(pa.array(x))], names=["query_id", "node_id", "similarity", "place"])
+                if side is None:
+                    side = [np.concatenate(x) for x in zip(*held, strict=True)]
+                    side.append(side[2].astype(np.float32) if least is not None else None)
+                step = max(1, SCORES // len(side[0]))
+                for at in range(0, run.num_rows, step):
+                    q = run.slice(at, step)
+                    q_ids, rows = q.column(5).to_numpy(zero_copy_only=False), _unit_rows(q.column(8), width)
+                    places, reads = read(rows, q.column(6).to_numpy(zero_copy_only=False))
+                    qi, ni, found = _met(rows, q_ids, side, reads, k, least, skip_same)
+                    home = q.column(7).to_numpy(zero_copy_only=False)[qi] == own[0]
+                    if home.any():
+                        mine = np.flatnonzero(~home | (q_ids[qi] < side[0][ni]))
+                        qi, ni, found = qi[mine], ni[mine], found[mine]
+                    for first in range(0, len(qi), PAIRS):
+                        x, y, z = qi[first : first + PAIRS], ni[first : first + PAIRS], found[first : first + PAIRS]
+                        yield pa.RecordBatch.from_arrays([pa.array(q_ids[x]), pa.array(side[0][y]), pa.array(np.round(z, 12)), pa.array(places[x, side[1][y]])], names=["query_id", "node_id", "similarity", "place"])
 
     found = dealt.mapInArrow(score, f"query_id {q_kind}, node_id {n_kind}, similarity double, place int")
     return found.where(F.col("similarity") >= least) if least is not None else found
 
 
+def _met(rows: np.ndarray, q_ids: np.ndarray, side: list, reads: np.ndarray, k: int | None, least: float | None, skip_same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and scores of the pairs of a bin's rows (ids, cells, unit rows, also in single
+    precision) that may be among the k best of a query. With `least`, single precision,
+    whose error is bounded, tells which pairs are worth an exact score."""
+    ids, cells, unit, single = side
+    may = slice(None) if reads[:, np.unique(cells)].all() else reads[:, cells]
+    if least is not None:
+        error = (unit.shape[1] + 4) * 1.2e-7
+        keep = rows.astype(np.float32) @ single.T >= np.float32(least - error - 1e-7)
+        qi, ni = np.nonzero(keep if isinstance(may, slice) else keep & may)
+        if skip_same:
+            other = q_ids[qi] != ids[ni]
+            qi, ni = qi[other], ni[other]
+        s = np.concatenate([np.einsum("ij,ij->i", rows[qi[at : at + PAIRS]], unit[ni[at : at + PAIRS]]) for at in range(0, max(1, len(qi)), PAIRS)])
+        good = s >= least - 1e-9
+        qi, ni, s = qi[good], ni[good], s[good]
+        if k is not None and len(qi):
+            order = np.lexsort((-s, qi))
+            starts = np.searchsorted(qi, np.arange(len(rows)))  # qi ascends
+            ends = np.append(starts[1:], len(qi))
+            cut = np.full(len(rows), -np.inf)
+            many = ends - starts > k
+            cut[many] = s[order][starts[many] + k - 1]
+            good = s >= cut[qi] - 1e-9  # sums differ in their last digits: what may tie stays
+            qi, ni, s = qi[good], ni[good], s[good]
+        return qi, ni, s
+    s = rows @ unit.T
+    if not isinstance(may, slice):
+        s[~may] = -np.inf
+    if skip_same:
+        s[q_ids[:, None] == ids[None, :]] = -np.inf
+    keep = s > -np.inf
+    if k is not None and len(ids) > k:
+        keep &= s >= np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k][:, None] - 1e-9
+    qi, ni = np.nonzero(keep)
+    return qi, ni, s[qi, ni]
+
+
 def _best(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "node_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -215,14 +270,14 @@ def search(index: VectorIndex, queries: DataFrame, k: int | None, probes: int, e
     asked = queries.where(sound(vec_col) & F.col(query_id).isNotNull()).select(F.col(query_id).alias("query_id"), F.col(vec_col).alias("v"))
     reach = F.lit(float(np.arccos(np.clip(-1.0 if least is None else least, -1.0, 1.0))))
     if k is None:
-        return _scored(index, _visits(index, asked.withColumn("reach", reach), 0, len(index)), None, least, skip_same)
-    found = _best(_scored(index, _visits(index, asked.withColumn("reach", reach), 0, probes), k, least, skip_same), k)
+        return _scored(index, asked.withColumn("reach", reach), 0, len(index), None, least, skip_same)
+    found = _best(_scored(index, asked.withColumn("reach", reach), 0, probes, k, least, skip_same), k)
     if not exact:
         return found
     first = settled(found)
     last = first.where(F.col("rank") == k).select("query_id", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "similarity"))).alias("_last"))
-    open_ones = asked.join(last, "query_id", "left").select("query_id", "v", F.least(reach, F.coalesce("_last", reach)).alias("reach"))
-    rest = _scored(index, _visits(index, open_ones, probes, len(index)), k, least, skip_same)
+    open_ones = settled(asked.join(last, "query_id", "left").select("query_id", "v", F.least(reach, F.coalesce("_last", reach)).alias("reach")))
+    rest = _scored(index, open_ones, probes, len(index), k, least, skip_same)
     return _best(first.drop("rank").unionByName(rest), k)
 
 
@@ -248,7 +303,8 @@ def knn_candidates(index: VectorIndex, k: int = NEIGHBOURS, least: float = LEAST
 
 
 def similar_pairs(index: VectorIndex, least: float) -> DataFrame:
-    """a < b, similarity of all pairs with a cosine of `least`, from cells that may hold one."""
-    asked = index.rows.select(F.col("node_id").alias("query_id"), F.col("v").alias("embedding"))
-    found = search(index, asked, None, 0, least=least)
-    return found.where("query_id < node_id").select(F.col("query_id").alias("a"), F.col("node_id").alias("b"), "similarity")
+    """a < b, similarity of all pairs with a cosine of `least`, from cells that may hold one; each two bins meet once."""
+    reach = F.lit(float(np.arccos(np.clip(least, -1.0, 1.0))))
+    asked = index.rows.select(F.col("node_id").alias("query_id"), "v", reach.alias("reach"), F.col("bin").alias("home"))
+    found = _scored(index, asked, 0, len(index), None, least, True)
+    return found.select(F.least("query_id", "node_id").alias("a"), F.greatest("query_id", "node_id").alias("b"), "similarity")
