@@ -104,7 +104,7 @@ def node_subtypes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_BASE} SELECT a.pos AS a, b.pos AS b, round({_KM.format('a.lat', 'a.lng', 'b.lat', 'b.lng')}, 6) AS km FROM n a JOIN n b ON a.pos < b.pos AND {_KM.format('a.lat', 'a.lng', 'b.lat', 'b.lng')} <= 15")
 def radius_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.radius_pairs(derived(spark, sf_dir, NODES).select("pos", "lat", "lng"), 15).withColumn("km", F.round("km", 6))
+    return links.radius_pairs(derived(spark, sf_dir, NODES).select("pos", "lat", "lng"), 15, decimals=6)
 
 
 _PAIRS = f"""{_FACTS}, p AS (
