@@ -519,7 +519,7 @@ def pair_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What neighbours share."""
     n = flat_nodes(spark, sf_dir)
     told = settled(n.select(F.struct("pos", F.col("place").alias("district"), "era", F.col("gi_fact").alias("gi_type"), "heritage_group").alias("id"), "lat", "lng"))  # facts go with the points, so no pair is shuffled for them
-    pairs = links.radius_join(told, told, 15).where("a.pos < b.pos")
+    pairs = links.radius_pairs(told, 15, id_col="id").where("a.pos < b.pos")
     return pairs.select(F.col("a.pos").alias("a"), F.col("b.pos").alias("b"), nodes.hints("a.", "b.").alias("hints"))
 
 
