@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, event_title, padded, strip, text
-from .html_tree import Page, read_pages
+from .html_tree import Element, Page, read_pages
 from .schemas import BINDINGS, ELEMENTS, POI, RAW_NODES
 
 
@@ -60,35 +60,48 @@ def elements(pages: DataFrame, tags: list[str], class_pattern: str | None = None
 _PARTS, _CELLS = frozenset(["thead", "tbody", "tfoot"]), frozenset(["td", "th"])
 
 
+def _rows_of(page: Page, table: Element, own: bool) -> Iterator[list[Element]]:
+    """The cells of each row of a table; see table_rows()."""
+    if not own:
+        yield from (list(page.inside(row, _CELLS)) for row in page.inside(table, frozenset(["tr"])))
+        return
+    for part in table.children:
+        for row in [part] if part.tag == "tr" else page.inside(part, frozenset(["tr"])) if part.tag in _PARTS else []:
+            yield [e for e in row.children if e.tag in _CELLS]
+
+
 def table_rows(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", class_name: str | None = None, own: bool = True) -> DataFrame:
     """id, table, row, cells of each row of each table of a class. With `own` a table's rows
     are its children and what its head, body and foot hold, and a row's cells its
     children; else all rows and cells inside, those of tables in cells too."""
 
-    def found(page: Page) -> Iterator[tuple]:
+    def layout(page: Page) -> list:
         tables = [e for e in page.inside(None, frozenset(["table"])) if class_name is None or class_name in e.classes()]
-        for n, table in enumerate(tables):
-            rows = list(page.inside(table, frozenset(["tr"])))
-            if own:
-                held = {id(r) for part in table.children if part.tag in _PARTS for r in page.inside(part, frozenset(["tr"]))} | {id(e) for e in table.children if e.tag == "tr"}
-                rows = [r for r in rows if id(r) in held]
-            for k, row in enumerate(rows):
-                cells = [e for e in row.children if e.tag in _CELLS] if own else page.inside(row, _CELLS)
-                yield n, k, [page.text(c) for c in cells]
+        return [(n, k, cells) for n, table in enumerate(tables) for k, cells in enumerate(_rows_of(page, table, own))]
+
+    def found(page: Page, rows: list) -> Iterator[tuple]:
+        return ((n, k, page.stripped(cells)) for n, k, cells in rows)
 
-    rows = read_pages(pages, found, "table int, row int, cells array<string>", id_col, html_col)
-    return rows.withColumn("cells", F.transform("cells", strip))
+    return read_pages(pages, found, "table int, row int, cells array<string>", id_col, html_col, layout)
 
 
 def extract_table_rows(pages: DataFrame, name_header: str, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """id, pos, values (header -> cell) of the first table's rows; headers are stripped,
-    and rows whose named cell is blank or 'nan' are left out."""
-    rows = table_rows(pages, id_col, html_col).where("table = 0")
-    heads = rows.where("row = 0").select(id_col, F.col("cells").alias("heads"))
-    filled = rows.where("row > 0").join(heads, id_col)
+    and rows whose named cell is blank or 'nan' are left out. A page is read once, and its
+    rows leave the task with their headers."""
+
+    def layout(page: Page) -> list:
+        first = next(page.inside(None, frozenset(["table"])), None)
+        return [] if first is None else list(_rows_of(page, first, True))
+
+    def found(page: Page, rows: list) -> Iterator[tuple]:
+        heads = page.stripped(rows[0]) if rows else []
+        return ((k, heads, page.stripped(cells)) for k, cells in enumerate(rows[1:]))
+
+    filled = read_pages(pages, found, "pos int, heads array<string>, cells array<string>", id_col, html_col, layout)
     n = F.least(F.size("heads"), F.size("cells"))
     values = F.map_from_arrays(F.slice("heads", 1, n), F.slice("cells", 1, n))
-    out = filled.select(id_col, (F.col("row") - 1).alias("pos"), values.alias("values"))
+    out = filled.select(id_col, "pos", values.alias("values"))
     name = text(F.try_element_at("values", F.lit(name_header)))
     return out.where(~name.isin("", "nan"))
 
